@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -56,3 +58,21 @@ def remove(spark: SparkSession, path: str) -> None:
 def crc_bucket(column: str, modulus: int) -> F.Column:
     """crc32 of the id written as decimal text, modulo ``modulus`` (a null id counts as empty text)."""
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % modulus
+
+
+def exact_col(name: str) -> F.Column:
+    """A column by its exact name, whatever characters the name has."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+@contextlib.contextmanager
+def session_conf(spark: SparkSession, settings: dict[str, str]) -> Iterator[None]:
+    """Settings of the session for the time of one action; the old ones come back."""
+    old = {k: spark.conf.get(k, None) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in old.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)

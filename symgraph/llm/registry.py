@@ -6,14 +6,24 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import chat, exact_dedup
+from .chat import op8_reply_trees
+from .exact_dedup import op7_streaming_dedup
 from .packing import op1_harmonic_packing
+from .wordbpe import op3_speculative_bpe
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_harmonic_packing": op1_harmonic_packing,
+        "op3_speculative_bpe": op3_speculative_bpe,
+        "op7_streaming_dedup": op7_streaming_dedup,
+        "op8_reply_trees": op8_reply_trees,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op7_streaming_dedup": exact_dedup.SQL,
+        "op8_reply_trees": chat.SQL,
+    }
