@@ -6,24 +6,31 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, exact_dedup
+from . import bag_minhash, chat, exact_dedup
+from .bag_minhash import op2_bag_minhash
 from .chat import op8_reply_trees
 from .exact_dedup import op7_streaming_dedup
 from .packing import op1_harmonic_packing
+from .records import op10_record_files
+from .winnowing import op9_winnowing
 from .wordbpe import op3_speculative_bpe
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_harmonic_packing": op1_harmonic_packing,
+        "op2_bag_minhash": op2_bag_minhash,
         "op3_speculative_bpe": op3_speculative_bpe,
         "op7_streaming_dedup": op7_streaming_dedup,
         "op8_reply_trees": op8_reply_trees,
+        "op9_winnowing": op9_winnowing,
+        "op10_record_files": op10_record_files,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op2_bag_minhash": bag_minhash.SQL,
         "op7_streaming_dedup": exact_dedup.SQL,
         "op8_reply_trees": chat.SQL,
     }

@@ -163,7 +163,7 @@ class Vocabulary:
         out, i, n, known = [], 0, len(spelled), self.spelled
         while i < n:
             j = min(n, i + self.longest)
-            while (t := known.get(spelled[i:j])) is None:
+            while j == n - 1 or (t := known.get(spelled[i:j])) is None:  # the end mark never stands alone
                 j -= 1
             out.append(t)
             i = j

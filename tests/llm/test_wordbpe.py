@@ -7,7 +7,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from symgraph.llm.wordbpe import Vocabulary, WordEncoder, as_letters, op3_speculative_bpe
+from symgraph.llm.wordbpe import _STOP, Vocabulary, WordEncoder, op3_speculative_bpe
 
 TEXTS = ["It's A test, WE'LL see 42 ½ x²", "", None, "a<|endoftext|>b <|x|>", "ΣΊΣΥΦΟΣ İstanbul \xe9 ́x 中文 \U0001f642\U0001f642", "\x1c\x85　 z", "ab" * 4000, "-----===", "aaa aaaa aaaaaaaa", "</w> x</w>"]
 
@@ -37,13 +37,15 @@ def test_same_as_library_on_any_text(own, library, text):
 
 
 def test_proposals_are_verified(own):
-    """Without the fallback a proposal may differ from the exact merges, and then a pair must fail."""
-    words = ["erthon", "thndinly", "ciónasco", "blehatont", "ththndst"]
+    """A proposal that differs from the exact merges always has a failing pair, and some do differ."""
+    words = sorted({a + b + c for a in ("er", "th", "nd", "ble", "you") for b in ("on", "in", "ion", "ha") for c in ("ly", "st", "ing", "ea")})
+    wrong = 0
     for w in words:
-        exact, proposed = own.merge_exactly(w + "") if w.isascii() else None, own.propose(w + "")
-        if exact is not None:
-            ids = np.array(proposed)
+        proposed, exact = own.propose(w + _STOP), own.merge_exactly(w + _STOP)
+        ids = np.array(proposed)
         assert (proposed == exact) == bool(own.compatible(ids[:-1], ids[1:]).all())
+        wrong += proposed != exact
+    assert 0 < wrong < len(words)
 
 
 def test_query(spark, library):
