@@ -67,7 +67,7 @@ def bag_signatures(hashes: np.ndarray, owner: np.ndarray, counts: np.ndarray, n:
         step = 0
         while len(seed):
             step += 1
-            point = mix(seed + np.uint64(step) * np.uint64(0xD1342543DE82EF95))
+            point = mix(seed + np.uint64(step * 0xD1342543DE82EF95 & (1 << 64) - 1))
             time = time - np.log(_uniform(point)) / rate
             live = time <= limit[own]
             seed, own, weight, low, rate, time, point = (x[live] for x in (seed, own, weight, low, rate, time, point))
@@ -229,7 +229,7 @@ def op2_bag_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 #: Exact: every pair of texts that shares a shingle, its multiset overlap, connected components.
 SQL = r"""
 WITH RECURSIVE split AS (
-  SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), x -> x <> '') AS w FROM documents),
+  SELECT doc_id, [x for x in regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+') if x <> ''] AS w FROM documents),
 texts AS (SELECT array_to_string(w, ' ') AS t, any_value(w) AS w, min(doc_id) AS rep, count(*) AS copies FROM split GROUP BY 1),
 sh AS (SELECT rep, array_to_string(w[i:i+4], ' ') AS s, count(*) AS c
        FROM (SELECT rep, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM texts WHERE len(w) > 0) GROUP BY ALL),

@@ -10,8 +10,11 @@ from . import bag_minhash, chat, exact_dedup
 from .bag_minhash import op2_bag_minhash
 from .chat import op8_reply_trees
 from .exact_dedup import op7_streaming_dedup
+from .lm_scoring import op6_gated_lm
 from .packing import op1_harmonic_packing
+from .quality import op5_co_training
 from .records import op10_record_files
+from .toxicity import op4_counterfactual_toxicity
 from .winnowing import op9_winnowing
 from .wordbpe import op3_speculative_bpe
 
@@ -21,6 +24,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_harmonic_packing": op1_harmonic_packing,
         "op2_bag_minhash": op2_bag_minhash,
         "op3_speculative_bpe": op3_speculative_bpe,
+        "op4_counterfactual_toxicity": op4_counterfactual_toxicity,
+        "op5_co_training": op5_co_training,
+        "op6_gated_lm": op6_gated_lm,
         "op7_streaming_dedup": op7_streaming_dedup,
         "op8_reply_trees": op8_reply_trees,
         "op9_winnowing": op9_winnowing,
