@@ -77,16 +77,22 @@ class View:
         self.width = len(self.edges) * BINS + HASHED
         self.weights, self.bias, self.slope, self.shift = np.zeros(self.width), 0.0, 1.0, 0.0
 
-    def rows(self, numbers: np.ndarray, categories: np.ndarray) -> Rows:
-        binned = [np.searchsorted(e, c, side="right") + i * BINS for i, (e, c) in enumerate(zip(self.edges, numbers.T))]
-        cells = np.stack([*binned, *(categories.T + len(self.edges) * BINS)], 1)
-        return Rows(list(cells), self.width)
+    def _cells(self, numbers: np.ndarray) -> np.ndarray:
+        return np.stack([np.searchsorted(e, c, side="right") for e, c in zip(self.edges, numbers.T)], 1).reshape(len(numbers), len(self.edges))
 
     def learn(self, numbers: np.ndarray, categories: np.ndarray, y: np.ndarray, share: np.ndarray) -> None:
-        self.weights, self.bias = fit(self.rows(numbers, categories), y, l2=3e-2, steps=200, sample_weight=share)
+        """Fits one weight for each edge that a number exceeds, then keeps their sums, one for each bin."""
+        first = np.arange(len(self.edges)) * BINS
+        passed = [np.concatenate([np.arange(a, a + n) for a, n in zip(first, row)] + [c + len(self.edges) * BINS]) for row, c in zip(self._cells(numbers), categories)]
+        w, self.bias = fit(Rows(passed, self.width), y, l2=2e-2, steps=200, sample_weight=share)
+        edges = w[: len(self.edges) * BINS].reshape(-1, BINS)
+        self.weights = np.concatenate([np.concatenate([np.zeros((len(edges), 1)), np.cumsum(edges, 1)[:, :-1]], 1).ravel(), w[len(self.edges) * BINS :]])
 
     def raw(self, numbers: np.ndarray, categories: np.ndarray) -> np.ndarray:
-        return self.rows(numbers, categories).times(self.weights) + self.bias if len(numbers) else np.zeros(0)
+        if not len(numbers):
+            return np.zeros(0)
+        cells = np.concatenate([self._cells(numbers) + np.arange(len(self.edges)) * BINS, categories + len(self.edges) * BINS], 1)
+        return self.weights[cells].sum(axis=1) + self.bias
 
     def calibrate(self, raw: np.ndarray, y: np.ndarray) -> None:
         self.slope, self.shift = _line(raw[:, None], y)
@@ -96,14 +102,20 @@ class View:
 
 
 def _line(x: np.ndarray, y: np.ndarray):
-    """Non-negative slopes and shift of a logistic regression on few numbers (Newton steps, ridge)."""
-    a = np.column_stack([x, np.ones(len(x))])
+    """Non-negative slopes and shift of a logistic regression on few numbers (damped Newton steps, ridge)."""
+    a = np.column_stack([np.clip(x, -30, 30), np.ones(len(x))])
     w = np.zeros(a.shape[1])
+    loss = lambda w: float(np.logaddexp(0, np.where(y > 0.5, -1, 1) * (a @ w)).sum() + 0.05 * (w @ w))
     for _ in range(50):
         p = sigmoid(a @ w)
-        h = (a * (p * (1 - p))[:, None]).T @ a + 1e-2 * np.eye(a.shape[1])
-        w = w + np.linalg.solve(h, a.T @ (y - p) - 1e-2 * w)
-        w[:-1] = np.clip(w[:-1], 0, 50)
+        h = (a * (p * (1 - p))[:, None]).T @ a + 0.1 * np.eye(len(w))
+        move, length = np.linalg.solve(h, a.T @ (y - p) - 0.1 * w), 1.0
+        bounded = lambda v: np.append(np.clip(v[:-1], 0, 50), v[-1])
+        while length > 1e-4 and loss(bounded(w + length * move)) > loss(w):
+            length /= 2
+        if length <= 1e-4:
+            break
+        w = bounded(w + length * move)
     return (float(w[0]), float(w[1])) if len(w) == 2 else (w[:-1], float(w[-1]))
 
 
@@ -152,6 +164,10 @@ def co_train(labelled: tuple, y: np.ndarray, pool: tuple, rounds: int = ROUNDS)
     logits = np.column_stack([views[i].logit(*(p[held] for p in parts(i, labelled))) for i in (0, 1)])
     model.views = views
     model.mixing, model.shift = _line(logits, y[held])
+    for i in (0, 1):  # once more, with the rows that calibration no longer needs
+        rows = np.fromiter(extra[i], np.int64, len(extra[i]))
+        x = [np.concatenate([a, b[rows]]) for a, b in zip(parts(i, labelled), parts(i, pool))]
+        views[i].learn(*x, np.concatenate([y, np.fromiter(extra[i].values(), float, len(rows))]), np.concatenate([np.ones(len(y)), np.full(len(rows), 0.5)]))
     return model
 
 

@@ -83,10 +83,10 @@ def test_views_teach_each_other():
     meta = np.column_stack([y + rng.normal(0, 0.6, n), rng.normal(0, 1, n)])
     cats = np.column_stack([rng.integers(0, 40, n), rng.integers(0, 40, n)])
     data = (content, meta, cats)
-    few, pool = tuple(x[:60] for x in data), tuple(x[60:2000] for x in data)
+    few, pool = tuple(x[:200] for x in data), tuple(x[200:2000] for x in data)
     accuracy = []
     for rounds in (0, 4):
-        model = quality.co_train(few, y[:60], pool, rounds)
+        model = quality.co_train(few, y[:200], pool, rounds)
         accuracy.append(((model.views[1].logit(meta[2000:], cats[2000:]) > 0) == (y[2000:] > 0)).mean())
     assert accuracy[1] >= accuracy[0]
     assert ((model.scores(*(x[2000:] for x in data)) > 0.5) == (y[2000:] > 0)).mean() > 0.85
