@@ -30,6 +30,8 @@ from .common import table
 
 CAPACITY = 1024
 END_ID = 0
+#: Tokens that a task collects before it hands rows on.
+HELD = 500_000
 _SPECIAL = re.compile(r"<\|endoftext\|>")
 _RUN = re.compile(r"\s\s")
 #: The public split pattern without its look-ahead branch; equal to it on text without runs of white space.
@@ -117,13 +119,18 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rank_f
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encode = _byte_bpe(rank_file)
         bins = _Bins(capacity, TaskContext.get().partitionId() << 40)
+        rows: list[tuple] = []
+        held = 0  # tokens of the rows that were not handed on yet
         for batch in batches:
-            rows: list[tuple] = []
             for doc_id, text in zip(batch["i"], batch["t"]):
                 ids = np.array([*encode(text or ""), end_id], "<u4")
                 for start, length in cut(len(ids), capacity):
                     rows += bins.add((doc_id, start, length, len(ids), ids[start : start + length].tobytes()), length)
-            yield pd.DataFrame(rows, columns=columns)
+                held += len(ids)
+                if held >= HELD:
+                    yield pd.DataFrame(rows, columns=columns)
+                    rows, held = [], 0
+        yield pd.DataFrame(rows, columns=columns)
         yield pd.DataFrame(list(bins.rest()), columns=columns)
 
     return docs.select(F.col(id_col).cast("string").alias("i"), F.col(text_col).alias("t")).mapInPandas(
