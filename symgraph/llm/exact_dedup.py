@@ -85,7 +85,7 @@ def dedup(spark: SparkSession, path: str, id_col: str = "doc_id", text_col: str
     hits = found.filter("n > 1")
     keepers = hits.filter("locator = best.locator").select("digest", F.col("norm").alias("keep_norm"))
     compared = hits.join(keepers, "digest").withColumn("same", F.col("norm") == F.col("keep_norm")).drop("keep_norm")
-    strange = written(compared.filter("not same").select("digest").distinct(), "dedup-strange")
+    strange = written(compared.filter("not same").select("digest"), "dedup-strange")
     believed = found.join(strange, "digest", "left_anti").select("id", "locator", "n_chars", "text_sha256", "best", "n")
     if not strange.isEmpty():  # one digest, different bytes: the bytes decide
         doubted = found.join(strange, "digest", "left_semi").withColumn("norm", F.coalesce("norm", F.lit("")))
