@@ -17,6 +17,7 @@ import heapq
 import json
 import re
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -36,8 +37,8 @@ _SPECIALS = ("<|startoftext|>", "<|endoftext|>")
 _END = "</w>"
 #: Marks the end of a word inside this module: one character instead of four.
 _STOP = chr(0xE000)
-#: Words that one worker process remembers (about 300 bytes each).
-REMEMBERED = 600_000
+#: Words that one worker process remembers (about 250 bytes each), and characters split at a time.
+REMEMBERED, CHUNK = 400_000, 1_000_000
 
 
 def byte_letters() -> list[str]:
@@ -260,6 +261,31 @@ def vocabulary_path(path: str | None) -> str:
     return path
 
 
+def slices(batch: pd.DataFrame, text_col: str) -> Iterator[pd.DataFrame]:
+    """Parts of a batch with about CHUNK characters each (one row at least)."""
+    sizes = batch[text_col].str.len().fillna(0).to_numpy(np.int64)
+    part = np.cumsum(sizes) // CHUNK
+    starts = np.append(np.flatnonzero(np.diff(part, prepend=-1)), len(batch))
+    for a, b in zip(starts[:-1], starts[1:]):
+        yield batch.iloc[a:b]
+
+
+@lru_cache
+def token_strings(path: str) -> list[str]:
+    """The string of each id, special tokens included."""
+    from tokenizers import Tokenizer
+
+    found = Tokenizer.from_file(path).get_vocab(with_added_tokens=True)
+    out = [""] * (max(found.values()) + 1)
+    for name, i in found.items():
+        out[i] = name
+    return out
+
+
+def decoded(ids: bytes, strings: list[str]) -> str:
+    return " ".join(map(strings.__getitem__, np.frombuffer(ids, "<u4").tolist()))
+
+
 def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None) -> DataFrame:
     """doc_id and ids (unsigned 32-bit little-endian) of every whole text."""
     path = vocabulary_path(path)
@@ -268,7 +294,8 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path
         own = vocabulary(path)
         texts = WordEncoder(own.encode_words, own.encode_chunks)
         for batch in batches:
-            yield pd.DataFrame({"doc_id": batch["i"], "ids": texts(batch["t"].tolist())})
+            for part in slices(batch, "t"):
+                yield pd.DataFrame({"doc_id": part["i"], "ids": texts(part["t"].tolist())})
 
     return docs.select(F.col(id_col).cast("string").alias("i"), F.col(text_col).alias("t")).mapInPandas(run, "doc_id string, ids binary").withColumn("doc_id", F.col("doc_id").cast(docs.schema[id_col].dataType))
 
@@ -279,16 +306,30 @@ def decode(ids: F.Column, path: str | None = None) -> F.Column:
 
     @F.pandas_udf("string")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        name = vocabulary(path).tokens.__getitem__
+        strings = token_strings(path)
         for batch in batches:
-            yield pd.Series([" ".join(map(name, np.frombuffer(b, "<u4").tolist())) for b in batch], dtype=object)
+            yield pd.Series([decoded(b, strings) for b in batch], dtype=object)
 
     return run(ids)
 
 
+def round_trip(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None) -> DataFrame:
+    """doc_id, ids and their decoded text, in one pass through one Python process a task."""
+    path = vocabulary_path(path)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        own, strings = vocabulary(path), token_strings(path)
+        texts = WordEncoder(own.encode_words, own.encode_chunks)
+        for batch in batches:
+            for part in slices(batch, "t"):
+                ids = texts(part["t"].tolist())
+                yield pd.DataFrame({"doc_id": part["i"], "ids": ids, "decoded": pd.Series([decoded(b, strings) for b in ids], dtype=object, index=part.index)})
+
+    return docs.select(F.col(id_col).cast("string").alias("i"), F.col(text_col).alias("t")).mapInPandas(run, "doc_id string, ids binary, decoded string").withColumn("doc_id", F.col("doc_id").cast(docs.schema[id_col].dataType))
+
+
 def op3_speculative_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents encoded and decoded again."""
-    encoded = encode(table(spark, sf_dir, "documents"))
-    return encoded.select("doc_id", "ids", decode(F.col("ids")).alias("decoded")).select(
+    return round_trip(table(spark, sf_dir, "documents")).select(
         "doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256")
     )

@@ -56,3 +56,16 @@ def test_query(spark, library):
         assert got[r.doc_id].n_tokens == len(ids)
         assert got[r.doc_id].ids_sha256 == hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest()
         assert got[r.doc_id].decoded_sha256 == hashlib.sha256(library.decode(ids, skip_special_tokens=False).encode()).hexdigest()
+
+
+def test_long_texts_in_slices_and_decode_column(spark, library):
+    from pyspark.sql import functions as F
+
+    from symgraph.llm import wordbpe
+
+    docs = [*enumerate(TEXTS), (None, "null id"), (3, "word " * 300_000)]
+    df = spark.createDataFrame([(*d, "c") for d in docs], "doc_id long, text string, ids string")
+    got = sorted((str(r.doc_id), r.ids, r.decoded) for r in wordbpe.round_trip(df).collect())
+    assert got == sorted((str(r.doc_id), bytes(r.ids), r.d) for r in wordbpe.encode(df).withColumn("d", wordbpe.decode(F.col("ids"))).collect())
+    assert sorted(np.frombuffer(x[1], "<u4").tolist() for x in got) == sorted(library.encode(t or "", add_special_tokens=False).ids for _, t in docs)
+    assert wordbpe.round_trip(df.limit(0)).count() == 0
