@@ -9,12 +9,14 @@ Processes are followed only to the time by which all slots are expected to be fu
 for texts that still have an empty one, so most shingles cost a single exponential variate.
 
 Signatures are cut into bands.  Texts that share a band are candidates; a candidate pair is a link
-if its exact multiset overlap is 0.8 or more.  Not all pairs of a bucket are formed: the first
-round compares every text with the bucket's least one, links are merged into components, and later
-rounds (4, 16, 64 ... centres a bucket) compare only texts that are still in different components,
-until every text of a bucket has been a centre.  So no link between components is lost, and a
-bucket of thousands of near copies costs one comparison each.  Equal word sequences are one text
-from the start, however many rows have it.
+if its exact multiset overlap is 0.8 or more.  Not all pairs of a bucket are verified: first every
+text is compared with the bucket's hub (the member with most bucket mates over all bands) and the
+links are merged into components; then only pairs in different components are left, and of these
+the join itself keeps those whose two-bit sketches of the signatures agree about as often as a link
+demands (a link fails that test with a probability of about 1 in 100,000; it shares no band with one
+of 1 in 10 million).  So a bucket of thousands of near copies costs one comparison each, and no link
+between components is lost.  Equal word sequences are one text from the start, however many rows
+have it.
 
 Defined results: null text counts as empty; texts without words are equal to each other; a text of
 one to four words has one shingle; repeated rows are copies; a null id is never a class's id unless
@@ -34,6 +36,8 @@ from .common import exact_col, session_conf, table, written
 from .wordhash import mix, multiset, shingles
 
 BANDS, ROWS, THRESHOLD = 40, 5, 0.8
+#: Standard deviations by which a sketch may fall short of the threshold.
+SLACK = 4.2
 #: Code points of the texts that are worked on at a time.
 CHUNK = 400_000
 _WHITE = "[\\x20\\x09-\\x0D]+"
@@ -90,9 +94,28 @@ def bag_signatures(hashes: np.ndarray, owner: np.ndarray, counts: np.ndarray, n:
     return out
 
 
-def band_keys(texts: list[str], bands: int = BANDS, rows: int = ROWS) -> list[np.ndarray]:
-    """The band keys of each text (none for a text without words)."""
-    out: list[np.ndarray] = []
+def sketches(signatures: np.ndarray) -> np.ndarray:
+    """Two bits of every slot, 32 slots in a 64-bit integer."""
+    n, size = signatures.shape
+    two = np.zeros((n, -(-size // 32) * 32), np.uint64)
+    two[:, :size] = signatures & np.uint64(3)
+    return np.bitwise_or.reduce(two.reshape(n, -1, 32) << (2 * np.arange(32, dtype=np.uint64)), axis=2).view(np.int64)
+
+
+def alike(a: str, b: str, size: int, threshold: float) -> F.Column:
+    """Whether the sketches in two columns differ in no more slots than a link's may."""
+    p = threshold + (1 - threshold) / 4
+    most = int((1 - p) * size + SLACK * (p * (1 - p) * size) ** 0.5)
+    different = F.lit(0)
+    for i in range(-(-size // 32)):
+        x = F.col(a)[i].bitwiseXOR(F.col(b)[i])
+        different = different + F.bit_count(x.bitwiseOR(F.shiftrightunsigned(x, 1)).bitwiseAND(F.lit(0x5555555555555555)))
+    return different <= most
+
+
+def band_keys(texts: list[str], bands: int = BANDS, rows: int = ROWS) -> list[tuple[np.ndarray, np.ndarray]]:
+    """The band keys of each text (none for a text without words) and its sketch."""
+    out: list[tuple[np.ndarray, np.ndarray]] = []
     a = 0
     while a < len(texts):
         b, size = a, 0
@@ -106,7 +129,7 @@ def band_keys(texts: list[str], bands: int = BANDS, rows: int = ROWS) -> list[np
             keys = mix(keys * np.uint64(31) + signatures[:, i::rows] + np.uint64(i))
         keys = mix(keys + np.arange(bands, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)).view(np.int64)
         has = np.bincount(owner, minlength=b - a) > 0
-        out += [k if h else k[:0] for k, h in zip(keys, has)]
+        out += [(k if h else k[:0], x) for k, h, x in zip(keys, has, sketches(signatures))]
         a = b
     return out
 
@@ -126,11 +149,12 @@ def word_digest(text: F.Column) -> F.Column:
 def _signed(docs: DataFrame, id_col: str, text_col: str, bands: int, rows: int) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield pd.DataFrame({"id": batch["id"], "digest": batch["digest"], "keys": band_keys(batch["text"].tolist(), bands, rows)})
+            found = band_keys(batch["text"].tolist(), bands, rows)
+            yield pd.DataFrame({"id": batch["id"], "digest": batch["digest"], "keys": [k for k, _ in found], "sketch": [x for _, x in found]})
 
     text = F.coalesce(exact_col(text_col), F.lit(""))
     source = docs.select(exact_col(id_col).cast("string").alias("id"), word_digest(text).alias("digest"), text.alias("text"))
-    return source.mapInPandas(run, "id string, digest binary, keys array<long>").withColumn("id", F.col("id").cast(docs.schema[id_col].dataType))
+    return source.mapInPandas(run, "id string, digest binary, keys array<long>, sketch array<long>").withColumn("id", F.col("id").cast(docs.schema[id_col].dataType))
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
@@ -189,32 +213,26 @@ def components(edges: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """One row per document: doc_id, class_id (least id of its class), n_docs and n_texts of the class."""
     signed = written(_signed(docs, id_col, text_col, bands, rows), "signatures")
-    reps = written(signed.groupBy("digest").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("copies"), F.first("keys").alias("keys")), "texts")
-    keyed = reps.select("digest", "id", F.explode("keys").alias("key"))
-    crowded = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("id", "digest")).alias("centre")).filter("n > 1").select("key", "n", F.col("centre.digest").alias("centre"))
-    members = written(keyed.select("key", "digest").join(crowded, "key"), "buckets")
-    involved = members.select("digest").distinct()
+    reps = written(signed.groupBy("digest").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("copies"), F.first("keys").alias("keys"), F.first("sketch").alias("sketch")), "texts")
+    keyed = reps.select("digest", F.explode("keys").alias("key"))
+    members = written(keyed.join(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "key"), "buckets")
+    mates = written(members.groupBy("digest").agg(F.sum("n").alias("mates")), "mates")
+    hubs = members.join(mates, "digest").groupBy("key").agg(F.max(F.struct("mates", "digest")).alias("hub")).select("key", F.col("hub.digest").alias("hub"))
     text = F.coalesce(exact_col(text_col), F.lit(""))
-    texts = written(docs.select(word_digest(text).alias("digest"), text.alias("text")).join(involved, "digest", "left_semi").groupBy("digest").agg(F.first("text").alias("text")), "candidate-texts")
-
-    ordered = lambda df, x, y: df.filter(F.col(x) != F.col(y)).select(F.least(x, y).alias("a"), F.greatest(x, y).alias("b")).distinct()
-    checked = _verified(ordered(members, "centre", "digest"), texts, threshold)
-    labels = written(components(checked.filter("linked").select(F.col("a").alias("u"), F.col("b").alias("v"))), "labels")
-    largest = members.agg(F.max("n")).first()[0] or 0
-    centres = 1
-    while centres < largest:
-        centres *= 4
-        labelled = members.join(labels.withColumnRenamed("node", "digest"), "digest", "left").select("key", "digest", "n", F.coalesce("label", "digest").alias("label"))
-        mixed = labelled.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").select("key")
-        active = written(labelled.join(mixed, "key", "left_semi"), "active")
-        if active.isEmpty():
-            break
-        picked = active.filter(F.pmod(F.xxhash64("digest", "key"), F.col("n")) < centres).select("key", F.col("digest").alias("centre"), F.col("label").alias("other"))
-        pairs = ordered(active.join(picked, "key").filter("label <> other"), "centre", "digest").join(checked, ["a", "b"], "left_anti")
-        more = _verified(pairs, texts, threshold)
-        checked = written(checked.unionByName(more), "checked")
-        merged = more.filter("linked").select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(labels.select(F.col("node").alias("u"), F.col("label").alias("v")))
-        labels = written(components(merged), "labels")
+    texts = written(docs.select(word_digest(text).alias("digest"), text.alias("text")).join(mates, "digest", "left_semi").groupBy("digest").agg(F.first("text").alias("text")), "candidate-texts")
+
+    pair = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
+    edge = lambda df: df.filter("linked").select(F.col("a").alias("u"), F.col("b").alias("v"))
+    stars = written(members.select("key", "digest").join(hubs, "key").filter("digest <> hub").select(*pair("digest", "hub")).distinct(), "stars")
+    checked = _verified(stars, texts, threshold)
+    labels = written(components(edge(checked)), "labels")
+    labelled = members.select("key", "digest").join(labels.withColumnRenamed("node", "digest"), "digest", "left").withColumn("label", F.coalesce("label", "digest"))
+    mixed = labelled.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").select("key")
+    active = written(labelled.join(mixed, "key", "left_semi").join(reps.select("digest", "sketch"), "digest"), "active")
+    x, y = (active.select("key", *(F.col(c).alias(f"{c}_{side}") for c in ("digest", "label", "sketch"))) for side in "xy")
+    close = x.join(y, (x["key"] == y["key"]) & (F.col("digest_x") < F.col("digest_y")) & (F.col("label_x") != F.col("label_y")) & alike("sketch_x", "sketch_y", bands * rows, threshold))
+    left = written(close.select(F.col("digest_x").alias("a"), F.col("digest_y").alias("b")).distinct(), "pairs").join(stars, ["a", "b"], "left_anti")
+    labels = written(components(edge(_verified(left, texts, threshold)).unionByName(labels.select(F.col("node").alias("u"), F.col("label").alias("v")))), "labels")
     classed = reps.select("digest", "id", "copies").join(labels.withColumnRenamed("node", "digest"), "digest", "left").withColumn("label", F.coalesce("label", "digest"))
     classes = classed.groupBy("label").agg(F.min("id").alias("class_id"), F.sum("copies").alias("n_docs"), F.count(F.lit(1)).alias("n_texts"))
     known = written(classed.select("digest", "label").join(classes, "label").drop("label"), "classes")
