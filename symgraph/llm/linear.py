@@ -48,17 +48,15 @@ def fit(x: Rows, y: np.ndarray, l2: float = 1e-3, swapped: tuple[Rows, Rows] | N
     return w, float(b)
 
 
-def informative(rows: list[np.ndarray], y: np.ndarray, width: int, most: int, least_rows: int = 3) -> np.ndarray:
-    """The columns whose presence tells most about y (likelihood ratio), at most ``most``, sorted."""
-    flat, owner = np.concatenate([*rows, np.zeros(0, np.int64)]).astype(np.int64), np.repeat(np.arange(len(rows)), [len(r) for r in rows])
-    n, pos = np.bincount(flat, minlength=width).astype(float), np.bincount(flat, y[owner], width)
-    p0, total = y.mean(), len(y)
+def informative(columns: np.ndarray, n: np.ndarray, pos: np.ndarray, total: float, positive: float, most: int) -> np.ndarray:
+    """Of columns that n rows (pos of them positive) have, those that tell most about y, sorted."""
+    p0 = positive / total
 
     def gain(k: np.ndarray, m: np.ndarray) -> np.ndarray:
         with np.errstate(divide="ignore", invalid="ignore"):
             return np.nan_to_num(k * np.log(k / (m * p0))) + np.nan_to_num((m - k) * np.log((m - k) / (m * (1 - p0))))
 
-    g = gain(pos, n) + gain(y.sum() - pos, total - n)
-    g[(n < least_rows) | (g < 6)] = 0
-    best = np.argsort(-g, kind="stable")[:most]
-    return np.sort(best[g[best] > 0])
+    g = gain(pos, n) + gain(positive - pos, total - n)
+    g[g < 6] = 0
+    best = np.lexsort((columns, -g))[:most]
+    return np.sort(columns[best[g[best] > 0]])

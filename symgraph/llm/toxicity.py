@@ -23,13 +23,13 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import crc_bucket, exact_col, session_conf, table
+from .common import crc_bucket, exact_col, session_conf, table, written
 from .linear import Rows, fit, informative, sigmoid
 from .wordhash import _BYTE, _power, mix, words
 
 #: Labelled rows that are learned from at most: those with the least hash of their id.
 SAMPLE = 20_000
-FEATURES, KEPT = 1 << 20, 3000
+FEATURES, KEPT, LEAST_ROWS = 1 << 20, 3000, 3
 FAIRNESS = 1.0
 CHUNK = 500_000
 #: Identity terms that are swapped for each other (fixed values).
@@ -103,17 +103,23 @@ def train(sample: DataFrame, fairness: float = FAIRNESS) -> tuple[np.ndarray, np
                 yield pd.DataFrame({"y": part["y"], "own": _sets(part["text"].tolist()), "swapped": other})
 
     with session_conf(sample.sparkSession, {"spark.sql.execution.arrow.maxRecordsPerBatch": "500"}):
-        found = sample.mapInPandas(run, "y double, own array<int>, swapped array<array<int>>").toPandas()
-    y, rows = found["y"].to_numpy(float), [np.asarray(r, np.int64) for r in found["own"]]
-    if not len(y) or y.min() == y.max():
-        share = np.clip(y.mean() if len(y) else 0.0, 1e-6, 1 - 1e-6)
+        rows = written(sample.mapInPandas(run, "y double, own array<int>, swapped array<array<int>>"), "toxic-sample")
+    counted = rows.select("y", F.explode("own").alias("f")).groupBy("f").agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("pos")).filter(f"n >= {LEAST_ROWS}").toPandas()  # at most FEATURES rows
+    total, positive = rows.agg(F.count(F.lit(1)), F.sum("y")).first()
+    if not total or not 0 < positive < total:
+        share = np.clip(positive / total if total else 0.0, 1e-6, 1 - 1e-6)
         return np.zeros(0, np.int64), np.zeros(0), float(np.log(share / (1 - share)))
-    kept = informative(rows, y, FEATURES, KEPT)
-    place = np.full(FEATURES, -1)
-    place[kept] = np.arange(len(kept))
-    take = lambda sets: Rows([p[p >= 0] for p in (place[np.asarray(s, np.int64)] for s in sets)], len(kept))
-    pairs = [(own, other) for own, others in zip(rows, found["swapped"]) for other in others]
-    weights, bias = fit(take(rows), y, swapped=(take([p[0] for p in pairs]), take([p[1] for p in pairs])), fairness=fairness)
+    kept = informative(counted["f"].to_numpy(np.int64), counted["n"].to_numpy(float), counted["pos"].to_numpy(float), total, positive, KEPT)
+
+    def keep(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        inside = lambda found: np.intersect1d(np.asarray(found, np.int64), kept)
+        for batch in batches:
+            yield pd.DataFrame({"y": batch["y"], "own": [inside(r) for r in batch["own"]], "swapped": [[inside(r) for r in others] for others in batch["swapped"]]})
+
+    found = rows.mapInPandas(keep, rows.schema).toPandas()  # informative features of a bounded sample only
+    take = lambda sets: Rows([np.searchsorted(kept, np.asarray(s, np.int64)) for s in sets], len(kept))
+    pairs = [(own, other) for own, others in zip(found["own"], found["swapped"]) for other in others]
+    weights, bias = fit(take(found["own"]), found["y"].to_numpy(float), swapped=(take([p[0] for p in pairs]), take([p[1] for p in pairs])), fairness=fairness)
     return kept, weights, bias
 
 
