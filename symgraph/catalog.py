@@ -5,11 +5,362 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from .functions import text
+from .operators import pattern, security, store, traverse
+from .plans import fixtures
+from .sources import code
+from .sources import testgraph as g
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+Query = Callable[[SparkSession, str], DataFrame]
+PART = 5 * g.STEP
+_WITH, _WITH_RECURSIVE, _WEB = f"WITH {g.SQL}", f"WITH RECURSIVE {g.SQL}", f"WITH {fixtures.WEB_SQL}"
+_found: dict[str, tuple[Query, str | None]] = {}
+
+
+def query(sql: str | None = None):
+    def add(f: Query) -> Query:
+        _found[f.__name__] = (f, sql)
+        return f
+
+    return add
+
+
+def queries() -> dict[str, Query]:
+    return {k: f for k, (f, _) in _found.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {k: sql for k, (_, sql) in _found.items() if sql}
+
+
+RELS = ("CALLS", "DEFINES", "CONTAINS", "SUPPLIED_BY", "EXTENDS")
+
+
+@query(f"{_WITH} SELECT 'nodes' AS what, count(*) AS n FROM nodes UNION ALL SELECT 'edges', count(*) FROM edges")
+def graph_stats(spark, d):
+    count = lambda df, what: df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(what).alias("what"), "n")
+    return count(g.nodes(spark, d), "nodes").unionByName(count(g.edges(spark, d, *RELS), "edges"))
+
+
+@query(f"{_WITH} SELECT label, count(*) AS n FROM nodes GROUP BY label")
+def label_counts(spark, d):
+    return g.nodes(spark, d).groupBy("label").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"{_WITH} SELECT rel, count(*) AS n FROM edges GROUP BY rel")
+def rel_counts(spark, d):
+    return g.edges(spark, d, *RELS).groupBy("rel").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"""{_WITH} SELECT id, label, name, path FROM nodes WHERE label IN ('Part', 'Supplier', 'Customer')
+AND (starts_with(lower(name), 'cust') OR len(list_filter(regexp_split_to_array(lower(name), '[^a-z0-9_]+'), lambda w: starts_with(w, 'cust'))) > 0) ORDER BY name, id LIMIT 10""")
+def prefix_search(spark, d):
+    return pattern.prefix_search(g.nodes(spark, d, "Part", "Supplier", "Customer"), "Cust")
+
+
+@query(f"""{_WITH}, t AS (SELECT name AS x, path AS f FROM nodes WHERE id = {PART + 7})
+SELECT id, label, name, path, path = f AS in_file FROM nodes, t WHERE label = 'Part' AND name = x ORDER BY path = f DESC, path, name, id LIMIT 20""")
+def find_symbol(spark, d):
+    nodes = g.nodes(spark, d, "Part")
+    one = nodes.filter(F.col("id") == PART + 7).first()
+    return pattern.find_symbol(nodes, f"module.{one['name']}", one["path"])
+
+
+def _hop(near: str, far: str, direction: str) -> str:
+    return f"SELECT e.{near} AS origin, rel, '{direction}' AS direction, id, label, name, path FROM edges e JOIN nodes ON id = e.{far} WHERE e.{near} BETWEEN {PART} AND {PART + 9} AND rel = 'CALLS'"
+
+
+def _expand(spark, d, direction):
+    return pattern.expand(g.edges(spark, d, "CALLS"), g.nodes(spark, d, "Part"), [PART + i for i in range(10)], ["CALLS"], direction)
+
+
+@query(f"{_WITH} {_hop('src', 'dst', 'OUT')}")
+def neighbors_out(spark, d):
+    return _expand(spark, d, "OUT")
+
+
+@query(f"{_WITH} {_hop('dst', 'src', 'IN')}")
+def neighbors_in(spark, d):
+    return _expand(spark, d, "IN")
+
+
+@query(f"{_WITH} SELECT DISTINCT id, label, name, path, rel, direction FROM ({_hop('src', 'dst', 'OUT')} UNION ALL {_hop('dst', 'src', 'IN')}) ORDER BY id, rel, direction LIMIT 50")
+def neighbors_both(spark, d):
+    return pattern.neighbors(g.edges(spark, d, "CALLS"), g.nodes(spark, d, "Part"), [PART + i for i in range(10)], ["CALLS"], limit=50)
+
+
+@query(f"""{_WITH} SELECT rel, id, label, name, path, CASE rel WHEN 'CALLS' THEN 0 ELSE 1 END AS rank
+FROM (SELECT DISTINCT rel, dst FROM edges WHERE src = {PART + 3} AND rel IN ('CALLS', 'SUPPLIED_BY')) JOIN nodes ON id = dst ORDER BY rank, id LIMIT 50""")
+def dependencies_ranked(spark, d):
+    return pattern.dependencies(g.edges(spark, d, "CALLS", "SUPPLIED_BY"), g.nodes(spark, d, "Part", "Supplier"), [PART + 3], ["CALLS", "SUPPLIED_BY"])
+
+
+@query(f"{_WITH} SELECT src AS origin, count(*) AS n, string_agg(name, ',' ORDER BY name) AS names FROM calls JOIN nodes ON id = dst GROUP BY src")
+def callees_collect(spark, d):
+    return pattern.collect_neighbors(g.edges(spark, d, "CALLS"), g.nodes(spark, d, "Part"), "CALLS")
+
+
+@query(f"{_WITH} SELECT dst AS origin, count(*) AS n, string_agg(name, ',' ORDER BY name) AS names FROM calls JOIN nodes ON id = src GROUP BY dst")
+def callers_collect(spark, d):
+    return pattern.collect_neighbors(g.edges(spark, d, "CALLS"), g.nodes(spark, d, "Part"), "CALLS", "IN")
+
+
+@query(f"{_WITH} SELECT id, name, CASE WHEN dst IS NULL THEN NULL ELSE 'CALLS' END AS rel, dst FROM nodes LEFT JOIN calls ON id = src WHERE label = 'Part'")
+def subgraph_optional(spark, d):
+    return pattern.optional_match(g.nodes(spark, d, "Part"), g.edges(spark, d, "CALLS"))
+
+
+@query(f"{_WITH} SELECT id, label, name, path FROM nodes WHERE label = 'Part' AND id NOT IN (SELECT dst FROM calls)")
+def unreachable(spark, d):
+    return pattern.unreachable(g.nodes(spark, d, "Part"), g.edges(spark, d, "CALLS"), "Part", "CALLS")
+
+
+def _impact_sql(near: str, far: str, depth: int) -> str:
+    return f"""{_WITH_RECURSIVE}, r AS (SELECT {far} AS id, 1 AS depth FROM calls WHERE {near} = {PART} UNION SELECT c.{far}, depth + 1 FROM r JOIN calls c ON c.{near} = r.id WHERE depth < {depth})
+SELECT id, min(depth) AS depth FROM r GROUP BY id"""
+
+
+@query(_impact_sql("src", "dst", 3))
+def impact_out(spark, d):
+    return traverse.impact(g.edges(spark, d, "CALLS"), [PART], "OUT", 3)
+
+
+@query(_impact_sql("dst", "src", 3))
+def impact_in(spark, d):
+    return traverse.impact(g.edges(spark, d, "CALLS"), [PART], "IN", 3)
+
+
+@query(_impact_sql("src", "dst", 6))
+def impact_deep(spark, d):
+    return traverse.impact(g.edges(spark, d, "CALLS"), [PART], "OUT", 6)
+
+
+@query(f"""{_WITH_RECURSIVE}, p AS (SELECT dst, [src, dst] AS nodes, [src || '>' || dst] AS used FROM calls WHERE src = {PART} UNION ALL
+SELECT c.dst, list_append(nodes, c.dst), list_append(used, c.src || '>' || c.dst) FROM p JOIN calls c ON c.src = p.dst WHERE len(used) < 4 AND NOT list_contains(used, c.src || '>' || c.dst))
+SELECT dst, len(nodes) - 1 AS length, array_to_string(nodes, '>') AS path FROM p""")
+def call_paths(spark, d):
+    return traverse.call_paths(g.edges(spark, d, "CALLS"), PART, max_len=4).select("dst", "length", F.array_join(F.transform("nodes", lambda n: n.cast("string")), ">").alias("path"))
+
+
+@query(f"""{_WITH_RECURSIVE}, r AS (SELECT {PART} AS src, {PART} AS id, 0 AS hops UNION SELECT r.src, c.dst, hops + 1 FROM r JOIN calls c ON c.src = r.id WHERE hops < 5)
+SELECT src, id AS dst, min(hops) AS hops FROM r WHERE hops > 0 AND id <> src GROUP BY ALL""")
+def shortest_path(spark, d):
+    start = spark.createDataFrame([(PART,)], "id long")
+    return traverse.shortest_paths(g.edges(spark, d, "CALLS"), start, g.nodes(spark, d, "Part"), 5)
+
+
+@query("""WITH m AS (SELECT DISTINCT 2000000000000 + c_nationkey AS owner, n_regionkey, c_mktsegment AS name FROM customer JOIN nation ON c_nationkey = n_nationkey)
+SELECT owner || '.' || name AS method, (1000000000000 + n_regionkey) || '.' || name AS overridden, 1 AS depth FROM m""")
+def overrides(spark, d):
+    read = lambda t: g.table(spark, d, t)
+    own = read("customer").select(g.node_id("Nation", "c_nationkey").alias("owner"), F.col("c_mktsegment").alias("name")).distinct()
+    base = own.join(g.edges(spark, d, "EXTENDS"), F.col("owner") == F.col("src")).select(F.col("dst").alias("owner"), "name").distinct()
+    methods = own.unionByName(base).withColumn("method", F.concat_ws(".", "owner", "name"))
+    return traverse.overrides(g.edges(spark, d, "EXTENDS"), methods)
+
+
+@query(f"""{_WITH_RECURSIVE}, r AS (SELECT id AS root, id, 0 AS depth FROM nodes WHERE label = 'Region' UNION ALL SELECT root, dst, depth + 1 FROM r JOIN defines ON src = r.id)
+SELECT root, depth, count(*) AS n FROM r GROUP BY ALL""")
+def define_closure(spark, d):
+    return traverse.closure(g.edges(spark, d, "DEFINES"), g.nodes(spark, d, "Region")).groupBy("root", "depth").agg(F.count(F.lit(1)).alias("n"))
+
+
+_ACROSS = "across AS (SELECT src, dst, a.path AS sp, b.path AS dp FROM calls JOIN nodes a ON a.id = src JOIN nodes b ON b.id = dst WHERE a.path <> b.path)"
+
+
+@query(f"""{_WITH}, {_ACROSS}, b AS (SELECT sp AS file, dp AS neighbour, 'CALLS:OUT' AS how FROM across UNION ALL SELECT dp, sp, 'CALLS:IN' FROM across),
+c AS (SELECT file, neighbour, how, count(*) AS c FROM b GROUP BY ALL)
+SELECT file, neighbour, sum(c)::BIGINT AS n, string_agg(how || '=' || c, ',' ORDER BY how) AS relations FROM c GROUP BY file, neighbour ORDER BY n DESC, file, neighbour LIMIT 100""")
+def file_coupling(spark, d):
+    return pattern.file_coupling(g.edges(spark, d, "CALLS"), g.nodes(spark, d, "Part"), limit=100)
+
+
+@query(f"""{_WITH}, {_ACROSS}, c AS (SELECT path, count(dst) AS in_degree FROM (SELECT DISTINCT path FROM nodes WHERE label = 'Part') LEFT JOIN across ON dp = path GROUP BY path)
+SELECT path, in_degree, round((ln(1 + in_degree) - min(ln(1 + in_degree)) OVER ()) / (max(ln(1 + in_degree)) OVER () - min(ln(1 + in_degree)) OVER ()), 4) AS centrality FROM c""")
+def centrality(spark, d):
+    return pattern.centrality(g.edges(spark, d, "CALLS"), g.nodes(spark, d, "Part"))
+
+
+@query(f"{_WITH} SELECT path, arg_min(name, name || lpad(id::VARCHAR, 20, '0')) AS name, min(id) FILTER (id = r) AS id FROM (SELECT *, first_value(id) OVER (PARTITION BY path ORDER BY name, id) AS r FROM nodes WHERE label = 'Part') GROUP BY path")
+def representative_symbol(spark, d):
+    return pattern.representative(g.nodes(spark, d, "Part"))
+
+
+@query("SELECT 2000000000000 + n_nationkey AS id, n_name AS name, count(c_custkey) AS n_methods FROM nation LEFT JOIN customer ON c_nationkey = n_nationkey GROUP BY ALL HAVING count(c_custkey) >= 3")
+def spec_candidates(spark, d):
+    members = g.table(spark, d, "customer").select(g.node_id("Nation", "c_nationkey").alias("owner"))
+    return pattern.members_per_class(g.nodes(spark, d, "Nation").select("id", "name"), members, 3)
+
+
+@query(f"""{_WITH} SELECT rank, id, name FROM (SELECT 1 AS rank, id, name FROM nodes WHERE label = 'Nation' AND name = 'ASIA' UNION ALL
+SELECT 2, id, name FROM nodes WHERE label = 'Region' AND name = 'ASIA' UNION ALL SELECT 3, id, name FROM nodes WHERE label = 'Nation' AND contains(name, 'IA')) ORDER BY rank, id LIMIT 1""")
+def resolve_cascade(spark, d):
+    nations, regions = g.nodes(spark, d, "Nation"), g.nodes(spark, d, "Region")
+    branches = (nations.filter("name = 'ASIA'"), regions.filter("name = 'ASIA'"), nations.filter(F.col("name").contains("IA")))
+    ranked = [b.select(F.lit(i).alias("rank"), "id", "name") for i, b in enumerate(branches, 1)]
+    return ranked[0].unionByName(ranked[1]).unionByName(ranked[2]).orderBy("rank", "id").limit(1)
+
+
+QUERY_WORDS = ["the", "der", "idiot", "erthat"]
+_TOKENS = "toks AS (SELECT doc_id AS id, source, [lower(x) for x in regexp_extract_all(text, '[a-z]+')] AS t FROM documents)"
+
+
+@query(f"WITH {_TOKENS} SELECT w AS token, count(*) AS tf, count(DISTINCT id) AS df FROM (SELECT id, unnest(t) AS w FROM toks) GROUP BY w")
+def doc_tokens(spark, d):
+    words = g.table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.explode(F.regexp_extract_all("text", F.lit("([a-z]+)"), F.lit(1))).alias("token"))
+    per_doc = words.groupBy("token", "id").agg(F.count(F.lit(1)).alias("c"))
+    return per_doc.groupBy("token").agg(F.sum("c").alias("tf"), F.count(F.lit(1)).alias("df"))
+
+
+_BM25 = f"""{_TOKENS}, q AS (SELECT unnest({QUERY_WORDS}) AS w), st AS (SELECT count(*) AS n, avg(len(t)) AS avgdl FROM toks),
+tf AS (SELECT id, w, len([x for x in t if x = w]) AS tf, len(t) AS dl FROM toks, q), df AS (SELECT w, count(*) AS df FROM tf WHERE tf > 0 GROUP BY w),
+bm AS (SELECT id, sum(coalesce(ln(1 + (n - coalesce(df, 0) + 0.5) / (coalesce(df, 0) + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl)), 0)) AS score FROM tf LEFT JOIN df USING (w), st GROUP BY id)"""
+
+
+def _corpus(spark, d):
+    return g.table(spark, d, "documents").select(F.col("doc_id").alias("id"), "source", F.regexp_extract_all("text", F.lit("([a-z]+)"), F.lit(1)).alias("tokens"))
+
+
+@query(f"WITH {_BM25} SELECT id, round(score, 6) AS score FROM bm ORDER BY bm.score DESC, id LIMIT 20")
+def bm25_topk(spark, d):
+    return text.bm25(_corpus(spark, d), QUERY_WORDS).orderBy(F.desc("score"), "id").limit(20).select("id", F.round("score", 6).alias("score"))
+
+
+@query(f"""WITH {_BM25}, f AS (SELECT source || '/' || id AS path, score AS body, id % 7 AS cen FROM bm JOIN (SELECT doc_id AS id, source FROM documents) USING (id)),
+r AS (SELECT *, 0.0 AS nm FROM f), b AS (SELECT min(body) AS bl, max(body) AS bh, min(cen) AS cl, max(cen) AS ch FROM r)
+SELECT path, round(1.5 * (body - bl) / (bh - bl) + 0.5 * (cen - cl) / (ch - cl)::DOUBLE, 4) AS score FROM r, b WHERE body > 0 ORDER BY score DESC, path LIMIT 10""")
+def hybrid_rank(spark, d):
+    files = _corpus(spark, d).select(F.concat_ws("/", "source", "id").alias("path"), "tokens", F.array(F.col("source")).alias("names"), (F.col("id") % 7).cast("double").alias("centrality"))
+    return text.hybrid_rank(files, QUERY_WORDS)
+
+
+_IDENTIFIERS = ["HTTPServer2X", "parse_tokens", "plain", "_x1Y", "getURLName"]
+
+
+@query("""SELECT * FROM (VALUES ('HTTPServer2X', 'http,server2,x,httpserver2x'), ('parse_tokens', 'parse,tokens,parse_tokens'), ('plain', 'plain,plain'),
+('_x1Y', 'x1,y,_x1y'), ('getURLName', 'get,url,name,geturlname')) t(name, parts)""")
+def sub_tokens(spark, d):
+    return spark.createDataFrame([(x,) for x in _IDENTIFIERS], "name string").select("name", F.array_join(text.sub_tokens(F.col("name")), ",").alias("parts"))
+
+
+@query("SELECT page_id, lower(tag) AS tag, count(*) AS n FROM (SELECT page_id, unnest(regexp_extract_all(html, '<([a-zA-Z][a-zA-Z0-9]*)', 1)) AS tag FROM pages) GROUP BY ALL")
+def html_elements(spark, d):
+    return code.html_tags(g.table(spark, d, "pages"))
+
+
+@query("SELECT page_id, unnest(regexp_extract_all(html, 'href=\"([^\"]*)\"', 1)) AS href FROM pages")
+def page_links(spark, d):
+    return g.table(spark, d, "pages").select("page_id", F.explode(F.regexp_extract_all("html", F.lit('href="([^"]*)"'), F.lit(1))).alias("href"))
+
+
+def _web(rule, **options):
+    return lambda spark, d: rule(*fixtures.web(spark), **options)
+
+
+def _register(name: str, f: Query, sql: str) -> None:
+    _found[name] = (f, sql)
+
+
+_register("xss", _web(security.xss), f"""{_WEB} SELECT v.name AS "UnsafeVariable", h.name AS "TargetElement", v.path AS "SourceFile", v.line AS "SourceLine" FROM e JOIN n v ON v.id = e.src AND v.label = 'Variable'
+JOIN n h ON h.id = e.dst AND h.label = 'HtmlElement' WHERE e.rel = 'INJECTED_INTO' AND v.id NOT IN (SELECT src FROM e WHERE rel = 'PROCESSED_BY')""")
+_DRIFT = f"""{_WEB}, guarded AS (SELECT src FROM e JOIN n ON n.id = dst WHERE rel = 'HAS_DECORATOR' AND name = 'login_required'),
+f AS (SELECT * FROM n WHERE label = 'Function' AND id NOT IN (SELECT src FROM guarded)), g AS (SELECT route FROM n WHERE label = 'Function' AND id IN (SELECT src FROM guarded))
+SELECT s.name AS "DocumentedSection", r.path AS "UnsecuredRoute", r.name AS "Method", coalesce(f.name, 'no handler found') AS "HandlerFunction", f.id AS "HandlerSymbolId"
+FROM e JOIN n s ON s.id = e.src JOIN n r ON r.id = e.dst LEFT JOIN f ON f.route = r.path WHERE e.rel = 'DEFINES_ROUTE'"""
+_register("auth_drift", _web(security.auth_drift), _DRIFT)
+_register("auth_drift_strict", _web(security.auth_drift, strict=True), f"{_DRIFT} AND r.path NOT IN (SELECT route FROM g)")
+for _name, _need, _kind in (("path_traversal", True, "JOIN"), ("path_traversal_all", False, "LEFT JOIN")):
+    _register(_name, _web(security.path_traversal, need_caller=_need), f"""{_WEB} SELECT o.name AS "Operation", o.path AS "SourceFile", o.line AS "SourceLine", coalesce(f.name, 'unknown') AS "CallerFunction", f.id AS "CallerSymbolId"
+FROM n o {_kind} e ON e.dst = o.id AND e.rel = 'HAS_FS_OP' {_kind} n f ON f.id = e.src WHERE o.label = 'FileSystemOp' AND o.tainted = 'true'""")
+_register("cve", _web(security.cve, package="yamlish"), f"""{_WEB} SELECT f.name AS "CallerFunction", f.path AS "CallerFile", x.name AS "VulnerableFunction", x.module AS "Module", f.id AS "CallerSymbolId"
+FROM e c JOIN n f ON f.id = c.src AND f.label = 'Function' JOIN n x ON x.id = c.dst AND x.label = 'ExternalFunction' JOIN e b ON b.src = x.id AND b.rel = 'BELONGS_TO' JOIN n p ON p.id = b.dst WHERE c.rel = 'CALLS' AND p.name = 'yamlish'""")
+_register("template_vars", _web(security.template_vars), f"""{_WEB} SELECT v.name AS variable, v.path AS var_src_file, v.line AS var_src_line, h.name AS element, h.path AS element_file, h.line AS element_line, f.id IS NOT NULL AS sanitized, f.name AS sanitizer
+FROM e JOIN n v ON v.id = e.src JOIN n h ON h.id = e.dst AND h.label = 'HtmlElement' LEFT JOIN e s ON s.src = v.id AND s.rel = 'PROCESSED_BY' LEFT JOIN n f ON f.id = s.dst WHERE e.rel = 'INJECTED_INTO'""")
+_register("fs_ops", _web(security.fs_ops, tainted_only=False), f"""{_WEB} SELECT o.name AS op, o.tainted = 'true' AS tainted, o.path AS src_file, o.line AS src_line, f.name AS caller, f.id AS caller_symbol_id
+FROM n o LEFT JOIN e ON e.dst = o.id AND e.rel = 'HAS_FS_OP' LEFT JOIN n f ON f.id = e.src WHERE o.label = 'FileSystemOp'""")
+_register("decorators", _web(security.decorators, function_id=2), f"{_WEB} SELECT name, path AS src_file, line AS src_line FROM e JOIN n ON id = dst WHERE src = 2 AND rel = 'HAS_DECORATOR'")
+_register("mark_vulnerability", lambda spark, d: security.mark_vulnerability(*fixtures.web(spark), "yamlish").select("id", F.col("props")["status"].alias("status"), F.col("props")["module"].alias("module")),
+          f"{_WEB} SELECT id, CASE WHEN id IN (SELECT src FROM e JOIN n p ON p.id = dst WHERE rel = 'BELONGS_TO' AND p.name = 'yamlish') THEN 'vulnerable' ELSE status END AS status, module FROM n")
+
+
+@query("""SELECT p_partkey AS key, CASE WHEN p_partkey % 3 = 0 THEN p_name || '!' ELSE p_name END AS name, CASE WHEN p_partkey % 3 = 0 THEN NULL ELSE p_brand END AS path FROM part WHERE p_partkey % 2 = 0 AND p_partkey % 3 <> 0
+UNION ALL SELECT p_partkey, p_name || '!', CASE WHEN p_partkey % 2 = 0 THEN p_brand END FROM part WHERE p_partkey % 3 = 0""")
+def upsert_nodes(spark, d):
+    part = g.table(spark, d, "part").select(F.col("p_partkey").alias("key"), F.col("p_name").alias("name"), F.col("p_brand").alias("path"))
+    new = part.filter("key % 3 = 0").select("key", F.concat("name", F.lit("!")).alias("name"), F.lit(None).cast("string").alias("path"))
+    return store.upsert_nodes(part.filter("key % 2 = 0"), new, ["key"])
+
+
+@query(f"""{_WITH_RECURSIVE}, r AS (SELECT id FROM nodes WHERE label = 'Region' AND name = 'ASIA' UNION SELECT dst FROM r JOIN defines ON src = r.id)
+SELECT label, count(*) AS n FROM nodes WHERE label IN ('Region', 'Nation', 'Customer', 'Order') AND id NOT IN (SELECT id FROM r) GROUP BY label""")
+def cascade_delete(spark, d):
+    nodes = g.nodes(spark, d, "Region", "Nation", "Customer", "Order")
+    left, _ = store.cascade_delete(nodes, g.edges(spark, d, "DEFINES"), nodes.filter("label = 'Region' and name = 'ASIA'"))
+    return left.groupBy("label").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("""SELECT p_partkey AS key, CASE WHEN p_partkey % 5 = 0 THEN 'removed' WHEN p_partkey % 7 = 0 THEN 'added' ELSE 'changed' END AS change FROM part
+WHERE (p_partkey % 5 = 0 AND p_partkey % 7 <> 0) OR (p_partkey % 7 = 0 AND p_partkey % 5 <> 0) OR (p_partkey % 5 <> 0 AND p_partkey % 7 <> 0 AND p_partkey % 11 = 0)""")
+def backlog_diff(spark, d):
+    part = g.table(spark, d, "part").select(F.col("p_partkey").alias("key"), "p_name")
+    after = part.filter("key % 5 <> 0").withColumn("p_name", F.when(F.col("key") % 11 == 0, F.lit("new")).otherwise(F.col("p_name")))
+    return store.backlog(part.filter("key % 7 <> 0"), after, ["key"])
+
+
+@query("SELECT o_orderkey, row_number() OVER (ORDER BY o_orderdate, o_orderkey) AS pos FROM orders WHERE o_custkey = 1")
+def list_commits(spark, d):
+    from pyspark.sql import Window
+
+    one = g.table(spark, d, "orders").filter("o_custkey = 1")  # one customer's history
+    return one.select("o_orderkey", F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")).alias("pos"))
+
+
+@query("SELECT * FROM (VALUES ('a.py', 2, 3), ('b.py', 3, 3), ('c.py', 3, 3), ('a.py', 2, 4), ('c.py', 3, 4), ('a.py', 1, 1), ('a.py', 2, 2)) t(path, valid_from, pos)")
+def switch_commit(spark, d):
+    rows = store.versions(spark.createDataFrame(fixtures.COMMITS, "path string, pos int, change string"))
+    out = None
+    for pos in (1, 2, 3, 4):
+        part = store.at_commit(rows, pos).select("path", "valid_from", F.lit(pos).alias("pos"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+@query("SELECT id, file, coverage::DOUBLE AS coverage FROM (VALUES (1, 'src/a.py', 1.0), (2, 'src/a.py', 1.0), (3, 'src/b.py', 1.0), (4, 'src/none.py', 0.0)) t(id, file, coverage)")
+def lcov_coverage(spark, d):
+    files = code.lcov(spark.createDataFrame([(x,) for x in fixtures.LCOV], "report string"))
+    lines = files.select("file", F.explode("lines").alias("l")).select("file", F.col("l.line").alias("line"), F.col("l.hits").alias("hits"))
+    return store.coverage(files, lines, spark.createDataFrame(fixtures.FUNCTIONS, "id int, file string, start int, end int"))
+
+
+@query("""WITH l AS (SELECT l_orderkey, l_linenumber FROM lineitem), o AS (SELECT o_orderkey, count(l_linenumber) FILTER (l_linenumber BETWEEN 1 AND 4) AS n FROM orders LEFT JOIN l ON l_orderkey = o_orderkey GROUP BY o_orderkey)
+SELECT o_orderkey AS id, o_orderkey::VARCHAR AS file, n / 3 AS coverage FROM o""")
+def order_coverage(spark, d):
+    rows = g.table(spark, d, "lineitem").select(F.col("l_orderkey").cast("string").alias("file"), F.col("l_linenumber").alias("line"))
+    orders = g.table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderkey").cast("string").alias("file"))
+    return store.coverage(orders.select("file", F.lit(4).alias("found"), F.lit(1).alias("hit")), rows, orders.select("id", "file", F.lit(1).alias("start"), F.lit(4).alias("end")))
+
+
+@query("SELECT * FROM (VALUES ('python/entrypoint.py', 'python/service.py'), ('python/service.py', 'python/repo.py'), ('python/repo.py', 'python/db.py')) t(src, dst)")
+def import_resolution(spark, d):
+    files = fixtures.project(spark)
+    return code.resolve_imports(code.python_rows(files), files)
+
+
+@query("""SELECT * FROM (VALUES ('CALLS', 'python/entrypoint.py', 'entrypoint', 'python/service.py', 'service'), ('CALLS', 'python/service.py', 'service', 'python/repo.py', 'UserRepo'),
+('CALLS', 'python/service.py', 'service', 'python/repo.py', 'OrderRepo'), ('CALLS', 'python/repo.py', 'BaseRepo.repo', 'python/db.py', 'db'),
+('EXTENDS', 'python/repo.py', 'UserRepo', 'python/repo.py', 'BaseRepo'), ('EXTENDS', 'python/repo.py', 'OrderRepo', 'python/repo.py', 'BaseRepo')) t(rel, src_path, src, dst_path, dst)""")
+def python_calls_static(spark, d):
+    return code.resolve_uses(code.python_rows(fixtures.project(spark)))
+
+
+@query("SELECT * FROM (VALUES ('README.md', 2, 2, 'Use', NULL, NULL, 2), ('README.md', 5, 3, 'GET /items list', 'GET', '/items', 1), ('README.md', 8, 2, 'Last', NULL, NULL, 0)) t(path, line, level, title, method, route, n_requirements)")
+def markdown_sections(spark, d):
+    return code.markdown_sections(fixtures.project(spark).filter(F.col("path").endswith(".md")))
+
+
+@query("""SELECT * FROM (VALUES ('code:newproj:main', 'newproj', 'main'), ('code:newproj:feat/x:y', 'newproj', 'feat/x:y'), ('legacy_proj', 'legacy_proj', '_default')) t(name, project, branch)""")
+def list_repos(spark, d):
+    names = spark.createDataFrame([(x,) for x in ("legacy_proj", "code:newproj:main", "code:newproj:feat/x:y", "code:newproj:main_git", "code:newproj:main_schema")], "name string")
+    return names.filter(~F.col("name").rlike("_(git|schema|tmp)$")).select("name", text.graph_key(F.col("name")).alias("k")).select("name", "k.project", "k.branch")
