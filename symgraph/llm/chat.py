@@ -52,10 +52,8 @@ def chosen_paths(nodes: DataFrame, branches: int = 1) -> DataFrame:
     jumps = [step]
     while 1 << (len(jumps) - 1) < largest and not jumps[-1].filter("above is not null").isEmpty():
         near, far = jumps[-1], jumps[-1].select("tree", F.col("node").alias("above"), F.col("above").alias("next"), F.col("total").alias("more"), F.col("depth").alias("deeper"))
-        doubled = near.join(far, ["tree", "above"], "left").select(
-            "tree", "node", F.col("next").alias("above"), (F.col("total") + F.coalesce("more", F.lit(0.0))).alias("total"), (F.col("depth") + F.coalesce("deeper", F.lit(0))).alias("depth")
-        )
-        jumps.append(written(doubled, f"tree-{len(jumps)}"))
+        doubled = near.filter("above is not null").join(far, ["tree", "above"]).select("tree", "node", F.col("next").alias("above"), (F.col("total") + F.col("more")).alias("total"), (F.col("depth") + F.col("deeper")).alias("depth"))
+        jumps.append(written(near.filter("above is null").unionByName(doubled), f"tree-{len(jumps)}"))
     rooted = jumps[-1].filter("above is null")
     leaves = rooted.join(step.filter("above is not null").select("tree", F.col("above").alias("node")), ["tree", "node"], "left_anti")
     best = Window.partitionBy("tree").orderBy(F.desc(F.col("total") / F.col("depth")), F.desc("depth"), "node")
