@@ -219,7 +219,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     mates = written(members.groupBy("digest").agg(F.sum("n").alias("mates")), "mates")
     hubs = members.join(mates, "digest").groupBy("key").agg(F.max(F.struct("mates", "digest")).alias("hub")).select("key", F.col("hub.digest").alias("hub"))
     text = F.coalesce(exact_col(text_col), F.lit(""))
-    texts = written(docs.select(word_digest(text).alias("digest"), text.alias("text")).join(mates, "digest", "left_semi").groupBy("digest").agg(F.first("text").alias("text")), "candidate-texts")
+    texts = written(docs.select(word_digest(text).alias("digest"), text.alias("text")).join(mates.hint("merge"), "digest", "left_semi").groupBy("digest").agg(F.first("text").alias("text")), "candidate-texts")
 
     pair = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
     edge = lambda df: df.filter("linked").select(F.col("a").alias("u"), F.col("b").alias("v"))
@@ -228,10 +228,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     labels = written(components(edge(checked)), "labels")
     labelled = members.select("key", "digest").join(labels.withColumnRenamed("node", "digest"), "digest", "left").withColumn("label", F.coalesce("label", "digest"))
     mixed = labelled.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").select("key")
-    active = written(labelled.join(mixed, "key", "left_semi").join(reps.select("digest", "sketch"), "digest"), "active")
-    x, y = (active.select("key", *(F.col(c).alias(f"{c}_{side}") for c in ("digest", "label", "sketch"))) for side in "xy")
-    close = x.join(y, (x["key"] == y["key"]) & (F.col("digest_x") < F.col("digest_y")) & (F.col("label_x") != F.col("label_y")) & alike("sketch_x", "sketch_y", bands * rows, threshold))
-    left = written(close.select(F.col("digest_x").alias("a"), F.col("digest_y").alias("b")).distinct(), "pairs").join(stars, ["a", "b"], "left_anti")
+    active = written(labelled.join(mixed, "key", "left_semi").join(reps.select("digest", "sketch", "keys"), "digest"), "active")
+    x, y = (active.select("key", *(F.col(c).alias(f"{c}_{side}") for c in ("digest", "label", "sketch", "keys"))) for side in "xy")
+    close = x.join(y, (x["key"] == y["key"]) & (F.col("digest_x") < F.col("digest_y")) & (F.col("label_x") != F.col("label_y")) & alike("sketch_x", "sketch_y", bands * rows, threshold) & (F.array_intersect("keys_x", "keys_y")[0] == x["key"]))  # in its first common bucket only
+    left = written(close.select(F.col("digest_x").alias("a"), F.col("digest_y").alias("b")), "pairs")
     labels = written(components(edge(_verified(left, texts, threshold)).unionByName(labels.select(F.col("node").alias("u"), F.col("label").alias("v")))), "labels")
     classed = reps.select("digest", "id", "copies").join(labels.withColumnRenamed("node", "digest"), "digest", "left").withColumn("label", F.coalesce("label", "digest"))
     classes = classed.groupBy("label").agg(F.min("id").alias("class_id"), F.sum("copies").alias("n_docs"), F.count(F.lit(1)).alias("n_texts"))

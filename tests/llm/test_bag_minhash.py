@@ -91,7 +91,7 @@ def test_no_link_is_lost_when_the_hub_is_a_stranger(spark):
     same_bucket = F.array(F.lit(7).cast("long"))
     signed = bag_minhash._signed
     try:
-        bag_minhash._signed = lambda *a: signed(*a).withColumn("keys", same_bucket)
+        bag_minhash._signed = lambda *a: signed(*a).withColumn("keys", same_bucket)  # every text has the one key 7
         got = near_duplicates(df).collect()
     finally:
         bag_minhash._signed = signed
