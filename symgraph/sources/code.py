@@ -13,7 +13,7 @@ EXTENSIONS = ("java", "py", "cs", "js", "kt", "kts", "html", "jinja2", "j2", "md
 
 
 def scan(spark: SparkSession, root: str, ignore: list[str] | None = None) -> DataFrame:
-    """path, text of the source files below ``root`` whose path contains none of ``ignore``."""
+    """path, text of the source files below ``root`` whose path contains none of ``ignore``; empty files have no row."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select("path", F.decode("content", "utf-8").alias("text"))
     files = files.filter(F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1)).isin(*EXTENSIONS))
     for part in ignore or []:
