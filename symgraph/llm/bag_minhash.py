@@ -14,8 +14,11 @@ text is compared with the bucket's hub (the member with most bucket mates over a
 links are merged into components; then only pairs in different components are left, and of these
 the join itself keeps those whose two-bit sketches of the signatures agree about as often as a link
 demands (a link fails that test with a probability of about 1 in 100,000; it shares no band with one
-of 1 in 10 million).  So a bucket of thousands of near copies costs one comparison each, and no link
-between components is lost.  Equal word sequences are one text from the start, however many rows
+of 1 in 10 million) and whose parities do not rule a link out: a text's shingles fall into 1024
+cells, and each cell in which two texts have an odd and an even number holds at least one shingle
+that only one of them has, so that too many such cells prove the overlap to be below the threshold.
+So a bucket of thousands of near copies costs one comparison each, pairs that merely resemble each
+other are not formed, and no link between components is lost.  Equal word sequences are one text from the start, however many rows
 have it.
 
 Defined results: null text counts as empty; texts without words are equal to each other; a text of
@@ -40,6 +43,10 @@ BANDS, ROWS, THRESHOLD = 40, 5, 0.8
 SLACK = 4.2
 #: Code points of the texts that are worked on at a time.
 CHUNK = 400_000
+#: 64-bit words of the parities.
+PARITY = 16
+#: What :func:`band_keys` gives for a text.
+TRAITS = ("keys", "sketch", "parity", "total")
 _WHITE = "[\\x20\\x09-\\x0D]+"
 
 
@@ -102,20 +109,43 @@ def sketches(signatures: np.ndarray) -> np.ndarray:
     return np.bitwise_or.reduce(two.reshape(n, -1, 32) << (2 * np.arange(32, dtype=np.uint64)), axis=2).view(np.int64)
 
 
-def alike(a: str, b: str, size: int, threshold: float) -> F.Column:
-    """Whether the sketches in two columns differ in no more slots than a link's may."""
+def alike(x: str, y: str, size: int, threshold: float) -> F.Column:
+    """Whether the sketches of two sides differ in no more slots than a link's may."""
     p = threshold + (1 - threshold) / 4
     most = int((1 - p) * size + SLACK * (p * (1 - p) * size) ** 0.5)
     different = F.lit(0)
     for i in range(-(-size // 32)):
-        x = F.col(a)[i].bitwiseXOR(F.col(b)[i])
-        different = different + F.bit_count(x.bitwiseOR(F.shiftrightunsigned(x, 1)).bitwiseAND(F.lit(0x5555555555555555)))
+        d = F.col(f"sketch{i}_{x}").bitwiseXOR(F.col(f"sketch{i}_{y}"))
+        different = different + F.bit_count(d.bitwiseOR(F.shiftrightunsigned(d, 1)).bitwiseAND(F.lit(0x5555555555555555)))
     return different <= most
 
 
-def band_keys(texts: list[str], bands: int = BANDS, rows: int = ROWS) -> list[tuple[np.ndarray, np.ndarray]]:
-    """The band keys of each text (none for a text without words) and its sketch."""
-    out: list[tuple[np.ndarray, np.ndarray]] = []
+def parities(hashes: np.ndarray, owner: np.ndarray, counts: np.ndarray, n: int) -> np.ndarray:
+    """For each text, whether the number of its shingles in a cell is odd, 64 cells in an integer."""
+    out = np.zeros(n * PARITY, np.uint64)
+    odd = counts & 1 == 1
+    cell = mix(hashes[odd]) % np.uint64(64 * PARITY)
+    np.bitwise_xor.at(out, owner[odd] * PARITY + (cell >> np.uint64(6)).astype(np.int64), np.uint64(1) << (cell & np.uint64(63)))
+    return out.view(np.int64).reshape(n, PARITY)
+
+
+def possible(x: str, y: str, threshold: float) -> F.Column:
+    """Whether sizes and parities leave room for an overlap of ``threshold``; exact, a link always passes.
+
+    With d shingles that only one of the texts has and s in both together the overlap is
+    (s - d) / (s + d), and d is at least the number of cells that differ in parity.
+    """
+    differ = F.lit(0)
+    for i in range(PARITY):
+        differ = differ + F.bit_count(F.col(f"parity{i}_{x}").bitwiseXOR(F.col(f"parity{i}_{y}")))
+    total_x, total_y = F.col(f"total_{x}"), F.col(f"total_{y}")
+    room = (total_x + total_y) * ((1 - threshold) / (1 + threshold)) + 1e-6
+    return (F.abs(total_x - total_y) <= room) & (differ <= room)
+
+
+def band_keys(texts: list[str], bands: int = BANDS, rows: int = ROWS) -> list[tuple[np.ndarray, np.ndarray, np.ndarray, np.int64]]:
+    """The band keys of each text (none for a text without words), its sketch, parities and number of shingles."""
+    out: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.int64]] = []
     a = 0
     while a < len(texts):
         b, size = a, 0
@@ -129,7 +159,8 @@ def band_keys(texts: list[str], bands: int = BANDS, rows: int = ROWS) -> list[tu
             keys = mix(keys * np.uint64(31) + signatures[:, i::rows] + np.uint64(i))
         keys = mix(keys + np.arange(bands, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)).view(np.int64)
         has = np.bincount(owner, minlength=b - a) > 0
-        out += [(k if h else k[:0], x) for k, h, x in zip(keys, has, sketches(signatures))]
+        total = np.bincount(owner, counts, b - a).astype(np.int64)
+        out += [(k if h else k[:0], x, y, t) for k, h, x, y, t in zip(keys, has, sketches(signatures), parities(hashes, owner, counts, b - a), total)]
         a = b
     return out
 
@@ -150,11 +181,11 @@ def _signed(docs: DataFrame, id_col: str, text_col: str, bands: int, rows: int)
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             found = band_keys(batch["text"].tolist(), bands, rows)
-            yield pd.DataFrame({"id": batch["id"], "digest": batch["digest"], "keys": [k for k, _ in found], "sketch": [x for _, x in found]})
+            yield pd.DataFrame({"id": batch["id"], "digest": batch["digest"]} | {name: [x[i] for x in found] for i, name in enumerate(TRAITS)})
 
     text = F.coalesce(exact_col(text_col), F.lit(""))
     source = docs.select(exact_col(id_col).cast("string").alias("id"), word_digest(text).alias("digest"), text.alias("text"))
-    return source.mapInPandas(run, "id string, digest binary, keys array<long>, sketch array<long>").withColumn("id", F.col("id").cast(docs.schema[id_col].dataType))
+    return source.mapInPandas(run, "id string, digest binary, keys array<long>, sketch array<long>, parity array<long>, total long").withColumn("id", F.col("id").cast(docs.schema[id_col].dataType))
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
@@ -213,7 +244,7 @@ def components(edges: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """One row per document: doc_id, class_id (least id of its class), n_docs and n_texts of the class."""
     signed = written(_signed(docs, id_col, text_col, bands, rows), "signatures")
-    reps = written(signed.groupBy("digest").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("copies"), F.first("keys").alias("keys"), F.first("sketch").alias("sketch")), "texts")
+    reps = written(signed.groupBy("digest").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("copies"), *(F.first(c).alias(c) for c in TRAITS)), "texts")
     keyed = reps.select("digest", F.explode("keys").alias("key"))
     members = written(keyed.join(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "key"), "buckets")
     mates = written(members.groupBy("digest").agg(F.sum("n").alias("mates")), "mates")
@@ -228,9 +259,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     labels = written(components(edge(checked)), "labels")
     labelled = members.select("key", "digest").join(labels.withColumnRenamed("node", "digest"), "digest", "left").withColumn("label", F.coalesce("label", "digest"))
     mixed = labelled.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").select("key")
-    active = written(labelled.join(mixed, "key", "left_semi").join(reps.select("digest", "sketch", "keys"), "digest"), "active")
-    x, y = (active.select("key", *(F.col(c).alias(f"{c}_{side}") for c in ("digest", "label", "sketch", "keys"))) for side in "xy")
-    close = x.join(y, (x["key"] == y["key"]) & (F.col("digest_x") < F.col("digest_y")) & (F.col("label_x") != F.col("label_y")) & alike("sketch_x", "sketch_y", bands * rows, threshold) & (F.array_intersect("keys_x", "keys_y")[0] == x["key"]))  # in its first common bucket only
+    words = [(c, i) for c, n in (("sketch", -(-bands * rows // 32)), ("parity", PARITY)) for i in range(n)]
+    plain = [F.col(c)[i].alias(f"{c}{i}") for c, i in words]  # columns instead of arrays keep the join's code small enough to be compiled
+    active = written(labelled.join(mixed, "key", "left_semi").join(reps.select("digest", "keys", "total", *plain), "digest"), "active")
+    x, y = (active.select("key", *(F.col(c).alias(f"{c}_{side}") for c in ("digest", "label", "keys", "total", *(f"{c}{i}" for c, i in words)))) for side in "xy")
+    apart = (x["key"] == y["key"]) & (F.col("digest_x") < F.col("digest_y")) & (F.col("label_x") != F.col("label_y"))
+    first = F.array_intersect("keys_x", "keys_y")[0] == x["key"]  # a pair is formed in its first common bucket only
+    close = x.join(y, apart & alike("x", "y", bands * rows, threshold) & possible("x", "y", threshold) & first)
     left = written(close.select(F.col("digest_x").alias("a"), F.col("digest_y").alias("b")), "pairs")
     labels = written(components(edge(_verified(left, texts, threshold)).unionByName(labels.select(F.col("node").alias("u"), F.col("label").alias("v")))), "labels")
     classed = reps.select("digest", "id", "copies").join(labels.withColumnRenamed("node", "digest"), "digest", "left").withColumn("label", F.coalesce("label", "digest"))

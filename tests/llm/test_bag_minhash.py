@@ -5,7 +5,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from symgraph.llm import bag_minhash
-from symgraph.llm.bag_minhash import bag_signatures, band_keys, components, near_duplicates, overlap
+from symgraph.llm.bag_minhash import PARITY, bag_signatures, band_keys, components, near_duplicates, overlap, possible
 from symgraph.llm.wordhash import multiset, shingles, words
 
 
@@ -98,6 +98,19 @@ def test_no_link_is_lost_when_the_hub_is_a_stranger(spark):
     assert sorted(((r.doc_id, r.class_id, r.n_docs) for r in got), key=str) == brute(docs)
 
 
+def test_parities_pass_every_link_and_stop_most_others(spark):
+    rng = np.random.default_rng(7)
+    texts = [*variants(rng, 6), "a a a a a a a a", "a " * 3000, "a " * 2500, "one", ""]
+    bags = [shingle_bag(t) for t in texts]
+    traits = [(i, int(t), *p.tolist()) for i, (_, _, p, t) in enumerate(band_keys(texts))]
+    x, y = (spark.createDataFrame(traits, f"{c} int, total_{c} long, " + ", ".join(f"parity{i}_{c} long" for i in range(PARITY))) for c in "xy")
+    passed = {(r.x, r.y) for r in x.join(y, F.col("x") < F.col("y")).filter(possible("x", "y", 0.8)).collect()}
+    pairs = [(i, j) for j in range(len(texts)) for i in range(j) if bags[i] and bags[j]]
+    share = {(i, j): sum((bags[i] & bags[j]).values()) / sum((bags[i] | bags[j]).values()) for i, j in pairs}
+    assert {p for p in pairs if share[p] >= 0.8} <= passed
+    assert sum(share[p] < 0.7 for p in passed if p in share) <= 0.02 * len(pairs)
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 200), (200, 150), (7, 7), (300, 300)]
     rows = components(spark.createDataFrame(edges, "u long, v long")).collect()
