@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from .functions import text
 from .operators import pattern, security, store, traverse
 from .plans import fixtures
-from .sources import code
+from .sources import code, spectree
 from .sources import testgraph as g
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -360,6 +360,26 @@ def markdown_sections(spark, d):
     return code.markdown_sections(fixtures.project(spark).filter(F.col("path").endswith(".md")))
 
 
+@query("SELECT * FROM (VALUES (4, 'Session', 'It keeps a session.'), (11, 'Bare', '')) t(line, name, text)")
+def spec_requirements(spark, d):
+    return spectree.requirements(spectree.specs(fixtures.spec_tree(spark))).drop("path")
+
+
+@query("SELECT * FROM (VALUES (4, 6, 'Known', 'a user', 'they enter | wait', 'they are in')) t(req_line, line, name, given, when_clause, then_clause)")
+def spec_scenarios(spark, d):
+    return spectree.scenarios(spectree.specs(fixtures.spec_tree(spark))).drop("path")
+
+
+@query("""SELECT * FROM (VALUES (1, '', '', 'loose', false), (3, 'Build', '1.1', 'Write it', true), (4, 'Build', '', 'test it', true)) t(line, "group", num, text, checked)""")
+def spec_tasks(spark, d):
+    return spectree.tasks(spectree.change_tasks(fixtures.spec_tree(spark))).drop("path")
+
+
+@query("SELECT * FROM (VALUES (2, 'ADDED', 'CHANGE_ADDS_REQUIREMENT', 'New', 'Must be new.'), (6, 'RENAMED', 'CHANGE_MODIFIES_REQUIREMENT', 'Newer', '(renamed from: Old)')) t(line, delta_type, rel, requirement, text)")
+def spec_deltas(spark, d):
+    return spectree.deltas(spectree.change_specs(fixtures.spec_tree(spark))).drop("path")
+
+
 @query("""SELECT * FROM (VALUES ('code:newproj:main', 'newproj', 'main'), ('code:newproj:feat/x:y', 'newproj', 'feat/x:y'), ('legacy_proj', 'legacy_proj', '_default')) t(name, project, branch)""")
 def list_repos(spark, d):
     names = spark.createDataFrame([(x,) for x in ("legacy_proj", "code:newproj:main", "code:newproj:feat/x:y", "code:newproj:main_git", "code:newproj:main_schema")], "name string")

@@ -29,6 +29,13 @@ PROJECT = [
     ("README.md", "# Title\n## Use\n- first\n* second\n### GET /items list\n- must page\ntext\n## Last\n"),
     ("broken.py", "def ("),
 ]
+#: path, text of a spec tree.
+SPECS = [
+    ("p/openspec/specs/login/spec.md", "## Purpose\nUsers log in.\n## Requirements\n### Requirement: Session\nIt keeps a session.\n#### Scenario: Known\n- **GIVEN** a user\n- **WHEN** they enter\n- **AND** wait\n- **THEN** they are in\n### Requirement: Bare\n"),
+    ("p/openspec/changes/c1/tasks.md", "- [ ] loose\n## Build\n- [x] 1.1 Write it\n- [X] test it\n"),
+    ("p/openspec/changes/c1/specs/login/spec.md", "## ADDED Requirements\n### Requirement: New\nMust be new.\n## RENAMED Requirements\n- FROM: `### Requirement: Old`\n- TO: `### Requirement: Newer`\n"),
+    ("p/openspec/changes/archive/tasks.md", "- [ ] done with\n"),
+]
 COMMITS = [("a.py", 1, "added"), ("a.py", 2, "modified"), ("b.py", 3, "added"), ("c.py", 3, "added"), ("b.py", 4, "deleted")]
 LCOV = ["TN:\nSF:src/a.py\nDA:1,1\nDA:2,0\nDA:4,3\nDA:9,null\nLF:4\nLH:2", "SF:src/b.py\nDA:1,1\nDA:2,5\nLF:2\nLH:2", "\n"]
 FUNCTIONS = [(1, "src/a.py", 1, 3), (2, "src/a.py", 4, 4), (3, "src/b.py", 1, 9), (4, "src/none.py", 1, 2)]
@@ -42,6 +49,10 @@ def project(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(PROJECT, "path string, text string")
 
 
+def spec_tree(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(SPECS, "path string, text string")
+
+
 def _quoted(value) -> str:
     return "NULL" if value is None else str(value) if isinstance(value, int) else "'" + str(value).replace("'", "''") + "'"
 
