@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from .common import table
 from .ordered import id_ranges
 
-GRAM, WINDOW = 32, 64
+GRAM, WINDOW = 10, 12
 #: Code points that are worked on at a time, and those of one piece of a longer text (below 2^24).
 CHUNK, PIECE = 500_000, 2_000_000
 _LOW = np.uint64((1 << 24) - 1)

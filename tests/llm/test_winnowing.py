@@ -48,6 +48,15 @@ def test_match_guarantee():
         assert len(np.intersect1d(a[0], b[0])) >= 1
 
 
+def test_short_texts_share_their_half_with_the_edited_copy():
+    rng = np.random.default_rng(3)
+    make = lambda n: "".join(rng.choice(list("abcdefghij "), n))
+    for n in range(42, 190):
+        text = make(n)
+        a, b = (np.unique(x[0]) for x in fingerprints([text, edited(text, make(300))]))
+        assert likeness(a, b) > 0, n
+
+
 def test_edge_cases(spark):
     df = spark.createDataFrame([(*d, "clash", 1) for d in DOCS], "doc_id long, text string, part string, tie int")
     rows = fingerprint_edits(df).collect()
