@@ -9,6 +9,7 @@ run side by side in slots; each one's state starts at zero and is carried over a
 
 from __future__ import annotations
 
+import copy
 import heapq
 
 import numpy as np
@@ -98,7 +99,7 @@ class GatedLM:
             states.append(h)
         out, dh_all = self.outputs(np.concatenate(states), y.T.ravel(), grads)
         dh_all = dh_all.reshape(x.shape[1], len(h), n)
-        dh = np.zeros_like(h)
+        dh, moved = np.zeros_like(h), []
         for t in reversed(range(x.shape[1])):
             before, x_t, z, r, c, u = kept[t]
             dh = dh + dh_all[t]
@@ -107,40 +108,74 @@ class GatedLM:
             dr = dc * u * r * (1 - r)
             da = np.concatenate([dz, dr, dc], 1)
             du = np.concatenate([dz, dr, dc * r], 1)
-            np.add.at(grads["E"], x_t, da)
+            moved.append(da)
             grads["b"] += da.sum(axis=0)
             grads["U"] += before.T @ du
             dh = (dh * z + du @ self.p["U"].T) * (1 - fresh[:, t : t + 1])
+        tokens = x[:, ::-1].T.ravel()
+        order = np.argsort(tokens, kind="stable")
+        rows, first = np.unique(tokens[order], return_index=True)
+        grads["E"][rows] += np.add.reduceat(np.concatenate(moved)[order], first)
         return float(out.sum()), h
 
-    def train(self, docs: list[np.ndarray], epochs: int = 1, rate: float = 0.01, streams: int = STREAMS, steps: int = STEPS) -> None:
-        """Adam over the documents, laid end to end in ``streams`` streams of equal length."""
+    def train(self, docs: list[np.ndarray], epochs: int = 1, rate: float = 0.01, streams: int = STREAMS, steps: int = STEPS, falling: bool = True, adam: dict | None = None) -> None:
+        """Adam over the documents, laid end to end in ``streams`` streams of equal length (the first ones a token longer).
+
+        The embeddings and moments of tokens that a window does not read are left as they are.
+        ``adam`` carries the moments from call to call; with ``falling`` the rate falls over the call.
+        """
         if not docs:
             return
         y = np.concatenate(docs)
         streams = max(1, min(streams, len(y) // steps))
-        length = len(y) // streams
+        length, longer = divmod(len(y), streams)
         x = np.concatenate([[0], y[:-1]])
-        y, x = y[: length * streams].reshape(streams, length), x[: length * streams].reshape(streams, length)
-        moments = {k: (np.zeros_like(a), np.zeros_like(a)) for k, a in self.p.items()}
-        windows = -(-length // steps)
-        total, done = epochs * windows, 0
+        starts = np.arange(streams) * length + np.minimum(np.arange(streams), longer)
+        adam = {} if adam is None else adam
+        if not adam:
+            adam.update(done=0, moments={k: (np.zeros_like(a), np.zeros_like(a)) for k, a in self.p.items()}, grads={k: np.zeros_like(a) for k, a in self.p.items()})
+        parts = [(a, min(a + steps, length), streams) for a in range(0, length, steps)] + [(length, length + 1, longer)] * (longer > 0)
+        total, here = epochs * len(parts), 0
         for _ in range(epochs):
             h = np.zeros((streams, self.h), self.p["U"].dtype)
-            for a in range(0, length, steps):
-                part = slice(a, a + steps)
-                grads = {k: np.zeros_like(v) for k, v in self.p.items()}
-                fresh = (x[:, part] == 0).astype(h.dtype)
-                _, h = self.window(h, x[:, part], y[:, part], fresh, grads)
-                done += 1
-                scale = 1 / y[:, part].size
-                lr = rate * (1 - 0.9 * done / total)
-                for k, g in grads.items():
-                    m, v = moments[k]
-                    g = np.clip(g * scale, -1, 1)
-                    m += 0.1 * (g - m)
-                    v += 0.01 * (g * g - v)
-                    self.p[k] -= lr * (m / (1 - 0.9**done)) / (np.sqrt(v / (1 - 0.99**done)) + 1e-8)
+            for a, b, n in parts:
+                at = starts[:n, None] + np.arange(a, b)
+                x_now = x[at]
+                _, h = self.window(h[:n], x_now, y[at], (x_now == 0).astype(h.dtype), adam["grads"])
+                here += 1
+                self._descend(adam, np.unique(x_now), 1 / (at.size if a < length else streams * steps), rate * (1 - 0.9 * here / total if falling else 1))
+
+    def _descend(self, adam: dict, read: np.ndarray, scale: float, rate: float) -> None:
+        """One step of Adam by the gradients in ``adam``, which are zeros again afterwards."""
+        adam["done"] += 1
+        fix_m, fix_v = 1 - 0.9 ** adam["done"], 1 - 0.99 ** adam["done"]
+        for k, whole in adam["grads"].items():
+            at = read if k == "E" else slice(None)
+            m, v = (a[at] for a in adam["moments"][k])
+            g = np.clip(whole[at] * scale, -1, 1)
+            whole[at] = 0
+            m += 0.1 * (g - m)
+            v += 0.01 * (g * g - v)
+            self.p[k][at] -= (rate / fix_m) * m / (np.sqrt(v / fix_v) + 1e-8)
+            if k == "E":
+                adam["moments"][k][0][at], adam["moments"][k][1][at] = m, v
+
+    def copy(self) -> GatedLM:
+        """The same model with weights of its own."""
+        out = copy.copy(self)
+        out.p = {k: a.copy() for k, a in self.p.items()}
+        return out
+
+    def weights(self) -> np.ndarray:
+        """All weights in one row."""
+        return np.concatenate([a.ravel() for a in self.p.values()])
+
+    def put(self, row: np.ndarray) -> None:
+        """The reverse of ``weights``."""
+        at = 0
+        for k, a in self.p.items():
+            self.p[k] = row[at : at + a.size].reshape(a.shape).astype(a.dtype)
+            at += a.size
 
     def log_likelihood(self, docs: list[np.ndarray], slots: int = SLOTS, steps: int = 64) -> np.ndarray:
         """ln P of each whole document (an array of tokens that ends with token 0)."""

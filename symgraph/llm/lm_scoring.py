@@ -2,11 +2,15 @@
 
 Three passes.  (1) Count every token of every training document; the counts are a table of their
 own, grouped with partial aggregation, and never leave the cluster whole.  (2) Train the model
-(:mod:`gated_lm`) on the driver on at most ``SAMPLE`` training documents, over the ``VOCABULARY``
-most frequent tokens; all other words fall into groups by their first and last letter, and a group's
-probability is shared out by count.  (3) Score every document.  The counts of the ``KNOWN`` most
-frequent words (a bound, whatever the corpus) go to the tasks; all rarer words of all documents are
-joined with the count table, and the sums come back to their documents.
+(:mod:`gated_lm`) on every training document, each once: the documents are dealt to ``ROUNDS`` rounds
+by their ids' hashes; in a round each partition trains a copy of the model on its documents, and the
+copies are averaged, weighted by their tokens, slice by slice of their weights.  The first round starts
+from a model that the driver fitted on ``SAMPLE`` documents.  ``PER_ROOT`` times the square root of the
+number of distinct words (``VOCABULARY`` at least) have tokens of their own, the most frequent first;
+all other words fall into groups by their first and last two letters, one for ``PER_GROUP`` such words
+(``GROUPS`` at least), and a group's probability is shared out by count.  (3) Score every document.
+The counts of the ``KNOWN`` most frequent words (more only if the model has more) go to the tasks; all
+rarer words of all documents are joined with the count table, and the sums come back to their documents.
 
 Tokens: bytes A-Z in lower case, runs without ``[\\x20\\x09-\\x0D]``, then one end token.
 
@@ -31,6 +35,9 @@ from .common import crc_bucket, exact_col, session_conf, table, written
 from .gated_lm import GatedLM
 
 VOCABULARY, GROUPS, KNOWN, SAMPLE = 2000, 32, 100_000, 1500
+PER_ROOT, PER_GROUP = 4, 16
+#: Rounds of training, their rates, parallel streams of a copy, tokens that it reads at a time, and weights in a slice.
+ROUNDS, RATES, STREAMS, READ, SLICE = 2, (0.004, 0.001), 512, 600_000, 8192
 #: The end token in the count table; it cannot be a word.
 END = "\n"
 #: Words that one task counts before it hands its counts on, and tokens that are scored at a time.
@@ -42,12 +49,12 @@ def tokens(text: str) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").lower().split()
 
 
-def group_of(word: str) -> int:
-    return zlib.crc32((word[0] + word[-1]).encode("utf-8", "surrogatepass")) % GROUPS
+def group_of(word: str, groups: int = GROUPS) -> int:
+    return zlib.crc32((word[0] + word[-2:]).encode("utf-8", "surrogatepass")) % groups
 
 
-def _group_column() -> F.Column:
-    return F.when(F.col("word") != END, F.crc32(F.concat(F.left("word", F.lit(1)), F.right("word", F.lit(1))).cast("binary")) % GROUPS).cast("int")
+def _group_column(groups: int) -> F.Column:
+    return F.when(F.col("word") != END, F.crc32(F.concat(F.left("word", F.lit(1)), F.right("word", F.lit(2))).cast("binary")) % groups).cast("int")
 
 
 def count_tokens(texts: DataFrame) -> DataFrame:
@@ -73,11 +80,12 @@ def count_tokens(texts: DataFrame) -> DataFrame:
 
 
 class Scorer:
-    """What the tasks need: bounded by VOCABULARY, KNOWN and GROUPS, not by the corpus."""
+    """What the tasks need: it grows with the square root of the number of distinct words."""
 
     def __init__(self, words: list[str], counts: np.ndarray, in_model: int, group_totals: np.ndarray, total: int, distinct: int):
+        self.groups = len(group_totals)
         self.total, self.base = total, float(np.log10(total + 0.5 * (distinct + 1)))
-        self.known = {w.encode("utf-8", "surrogatepass"): (i + 1 if i < in_model else 1 + in_model + group_of(w), float(np.log10(c + 0.5)), i >= in_model) for i, (w, c) in enumerate(zip(words, counts))}
+        self.known = {w.encode("utf-8", "surrogatepass"): (i + 1 if i < in_model else 1 + in_model + group_of(w, self.groups), float(np.log10(c + 0.5)), i >= in_model) for i, (w, c) in enumerate(zip(words, counts))}
         self.first_group = 1 + in_model
         #: log10 of what a group's probability is divided by
         self.group = np.log10(group_totals[:, 0] + 0.5 * (group_totals[:, 1] + 1))
@@ -97,30 +105,76 @@ class Scorer:
                     rare_logs += found[1]
             else:
                 word = w.decode("utf-8", "surrogatepass")
-                ids.append(self.first_group + group_of(word))
+                ids.append(self.first_group + group_of(word, self.groups))
                 rest.append(word)
         ids.append(0)
         return np.array(ids, np.int64), logs, rare_logs, n_known, rest
 
 
-def learn(counts: DataFrame, sample: DataFrame, vocabulary: int = VOCABULARY, known: int = KNOWN) -> Scorer:
-    """Counts (a table) and a bounded sample of texts -> the trained scorer."""
+def learn(counts: DataFrame, sample: DataFrame, train: DataFrame, vocabulary: int = VOCABULARY, known: int = KNOWN) -> Scorer:
+    """Counts (a table), a bounded sample of texts to start from, and all texts (id, text) -> the trained scorer."""
     words = counts.filter(F.col("word") != END)
     total, distinct, end_count = counts.agg(F.sum("c"), F.count(F.lit(1)), F.sum(F.when(F.col("word") == END, F.col("c")))).first()
-    top = words.orderBy(F.desc("c"), "word").limit(known).toPandas()
+    vocabulary = max(vocabulary, int(PER_ROOT * (distinct or 0) ** 0.5))
+    groups = max(GROUPS, vocabulary // PER_GROUP)
+    top = words.orderBy(F.desc("c"), "word").limit(max(known, vocabulary)).toPandas()
     in_model = min(vocabulary, len(top))
-    rare = words.groupBy(_group_column().alias("g")).agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("v")).toPandas()  # GROUPS rows
-    totals = np.zeros((GROUPS, 2))
+    rare = words.groupBy(_group_column(groups).alias("g")).agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("v")).toPandas()  # one row a group
+    totals = np.zeros((groups, 2))
     totals[rare["g"].to_numpy(int)] = rare[["n", "v"]].to_numpy(float)
     for w, c in zip(top["word"][:in_model], top["c"][:in_model]):
-        totals[group_of(w)] -= (c, 1)
+        totals[group_of(w, groups)] -= (c, 1)
     scorer = Scorer(top["word"].tolist(), top["c"].to_numpy(float), in_model, totals, int(total or 0), int(distinct or 0))
     scorer.end_count = int(end_count or 0)
     scorer.model = GatedLM(np.concatenate([[scorer.end_count], top["c"].to_numpy(float)[:in_model], totals[:, 0]]))
     scorer.model.train([scorer.numbers(tokens(t))[0] for t in sample.toPandas()["text"]], epochs=2)
+    for r in range(ROUNDS):
+        mine = train.filter(F.pmod(F.xxhash64("id", F.lit("round")), F.lit(ROUNDS)) == r).select("text")
+        train_round(mine, scorer, RATES[r])
     return scorer
 
 
+def train_round(texts: DataFrame, scorer: Scorer, rate: float) -> int:
+    """Train a copy of the model on each partition of ``texts``, average the copies; gives the number of tokens read."""
+    shared = texts.sparkSession.sparkContext.broadcast(scorer)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        own, adam, docs, size, read = shared.value, {}, [], 0, 0
+        model = own.model.copy()
+
+        def learned() -> int:
+            model.train(docs, rate=rate, streams=STREAMS, falling=False, adam=adam)
+            docs.clear()
+            return size
+
+        for batch in batches:
+            for text in batch["text"]:
+                docs.append(own.numbers(tokens(text))[0])
+                size += len(docs[-1])
+                if size >= READ:
+                    read, size = read + learned(), 0
+        read += learned()
+        if read:
+            row = model.weights().astype(np.float32)
+            for a in range(0, len(row), SLICE * 64):
+                cuts = range(a, min(a + SLICE * 64, len(row)), SLICE)
+                yield pd.DataFrame({"slice": [c // SLICE for c in cuts], "read": read, "weights": [row[c : c + SLICE].tobytes() for c in cuts]})
+
+    def mean(group: pd.DataFrame) -> pd.DataFrame:
+        total = sum(n * np.frombuffer(w, np.float32).astype(float) for n, w in zip(group["read"], group["weights"]))
+        n = int(group["read"].sum())
+        return pd.DataFrame({"slice": [group["slice"].iloc[0]], "read": [n], "weights": [(total / n).astype(np.float32).tobytes()]})
+
+    shape = "slice int, read long, weights binary"
+    with session_conf(texts.sparkSession, {"spark.sql.execution.arrow.maxRecordsPerBatch": "2000"}):
+        found = texts.mapInPandas(run, shape).groupBy("slice").applyInPandas(mean, shape).toPandas().sort_values("slice")  # one model
+    shared.unpersist()
+    if not len(found):
+        return 0
+    scorer.model.put(np.frombuffer(b"".join(found["weights"]), np.float32))
+    return int(found["read"].iloc[0])
+
+
 def score_documents(docs: DataFrame, scorer: Scorer, counts: DataFrame) -> DataFrame:
     """docs: id, text, held_out -> id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     shared = docs.sparkSession.sparkContext.broadcast(scorer)
@@ -169,4 +223,4 @@ def op6_gated_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = written(count_tokens(train.select("text")), "lm-counts")
     chosen = train.select("id").distinct().orderBy(F.xxhash64("id"), "id").limit(SAMPLE)  # bounded by the parameter
     sample = train.join(F.broadcast(chosen), "id").orderBy(F.xxhash64("id"), "id").select("text").limit(SAMPLE)
-    return score_documents(docs, learn(counts, sample), counts).withColumnRenamed("id", "doc_id")
+    return score_documents(docs, learn(counts, sample, train), counts).withColumnRenamed("id", "doc_id")

@@ -4,7 +4,9 @@ import zlib
 from collections import Counter
 
 import numpy as np
+from pyspark.sql import functions as F
 
+from symgraph.llm import lm_scoring
 from symgraph.llm.gated_lm import GatedLM
 from symgraph.llm.lm_scoring import op6_gated_lm
 
@@ -65,6 +67,34 @@ def test_training_learns_what_follows_what():
     assert model.log_likelihood(docs[:1])[0] > before * 0.3
 
 
+def test_training_reads_every_token(monkeypatch):
+    model, read = random_model(), []
+    monkeypatch.setattr(model, "window", lambda h, x, y, fresh, grads, f=model.window: (read.append((x, y)), f(h, x, y, fresh, grads))[1])
+    doc = np.append(np.random.default_rng(4).integers(1, 11, 1006), 0)
+    model.train([doc], streams=9)
+    pairs = Counter((a, b) for x, y in read for a, b in zip(x.ravel().tolist(), y.ravel().tolist()))
+    assert pairs == Counter(zip([0, *doc[:-1].tolist()], doc.tolist()))
+
+
+def test_training_uses_all_documents_beyond_the_sample(spark, tmp_path, monkeypatch):
+    path, read = f"file://{tmp_path}", []
+    docs = [(i, "a b " * (i % 5) + f"w{i}") for i in range(3000)]
+    spark.createDataFrame(docs, "doc_id long, text string").repartition(3).write.parquet(f"{path}/documents.parquet")
+    monkeypatch.setattr(lm_scoring, "train_round", lambda *a, f=lm_scoring.train_round: read.append(f(*a)))
+    rows = op6_gated_lm(spark, path).collect()
+    assert sum(read) == rows[0].train_tokens == sum(r.n_tokens for r in rows if not r.held_out)
+
+
+def test_vocabulary_and_groups_grow_with_the_counted_words(spark):
+    sizes = []
+    for n in (300_000, 1_200_000):
+        counts = spark.range(n).select(F.concat(F.lit("w"), F.col("id")).alias("word"), F.lit(1).cast("long").alias("c"))
+        none = spark.createDataFrame([], "id long, text string")
+        scorer = lm_scoring.learn(counts, none.select("text"), none)
+        sizes.append((scorer.first_group - 1, scorer.groups))
+    assert sizes == [(2190, 136), (4381, 273)]
+
+
 def brute(docs):
     split = {i: [*(w for w in re.split(r"[\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or "")) if w), "\n"] for i, t in docs}
     c = Counter(w for i, ws in split.items() if zlib.crc32(str(i).encode()) % 5 != 1 for w in ws)
