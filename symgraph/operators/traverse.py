@@ -6,12 +6,16 @@ folder, which cuts the lineage.  A start node is not marked as visited, so a cyc
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..shared import written
 
 UNROLLED = 3
+#: So many levels are united in a plan before what was seen is written as one table.
+REWRITTEN = 16
 
 
 def _steps(edges: DataFrame, direction: str) -> DataFrame:
@@ -35,16 +39,19 @@ def impact(edges: DataFrame, starts: list[int], direction: str = "IN", depth: in
     return seen
 
 
-def closure(edges: DataFrame, roots: DataFrame, max_depth: int = 100) -> DataFrame:
-    """All (root, id, depth) reachable from the ids in ``roots``, each once with its least depth."""
+def closure(edges: DataFrame, roots: DataFrame, max_depth: int | None = None) -> DataFrame:
+    """All (root, id, depth) reachable from the ids in ``roots``, each once with its least depth.
+
+    Ends when a level is empty, on cycles too, or after ``max_depth`` levels where that is given.
+    """
     steps = written(edges.select("src", "dst"), "steps")
     level = roots.select(F.col("id").alias("root"), "id").withColumn("depth", F.lit(0))
     seen = level
-    for d in range(1, max_depth + 1):
+    for d in count(1) if max_depth is None else range(1, max_depth + 1):
         level = written(steps.join(level, steps["src"] == level["id"]).select("root", F.col("dst").alias("id")).distinct().join(seen, ["root", "id"], "left_anti").withColumn("depth", F.lit(d)), "closure")
         if level.isEmpty():
             break
-        seen = seen.unionByName(level)
+        seen = seen.unionByName(level) if d % REWRITTEN else written(seen.unionByName(level), "seen")
     return seen
 
 

@@ -32,6 +32,17 @@ def test_cycle_returns_its_start_once(spark):
         assert sorted(r.id for r in traverse.impact(edges, [1], "IN", depth).collect()) == [1, 2, 3]
 
 
+def test_cascade_deletes_below_a_hundred_levels(spark):
+    n = 104
+    nodes = spark.range(n + 1)
+    edges = spark.createDataFrame([(i, i + 1, "DEFINES") for i in range(n - 1)], "src long, dst long, rel string").coalesce(1)
+    left, kept = store.cascade_delete(nodes, edges, nodes.filter("id = 0"))
+    assert [r.id for r in left.collect()] == [n] and kept.count() == 0
+    again = edges.unionByName(spark.createDataFrame([(2, 0, "DEFINES")], edges.schema)).filter("src < 3")
+    assert traverse.closure(again, nodes.filter("id = 0")).count() == 4
+    assert traverse.closure(edges, nodes.filter("id = 0"), 2).count() == 3
+
+
 def test_upsert_merges_properties(spark):
     old = spark.createDataFrame([("a", "doc", {"x": "1", "y": "2"}), ("b", None, None)], "name string, doc string, props map<string,string>")
     new = spark.createDataFrame([("a", None, {"y": "3"}), ("c", "new", {})], "name string, doc string, props map<string,string>")
