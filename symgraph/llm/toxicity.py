@@ -15,6 +15,8 @@ share of toxic labels, 0 without any; an empty table gives an empty result; othe
 
 from __future__ import annotations
 
+import functools
+import logging
 import re
 from collections.abc import Iterator
 
@@ -32,7 +34,7 @@ SAMPLE = 20_000
 FEATURES, KEPT, LEAST_ROWS = 1 << 20, 3000, 3
 FAIRNESS = 1.0
 CHUNK = 500_000
-#: Identity terms that are swapped for each other (fixed values).
+#: Identity terms that are swapped for each other: English, French, German and Spanish ones, each in one group only.
 IDENTITY = (
     ("muslim", "christian", "jewish", "hindu", "buddhist", "atheist"),
     ("muslims", "christians", "jews", "hindus", "buddhists", "atheists"),
@@ -45,18 +47,57 @@ IDENTITY = (
     ("immigrants", "refugees", "citizens"),
     ("disabled", "deaf", "blind"),
     ("old", "young"),
+    ("musulman", "chrétien", "juif", "hindou", "bouddhiste", "athée"),
+    ("musulmans", "chrétiens", "juifs", "hindous", "bouddhistes", "athées"),
+    ("musulmane", "chrétienne", "juive"),
+    ("noir", "blanc", "asiatique", "africain", "européen"),
+    ("homosexuel", "bisexuel", "transgenre", "hétérosexuel"),
+    ("femme", "homme"),
+    ("femmes", "hommes"),
+    ("fille", "garçon"),
+    ("immigré", "réfugié", "citoyen"),
+    ("immigrés", "réfugiés", "citoyens"),
+    ("handicapé", "sourd", "aveugle"),
+    ("vieux", "jeune"),
+    ("muslimisch", "christlich", "jüdisch", "hinduistisch", "buddhistisch", "atheistisch"),
+    ("muslime", "christen", "juden", "buddhisten", "atheisten"),
+    ("schwarze", "weiße", "asiatische", "afrikanische", "europäische"),
+    ("schwul", "lesbisch", "bisexuell", "heterosexuell"),
+    ("frau", "mann"),
+    ("frauen", "männer"),
+    ("mädchen", "junge"),
+    ("einwanderer", "flüchtling", "bürger"),
+    ("behinderte", "gehörlose", "blinde"),
+    ("alten", "jungen"),
+    ("musulmán", "cristiano", "judío", "hindú", "budista", "ateo"),
+    ("musulmanes", "cristianos", "judíos", "hindúes", "budistas", "ateos"),
+    ("negro", "blanco", "asiático", "africano", "europeo"),
+    ("homosexual", "lesbiana", "transgénero", "heterosexual"),
+    ("mujer", "hombre"),
+    ("mujeres", "hombres"),
+    ("niña", "niño"),
+    ("inmigrante", "refugiado", "ciudadano"),
+    ("inmigrantes", "refugiados", "ciudadanos"),
+    ("discapacitado", "sordo", "ciego"),
+    ("viejo", "joven"),
 )
-_GROUP = {term: group for group in IDENTITY for term in group}
-_TERMS = re.compile(r"(?<!\w)(" + "|".join(sorted(_GROUP, key=len, reverse=True)) + r")(?!\w)")
+_LOG = logging.getLogger(__name__)
+Groups = tuple[tuple[str, ...], ...]
 
 
-def swaps(text: str) -> list[str]:
+@functools.lru_cache(maxsize=8)
+def _terms(identity: Groups) -> tuple[dict[str, tuple[str, ...]], re.Pattern]:
+    group = {term: group for group in identity for term in group}
+    return group, re.compile(r"(?<!\w)(" + "|".join(map(re.escape, sorted(group, key=len, reverse=True))) + r")(?!\w)" if group else r"(?!)")
+
+
+def swaps(text: str, identity: Groups = IDENTITY) -> list[str]:
     """The text with every identity term replaced by the next and by the next but one of its group."""
-    low = text.lower()
-    if not _TERMS.search(low):
+    low, (groups, terms) = text.lower(), _terms(identity)
+    if not terms.search(low):
         return []
-    turn = lambda k: lambda m: (g := _GROUP[m[1]])[(g.index(m[1]) + k) % len(g)]
-    return [t for t in dict.fromkeys(_TERMS.sub(turn(k), low) for k in (1, 2)) if t != low]
+    turn = lambda k: lambda m: (g := groups[m[1]])[(g.index(m[1]) + k) % len(g)]
+    return [t for t in dict.fromkeys(terms.sub(turn(k), low) for k in (1, 2)) if t != low]
 
 
 def features(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -92,14 +133,17 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, id_col: str,
     return docs.select(exact_col(id_col).alias("id"), F.coalesce(exact_col(text_col), F.lit("")).alias("text")).join(F.broadcast(chosen), "id").select("text", "y")
 
 
-def train(sample: DataFrame, fairness: float = FAIRNESS) -> tuple[np.ndarray, np.ndarray, float]:
-    """(feature numbers, weights, bias) from a bounded sample (text, y)."""
+def train(sample: DataFrame, fairness: float = FAIRNESS, identity: Groups = IDENTITY) -> tuple[np.ndarray, np.ndarray, float]:
+    """(feature numbers, weights, bias) from a bounded sample (text, y).
+
+    The number of swapped pairs is logged, as a warning if there are none: then nothing is penalised.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for a in range(0, len(batch), 200):
                 part = batch.iloc[a : a + 200]
-                other = [_sets(swaps(t)) for t in part["text"]]
+                other = [_sets(swaps(t, identity)) for t in part["text"]]
                 yield pd.DataFrame({"y": part["y"], "own": _sets(part["text"].tolist()), "swapped": other})
 
     with session_conf(sample.sparkSession, {"spark.sql.execution.arrow.maxRecordsPerBatch": "500"}):
@@ -119,6 +163,7 @@ def train(sample: DataFrame, fairness: float = FAIRNESS) -> tuple[np.ndarray, np
     found = rows.mapInPandas(keep, rows.schema).toPandas()  # informative features of a bounded sample only
     take = lambda sets: Rows([np.searchsorted(kept, np.asarray(s, np.int64)) for s in sets], len(kept))
     pairs = [(own, other) for own, others in zip(found["own"], found["swapped"]) for other in others]
+    _LOG.log(logging.INFO if pairs else logging.WARNING, "%d swapped pairs from %d labelled texts", len(pairs), total)
     weights, bias = fit(take(found["own"]), found["y"].to_numpy(float), swapped=(take([p[0] for p in pairs]), take([p[1] for p in pairs])), fairness=fairness)
     return kept, weights, bias
 
@@ -151,8 +196,9 @@ def score_column(model: tuple[np.ndarray, np.ndarray, float]):
     return run
 
 
-def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows: int = SAMPLE):
-    return score_column(train(labelled_sample(docs, labels, "toxic", id_col, text_col, rows)))
+def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows: int = SAMPLE, identity: Groups = IDENTITY):
+    """``identity``: groups of lower-case terms that are swapped for each other."""
+    return score_column(train(labelled_sample(docs, labels, "toxic", id_col, text_col, rows), identity=identity))
 
 
 def op4_counterfactual_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -46,6 +46,25 @@ def test_swaps():
     assert toxicity.swaps("nothing here") == []
 
 
+def test_swaps_in_other_languages_and_with_own_terms():
+    assert toxicity.swaps("Une femme.") == ["une homme."]
+    assert toxicity.swaps("Die Frauen") == ["die männer"]
+    assert toxicity.swaps("el refugiado") == ["el ciudadano", "el inmigrante"]
+    assert toxicity.swaps("kvinna, woman", (("kvinna", "man"),)) == ["man, woman"]
+    assert toxicity.swaps("woman", ()) == []
+    terms = [t for group in toxicity.IDENTITY for t in group]
+    assert len(terms) == len(set(terms))
+
+
+def test_number_of_swapped_pairs_is_logged(spark, caplog):
+    caplog.set_level("INFO", logger=toxicity.__name__)
+    rows = [(f"w{i % 2} {'une femme' if i < 10 else ''}", float(i % 2)) for i in range(40)]
+    sample = spark.createDataFrame(rows, "text string, y double")
+    toxicity.train(sample)
+    toxicity.train(sample, identity=())
+    assert [(r.levelname, r.getMessage()) for r in caplog.records if r.name == toxicity.__name__] == [("INFO", "10 swapped pairs from 40 labelled texts"), ("WARNING", "0 swapped pairs from 40 labelled texts")]
+
+
 def test_scores_look_at_sets_of_whole_texts(monkeypatch):
     kept, w = np.unique(toxicity.features(["bad worse idiots"])[0]), None
     w = np.arange(1, len(kept) + 1) / 3
