@@ -123,10 +123,20 @@ def html_tags(pages: DataFrame) -> DataFrame:
 
 
 def lcov(reports: DataFrame) -> DataFrame:
-    """reports: report (text of one record) -> file, found, hit, lines (array of line, hits)."""
+    """reports: report (text of one record) -> file, found, hit, lines (array of line, hits), then
+    test, the found and hit numbers of functions and branches (null if not given), functions (array of
+    line, name), calls (array of name, hits) and branches (array of line, block, branch, hits; ``-`` is 0).
+    """
     tag = lambda t: F.regexp_extract("report", rf"(?m)^{t}:(.*)$", 1)
     data = F.regexp_extract_all("report", F.lit(r"(?m)^DA:(\d+,\d+)"), F.lit(1))
+    number = lambda t: tag(t).try_cast("int").alias(t.lower())
+    parts = lambda t, pattern, make: F.transform(F.regexp_extract_all("report", F.lit(rf"(?m)^{t}:({pattern})\r?$"), F.lit(1)), make)
+    pick = lambda x, pattern, kind="int": F.regexp_extract(x, pattern, 1).try_cast(kind)
     return reports.filter(F.col("report").contains("SF:")).select(
         tag("SF").alias("file"), tag("LF").cast("int").alias("found"), tag("LH").cast("int").alias("hit"),
         F.transform(data, lambda d: F.struct(F.split(d, ",")[0].cast("int").alias("line"), F.split(d, ",")[1].cast("int").alias("hits"))).alias("lines"),
+        tag("TN").alias("test"), *map(number, ("FNF", "FNH", "BRF", "BRH")),
+        parts("FN", r"\d+,[^\r\n]*", lambda x: F.struct(pick(x, r"^(\d+)").alias("line"), pick(x, r"^\d+,(?:\d+,)?(.*)$", "string").alias("name"))).alias("functions"),
+        parts("FNDA", r"\d+,[^\r\n]*", lambda x: F.struct(pick(x, r"^\d+,(.*)$", "string").alias("name"), pick(x, r"^(\d+)").alias("hits"))).alias("calls"),
+        parts("BRDA", r"\d+,[^,\r\n]*,[^,\r\n]*,(?:\d+|-)", lambda x: F.struct(pick(x, r"^(\d+)").alias("line"), F.split(x, ",")[1].alias("block"), F.split(x, ",")[2].alias("branch"), F.coalesce(pick(x, r"(\d+|-)$"), F.lit(0)).alias("hits"))).alias("branches"),
     )

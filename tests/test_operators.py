@@ -86,3 +86,11 @@ def test_streamed_versions(spark, tmp_path):
         spark.createDataFrame(rows, "path string, version long, text string").write.mode("append").parquet(folder)
     got = {r.path: r.version for r in latest_versions(spark, folder, files_per_batch=1).collect()}
     assert got == {"a": 2, "b": 1}
+
+
+def test_lcov_functions_and_branches(spark):
+    record = "TN:unit\nSF:a.js\nFN:3,f\nFN:7,9,g\nFNF:2\nFNH:1\nFNDA:4,f\nFNDA:0,g\nDA:3,4\nLF:1\nLH:1\nBRDA:3,0,0,2\nBRDA:3,0,1,-\nBRF:2\nBRH:1\n"
+    r = code.lcov(spark.createDataFrame([(record,)], "report string")).first()
+    assert (r.file, r.test, r.found, r.hit, r.fnf, r.fnh, r.brf, r.brh) == ("a.js", "unit", 1, 1, 2, 1, 2, 1)
+    assert [tuple(x) for x in r.functions] == [(3, "f"), (7, "g")] and [tuple(x) for x in r.calls] == [("f", 4), ("g", 0)]
+    assert [tuple(x) for x in r.branches] == [(3, "0", "0", 2), (3, "0", "1", 0)]
