@@ -17,15 +17,25 @@ import numpy as np
 HIDDEN, STEPS, STREAMS, SLOTS = 32, 16, 96, 512
 
 
-def _softmax(x: np.ndarray) -> np.ndarray:
-    e = np.exp(x - x.max(axis=1, keepdims=True))
-    return e / e.sum(axis=1, keepdims=True)
-
-
 def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-x))
 
 
+def _add_rows(table: np.ndarray, numbers: np.ndarray, rows: np.ndarray, often: int = 8) -> None:
+    """table[numbers[i]] += rows[i]: numbers that come often are summed one by one, all others side by side."""
+    order = np.argsort(numbers, kind="stable")
+    numbers, rows = numbers[order], rows[order]
+    first = np.flatnonzero(np.concatenate([[True], numbers[1:] != numbers[:-1]]))
+    count = np.diff(np.append(first, len(numbers)))
+    sums = rows[first]
+    for i in range(1, often):
+        some = np.flatnonzero((count > i) & (count <= often))
+        sums[some] += rows[first[some] + i]
+    for i in np.flatnonzero(count > often).tolist():
+        sums[i] = rows[first[i] : first[i] + count[i]].sum(axis=0)
+    table[numbers[first]] += sums
+
+
 class GatedLM:
     """Token 0 ends a document; the state before a document's first token has just read token 0."""
 
@@ -58,37 +68,53 @@ class GatedLM:
         return c + z * (h - c), (h, x, z, r, c, u[:, 2 * n :])
 
     def outputs(self, h: np.ndarray, y: np.ndarray, grads: dict | None = None) -> tuple[np.ndarray, np.ndarray | None]:
-        """ln P of the tokens y after states h; with ``grads``, adds those of -sum and gives dh."""
-        p = self.p
-        cls, place = y // self.size, y % self.size
-        rows = np.arange(len(y))
-        logits = h @ p["Wc"] + p["bc"]
+        """ln P of the tokens y after states h; with ``grads``, adds those of -sum and gives dh.
+
+        Works on the rows in the order of their classes, so that each class is a slice.
+        """
+        p, rows = self.p, np.arange(len(y))
+        order = np.argsort(y, kind="stable")
+        hs, ys = h[order], y[order]
+        cls = ys // self.size
+        place = ys - cls * self.size
+        logits, found = self._choose(hs, p["Wc"], p["bc"], rows, cls, grads is not None)
+        if grads is not None:
+            grads["Wc"] += hs.T @ logits
+            grads["bc"] += logits.sum(axis=0)
+            dh = logits @ p["Wc"].T
+        bounds = np.searchsorted(cls, np.arange(self.classes + 1)).tolist()
+        for k in range(self.classes):
+            a, b = bounds[k], bounds[k + 1]
+            if a == b:
+                continue
+            inner, more = self._choose(hs[a:b], p["Wo"][k], p["bo"][k], rows[: b - a], place[a:b], grads is not None)
+            found[a:b] += more
+            if grads is not None:
+                grads["Wo"][k] += hs[a:b].T @ inner
+                grads["bo"][k] += inner.sum(axis=0) * self.real[k]
+                dh[a:b] += inner @ p["Wo"][k].T
+        out = np.empty_like(found)
+        out[order] = found
         if grads is None:
-            logits -= logits.max(axis=1, keepdims=True)
-            out = logits[rows, cls] - np.log(np.exp(logits).sum(axis=1))
-        else:
-            soft = _softmax(logits)
-            out = np.log(soft[rows, cls] + 1e-30)
-            soft[rows, cls] -= 1
-            grads["Wc"] += h.T @ soft
-            grads["bc"] += soft.sum(axis=0)
-            dh = soft @ p["Wc"].T
-        order = np.argsort(cls, kind="stable")
-        bounds = np.searchsorted(cls[order], np.arange(self.classes + 1))
-        for k in np.flatnonzero(np.diff(bounds)):
-            at = order[bounds[k] : bounds[k + 1]]
-            inner = h[at] @ p["Wo"][k] + p["bo"][k]
-            if grads is None:
-                inner -= inner.max(axis=1, keepdims=True)
-                out[at] += inner[np.arange(len(at)), place[at]] - np.log(np.exp(inner).sum(axis=1))
-            else:
-                soft = _softmax(inner)
-                out[at] += np.log(soft[np.arange(len(at)), place[at]] + 1e-30)
-                soft[np.arange(len(at)), place[at]] -= 1
-                grads["Wo"][k] += h[at].T @ soft
-                grads["bo"][k] += soft.sum(axis=0) * self.real[k]
-                dh[at] += soft @ p["Wo"][k].T
-        return out, None if grads is None else dh
+            return out, None
+        back = np.empty_like(dh)
+        back[order] = dh
+        return out, back
+
+    @staticmethod
+    def _choose(h: np.ndarray, weights: np.ndarray, bias: np.ndarray, rows: np.ndarray, chosen: np.ndarray, residual: bool) -> tuple[np.ndarray | None, np.ndarray]:
+        """(softmax minus the choice, if wanted; ln P of the choice) of one softmax layer."""
+        x = h @ weights
+        x += bias
+        x -= x.max(axis=1, keepdims=True)
+        at = x[rows, chosen]
+        np.exp(x, out=x)
+        total = x @ np.ones(x.shape[1], x.dtype)
+        if not residual:
+            return None, at - np.log(total)
+        x *= (1 / total)[:, None]
+        x[rows, chosen] -= 1
+        return x, at - np.log(total)
 
     def window(self, h: np.ndarray, x: np.ndarray, y: np.ndarray, fresh: np.ndarray, grads: dict) -> tuple[float, np.ndarray]:
         """One window (streams, steps): sum of ln P, last state; adds the gradients of -sum ln P."""
@@ -112,10 +138,7 @@ class GatedLM:
             grads["b"] += da.sum(axis=0)
             grads["U"] += before.T @ du
             dh = (dh * z + du @ self.p["U"].T) * (1 - fresh[:, t : t + 1])
-        tokens = x[:, ::-1].T.ravel()
-        order = np.argsort(tokens, kind="stable")
-        rows, first = np.unique(tokens[order], return_index=True)
-        grads["E"][rows] += np.add.reduceat(np.concatenate(moved)[order], first)
+        _add_rows(grads["E"], x[:, ::-1].T.ravel(), np.concatenate(moved))
         return float(out.sum()), h
 
     def train(self, docs: list[np.ndarray], epochs: int = 1, rate: float = 0.01, streams: int = STREAMS, steps: int = STEPS, falling: bool = True, adam: dict | None = None) -> None:
@@ -152,11 +175,21 @@ class GatedLM:
         for k, whole in adam["grads"].items():
             at = read if k == "E" else slice(None)
             m, v = (a[at] for a in adam["moments"][k])
-            g = np.clip(whole[at] * scale, -1, 1)
+            g = whole[at] * scale
             whole[at] = 0
-            m += 0.1 * (g - m)
-            v += 0.01 * (g * g - v)
-            self.p[k][at] -= (rate / fix_m) * m / (np.sqrt(v / fix_v) + 1e-8)
+            np.clip(g, -1, 1, out=g)
+            m *= 0.9
+            m += 0.1 * g
+            v *= 0.99
+            g *= g
+            g *= 0.01
+            v += g
+            np.sqrt(v, out=g)
+            g *= fix_v**-0.5
+            g += 1e-8
+            np.divide(m, g, out=g)
+            g *= rate / fix_m
+            self.p[k][at] -= g
             if k == "E":
                 adam["moments"][k][0][at], adam["moments"][k][1][at] = m, v
 
@@ -186,26 +219,44 @@ class GatedLM:
             lanes[lane].append(i)
             heapq.heappush(load, (size + len(docs[i]), lane))
         lanes = sorted((lane for lane in lanes if lane), key=lambda lane: -sum(len(docs[i]) for i in lane))
-        sizes = np.array([sum(len(docs[i]) for i in lane) for lane in lanes])
-        tokens, owner = np.zeros((len(lanes), sizes.max(initial=0)), np.int64), np.zeros((len(lanes), sizes.max(initial=0)), np.int64)
+        sizes = np.array([sum(len(docs[i]) for i in lane) for lane in lanes], np.int64)
+        longest = int(sizes.max(initial=0))
+        tokens, owner = np.zeros((longest, len(lanes)), np.int32), np.zeros((longest, len(lanes)), np.int32)
         for row, lane in enumerate(lanes):
-            tokens[row, : sizes[row]] = np.concatenate([docs[i] for i in lane])
-            owner[row, : sizes[row]] = np.repeat(lane, [len(docs[i]) for i in lane])
-        out = np.zeros(len(docs))
+            tokens[: sizes[row], row] = np.concatenate([docs[i] for i in lane])
+            owner[: sizes[row], row] = np.repeat(np.array(lane, np.int32), [len(docs[i]) for i in lane])
+        alive = np.searchsorted(-sizes, -np.arange(longest)).tolist()  # lanes are sorted, longest first
+        out, ready = np.zeros(len(docs)), self.p["E"] + self.p["b"]
         h = np.zeros((len(lanes), self.h), self.p["U"].dtype)
-        last = np.zeros(len(lanes), np.int64)
-        for a in range(0, tokens.shape[1], steps):
-            alive = int(np.searchsorted(-sizes, -a))  # lanes are sorted, longest first
-            h, last = h[:alive], last[:alive]
-            states, where = [], []
-            for t in range(a, min(a + steps, int(sizes[0]))):
-                n = int(np.searchsorted(-sizes[:alive], -t))
-                moved, _ = self.step(h[:n] * (last[:n, None] != 0), last[:n])
-                h = np.concatenate([moved, h[n:]]) if n < alive else moved
-                last = np.concatenate([tokens[:n, t], last[n:]]) if n < alive else tokens[:n, t]
-                states.append(moved)
-                where.append((n, t))
-            y = np.concatenate([tokens[:n, t] for n, t in where])
+        last = np.zeros(len(lanes), np.int32)
+        for a in range(0, longest, steps):
+            states = []
+            for t in range(a, min(a + steps, longest)):
+                n = alive[t]
+                h, last = h[:n], last[:n]
+                if not last.all():
+                    h = h * (last != 0)[:, None]
+                h = self._moved(h, ready[last])
+                last = tokens[t]
+                states.append(h)
+            y = np.concatenate([tokens[t, : alive[t]] for t in range(a, a + len(states))])
             found, _ = self.outputs(np.concatenate(states), y)
-            out += np.bincount(np.concatenate([owner[:n, t] for n, t in where]), found, len(docs))
+            out += np.bincount(np.concatenate([owner[t, : alive[t]] for t in range(a, a + len(states))]), found, len(docs))
+        return out
+
+    def _moved(self, h: np.ndarray, a: np.ndarray) -> np.ndarray:
+        """:meth:`step` without its gradient's needs; ``a`` is used up."""
+        n, u = self.h, h @ self.p["U"]
+        zr, c = a[:, : 2 * n], u[:, 2 * n :]
+        zr += u[:, : 2 * n]
+        np.negative(zr, out=zr)
+        np.exp(zr, out=zr)
+        zr += 1
+        np.reciprocal(zr, out=zr)
+        c *= zr[:, n:]
+        c += a[:, 2 * n :]
+        np.tanh(c, out=c)
+        out = h - c
+        out *= zr[:, :n]
+        out += c
         return out

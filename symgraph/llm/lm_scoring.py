@@ -2,15 +2,20 @@
 
 Three passes.  (1) Count every token of every training document; the counts are a table of their
 own, grouped with partial aggregation, and never leave the cluster whole.  (2) Train the model
-(:mod:`gated_lm`) on every training document, each once: the documents are dealt to ``ROUNDS`` rounds
-by their ids' hashes; in a round each partition trains a copy of the model on its documents, and the
-copies are averaged, weighted by their tokens, slice by slice of their weights.  The first round starts
-from a model that the driver fitted on ``SAMPLE`` documents.  ``PER_ROOT`` times the square root of the
-number of distinct words (``VOCABULARY`` at least) have tokens of their own, the most frequent first;
-all other words fall into groups by their first and last two letters, one for ``PER_GROUP`` such words
-(``GROUPS`` at least), and a group's probability is shared out by count.  (3) Score every document.
-The counts of the ``KNOWN`` most frequent words (more only if the model has more) go to the tasks; all
-rarer words of all documents are joined with the count table, and the sums come back to their documents.
+(:mod:`gated_lm`) on every training document, each once: the documents are dealt to rounds by their
+ids' hashes; in a round each partition trains a copy of the model on its documents, and the copies are
+averaged, weighted by their tokens, slice by slice of their weights.  The first copies start from the
+words' frequencies.  A copy has ``COPY`` tokens of a round at least, if there are so many: partitions
+are put together until then.  ``PER_ROOT`` times the square root of the number of distinct words
+(``VOCABULARY`` at least) may have tokens of their own, the most frequent first, equally frequent ones
+all or none; all other words fall into groups by their first and last two letters, one for
+``PER_GROUP`` such words (``GROUPS`` at least), and a group's probability is shared out by count.
+(3) Score every document.  The counts of the ``KNOWN`` most frequent words at most (more only if the
+model has more) go to the tasks; all rarer words of all documents are joined with the count table, and
+the sums come back to their documents.
+
+Which words are the most frequent follows from how many words have which count, a table of a bounded
+number of rows (:func:`least_count`); only the words wanted come to the driver.
 
 Tokens: bytes A-Z in lower case, runs without ``[\\x20\\x09-\\x0D]``, then one end token.
 
@@ -24,6 +29,7 @@ from __future__ import annotations
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
@@ -32,16 +38,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import crc_bucket, exact_col, session_conf, table, written
-from .gated_lm import GatedLM
+from .gated_lm import STEPS, GatedLM
 
-VOCABULARY, GROUPS, KNOWN, SAMPLE = 2000, 32, 100_000, 1500
+VOCABULARY, GROUPS, KNOWN = 2000, 32, 200_000
 PER_ROOT, PER_GROUP = 4, 16
-#: Rounds of training, their rates, parallel streams of a copy, tokens that it reads at a time, and weights in a slice.
-ROUNDS, RATES, STREAMS, READ, SLICE = 2, (0.004, 0.001), 512, 600_000, 8192
+#: Rates of the rounds of training, tokens of a copy in a round, its parallel streams at most, windows of a reading at least,
+#: tokens that it reads at a time, and weights in a slice.
+RATES, COPY, STREAMS, WINDOWS, READ, SLICE = (0.03, 0.008), 1_000_000, 512, 64, 1_200_000, 8192
 #: The end token in the count table; it cannot be a word.
 END = "\n"
 #: Words that one task counts before it hands its counts on, and tokens that are scored at a time.
-COUNTED, CHUNK = 300_000, 600_000
+COUNTED, CHUNK = 300_000, 2_400_000
 
 
 def tokens(text: str) -> list[bytes]:
@@ -82,55 +89,58 @@ def count_tokens(texts: DataFrame) -> DataFrame:
 class Scorer:
     """What the tasks need: it grows with the square root of the number of distinct words."""
 
-    def __init__(self, words: list[str], counts: np.ndarray, in_model: int, group_totals: np.ndarray, total: int, distinct: int):
-        self.groups = len(group_totals)
-        self.total, self.base = total, float(np.log10(total + 0.5 * (distinct + 1)))
-        self.known = {w.encode("utf-8", "surrogatepass"): (i + 1 if i < in_model else 1 + in_model + group_of(w, self.groups), float(np.log10(c + 0.5)), i >= in_model) for i, (w, c) in enumerate(zip(words, counts))}
-        self.first_group = 1 + in_model
+    def __init__(self, words: list[str], counts: np.ndarray, in_model: int, group_totals: np.ndarray, total: int, distinct: int, end_count: int):
+        self.groups, self.first_group = len(group_totals), 1 + in_model
+        self.total, self.base, self.end_count = total, float(np.log10(total + 0.5 * (distinct + 1))), end_count
+        self.known = {w.encode("utf-8", "surrogatepass"): i for i, w in enumerate(words)}
+        self.logs = np.log10(np.append(counts, 0) + 0.5)
+        self.token = np.array([*range(1, in_model + 1), *(1 + in_model + group_of(w, self.groups) for w in words[in_model:]), 0], np.int32)
         #: log10 of what a group's probability is divided by
         self.group = np.log10(group_totals[:, 0] + 0.5 * (group_totals[:, 1] + 1))
-        self.end_count = 0
-        self.model: GatedLM | None = None
+        self.model = GatedLM(np.concatenate([[end_count], counts[:in_model], group_totals[:, 0]]))
 
     def numbers(self, words: list[bytes]) -> tuple[np.ndarray, float, float, int, list[str]]:
         """Model tokens with the end; sum of log10(c + 0.5) of known words, and of those outside the model; known words; the rest."""
-        ids, logs, rare_logs, n_known, rest = [], 0.0, 0.0, 0, []
-        get = self.known.get
-        for w in words:
-            if (found := get(w)) is not None:
-                ids.append(found[0])
-                logs += found[1]
-                n_known += 1
-                if found[2]:
-                    rare_logs += found[1]
-            else:
-                word = w.decode("utf-8", "surrogatepass")
-                ids.append(self.first_group + group_of(word, self.groups))
-                rest.append(word)
-        ids.append(0)
-        return np.array(ids, np.int64), logs, rare_logs, n_known, rest
-
-
-def learn(counts: DataFrame, sample: DataFrame, train: DataFrame, vocabulary: int = VOCABULARY, known: int = KNOWN) -> Scorer:
-    """Counts (a table), a bounded sample of texts to start from, and all texts (id, text) -> the trained scorer."""
+        found = np.fromiter(map(self.known.get, words, repeat(-1)), np.int64, len(words))
+        ids = np.zeros(len(words) + 1, np.int32)
+        ids[:-1] = self.token[found]
+        new = np.flatnonzero(found < 0)
+        rest = [words[i].decode("utf-8", "surrogatepass") for i in new.tolist()]
+        ids[new] = [self.first_group + group_of(w, self.groups) for w in rest]
+        logs = self.logs[found]
+        logs[new] = 0
+        return ids, float(logs.sum()), float(logs[found >= self.first_group - 1].sum()), len(words) - len(rest), rest
+
+
+def least_count(counts: DataFrame, most: int) -> int:
+    """The least c such that ``most`` rows at most have a count of c or more.
+
+    Counts above 2048 are rounded down to eleven binary digits, so at most some 60,000 rows come to the driver.
+    """
+    unit = F.pow(F.lit(2.0), F.greatest(F.floor(F.log2("c")) - 10, F.lit(0)))
+    found = counts.groupBy((F.floor(F.col("c") / unit) * unit).cast("long").alias("c")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("c")).toPandas()
+    fits = found["n"].cumsum().to_numpy() <= most
+    return int(found["c"][fits].min()) if fits.any() else 1 << 62
+
+
+def learn(counts: DataFrame, train: DataFrame, vocabulary: int = VOCABULARY, known: int = KNOWN) -> Scorer:
+    """Counts (a table) and all training texts (id, text) -> the trained scorer."""
     words = counts.filter(F.col("word") != END)
     total, distinct, end_count = counts.agg(F.sum("c"), F.count(F.lit(1)), F.sum(F.when(F.col("word") == END, F.col("c")))).first()
     vocabulary = max(vocabulary, int(PER_ROOT * (distinct or 0) ** 0.5))
     groups = max(GROUPS, vocabulary // PER_GROUP)
-    top = words.orderBy(F.desc("c"), "word").limit(max(known, vocabulary)).toPandas()
-    in_model = min(vocabulary, len(top))
+    top = words.filter(F.col("c") >= least_count(words, max(known, vocabulary))).toPandas().sort_values(["c", "word"], ascending=[False, True])  # ``known`` or ``vocabulary`` rows at most
+    c = top["c"].to_numpy(float)
+    in_model = len(c) if len(c) <= vocabulary else int((c > c[vocabulary]).sum())
     rare = words.groupBy(_group_column(groups).alias("g")).agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("v")).toPandas()  # one row a group
     totals = np.zeros((groups, 2))
     totals[rare["g"].to_numpy(int)] = rare[["n", "v"]].to_numpy(float)
-    for w, c in zip(top["word"][:in_model], top["c"][:in_model]):
-        totals[group_of(w, groups)] -= (c, 1)
-    scorer = Scorer(top["word"].tolist(), top["c"].to_numpy(float), in_model, totals, int(total or 0), int(distinct or 0))
-    scorer.end_count = int(end_count or 0)
-    scorer.model = GatedLM(np.concatenate([[scorer.end_count], top["c"].to_numpy(float)[:in_model], totals[:, 0]]))
-    scorer.model.train([scorer.numbers(tokens(t))[0] for t in sample.toPandas()["text"]], epochs=2)
-    for r in range(ROUNDS):
-        mine = train.filter(F.pmod(F.xxhash64("id", F.lit("round")), F.lit(ROUNDS)) == r).select("text")
-        train_round(mine, scorer, RATES[r])
+    for w, n in zip(top["word"][:in_model], c[:in_model]):
+        totals[group_of(w, groups)] -= (n, 1)
+    scorer = Scorer(top["word"].tolist(), c, in_model, totals, int(total or 0), int(distinct or 0), int(end_count or 0))
+    copies = max(1, scorer.total // (len(RATES) * COPY))
+    for r, rate in enumerate(RATES):
+        train_round(train.filter(F.pmod(F.xxhash64("id", F.lit("round")), F.lit(len(RATES))) == r).select("text").coalesce(copies), scorer, rate)
     return scorer
 
 
@@ -143,7 +153,7 @@ def train_round(texts: DataFrame, scorer: Scorer, rate: float) -> int:
         model = own.model.copy()
 
         def learned() -> int:
-            model.train(docs, rate=rate, streams=STREAMS, falling=False, adam=adam)
+            model.train(docs, rate=rate, streams=min(STREAMS, max(1, size // (STEPS * WINDOWS))), falling=False, adam=adam)
             docs.clear()
             return size
 
@@ -183,24 +193,30 @@ def score_documents(docs: DataFrame, scorer: Scorer, counts: DataFrame) -> DataF
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         own, at = shared.value, TaskContext.get().partitionId() << 40
         end_log = float(np.log10(own.end_count + 0.5))
+        ids, held, rows, size = [], [], [], 0
+
+        def scored() -> pd.DataFrame:
+            model = own.model.log_likelihood([r[0] for r in rows]) / np.log(10)
+            shares = [own.group[r[0][r[0] >= own.first_group] - own.first_group].sum() for r in rows]
+            return pd.DataFrame({
+                "row": range(at, at + len(rows)), "id": pd.Series(ids, dtype=object), "held_out": held,
+                "n_tokens": [len(r[0]) for r in rows], "n_known": [r[3] + (own.end_count > 0) for r in rows],
+                "base_score": [r[1] + end_log - len(r[0]) * own.base for r in rows],
+                "score": [m + r[2] - s for m, r, s in zip(model, rows, shares)], "rest": [r[4] for r in rows],
+            })
+
         for batch in batches:
-            a = 0
-            while a < len(batch):
-                b, size, rows = a, 0, []
-                while b < len(batch) and size < CHUNK:
-                    rows.append(own.numbers(tokens(batch["text"].iloc[b])))
-                    size += len(rows[-1][0])
-                    b += 1
-                model = own.model.log_likelihood([r[0] for r in rows]) / np.log(10)
-                shares = [own.group[r[0][r[0] >= own.first_group] - own.first_group].sum() for r in rows]
-                yield pd.DataFrame({
-                    "row": range(at, at + len(rows)), "id": pd.Series(batch["id"].iloc[a:b].tolist(), dtype=object), "held_out": batch["held_out"].iloc[a:b].to_numpy(),
-                    "n_tokens": [len(r[0]) for r in rows], "n_known": [r[3] + (own.end_count > 0) for r in rows],
-                    "base_score": [r[1] + end_log - len(r[0]) * own.base for r in rows],
-                    "score": [m + r[2] - s for m, r, s in zip(model, rows, shares)], "rest": [r[4] for r in rows],
-                })
-                at += len(rows)
-                a = b
+            for doc_id, text, is_held in zip(batch["id"], batch["text"], batch["held_out"]):
+                ids.append(doc_id)
+                held.append(is_held)
+                rows.append(own.numbers(tokens(text)))
+                size += len(rows[-1][0])
+                if size >= CHUNK:
+                    yield scored()
+                    at += len(rows)
+                    ids, held, rows, size = [], [], [], 0
+        if rows:
+            yield scored()
 
     with session_conf(docs.sparkSession, {"spark.sql.execution.arrow.maxRecordsPerBatch": "2000"}):
         parts = written(
@@ -221,6 +237,4 @@ def op6_gated_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select(exact_col("doc_id").alias("id"), F.coalesce("text", F.lit("")).alias("text"), (crc_bucket("doc_id", 5) == 1).alias("held_out"))
     train = docs.filter("not held_out")
     counts = written(count_tokens(train.select("text")), "lm-counts")
-    chosen = train.select("id").distinct().orderBy(F.xxhash64("id"), "id").limit(SAMPLE)  # bounded by the parameter
-    sample = train.join(F.broadcast(chosen), "id").orderBy(F.xxhash64("id"), "id").select("text").limit(SAMPLE)
-    return score_documents(docs, learn(counts, sample, train), counts).withColumnRenamed("id", "doc_id")
+    return score_documents(docs, learn(counts, train), counts).withColumnRenamed("id", "doc_id")

@@ -76,23 +76,53 @@ def test_training_reads_every_token(monkeypatch):
     assert pairs == Counter(zip([0, *doc[:-1].tolist()], doc.tolist()))
 
 
-def test_training_uses_all_documents_beyond_the_sample(spark, tmp_path, monkeypatch):
+def test_every_training_document_is_read_once(spark, tmp_path, monkeypatch):
     path, read = f"file://{tmp_path}", []
     docs = [(i, "a b " * (i % 5) + f"w{i}") for i in range(3000)]
     spark.createDataFrame(docs, "doc_id long, text string").repartition(3).write.parquet(f"{path}/documents.parquet")
+    monkeypatch.setattr(lm_scoring, "COPY", 2000)  # several copies a round
     monkeypatch.setattr(lm_scoring, "train_round", lambda *a, f=lm_scoring.train_round: read.append(f(*a)))
     rows = op6_gated_lm(spark, path).collect()
+    assert len(read) == len(lm_scoring.RATES)
     assert sum(read) == rows[0].train_tokens == sum(r.n_tokens for r in rows if not r.held_out)
 
 
 def test_vocabulary_and_groups_grow_with_the_counted_words(spark):
     sizes = []
     for n in (300_000, 1_200_000):
-        counts = spark.range(n).select(F.concat(F.lit("w"), F.col("id")).alias("word"), F.lit(1).cast("long").alias("c"))
-        none = spark.createDataFrame([], "id long, text string")
-        scorer = lm_scoring.learn(counts, none.select("text"), none)
-        sizes.append((scorer.first_group - 1, scorer.groups))
-    assert sizes == [(2190, 136), (4381, 273)]
+        counts = spark.range(n).select(F.concat(F.lit("w"), F.col("id")).alias("word"), F.when(F.col("id") < 10_000, 10_000 - F.col("id")).otherwise(1).cast("long").alias("c"))
+        scorer = lm_scoring.learn(counts, spark.createDataFrame([], "id long, text string"))
+        sizes.append((scorer.first_group - 1, scorer.groups, len(scorer.known)))
+    assert sizes == [(2190, 136, 9999), (4381, 273, 9999)]
+
+
+def test_equally_frequent_words_are_known_all_or_none(spark):
+    counts = spark.createDataFrame([(f"w{i}", c) for i, c in enumerate([9, 7, 7, 7, 3, 1, 1])], "word string, c long")
+    assert [lm_scoring.least_count(counts, n) for n in (0, 1, 3, 4, 5, 6, 7)] == [1 << 62, 9, 9, 7, 3, 3, 1]
+    large = spark.range(1, 3000).select(F.concat(F.lit("w"), F.col("id")).alias("word"), (F.col("id") * F.col("id") * F.col("id")).alias("c"))
+    for n in (1, 10, 500, 2900):
+        taken = large.filter(F.col("c") >= lm_scoring.least_count(large, n)).count()
+        assert 0.7 * n - 1 <= taken <= n
+    assert lm_scoring.least_count(counts.limit(0), 5) == 1 << 62
+
+
+def test_shares_sum_to_one():
+    words, counts = [f"w{i}" for i in range(50)], np.arange(100, 50, -1).astype(float)
+    totals = np.zeros((4, 2))
+    for w, c in zip(words[20:], counts[20:]):
+        totals[lm_scoring.group_of(w, 4)] += (c, 1)
+    scorer = lm_scoring.Scorer(words, counts, 20, totals, int(counts.sum()) + 7, 51, 7)
+    rng = np.random.default_rng(5)
+    for k in ("Wc", "Wo"):
+        scorer.model.p[k] += rng.normal(0, 0.5, scorer.model.p[k].shape).astype(np.float32)
+    h = rng.normal(0, 1, (1, scorer.model.h)).astype(np.float32)
+    token = np.exp([scorer.model.outputs(h, np.array([y]))[0][0] for y in range(scorer.model.v)])
+    assert math.isclose(token.sum(), 1, rel_tol=1e-5)
+    shares = np.zeros(4)
+    for w, c in zip(words[20:], counts[20:]):
+        g = lm_scoring.group_of(w, 4)
+        shares[g] += (c + 0.5) / 10 ** scorer.group[g]
+    assert np.allclose(shares + 0.5 / 10**scorer.group, 1)  # the last 0.5 is for unseen words
 
 
 def brute(docs):
@@ -102,10 +132,32 @@ def brute(docs):
     return {i: (len(ws), sum(w in c for w in ws), n, sum(math.log10((c[w] + 0.5) / (n + 0.5 * (v + 1))) for w in ws)) for i, ws in split.items()}
 
 
-def test_query_against_brute_force(spark):
-    sf = "/root/testdata/sf0.001"
+def brute_score(scorer, counts, text):
+    """The model word by word, a group's probability shared out by count."""
+    words = [w for w in re.split(r"[\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or "")) if w]
+    ids, logs = [], 0.0
+    for w in words:
+        at = scorer.known.get(w.encode())
+        if at is not None and at < scorer.first_group - 1:
+            ids.append(at + 1)
+        else:
+            g = lm_scoring.group_of(w, scorer.groups)
+            ids.append(scorer.first_group + g)
+            logs += math.log10(counts[w] + 0.5) - scorer.group[g]
+    return plain_score(scorer.model, [*ids, 0]) / math.log(10) + logs
+
+
+def test_query_against_brute_force(spark, monkeypatch):
+    sf, learned = "/root/testdata/sf0.001", []
+    monkeypatch.setattr(lm_scoring, "learn", lambda *a, f=lm_scoring.learn: (learned.append(f(*a, known=3000)), learned[0])[1])
     docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
     rows, expected = op6_gated_lm(spark, sf).collect(), brute(docs)
+    counts, texts = Counter(), dict(docs)
+    for i, t in docs:
+        if zlib.crc32(str(i).encode()) % 5 != 1:
+            counts.update(re.sub("[A-Z]", lambda m: m[0].lower(), t or "").split())
+    for r in [r for r in rows if len(texts[r.doc_id] or "") < 3000][:25]:
+        assert math.isclose(r.score, brute_score(learned[0], counts, texts[r.doc_id]), rel_tol=1e-4)
     assert len(rows) == len(docs)
     for r in rows:
         n, known, total, base = expected[r.doc_id]
