@@ -3,8 +3,10 @@
 A text is the set of its lower-cased words and of the first four and five bytes of longer words
 (inflected forms share them), hashed.  A logistic regression on the most informative of these is
 trained on a bounded sample of labelled texts.  For every labelled text that mentions an identity
-term, copies with the term swapped for others are made, and the squared change of the score
-(before the logistic function) is penalised; so a mere mention of a group does not move a score.
+term, copies with the term swapped for others are made; every other labelled text gets a copy with
+one term put in, a different one from text to text.  The squared change of the score (before the
+logistic function) from a text to its copies is penalised; so a mere mention of a group does not move
+a score.
 Training happens on the driver on at most ``SAMPLE`` rows; scoring is one pass over all texts,
 which are looked at whole.
 
@@ -18,6 +20,7 @@ from __future__ import annotations
 import functools
 import logging
 import re
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -133,10 +136,16 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, id_col: str,
     return docs.select(exact_col(id_col).alias("id"), F.coalesce(exact_col(text_col), F.lit("")).alias("text")).join(F.broadcast(chosen), "id").select("text", "y")
 
 
+def inserted(text: str, identity: Groups = IDENTITY) -> str | None:
+    """The identity term that is put into a text without any."""
+    terms = [t for group in identity for t in group]
+    return terms[zlib.crc32(text.encode("utf-8", "surrogatepass")) % len(terms)] if terms else None
+
+
 def train(sample: DataFrame, fairness: float = FAIRNESS, identity: Groups = IDENTITY) -> tuple[np.ndarray, np.ndarray, float]:
     """(feature numbers, weights, bias) from a bounded sample (text, y).
 
-    The number of swapped pairs is logged, as a warning if there are none: then nothing is penalised.
+    The numbers of pairs are logged, as a warning if there are none: then nothing is penalised.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -144,10 +153,12 @@ def train(sample: DataFrame, fairness: float = FAIRNESS, identity: Groups = IDEN
             for a in range(0, len(batch), 200):
                 part = batch.iloc[a : a + 200]
                 other = [_sets(swaps(t, identity)) for t in part["text"]]
-                yield pd.DataFrame({"y": part["y"], "own": _sets(part["text"].tolist()), "swapped": other})
+                own = _sets(part["text"].tolist())
+                put = [[] if o or (term := inserted(t, identity)) is None else np.setdiff1d(features([term])[0], s) for t, o, s in zip(part["text"], other, own)]
+                yield pd.DataFrame({"y": part["y"], "own": own, "swapped": other, "put": [list(map(int, p)) if len(p) else None for p in put]})
 
     with session_conf(sample.sparkSession, {"spark.sql.execution.arrow.maxRecordsPerBatch": "500"}):
-        rows = written(sample.mapInPandas(run, "y double, own array<int>, swapped array<array<int>>"), "toxic-sample")
+        rows = written(sample.mapInPandas(run, "y double, own array<int>, swapped array<array<int>>, put array<int>"), "toxic-sample")
     counted = rows.select("y", F.explode("own").alias("f")).groupBy("f").agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("pos")).filter(f"n >= {LEAST_ROWS}").toPandas()  # at most FEATURES rows
     total, positive = rows.agg(F.count(F.lit(1)), F.sum("y")).first()
     if not total or not 0 < positive < total:
@@ -158,12 +169,14 @@ def train(sample: DataFrame, fairness: float = FAIRNESS, identity: Groups = IDEN
     def keep(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         inside = lambda found: np.intersect1d(np.asarray(found, np.int64), kept)
         for batch in batches:
-            yield pd.DataFrame({"y": batch["y"], "own": [inside(r) for r in batch["own"]], "swapped": [[inside(r) for r in others] for others in batch["swapped"]]})
+            yield pd.DataFrame({"y": batch["y"], "own": [inside(r) for r in batch["own"]], "swapped": [[inside(r) for r in others] for others in batch["swapped"]], "put": [None if p is None else inside(p) for p in batch["put"]]})
 
     found = rows.mapInPandas(keep, rows.schema).toPandas()  # informative features of a bounded sample only
     take = lambda sets: Rows([np.searchsorted(kept, np.asarray(s, np.int64)) for s in sets], len(kept))
-    pairs = [(own, other) for own, others in zip(found["own"], found["swapped"]) for other in others]
-    _LOG.log(logging.INFO if pairs else logging.WARNING, "%d swapped pairs from %d labelled texts", len(pairs), total)
+    swapped = [(own, other) for own, others in zip(found["own"], found["swapped"]) for other in others]
+    put = [(added, []) for added in found["put"] if added is not None]  # what a text and its copy share cancels out
+    pairs = swapped + put
+    _LOG.log(logging.INFO if pairs else logging.WARNING, "%d swapped pairs, %d inserted ones from %d labelled texts", len(swapped), len(put), total)
     weights, bias = fit(take(found["own"]), found["y"].to_numpy(float), swapped=(take([p[0] for p in pairs]), take([p[1] for p in pairs])), fairness=fairness)
     return kept, weights, bias
 
