@@ -9,18 +9,37 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``; a temporary folder only under a local master."""
+    """``spark.checkpoint.dir`` of the session or of its context; a temporary folder only under a local master."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        if not spark.sparkContext.master.startswith("local["):
+        current = spark.sparkContext._jsc.sc().getCheckpointDir()
+        found = current.get() if current.isDefined() else None
+    if not found:
+        if not (spark.sparkContext.master == "local" or spark.sparkContext.master.startswith("local[")):
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = tempfile.mkdtemp(prefix="symgraph-")
         spark.conf.set("spark.checkpoint.dir", found)
-    return found if ":" in found else f"file://{found}"
+    return found if "://" in found or found.startswith("file:") else f"file://{found}"
+
+
+def new_folder(spark: SparkSession, what: str) -> str:
+    """A fresh path below the shared folder (nothing is created yet)."""
+    return f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder that was written here."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
 
+def written(df: DataFrame, what: str, scratch: list[str] | None = None) -> DataFrame:
+    """``df`` as a parquet table: computed once, lineage cut, survives lost executors.
 
-def written(df: DataFrame, what: str) -> DataFrame:
-    """``df`` as a parquet table: computed once, lineage cut, survives lost executors."""
-    path = f"{shared_dir(df.sparkSession)}/{what}-{uuid.uuid4().hex}"
+    Its path is added to ``scratch``, where given, for :func:`remove` once nothing reads it any more.
+    """
+    path = new_folder(df.sparkSession, what)
     df.write.parquet(path)
+    if scratch is not None:
+        scratch.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
