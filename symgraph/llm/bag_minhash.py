@@ -13,13 +13,16 @@ if its exact multiset overlap is 0.8 or more.  Not all pairs of a bucket are ver
 text is compared with the bucket's hub (the member with most bucket mates over all bands) and the
 links are merged into components; then only pairs in different components are left, and of these
 the join itself keeps those whose two-bit sketches of the signatures agree about as often as a link
-demands (a link fails that test with a probability of about 1 in 100,000; it shares no band with one
-of 1 in 10 million) and whose parities do not rule a link out: a text's shingles fall into 1024
+demands (a link fails that test with a probability below 1 in 10 million, the one with which it shares
+no band) and whose parities do not rule a link out: a text's shingles fall into 1024
 cells, and each cell in which two texts have an odd and an even number holds at least one shingle
 that only one of them has, so that too many such cells prove the overlap to be below the threshold.
 So a bucket of thousands of near copies costs one comparison each, pairs that merely resemble each
-other are not formed, and no link between components is lost.  Equal word sequences are one text from the start, however many rows
-have it.
+other are not formed, and links between components are lost with those probabilities only.  Equal word
+sequences are one text from the start, however many rows have it.
+
+Joins on a text or a class that a third of all rows may share are written before anything is grouped
+by their key, so that a skewed one can be split.  Tables that nothing reads any more are deleted.
 
 Defined results: null text counts as empty; texts without words are equal to each other; a text of
 one to four words has one shingle; repeated rows are copies; a null id is never a class's id unless
@@ -35,12 +38,12 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import exact_col, session_conf, table, written
+from .common import exact_col, remove, session_conf, table, written
 from .wordhash import mix, multiset, shingles
 
 BANDS, ROWS, THRESHOLD = 40, 5, 0.8
 #: Standard deviations by which a sketch may fall short of the threshold.
-SLACK = 4.2
+SLACK = 5.5
 #: Code points of the texts that are worked on at a time.
 CHUNK = 400_000
 #: 64-bit words of the parities.
@@ -188,7 +191,7 @@ def _signed(docs: DataFrame, id_col: str, text_col: str, bands: int, rows: int)
     return source.mapInPandas(run, "id string, digest binary, keys array<long>, sketch array<long>, parity array<long>, total long").withColumn("id", F.col("id").cast(docs.schema[id_col].dataType))
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
+def _verified(pairs: DataFrame, texts: DataFrame, threshold: float, scratch: list[str]) -> DataFrame:
     """Each pair (a, b) of digests with whether it is a link."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -211,7 +214,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame
     named = lambda c: texts.select(F.col("digest").alias(c), F.col("text").alias(f"text_{c}"))
     both = pairs.join(named("b"), "b").join(named("a"), "a").select("a", "b", "text_a", "text_b")
     with session_conf(pairs.sparkSession, {"spark.sql.execution.arrow.maxRecordsPerBatch": "200"}):
-        return written(both.mapInPandas(run, "a binary, b binary, linked boolean"), "links")
+        return written(both.mapInPandas(run, "a binary, b binary, linked boolean"), "links", scratch)
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -220,8 +223,8 @@ def components(edges: DataFrame) -> DataFrame:
     Alternating large-star and small-star steps; each one replaces the edges by edges to smaller
     nodes, and a logarithmic number of them leaves every node linked to its component's least one.
     """
-    spark = edges.sparkSession
-    now = written(edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
+    spark, scratch = edges.sparkSession, []
+    now = written(edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges", scratch)
     stamp = lambda df: df.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first()
     before = stamp(now)
     while before[0]:
@@ -231,7 +234,8 @@ def components(edges: DataFrame) -> DataFrame:
         low = large.groupBy("u").agg(F.min("v").alias("least"))
         small = large.join(low, "u")
         small = small.filter("v <> least").select(F.col("v").alias("u"), F.col("least").alias("v")).unionByName(low.select("u", F.col("least").alias("v"))).distinct()
-        now = written(small, "edges")
+        now = written(small, "edges", scratch)
+        remove(spark, scratch.pop(0))
         after = stamp(now)
         if after == before:
             break
@@ -243,35 +247,43 @@ def components(edges: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """One row per document: doc_id, class_id (least id of its class), n_docs and n_texts of the class."""
-    signed = written(_signed(docs, id_col, text_col, bands, rows), "signatures")
-    reps = written(signed.groupBy("digest").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("copies"), *(F.first(c).alias(c) for c in TRAITS)), "texts")
+    spark, scratch = docs.sparkSession, []
+    save = lambda df, what: written(df, what, scratch)
+    signed = save(_signed(docs, id_col, text_col, bands, rows), "signatures")
+    reps = save(signed.groupBy("digest").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("copies"), *(F.first(c).alias(c) for c in TRAITS)), "texts")
+    ids = written(signed.select("id", "digest"), "ids")
+    remove(spark, scratch.pop(0))
     keyed = reps.select("digest", F.explode("keys").alias("key"))
-    members = written(keyed.join(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "key"), "buckets")
-    mates = written(members.groupBy("digest").agg(F.sum("n").alias("mates")), "mates")
+    members = save(keyed.join(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "key"), "buckets")
+    mates = save(members.groupBy("digest").agg(F.sum("n").alias("mates")), "mates")
     hubs = members.join(mates, "digest").groupBy("key").agg(F.max(F.struct("mates", "digest")).alias("hub")).select("key", F.col("hub.digest").alias("hub"))
     text = F.coalesce(exact_col(text_col), F.lit(""))
-    texts = written(docs.select(word_digest(text).alias("digest"), text.alias("text")).join(mates.hint("merge"), "digest", "left_semi").groupBy("digest").agg(F.first("text").alias("text")), "candidate-texts")
+    copies = save(docs.select(word_digest(text).alias("digest"), text.alias("text")).join(mates.hint("merge"), "digest", "left_semi"), "candidate-rows")
+    texts = save(copies.groupBy("digest").agg(F.first("text").alias("text")), "candidate-texts")
+    remove(spark, scratch.pop(-2))
 
     pair = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
     edge = lambda df: df.filter("linked").select(F.col("a").alias("u"), F.col("b").alias("v"))
-    stars = written(members.select("key", "digest").join(hubs, "key").filter("digest <> hub").select(*pair("digest", "hub")).distinct(), "stars")
-    checked = _verified(stars, texts, threshold)
-    labels = written(components(edge(checked)), "labels")
+    stars = save(members.select("key", "digest").join(hubs, "key").filter("digest <> hub").select(*pair("digest", "hub")).distinct(), "stars")
+    checked = _verified(stars, texts, threshold, scratch)
+    labels = save(components(edge(checked)), "labels")
     labelled = members.select("key", "digest").join(labels.withColumnRenamed("node", "digest"), "digest", "left").withColumn("label", F.coalesce("label", "digest"))
     mixed = labelled.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").select("key")
     words = [(c, i) for c, n in (("sketch", -(-bands * rows // 32)), ("parity", PARITY)) for i in range(n)]
     plain = [F.col(c)[i].alias(f"{c}{i}") for c, i in words]  # columns instead of arrays keep the join's code small enough to be compiled
-    active = written(labelled.join(mixed, "key", "left_semi").join(reps.select("digest", "keys", "total", *plain), "digest"), "active")
+    active = save(labelled.join(mixed, "key", "left_semi").join(reps.select("digest", "keys", "total", *plain), "digest"), "active")
     x, y = (active.select("key", *(F.col(c).alias(f"{c}_{side}") for c in ("digest", "label", "keys", "total", *(f"{c}{i}" for c, i in words)))) for side in "xy")
     apart = (x["key"] == y["key"]) & (F.col("digest_x") < F.col("digest_y")) & (F.col("label_x") != F.col("label_y"))
     first = F.array_intersect("keys_x", "keys_y")[0] == x["key"]  # a pair is formed in its first common bucket only
     close = x.join(y, apart & alike("x", "y", bands * rows, threshold) & possible("x", "y", threshold) & first)
-    left = written(close.select(F.col("digest_x").alias("a"), F.col("digest_y").alias("b")), "pairs")
-    labels = written(components(edge(_verified(left, texts, threshold)).unionByName(labels.select(F.col("node").alias("u"), F.col("label").alias("v")))), "labels")
-    classed = reps.select("digest", "id", "copies").join(labels.withColumnRenamed("node", "digest"), "digest", "left").withColumn("label", F.coalesce("label", "digest"))
-    classes = classed.groupBy("label").agg(F.min("id").alias("class_id"), F.sum("copies").alias("n_docs"), F.count(F.lit(1)).alias("n_texts"))
-    known = written(classed.select("digest", "label").join(classes, "label").drop("label"), "classes")
-    return signed.select(F.col("id").alias("doc_id"), "digest").join(known, "digest").drop("digest")
+    left = save(close.select(F.col("digest_x").alias("a"), F.col("digest_y").alias("b")), "pairs")
+    labels = save(components(edge(_verified(left, texts, threshold, scratch)).unionByName(labels.select(F.col("node").alias("u"), F.col("label").alias("v")))), "labels")
+    classed = save(reps.select("digest", "id", "copies").join(labels.withColumnRenamed("node", "digest"), "digest", "left").withColumn("label", F.coalesce("label", "digest")), "classed")
+    classes = save(classed.groupBy("label").agg(F.min("id").alias("class_id"), F.sum("copies").alias("n_docs"), F.count(F.lit(1)).alias("n_texts")), "classes")
+    known = written(classed.select("digest", "label").join(classes, "label").drop("label"), "known")
+    for path in scratch:
+        remove(spark, path)
+    return ids.withColumnRenamed("id", "doc_id").join(known, "digest").drop("digest")
 
 
 def op2_bag_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:

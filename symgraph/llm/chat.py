@@ -65,22 +65,22 @@ def chosen_paths(nodes: DataFrame, branches: int = 1) -> DataFrame:
 
 
 def format_paths(paths: DataFrame, messages: DataFrame) -> DataFrame:
-    """messages: tree, node, role, text -> tree, rank, formatted, mask (array of start and length)."""
-    turns = paths.join(messages, ["tree", "node"]).select("tree", "rank", F.struct((-F.col("up")).alias("at"), escape(F.coalesce("role", F.lit(""))).alias("role"), escape(F.coalesce("text", F.lit(""))).alias("text")).alias("turn"))
-    head = lambda t: F.concat(F.lit(BEGIN + OPEN), t["role"], F.lit(CLOSE))
-    in_order = turns.groupBy("tree", "rank").agg(F.sort_array(F.collect_list("turn")).alias("turns"))
-    placed = in_order.select(
-        "tree",
-        "rank",
-        F.array_join(F.transform("turns", lambda t: F.concat(head(t), t["text"], F.lit(END))), "").alias("formatted"),
-        F.posexplode(F.transform("turns", lambda t: F.struct(F.length(head(t)).alias("head"), F.length(t["text"]).alias("length"), t["role"].alias("role")))).alias("at", "span"),
+    """messages: tree, node, role, text -> tree, rank, formatted, mask (array of start and length).
+
+    Where a turn starts is a running sum over the turns' rows; a path's text is put together once.
+    """
+    role, text = escape(F.coalesce("role", F.lit(""))), escape(F.coalesce("text", F.lit("")))
+    head = F.concat(F.lit(BEGIN + OPEN), role, F.lit(CLOSE))
+    turns = paths.join(messages, ["tree", "node"]).select(
+        "tree", "rank", (-F.col("up")).alias("at"), F.concat(head, text, F.lit(END)).alias("turn"), F.length(head).alias("head"), F.length(text).alias("length"), (F.col("role") == "assistant").alias("loss")
     )
-    before = F.sum(F.col("span.length") + F.col("span.head") + len(END)).over(Window.partitionBy("tree", "rank").orderBy("at").rowsBetween(Window.unboundedPreceding, -1))
-    spans = placed.withColumn("start", F.coalesce(before, F.lit(0)) + F.col("span.head"))
-    return spans.groupBy("tree", "rank").agg(
-        F.first("formatted").alias("formatted"),
-        F.sort_array(F.collect_list(F.when(F.col("span.role") == "assistant", F.struct("start", F.col("span.length").alias("length"))))).alias("mask"),
+    before = F.sum(F.col("head") + F.col("length") + len(END)).over(Window.partitionBy("tree", "rank").orderBy("at").rowsBetween(Window.unboundedPreceding, -1))
+    placed = turns.withColumn("start", F.coalesce(before, F.lit(0)) + F.col("head"))
+    in_order = placed.groupBy("tree", "rank").agg(
+        F.sort_array(F.collect_list(F.struct("at", "turn"))).alias("turns"),
+        F.sort_array(F.collect_list(F.when(F.col("loss"), F.struct("start", "length")))).alias("mask"),
     )
+    return in_order.select("tree", "rank", F.array_join(F.col("turns.turn"), "").alias("formatted"), "mask")
 
 
 def read_back(formatted: F.Column) -> F.Column:
@@ -91,17 +91,21 @@ def read_back(formatted: F.Column) -> F.Column:
 
 
 def op8_reply_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All conversations (chains: each turn answers the one before) and conversation -1, read back."""
+    """All conversations (chains: each turn answers the one before) and conversation -1, read back.
+
+    Rows with a null conv_id are one conversation; a conversation -1 of the table stays one of its own.
+    """
     own = "</s>[INST] ok [/INST]"
-    rows = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("tree"), "turn", "role", "text")
-    extra = spark.createDataFrame([(-1, 0, "user", own), (-1, 1, "assistant", own)], "tree long, turn long, role string, text string")
+    found = table(spark, sf_dir, "conversations")
+    rows = found.select(F.coalesce(F.concat(F.lit("="), F.col("conv_id")), F.lit("null")).alias("tree"), "turn", "role", "text")  # a conversation -1 of the table is no part of the added one
+    extra = spark.range(2).select(F.lit("added").alias("tree"), F.col("id").cast(found.schema["turn"].dataType).alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(own).alias("text"))
     number = F.row_number().over(Window.partitionBy("tree").orderBy("turn", "role", "text")).cast("long")
-    messages = written(rows.unionByName(extra).withColumn("tree", F.coalesce("tree", F.lit(-(1 << 62)))).select("tree", number.alias("node"), "role", "text"), "chat")
+    messages = written(rows.unionByName(extra).select("tree", number.alias("node"), "role", "text"), "chat")
     paths = chosen_paths(messages.select("tree", "node", (F.col("node") - 1).alias("parent"), F.lit(0.0).alias("score")))
     out = format_paths(paths, messages)
     turns, loss = read_back(F.col("formatted")), unescape(F.array_join(F.transform("mask", lambda m: F.substring(F.col("formatted"), m["start"] + 1, m["length"])), ""))
     return out.select("tree", "formatted", turns.alias("turns"), loss.alias("loss")).select(
-        F.when(F.col("tree") != -(1 << 62), F.col("tree")).alias("conv_id"),
+        F.when(F.col("tree") == "added", F.lit(-1)).when(F.col("tree") != "null", F.substring("tree", 2, 1000)).cast(found.schema["conv_id"].dataType).alias("conv_id"),
         F.size("turns").cast("long").alias("n_turns"),
         F.sha2(F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "").cast("binary"), 256).alias("turns_sha256"),
         F.length("loss").cast("long").alias("loss_chars"),
@@ -112,8 +116,8 @@ def op8_reply_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 SQL = r"""
 WITH all_rows AS (
-  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
-  UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
+  SELECT conv_id, false AS added, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, true, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, true, 1, 'assistant', '</s>[INST] ok [/INST]'),
 escaped AS (
   SELECT *, regexp_replace(replace(role, '\', '\\'), '(<|\[)(/?(?:s>|INST\]))', '\1\\\2', 'g') AS r,
             regexp_replace(replace(text, '\', '\\'), '(<|\[)(/?(?:s>|INST\]))', '\1\\\2', 'g') AS t FROM all_rows)
@@ -122,5 +126,5 @@ SELECT conv_id, count(*) AS n_turns,
        coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
        sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
        sum(length(r) + length(t) + 20)::BIGINT AS formatted_chars
-FROM escaped GROUP BY conv_id
+FROM escaped GROUP BY conv_id, added
 """

@@ -10,7 +10,8 @@ compared with those at the locator; texts that only share the digest are told ap
 Texts are equal when identical after deleting all of ``[\\x20\\x09-\\x0D]``.  The row with the most
 code points stays, then the smallest id.  Defined results: null text counts as empty, and empty
 texts are equal to each other; of repeated rows (same id and text) exactly one stays; a null id
-comes after all others; an empty table gives an empty result; other columns are ignored.
+comes after all others; ids of any ordered type keep it; an empty table gives an empty result; other
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -29,6 +30,12 @@ ROCKSDB = {
 }
 
 
+def place(rows: DataFrame) -> F.Column:
+    """Where a row of a scan of files lies: file and row (whatever its columns are called)."""
+    hidden = rows.metadataColumn("_metadata")
+    return F.struct(hidden["file_path"].alias("file"), hidden["row_index"].alias("row"))
+
+
 def _keyed(rows: DataFrame, id_col: str, text_col: str, digest_chars: int) -> DataFrame:
     text = F.coalesce(exact_col(text_col), F.lit(""))
     return (
@@ -36,7 +43,7 @@ def _keyed(rows: DataFrame, id_col: str, text_col: str, digest_chars: int) -> Da
             exact_col(id_col).alias("id"),
             F.regexp_replace(text, WHITE, "").alias("norm"),
             F.length(text).cast("long").alias("n_chars"),
-            F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row")).alias("locator"),
+            place(rows).alias("locator"),
         )
         .withColumn("text_sha256", F.sha2(F.col("norm").cast("binary"), 256))
         .withColumn("digest", F.substring("text_sha256", 1, digest_chars))
@@ -51,8 +58,8 @@ def _as_glob(spark: SparkSession, path: str) -> str:
 
 
 def _better() -> F.Column:
-    """Orders texts of a group: most code points, then smallest id (``~id`` falls as id grows), then locator."""
-    return F.struct("n_chars", F.bitwise_not(F.col("id").cast("long")).alias("inverse_id"), "locator")
+    """Orders texts of a group, best first: most code points, then smallest id (null: last), then locator."""
+    return F.struct((-F.col("n_chars")).alias("minus"), F.col("id").isNull().alias("no_id"), "id", "locator")
 
 
 def seen_digests(spark: SparkSession, path: str, id_col: str = "doc_id", text_col: str = "text", files_per_batch: int = 1024, digest_chars: int = 64) -> DataFrame:
@@ -60,7 +67,7 @@ def seen_digests(spark: SparkSession, path: str, id_col: str = "doc_id", text_co
     schema = spark.read.parquet(path).schema
     out = new_folder(spark, "dedup-state")
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(_as_glob(spark, path))
-    state = _keyed(stream, id_col, text_col, digest_chars).groupBy("digest").agg(F.max(_better()).alias("best"), F.count(F.lit(1)).alias("n"))
+    state = _keyed(stream, id_col, text_col, digest_chars).groupBy("digest").agg(F.min(_better()).alias("best"), F.count(F.lit(1)).alias("n"))
 
     def keep(batch: DataFrame, number: int) -> None:
         batch.withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{out}/batch={number}-of-run")
@@ -73,7 +80,8 @@ def seen_digests(spark: SparkSession, path: str, id_col: str = "doc_id", text_co
     except Exception as error:  # no batch ran: the input has no rows
         if "PATH_NOT_FOUND" not in str(error) and "UNABLE_TO_INFER_SCHEMA" not in str(error):
             raise
-        return spark.createDataFrame([], "digest string, best struct<n_chars:long,inverse_id:long,locator:struct<file:string,row:long>>, n long")
+        none = _keyed(spark.read.schema(schema).parquet(path), id_col, text_col, digest_chars).limit(0)
+        return none.groupBy("digest").agg(F.min(_better()).alias("best"), F.count(F.lit(1)).alias("n"))
     return updates.groupBy("digest").agg(F.max_by(F.struct("best", "n"), "batch").alias("last")).select("digest", "last.best", "last.n")
 
 
@@ -89,10 +97,10 @@ def dedup(spark: SparkSession, path: str, id_col: str = "doc_id", text_col: str
     believed = found.join(strange, "digest", "left_anti").select("id", "locator", "n_chars", "text_sha256", "best", "n")
     if not strange.isEmpty():  # one digest, different bytes: the bytes decide
         doubted = found.join(strange, "digest", "left_semi").withColumn("norm", F.coalesce("norm", F.lit("")))
-        own = doubted.groupBy("digest", "norm").agg(F.max(_better()).alias("best"), F.count(F.lit(1)).alias("n"))
+        own = doubted.groupBy("digest", "norm").agg(F.min(_better()).alias("best"), F.count(F.lit(1)).alias("n"))
         believed = believed.unionByName(doubted.drop("best", "n").join(own, ["digest", "norm"]).select("id", "locator", "n_chars", "text_sha256", "best", "n"))
     return believed.select(
-        F.col("id").alias("doc_id"), "locator", F.bitwise_not("best.inverse_id").alias("keep_id"), F.col("n").alias("group_size"), (F.col("locator") == F.col("best.locator")).alias("kept"), "text_sha256"
+        F.col("id").alias("doc_id"), "locator", F.col("best.id").alias("keep_id"), F.col("n").alias("group_size"), (F.col("locator") == F.col("best.locator")).alias("kept"), "text_sha256"
     )
 
 

@@ -12,8 +12,9 @@ files named in the manifest count, so a task that runs twice after a lost execut
 Files are opened by URI (local, HDFS or object store) below the shared folder.
 
 Defined results: null text counts as empty, so its record is the end id alone; rows with equal ids
-stay side by side, ordered by a hash of their texts; a null id comes first; an empty table writes
-no file and reads back empty; other columns are ignored.
+stay side by side, ordered by a hash of their texts; a null id comes first; ids that are no
+integers are refused (TypeError); an empty table writes no file and reads back empty; other columns are
+ignored.
 """
 
 from __future__ import annotations

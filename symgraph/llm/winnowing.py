@@ -13,8 +13,8 @@ overlapping pieces; that changes nothing, because a window's choice depends on t
 Defined results: null text counts as empty; an empty text has an empty fingerprint; a text shorter
 than k has one entry, its whole; one with fewer than w grams has the minimum of these; likeness is
 the Jaccard similarity of the hash sets, 1 for two empty ones; rows with equal ids are ordered by a
-hash of their texts; a null id comes first; an empty table gives an empty result; other columns
-are ignored.
+hash of their texts; a null id comes first; ids that are no integers are refused (TypeError); an
+empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations

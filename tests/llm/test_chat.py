@@ -57,7 +57,7 @@ def test_format_masks_assistant_texts(spark):
 
 
 def test_query_on_odd_tables(spark, tmp_path):
-    rows = [(5, 0, "user", None), (5, 0, None, "x"), (5, 0, None, "x"), (None, 1, "assistant", "y"), (6, None, "assistant", "z")]
+    rows = [(5, 0, "user", None), (5, 0, None, "x"), (5, 0, None, "x"), (None, 1, "assistant", "y"), (6, None, "assistant", "z"), (-1, 7, "user", "own")]
     spark.createDataFrame([(*r, 1) for r in rows], "conv_id long, turn long, role string, text string, tree int").write.parquet(f"{tmp_path}/conversations.parquet")
-    got = {r.conv_id: (r.n_turns, r.loss_chars) for r in op8_reply_trees(spark, f"file://{tmp_path}").collect()}
-    assert got == {-1: (2, 21), 5: (3, 0), None: (1, 1), 6: (1, 1)}
+    got = sorted((str(r.conv_id), r.n_turns, r.loss_chars) for r in op8_reply_trees(spark, f"file://{tmp_path}").collect())
+    assert got == [("-1", 1, 0), ("-1", 2, 21), ("5", 3, 0), ("6", 1, 1), ("None", 1, 1)]
