@@ -2,39 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import catalog_code
 from .functions import text
 from .operators import pattern, security, store, traverse
 from .plans import fixtures
+from .registry import oracle_sql, queries, query, register
 from .sources import code, spectree
 from .sources import testgraph as g
 
-Query = Callable[[SparkSession, str], DataFrame]
 PART = 5 * g.STEP
+__all__ = ["oracle_sql", "queries"]
 _WITH, _WITH_RECURSIVE, _WEB = f"WITH {g.SQL}", f"WITH RECURSIVE {g.SQL}", f"WITH {fixtures.WEB_SQL}"
-_found: dict[str, tuple[Query, str | None]] = {}
-
-
-def query(sql: str | None = None):
-    def add(f: Query) -> Query:
-        _found[f.__name__] = (f, sql)
-        return f
-
-    return add
-
-
-def queries() -> dict[str, Query]:
-    return {k: f for k, (f, _) in _found.items()}
-
-
-def oracle_sql() -> dict[str, str]:
-    return {k: sql for k, (_, sql) in _found.items() if sql}
-
-
 RELS = ("CALLS", "DEFINES", "CONTAINS", "SUPPLIED_BY", "EXTENDS")
 
 
@@ -61,11 +41,11 @@ def prefix_search(spark, d):
 
 
 @query(f"""{_WITH}, t AS (SELECT name AS x, path AS f FROM nodes WHERE id = {PART + 7})
-SELECT id, label, name, path, path = f AS in_file FROM nodes, t WHERE label = 'Part' AND name = x ORDER BY path = f DESC, path, name, id LIMIT 20""")
+SELECT id, label, name, path, contains(path, f) AS in_file FROM nodes, t WHERE label = 'Part' AND name = x ORDER BY contains(path, f) DESC, path, name, id LIMIT 20""")
 def find_symbol(spark, d):
     nodes = g.nodes(spark, d, "Part")
-    one = nodes.filter(F.col("id") == PART + 7).first()
-    return pattern.find_symbol(nodes, f"module.{one['name']}", one["path"])
+    asked = nodes.filter(F.col("id") == PART + 7).select(F.concat(F.lit("module."), "name").alias("name"), F.col("path").alias("file"))
+    return pattern.find_symbols(nodes, asked).drop("asked", "n")
 
 
 def _hop(near: str, far: str, direction: str) -> str:
@@ -99,12 +79,12 @@ def dependencies_ranked(spark, d):
 
 @query(f"{_WITH} SELECT src AS origin, count(*) AS n, string_agg(name, ',' ORDER BY name) AS names FROM calls JOIN nodes ON id = dst GROUP BY src")
 def callees_collect(spark, d):
-    return pattern.collect_neighbors(g.edges(spark, d, "CALLS"), g.nodes(spark, d, "Part"), "CALLS")
+    return pattern.collect_neighbors(g.edges(spark, d, "CALLS"), g.nodes(spark, d, "Part"), "CALLS").drop("found")
 
 
 @query(f"{_WITH} SELECT dst AS origin, count(*) AS n, string_agg(name, ',' ORDER BY name) AS names FROM calls JOIN nodes ON id = src GROUP BY dst")
 def callers_collect(spark, d):
-    return pattern.collect_neighbors(g.edges(spark, d, "CALLS"), g.nodes(spark, d, "Part"), "CALLS", "IN")
+    return pattern.collect_neighbors(g.edges(spark, d, "CALLS"), g.nodes(spark, d, "Part"), "CALLS", "IN").drop("found")
 
 
 @query(f"{_WITH} SELECT id, name, CASE WHEN dst IS NULL THEN NULL ELSE 'CALLS' END AS rel, dst FROM nodes LEFT JOIN calls ON id = src WHERE label = 'Part'")
@@ -124,31 +104,31 @@ SELECT id, min(depth) AS depth FROM r GROUP BY id"""
 
 @query(_impact_sql("src", "dst", 3))
 def impact_out(spark, d):
-    return traverse.impact(g.edges(spark, d, "CALLS"), [PART], "OUT", 3)
+    return traverse.impact(g.edge_table(spark, d, "CALLS"), [PART], "OUT", 3)
 
 
 @query(_impact_sql("dst", "src", 3))
 def impact_in(spark, d):
-    return traverse.impact(g.edges(spark, d, "CALLS"), [PART], "IN", 3)
+    return traverse.impact(g.edge_table(spark, d, "CALLS"), [PART], "IN", 3)
 
 
 @query(_impact_sql("src", "dst", 6))
 def impact_deep(spark, d):
-    return traverse.impact(g.edges(spark, d, "CALLS"), [PART], "OUT", 6)
+    return traverse.impact(g.edge_table(spark, d, "CALLS"), [PART], "OUT", 6)
 
 
 @query(f"""{_WITH_RECURSIVE}, p AS (SELECT dst, [src, dst] AS nodes, [src || '>' || dst] AS used FROM calls WHERE src = {PART} UNION ALL
 SELECT c.dst, list_append(nodes, c.dst), list_append(used, c.src || '>' || c.dst) FROM p JOIN calls c ON c.src = p.dst WHERE len(used) < 4 AND NOT list_contains(used, c.src || '>' || c.dst))
 SELECT dst, len(nodes) - 1 AS length, array_to_string(nodes, '>') AS path FROM p""")
 def call_paths(spark, d):
-    return traverse.call_paths(g.edges(spark, d, "CALLS"), PART, max_len=4).select("dst", "length", F.array_join(F.transform("nodes", lambda n: n.cast("string")), ">").alias("path"))
+    return traverse.call_paths(g.edge_table(spark, d, "CALLS"), PART, max_len=4).select("dst", "length", F.array_join(F.transform("nodes", lambda n: n.cast("string")), ">").alias("path"))
 
 
 @query(f"""{_WITH_RECURSIVE}, r AS (SELECT {PART} AS src, {PART} AS id, 0 AS hops UNION SELECT r.src, c.dst, hops + 1 FROM r JOIN calls c ON c.src = r.id WHERE hops < 5)
 SELECT src, id AS dst, min(hops) AS hops FROM r WHERE hops > 0 AND id <> src GROUP BY ALL""")
 def shortest_path(spark, d):
     start = spark.createDataFrame([(PART,)], "id long")
-    return traverse.shortest_paths(g.edges(spark, d, "CALLS"), start, g.nodes(spark, d, "Part"), 5)
+    return traverse.shortest_paths(g.edge_table(spark, d, "CALLS"), start, g.nodes(spark, d, "Part"), 5).drop("nodes")
 
 
 @query("""WITH m AS (SELECT DISTINCT 2000000000000 + c_nationkey AS owner, n_regionkey, c_mktsegment AS name FROM customer JOIN nation ON c_nationkey = n_nationkey)
@@ -164,7 +144,7 @@ def overrides(spark, d):
 @query(f"""{_WITH_RECURSIVE}, r AS (SELECT id AS root, id, 0 AS depth FROM nodes WHERE label = 'Region' UNION ALL SELECT root, dst, depth + 1 FROM r JOIN defines ON src = r.id)
 SELECT root, depth, count(*) AS n FROM r GROUP BY ALL""")
 def define_closure(spark, d):
-    return traverse.closure(g.edges(spark, d, "DEFINES"), g.nodes(spark, d, "Region")).groupBy("root", "depth").agg(F.count(F.lit(1)).alias("n"))
+    return traverse.closure(g.edge_table(spark, d, "DEFINES"), g.nodes(spark, d, "Region")).groupBy("root", "depth").agg(F.count(F.lit(1)).alias("n"))
 
 
 _ACROSS = "across AS (SELECT src, dst, a.path AS sp, b.path AS dp FROM calls JOIN nodes a ON a.id = src JOIN nodes b ON b.id = dst WHERE a.path <> b.path)"
@@ -172,13 +152,14 @@ _ACROSS = "across AS (SELECT src, dst, a.path AS sp, b.path AS dp FROM calls JOI
 
 @query(f"""{_WITH}, {_ACROSS}, b AS (SELECT sp AS file, dp AS neighbour, 'CALLS:OUT' AS how FROM across UNION ALL SELECT dp, sp, 'CALLS:IN' FROM across),
 c AS (SELECT file, neighbour, how, count(*) AS c FROM b GROUP BY ALL)
-SELECT file, neighbour, sum(c)::BIGINT AS n, string_agg(how || '=' || c, ',' ORDER BY how) AS relations FROM c GROUP BY file, neighbour ORDER BY n DESC, file, neighbour LIMIT 100""")
+SELECT file, neighbour, sum(c)::BIGINT AS n, string_agg(how || '=' || c, ',' ORDER BY how) AS relations, count(*) OVER (PARTITION BY file) AS total, count(*) OVER (PARTITION BY file) > 3 AS truncated
+FROM c GROUP BY file, neighbour QUALIFY row_number() OVER (PARTITION BY file ORDER BY n DESC, neighbour) <= 3""")
 def file_coupling(spark, d):
-    return pattern.file_coupling(g.edges(spark, d, "CALLS"), g.nodes(spark, d, "Part"), limit=100)
+    return pattern.file_coupling(g.edges(spark, d, "CALLS"), g.nodes(spark, d, "Part"), limit=3)
 
 
 @query(f"""{_WITH}, {_ACROSS}, c AS (SELECT path, count(dst) AS in_degree FROM (SELECT DISTINCT path FROM nodes WHERE label = 'Part') LEFT JOIN across ON dp = path GROUP BY path)
-SELECT path, in_degree, round((ln(1 + in_degree) - min(ln(1 + in_degree)) OVER ()) / (max(ln(1 + in_degree)) OVER () - min(ln(1 + in_degree)) OVER ()), 4) AS centrality FROM c""")
+SELECT path, in_degree, round_even((ln(1 + in_degree) - min(ln(1 + in_degree)) OVER ()) / (max(ln(1 + in_degree)) OVER () - min(ln(1 + in_degree)) OVER ()), 4) AS centrality FROM c""")
 def centrality(spark, d):
     return pattern.centrality(g.edges(spark, d, "CALLS"), g.nodes(spark, d, "Part"))
 
@@ -203,37 +184,29 @@ def resolve_cascade(spark, d):
     return ranked[0].unionByName(ranked[1]).unionByName(ranked[2]).orderBy("rank", "id").limit(1)
 
 
-QUERY_WORDS = ["the", "der", "idiot", "erthat"]
-_TOKENS = "toks AS (SELECT doc_id AS id, source, [lower(x) for x in regexp_extract_all(text, '[a-z]+')] AS t FROM documents)"
+QUERY_WORDS = ["the", "der", "idiot", "the", "erthat"]
+#: The sub-tokens of an identifier x: a break before the last capital of a run stands for the look-ahead that SQL's patterns lack.
+_SUB = r"list_append(list_transform(flatten(list_transform(string_split(x, '_'), lambda p: regexp_extract_all(regexp_replace(p, '([A-Z]+)([A-Z][a-z])', '\1_\2', 'g'), '[A-Z]?[a-z0-9]+|[A-Z]+'))), lambda t: lower(t)), lower(x))"
+TOKENS_SQL = f"flatten(list_transform(regexp_extract_all(TEXT, '[A-Za-z_][A-Za-z0-9_]*'), lambda x: {_SUB}))"
+_TOKENS = f"toks AS (SELECT doc_id AS id, source, {TOKENS_SQL.replace('TEXT', 'text')} AS t FROM documents)"
 
 
 @query(f"WITH {_TOKENS} SELECT w AS token, count(*) AS tf, count(DISTINCT id) AS df FROM (SELECT id, unnest(t) AS w FROM toks) GROUP BY w")
 def doc_tokens(spark, d):
-    words = g.table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.explode(F.regexp_extract_all("text", F.lit("([a-z]+)"), F.lit(1))).alias("token"))
+    words = g.table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.explode(text.tokens(F.coalesce("text", F.lit("")))).alias("token"))
     per_doc = words.groupBy("token", "id").agg(F.count(F.lit(1)).alias("c"))
     return per_doc.groupBy("token").agg(F.sum("c").alias("tf"), F.count(F.lit(1)).alias("df"))
 
 
-_BM25 = f"""{_TOKENS}, q AS (SELECT unnest({QUERY_WORDS}) AS w), st AS (SELECT count(*) AS n, avg(len(t)) AS avgdl FROM toks),
+_BM25 = f"""{_TOKENS}, q AS (SELECT DISTINCT unnest({QUERY_WORDS}) AS w), st AS (SELECT count(*) AS n, avg(len(t)) AS avgdl FROM toks),
 tf AS (SELECT id, w, len([x for x in t if x = w]) AS tf, len(t) AS dl FROM toks, q), df AS (SELECT w, count(*) AS df FROM tf WHERE tf > 0 GROUP BY w),
 bm AS (SELECT id, sum(coalesce(ln(1 + (n - coalesce(df, 0) + 0.5) / (coalesce(df, 0) + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl)), 0)) AS score FROM tf LEFT JOIN df USING (w), st GROUP BY id)"""
 
 
-def _corpus(spark, d):
-    return g.table(spark, d, "documents").select(F.col("doc_id").alias("id"), "source", F.regexp_extract_all("text", F.lit("([a-z]+)"), F.lit(1)).alias("tokens"))
-
-
 @query(f"WITH {_BM25} SELECT id, round(score, 6) AS score FROM bm ORDER BY bm.score DESC, id LIMIT 20")
 def bm25_topk(spark, d):
-    return text.bm25(_corpus(spark, d), QUERY_WORDS).orderBy(F.desc("score"), "id").limit(20).select("id", F.round("score", 6).alias("score"))
-
-
-@query(f"""WITH {_BM25}, f AS (SELECT source || '/' || id AS path, score AS body, id % 7 AS cen FROM bm JOIN (SELECT doc_id AS id, source FROM documents) USING (id)),
-r AS (SELECT *, 0.0 AS nm FROM f), b AS (SELECT min(body) AS bl, max(body) AS bh, min(cen) AS cl, max(cen) AS ch FROM r)
-SELECT path, round(1.5 * (body - bl) / (bh - bl) + 0.5 * (cen - cl) / (ch - cl)::DOUBLE, 4) AS score FROM r, b WHERE body > 0 ORDER BY score DESC, path LIMIT 10""")
-def hybrid_rank(spark, d):
-    files = _corpus(spark, d).select(F.concat_ws("/", "source", "id").alias("path"), "tokens", F.array(F.col("source")).alias("names"), (F.col("id") % 7).cast("double").alias("centrality"))
-    return text.hybrid_rank(files, QUERY_WORDS)
+    corpus = g.table(spark, d, "documents").select(F.col("doc_id").alias("id"), text.tokens(F.coalesce("text", F.lit(""))).alias("tokens"))
+    return text.bm25(corpus, QUERY_WORDS).orderBy(F.desc("score"), "id").limit(20).select("id", F.round("score", 6).alias("score"))
 
 
 _IDENTIFIERS = ["HTTPServer2X", "parse_tokens", "plain", "_x1Y", "getURLName"]
@@ -259,29 +232,25 @@ def _web(rule, **options):
     return lambda spark, d: rule(*fixtures.web(spark), **options)
 
 
-def _register(name: str, f: Query, sql: str) -> None:
-    _found[name] = (f, sql)
-
-
-_register("xss", _web(security.xss), f"""{_WEB} SELECT v.name AS "UnsafeVariable", h.name AS "TargetElement", v.path AS "SourceFile", v.line AS "SourceLine" FROM e JOIN n v ON v.id = e.src AND v.label = 'Variable'
+register("xss", _web(security.xss), f"""{_WEB} SELECT v.name AS "UnsafeVariable", h.name AS "TargetElement", v.path AS "SourceFile", v.line AS "SourceLine" FROM e JOIN n v ON v.id = e.src AND v.label = 'Variable'
 JOIN n h ON h.id = e.dst AND h.label = 'HtmlElement' WHERE e.rel = 'INJECTED_INTO' AND v.id NOT IN (SELECT src FROM e WHERE rel = 'PROCESSED_BY')""")
 _DRIFT = f"""{_WEB}, guarded AS (SELECT src FROM e JOIN n ON n.id = dst WHERE rel = 'HAS_DECORATOR' AND name = 'login_required'),
 f AS (SELECT * FROM n WHERE label = 'Function' AND id NOT IN (SELECT src FROM guarded)), g AS (SELECT route FROM n WHERE label = 'Function' AND id IN (SELECT src FROM guarded))
 SELECT s.name AS "DocumentedSection", r.path AS "UnsecuredRoute", r.name AS "Method", coalesce(f.name, 'no handler found') AS "HandlerFunction", f.id AS "HandlerSymbolId"
 FROM e JOIN n s ON s.id = e.src JOIN n r ON r.id = e.dst LEFT JOIN f ON f.route = r.path WHERE e.rel = 'DEFINES_ROUTE'"""
-_register("auth_drift", _web(security.auth_drift), _DRIFT)
-_register("auth_drift_strict", _web(security.auth_drift, strict=True), f"{_DRIFT} AND r.path NOT IN (SELECT route FROM g)")
+register("auth_drift", _web(security.auth_drift), _DRIFT)
+register("auth_drift_strict", _web(security.auth_drift, strict=True), f"{_DRIFT} AND r.path NOT IN (SELECT route FROM g)")
 for _name, _need, _kind in (("path_traversal", True, "JOIN"), ("path_traversal_all", False, "LEFT JOIN")):
-    _register(_name, _web(security.path_traversal, need_caller=_need), f"""{_WEB} SELECT o.name AS "Operation", o.path AS "SourceFile", o.line AS "SourceLine", coalesce(f.name, 'unknown') AS "CallerFunction", f.id AS "CallerSymbolId"
+    register(_name, _web(security.path_traversal, need_caller=_need), f"""{_WEB} SELECT o.name AS "Operation", o.path AS "SourceFile", o.line AS "SourceLine", coalesce(f.name, 'unknown') AS "CallerFunction", f.id AS "CallerSymbolId"
 FROM n o {_kind} e ON e.dst = o.id AND e.rel = 'HAS_FS_OP' {_kind} n f ON f.id = e.src WHERE o.label = 'FileSystemOp' AND o.tainted = 'true'""")
-_register("cve", _web(security.cve, package="yamlish"), f"""{_WEB} SELECT f.name AS "CallerFunction", f.path AS "CallerFile", x.name AS "VulnerableFunction", x.module AS "Module", f.id AS "CallerSymbolId"
+register("cve", _web(security.cve, package="yamlish"), f"""{_WEB} SELECT f.name AS "CallerFunction", f.path AS "CallerFile", x.name AS "VulnerableFunction", x.module AS "Module", f.id AS "CallerSymbolId"
 FROM e c JOIN n f ON f.id = c.src AND f.label = 'Function' JOIN n x ON x.id = c.dst AND x.label = 'ExternalFunction' JOIN e b ON b.src = x.id AND b.rel = 'BELONGS_TO' JOIN n p ON p.id = b.dst WHERE c.rel = 'CALLS' AND p.name = 'yamlish'""")
-_register("template_vars", _web(security.template_vars), f"""{_WEB} SELECT v.name AS variable, v.path AS var_src_file, v.line AS var_src_line, h.name AS element, h.path AS element_file, h.line AS element_line, f.id IS NOT NULL AS sanitized, f.name AS sanitizer
+register("template_vars", _web(security.template_vars), f"""{_WEB} SELECT v.name AS variable, v.path AS var_src_file, v.line AS var_src_line, h.name AS element, h.path AS element_file, h.line AS element_line, f.id IS NOT NULL AS sanitized, f.name AS sanitizer
 FROM e JOIN n v ON v.id = e.src JOIN n h ON h.id = e.dst AND h.label = 'HtmlElement' LEFT JOIN e s ON s.src = v.id AND s.rel = 'PROCESSED_BY' LEFT JOIN n f ON f.id = s.dst WHERE e.rel = 'INJECTED_INTO'""")
-_register("fs_ops", _web(security.fs_ops, tainted_only=False), f"""{_WEB} SELECT o.name AS op, o.tainted = 'true' AS tainted, o.path AS src_file, o.line AS src_line, f.name AS caller, f.id AS caller_symbol_id
+register("fs_ops", _web(security.fs_ops, tainted_only=False), f"""{_WEB} SELECT o.name AS op, o.tainted = 'true' AS tainted, o.path AS src_file, o.line AS src_line, f.name AS caller, f.id AS caller_symbol_id
 FROM n o LEFT JOIN e ON e.dst = o.id AND e.rel = 'HAS_FS_OP' LEFT JOIN n f ON f.id = e.src WHERE o.label = 'FileSystemOp'""")
-_register("decorators", _web(security.decorators, function_id=2), f"{_WEB} SELECT name, path AS src_file, line AS src_line FROM e JOIN n ON id = dst WHERE src = 2 AND rel = 'HAS_DECORATOR'")
-_register("mark_vulnerability", lambda spark, d: security.mark_vulnerability(*fixtures.web(spark), "yamlish").select("id", F.col("props")["status"].alias("status"), F.col("props")["module"].alias("module")),
+register("decorators", _web(security.decorators, function_id=2), f"{_WEB} SELECT name, path AS src_file, line AS src_line FROM e JOIN n ON id = dst WHERE src = 2 AND rel = 'HAS_DECORATOR'")
+register("mark_vulnerability", lambda spark, d: security.mark_vulnerability(*fixtures.web(spark), "yamlish").select("id", F.col("props")["status"].alias("status"), F.col("props")["module"].alias("module")),
           f"{_WEB} SELECT id, CASE WHEN id IN (SELECT src FROM e JOIN n p ON p.id = dst WHERE rel = 'BELONGS_TO' AND p.name = 'yamlish') THEN 'vulnerable' ELSE status END AS status, module FROM n")
 
 
@@ -309,14 +278,6 @@ def backlog_diff(spark, d):
     return store.backlog(part.filter("key % 7 <> 0"), after, ["key"])
 
 
-@query("SELECT o_orderkey, row_number() OVER (ORDER BY o_orderdate, o_orderkey) AS pos FROM orders WHERE o_custkey = 1")
-def list_commits(spark, d):
-    from pyspark.sql import Window
-
-    one = g.table(spark, d, "orders").filter("o_custkey = 1")  # one customer's history
-    return one.select("o_orderkey", F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")).alias("pos"))
-
-
 @query("SELECT * FROM (VALUES ('a.py', 2, 3), ('b.py', 3, 3), ('c.py', 3, 3), ('a.py', 2, 4), ('c.py', 3, 4), ('a.py', 1, 1), ('a.py', 2, 2)) t(path, valid_from, pos)")
 def switch_commit(spark, d):
     rows = store.versions(spark.createDataFrame(fixtures.COMMITS, "path string, pos int, change string"))
@@ -384,3 +345,6 @@ def spec_deltas(spark, d):
 def list_repos(spark, d):
     names = spark.createDataFrame([(x,) for x in ("legacy_proj", "code:newproj:main", "code:newproj:feat/x:y", "code:newproj:main_git", "code:newproj:main_schema")], "name string")
     return names.filter(~F.col("name").rlike("_(git|schema|tmp)$")).select("name", text.graph_key(F.col("name")).alias("k")).select("name", "k.project", "k.branch")
+
+
+register("hybrid_rank", catalog_code.hybrid_rank, catalog_code._search_sql())

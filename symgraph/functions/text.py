@@ -5,12 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..shared import written
+
+# The identifier and camel-case patterns, the BM25 constants, the weights of the hybrid score
+# (name, path, body, centrality, penalty) and the penalised paths decide the scores, so they must be these.
 IDENTIFIER = "[A-Za-z_][A-Za-z0-9_]*"
 _CAMEL = "[A-Z]+(?=[A-Z][a-z])|[A-Z]?[a-z0-9]+|[A-Z]+"
 K1, B = 1.5, 0.75
-#: Weights of name, path, body, centrality and penalty in the hybrid score.
 WEIGHTS = (2.0, 1.5, 1.5, 0.5, 1.0)
-PENALISED = r"(?i)(^|/)(tests?|docs?|examples?|vendor|third_party|node_modules)(/|$)|(^|/)test_[^/]*$|_test\.[^/]*$"
+LEAST_IDENTIFIER, BODY_TOKENS = 4, 4000
+PENALISED = r"(?i)(^|/)(tests?|testing|conftest|migrations?|legacy|vendor|vendored|third_party|__pycache__|examples?|docs?|benchmarks?)(/|$)|_test\.py$|(^|/)test_"
 
 
 def identifiers(text) -> F.Column:
@@ -25,31 +29,53 @@ def sub_tokens(identifier: F.Column) -> F.Column:
 
 def tokens(text) -> F.Column:
     """All sub-tokens of all identifiers of a text."""
-    return F.flatten(F.transform(identifiers(text), sub_tokens))
+
+    def split(word: F.Column) -> F.Column:
+        tail = F.substring(word, 2, 1 << 30)
+        whole = F.lower(word)  # a word without ``_`` and capitals behind its first letter is its own part
+        return F.when((F.lower(tail) == tail) & ~word.contains("_"), F.array(whole, whole)).otherwise(sub_tokens(word))
+
+    return F.filter(F.flatten(F.transform(identifiers(text), split)), lambda t: t != "")
 
 
 def query_identifiers(text) -> F.Column:
-    """Words of four letters or more: all inside backticks, elsewhere those that look like code."""
-    quoted = F.flatten(F.transform(F.regexp_extract_all(text, F.lit("`([^`]*)`"), F.lit(1)), identifiers))
-    rest = F.filter(identifiers(F.regexp_replace(text, "`[^`]*`", " ")), lambda w: w.contains("_") | w.rlike("[a-z][A-Z]") | w.rlike("^[A-Z]"))
-    return F.array_distinct(F.filter(F.concat(quoted, rest), lambda w: F.length(w) >= 4))
+    """Words of four letters or more in lower case: all inside backticks, elsewhere those that look like code."""
+    quoted = F.flatten(F.transform(F.regexp_extract_all(text, F.lit("`([^`]+)`"), F.lit(1)), identifiers))
+    rest = F.filter(identifiers(text), lambda w: w.contains("_") | w.rlike("[a-z][A-Z]") | w.rlike("^[A-Z]"))
+    return F.array_distinct(F.transform(F.filter(F.concat(quoted, rest), lambda w: F.length(w) >= LEAST_IDENTIFIER), lambda w: F.lower(w)))
 
 
-def bm25(docs: DataFrame, query: list[str], id_col: str = "id", tokens_col: str = "tokens") -> DataFrame:
-    """BM25 of every document (0 without a hit): id, score.  Documents without tokens count too."""
-    rows = docs.select(F.col(id_col).alias("id"), F.col(tokens_col).alias("tokens"))
-    # one pass: length and counts of the query's words alone, so no exploded corpus is shuffled
+def word_counts(found: F.Column, query: list[str]) -> list[F.Column]:
+    """How often each word of ``query`` is in an array of tokens: tf0, tf1, ..."""
+    wanted = F.filter(found, lambda t: t.isin(query))
     same = lambda w: lambda t: t == F.lit(w)
-    counts = [F.size(F.filter("tokens", same(w))).cast("double").alias(f"tf{i}") for i, w in enumerate(query)]
-    stats = rows.select("id", F.size("tokens").cast("double").alias("dl"), *counts)
-    total = stats.agg(F.count(F.lit(1)).cast("double").alias("n"), F.avg("dl").alias("avgdl"), *(F.sum((F.col(f"tf{i}") > 0).cast("double")).alias(f"df{i}") for i in range(len(query))))
-    joined = stats.join(F.broadcast(total))  # one row
+    return [F.size(F.filter(wanted, same(w))).cast("long").alias(f"tf{i}") for i, w in enumerate(query)]
+
+
+def bm25_totals(n_words: int) -> list[F.Column]:
+    """Number of documents, average length, and documents with each word, over rows of dl, tf0, tf1, ..."""
+    return [F.count(F.lit(1)).cast("double").alias("n"), F.avg("dl").alias("avgdl"), *(F.sum((F.col(f"tf{i}") > 0).cast("double")).alias(f"df{i}") for i in range(n_words))]
+
+
+def bm25_score(n_words: int) -> F.Column:
+    """The score of a row with dl, tf0, ... and the totals of all rows."""
     norm = K1 * (1 - B + B * F.col("dl") / F.when(F.col("avgdl") > 0, F.col("avgdl")).otherwise(1.0))
     score = F.lit(0.0)
-    for i in range(len(query)):
+    for i in range(n_words):
         tf, df = F.col(f"tf{i}"), F.col(f"df{i}")
         score = score + F.log(1 + (F.col("n") - df + 0.5) / (df + 0.5)) * tf * (K1 + 1) / (tf + norm)
-    return joined.select("id", score.alias("score"))
+    return score
+
+
+def bm25(docs: DataFrame, query: list[str], id_col: str = "id", tokens_col: str = "tokens") -> DataFrame:
+    """BM25 of every document (0 without a hit): id, score.  Documents without tokens count; a repeated query word counts once.
+
+    The texts are read once, into a narrow table of lengths and of counts of the query's words.
+    """
+    query = list(dict.fromkeys(query))
+    found = F.col(tokens_col)
+    stats = written(docs.select(F.col(id_col).alias("id"), F.size(found).cast("double").alias("dl"), *word_counts(found, query)), "bm25")
+    return stats.join(F.broadcast(stats.agg(*bm25_totals(len(query))))).select("id", bm25_score(len(query)).alias("score"))  # one row is broadcast
 
 
 def scaled(column: str, low: str, high: str, where: F.Column | None = None) -> F.Column:
@@ -58,30 +84,6 @@ def scaled(column: str, low: str, high: str, where: F.Column | None = None) -> F
     return value if where is None else F.when(where, value).otherwise(0.0)
 
 
-def hybrid_rank(files: DataFrame, query: list[str], limit: int = 10) -> DataFrame:
-    """files: path, names (array), tokens (array), centrality -> path, score of the best ``limit``.
-
-    The name term is scaled over files with a hit only, so equal hits all count 0; files without
-    any lexical signal are left out.
-    """
-    wanted = F.array(*map(F.lit, query))
-    hits = files.select(
-        "path", "centrality", F.col("tokens"),
-        F.size(F.filter("names", lambda n: F.array_contains(wanted, F.lower(n)))).cast("double").alias("name_hits"),
-        F.size(F.array_intersect(wanted, tokens(F.col("path")))).cast("double").alias("path_hits"),
-    )
-    body = bm25(hits.select("path", "tokens"), query, "path").select(F.col("id").alias("path"), F.col("score").alias("body"))
-    rows = hits.drop("tokens").join(body, "path")
-    bounds = rows.agg(*(f(F.when(F.col(c) > 0, F.col(c)) if c == "name_hits" else F.col(c)).alias(f"{c}_{n}") for c in ("name_hits", "path_hits", "body", "centrality") for f, n in ((F.min, "low"), (F.max, "high"))))
-    w = WEIGHTS
-    score = (
-        w[0] * scaled("name_hits", "name_hits_low", "name_hits_high", F.col("name_hits") > 0) + w[1] * scaled("path_hits", "path_hits_low", "path_hits_high")
-        + w[2] * scaled("body", "body_low", "body_high") + w[3] * scaled("centrality", "centrality_low", "centrality_high") - w[4] * F.col("path").rlike(PENALISED).cast("double")
-    )
-    kept = rows.filter("name_hits > 0 or path_hits > 0 or body > 0").join(F.broadcast(bounds))  # one row
-    return kept.select("path", F.round(score, 4).alias("score")).orderBy(F.desc("score"), "path").limit(limit)
-
-
 def relative_path(path, project: str) -> F.Column:
     """What follows the first ``/project/``; the path itself without one."""
     return F.regexp_replace(path, f"^.*?/\\Q{project}\\E/", "")
@@ -92,3 +94,46 @@ def graph_key(name) -> F.Column:
     pattern = "^code:([^:]+):(.+)$"
     known = name.rlike(pattern)
     return F.struct(F.when(known, F.regexp_extract(name, pattern, 1)).otherwise(name).alias("project"), F.when(known, F.regexp_extract(name, pattern, 2)).otherwise("_default").alias("branch"))
+
+
+def graph_name(project, branch) -> F.Column:
+    """The reverse of :func:`graph_key`; a missing or empty branch is ``_default``."""
+    return F.concat(F.lit("code:"), project, F.lit(":"), F.coalesce(F.nullif(F.trim(branch), F.lit("")), F.lit("_default")))
+
+
+def helper_key(project, branch=None, kind: str = "info") -> F.Column:
+    """The key of a graph's helper of some kind; without a branch the old form, an empty branch is ``_default``."""
+    at = F.lit("") if branch is None else F.concat(F.lit(":"), F.coalesce(F.nullif(branch, F.lit("")), F.lit("_default")))
+    return F.concat(F.lit("{"), project, F.lit("}"), at, F.lit(f"_{kind}"))
+
+
+def info_key(project, branch=None) -> F.Column:
+    return helper_key(project, branch, "info")
+
+
+def git_key(project, branch=None) -> F.Column:
+    return helper_key(project, branch, "git")
+
+
+def is_internal(name) -> F.Column:
+    """Names of helper graphs."""
+    return name.rlike("_(git|schema|tmp)$")
+
+
+def https_url(url) -> F.Column:
+    """``git@host:owner/repo.git`` as an https address without ``.git``; other addresses lose that only."""
+    return F.regexp_replace(F.regexp_replace(url, r"^(?:ssh://)?git@([^:/]+)[:/]", "https://$1/"), r"\.git/?$", "")
+
+
+def project_of_url(url) -> F.Column:
+    """The last part of an address, without ``.git``."""
+    return F.regexp_extract(https_url(F.regexp_replace(url, "/+$", "")), "([^/:]+)$", 1)
+
+
+def slug(name) -> F.Column:
+    return F.replace(F.lower(name), F.lit("_"), F.lit("-"))
+
+
+def token_estimate(text) -> F.Column:
+    """A quarter of the characters."""
+    return F.floor(F.length(F.coalesce(text, F.lit(""))) / 4)

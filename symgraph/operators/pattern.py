@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import scaled
+
 
 def expand(edges: DataFrame, nodes: DataFrame, ids: list[int] | None = None, rels: list[str] | None = None, direction: str = "OUT", label: str | None = None) -> DataFrame:
     """One hop from ``ids``: origin, rel, direction, id, label, name, path; one row per edge."""
@@ -30,8 +32,10 @@ def dependencies(edges: DataFrame, nodes: DataFrame, ids: list[int], rels: list[
 
 
 def collect_neighbors(edges: DataFrame, nodes: DataFrame, rel: str, direction: str = "OUT") -> DataFrame:
-    """For each node the sorted names of its neighbours as one string."""
-    return expand(edges, nodes, None, [rel], direction).groupBy("origin").agg(F.count(F.lit(1)).alias("n"), F.array_join(F.sort_array(F.collect_list("name")), ",").alias("names"))
+    """For each node its neighbours: n, names (sorted, one string), found (array of id, label, name, path)."""
+    item = F.struct("name", "id", "label", "path")
+    found = expand(edges, nodes, None, [rel], direction).groupBy("origin").agg(F.count(F.lit(1)).alias("n"), F.sort_array(F.collect_list(item)).alias("found"))
+    return found.select("origin", "n", F.array_join(F.col("found.name"), ",").alias("names"), "found")
 
 
 def optional_match(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -51,7 +55,8 @@ def cross_file(edges: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def file_coupling(edges: DataFrame, nodes: DataFrame, path: str | None = None, limit: int | None = None) -> DataFrame:
-    """Files by how often they touch a file: neighbour, n, and ``REL:DIRECTION=count`` pairs."""
+    """Files by how often they touch a file: file, neighbour, n, ``REL:DIRECTION=count`` pairs; with ``limit`` of each
+    file the first by n and path, and beside them total (neighbours in all) and truncated."""
     across = cross_file(edges, nodes)
     both = across.select(F.col("src_path").alias("file"), F.col("dst_path").alias("neighbour"), F.concat("rel", F.lit(":OUT")).alias("how")).unionByName(
         across.select(F.col("dst_path").alias("file"), F.col("src_path").alias("neighbour"), F.concat("rel", F.lit(":IN")).alias("how"))
@@ -59,22 +64,92 @@ def file_coupling(edges: DataFrame, nodes: DataFrame, path: str | None = None, l
     both = both.filter(F.col("file") == path) if path else both
     counted = both.groupBy("file", "neighbour", "how").agg(F.count(F.lit(1)).alias("c"))
     pairs = counted.groupBy("file", "neighbour").agg(F.sum("c").alias("n"), F.array_join(F.sort_array(F.collect_list(F.concat_ws("=", "how", "c"))), ",").alias("relations"))
-    return pairs if limit is None else pairs.orderBy(F.desc("n"), "file", "neighbour").limit(limit)
+    if limit is None:
+        return pairs
+    totals = pairs.groupBy("file").agg(F.count(F.lit(1)).alias("total"))
+    best = Window.partitionBy("file").orderBy(F.desc("n"), "neighbour")
+    first = pairs.withColumn("_n", F.row_number().over(best)).filter(F.col("_n") <= limit).drop("_n")
+    return first.join(totals, "file").withColumn("truncated", F.col("total") > limit)
+
+
+def first_symbol(symbols: DataFrame, files: DataFrame | None = None) -> DataFrame:
+    """symbols: id, path, start, end -> path, id, start, end of the symbol with the least start (null last, then id) of each
+    file, of ``files`` (path) only where given."""
+    found = symbols.filter("path is not null")
+    found = found if files is None else found.join(files.select("path"), "path", "left_semi")
+    key = F.struct(F.col("start").isNull().alias("none"), F.col("start").alias("at"), "id", "end")
+    return found.groupBy("path").agg(F.min(key).alias("k")).select("path", "k.id", F.col("k.at").alias("start"), "k.end")
+
+
+def resolve_file(files: DataFrame, handle: str | int, relative=None) -> DataFrame:
+    """files: id, path -> the file with that id, or with that path, as it is or as ``relative`` (a function of the column) makes it."""
+    text = str(handle)
+    found = F.col("path") == text
+    if relative is not None:
+        found = found | (relative(F.col("path")) == text)
+    if text.isdigit():
+        found = found | (F.col("id") == int(text))
+    order = F.when(F.col("id").cast("string") == text, 0).otherwise(1)
+    return files.filter(found).orderBy(order, "path", "id").limit(1)
+
+
+def seek(nodes: DataFrame, **key) -> DataFrame:
+    """Nodes whose columns have these values (null: is null)."""
+    for column, value in key.items():
+        nodes = nodes.filter(F.col(column).eqNullSafe(F.lit(value)))
+    return nodes
+
+
+def any_label(nodes: DataFrame, *labels: str) -> DataFrame:
+    """nodes: labels (array), ... with one of the labels at least."""
+    return nodes.filter(F.arrays_overlap("labels", F.array(*map(F.lit, labels))))
 
 
-def centrality(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """ln(1 + cross-file in-degree) of each file, scaled to 0..1 (all equal: 0)."""
+MARKER = "Searchable"
+
+
+def encoded(nodes: DataFrame) -> DataFrame:
+    """nodes: id, labels (array) and properties -> id, labels without the marker, properties as one struct."""
+    rest = [c for c in nodes.columns if c not in ("id", "labels")]
+    return nodes.select("id", F.array_remove("labels", MARKER).alias("labels"), F.struct(*rest).alias("properties"))
+
+
+def summary(nodes: DataFrame, relative=None, with_label: bool = True) -> DataFrame:
+    """nodes: id, labels, name, path, start -> id, name, label (the first that is no marker), file, line."""
+    label = [F.get(F.filter("labels", lambda x: x != MARKER), F.lit(0)).alias("label")] if with_label else []
+    return nodes.select("id", "name", *label, (relative(F.col("path")) if relative else F.col("path")).alias("file"), F.col("start").alias("line"))
+
+
+def centrality(edges: DataFrame, nodes: DataFrame, relative=None) -> DataFrame:
+    """ln(1 + cross-file in-degree) of each file, scaled to 0..1 (all equal: 0).
+
+    ``relative`` (a function of the path column) may give several paths one name: their logarithms are added.
+    """
+    named = relative or (lambda c: c)
     degree = cross_file(edges, nodes).groupBy(F.col("dst_path").alias("path")).agg(F.count(F.lit(1)).alias("in_degree"))
-    files = nodes.filter("path is not null").select("path").distinct().join(degree, "path", "left").select("path", F.coalesce("in_degree", F.lit(0)).alias("in_degree"))
-    bounds = files.agg(F.min(F.log1p("in_degree")).alias("low"), F.max(F.log1p("in_degree")).alias("high"))
-    scaled = F.when(F.col("high") - F.col("low") > 1e-12, (F.log1p("in_degree") - F.col("low")) / (F.col("high") - F.col("low"))).otherwise(0.0)
-    return files.join(F.broadcast(bounds)).select("path", "in_degree", F.round(scaled, 4).alias("centrality"))  # bounds is one row
+    files = nodes.filter("path is not null").select("path").distinct().join(degree, "path", "left").select(named(F.col("path")).alias("path"), F.coalesce("in_degree", F.lit(0)).alias("in_degree"))
+    files = files.groupBy("path").agg(F.sum("in_degree").alias("in_degree"), F.sum(F.log1p("in_degree")).alias("raw"))
+    bounds = files.agg(F.min("raw").alias("low"), F.max("raw").alias("high"))
+    return files.join(F.broadcast(bounds)).select("path", "in_degree", F.bround(scaled("raw", "low", "high"), 4).alias("centrality"))  # bounds is one row
 
 
 def find_symbol(nodes: DataFrame, name: str, file: str | None = None, limit: int = 20) -> DataFrame:
-    """Nodes called like the last dotted part of ``name``; those in ``file`` first."""
-    inside = F.coalesce(F.col("path") == F.lit(file), F.lit(False)) if file else F.lit(False)
-    return nodes.filter(F.col("name") == name.rpartition(".")[2]).withColumn("in_file", inside).orderBy(F.desc("in_file"), F.asc_nulls_last("path"), "name", "id").limit(limit)
+    """Nodes called like the last dotted part of ``name``; those whose path is, ends in or contains ``file`` first."""
+    simple = name.strip().rpartition(".")[2].strip()
+    if not simple:
+        raise ValueError(f"no symbol name: {name!r}")
+    needle = (file or "").strip().lstrip("/")
+    inside = F.coalesce(F.col("path").contains(needle), F.lit(False)) if needle else F.lit(False)
+    order = [F.asc_nulls_last("start")] if "start" in nodes.columns else []
+    return nodes.filter(F.col("name") == simple).withColumn("in_file", inside).orderBy(F.desc("in_file"), F.coalesce("path", F.lit("")), *order, "name", "id").limit(limit)
+
+
+def find_symbols(nodes: DataFrame, wanted: DataFrame, limit: int = 20) -> DataFrame:
+    """:func:`find_symbol` for many names at once; wanted: name, file.  Columns of the nodes, asked, in_file, n (the rank)."""
+    asked = wanted.select(F.col("name").alias("asked"), F.ltrim(F.coalesce("file", F.lit("")), F.lit("/")).alias("needle"), F.substring_index(F.trim("name"), ".", -1).alias("name")).filter("name <> ''")
+    found = nodes.join(asked, "name").withColumn("in_file", (F.col("needle") != "") & F.coalesce(F.contains("path", "needle"), F.lit(False)))
+    order = Window.partitionBy("asked", "needle").orderBy(F.desc("in_file"), F.coalesce("path", F.lit("")), *([F.asc_nulls_last("start")] if "start" in nodes.columns else []), "id")
+    return found.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= limit).select(*nodes.columns, "asked", "in_file", "n")
 
 
 def prefix_search(nodes: DataFrame, prefix: str, limit: int = 10) -> DataFrame:
@@ -85,9 +160,10 @@ def prefix_search(nodes: DataFrame, prefix: str, limit: int = 10) -> DataFrame:
 
 
 def representative(nodes: DataFrame, wanted: list[str] | None = None) -> DataFrame:
-    """One node for each path: a wanted name first, then the least name, then the least id."""
-    exact = F.col("name").isin(wanted) if wanted else F.lit(False)
-    best = nodes.filter("path is not null").groupBy("path").agg(F.min(F.struct((~exact).alias("other"), "name", "id")).alias("r"))
+    """One node for each path: a wanted name first, then the least start (null last), name, end (null last) and id."""
+    exact = F.coalesce(F.lower("name").isin([w.lower() for w in wanted]), F.lit(False)) if wanted else F.lit(False)
+    place = lambda c: F.coalesce(F.col(c), F.lit(2_147_483_647)) if c in nodes.columns else F.lit(0)
+    best = nodes.filter("path is not null").groupBy("path").agg(F.min(F.struct((~exact).alias("other"), place("start").alias("start"), "name", place("end").alias("end"), "id")).alias("r"))
     return best.select("path", "r.name", "r.id")
 
 

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..shared import written
+
 CODE = {"Region": 1, "Nation": 2, "Customer": 3, "Supplier": 4, "Part": 5, "Order": 6, "Document": 7}
 STEP = 10**12
 _NODES = {
@@ -68,6 +70,17 @@ def edges(spark: SparkSession, sf_dir: str, *rels: str) -> DataFrame:
     return out
 
 
+_kept: dict[tuple, DataFrame] = {}
+
+
+def edge_table(spark: SparkSession, sf_dir: str, *rels: str) -> DataFrame:
+    """:func:`edges` as a table in the shared folder, written once a session: what traversals read a level at a time."""
+    key = (spark.sparkContext.applicationId, sf_dir, rels)
+    if key not in _kept:
+        _kept[key] = written(edges(spark, sf_dir, *rels).sortWithinPartitions("src"), "edges")
+    return _kept[key]
+
+
 #: The same projection in SQL, for the oracles.
 SQL = """
 nodes AS (

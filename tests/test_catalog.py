@@ -8,7 +8,7 @@ import pytest
 from symgraph import catalog
 
 SF = "/root/testdata/sf0.001"
-TABLES = "region nation customer supplier part orders lineitem events documents pages".split()
+TABLES = "region nation customer supplier part orders lineitem events documents pages conversations".split()
 
 
 @pytest.fixture(scope="module")

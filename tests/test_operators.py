@@ -77,7 +77,7 @@ def test_source_tree_scan(spark, tmp_path):
 
 def test_query_identifiers(spark):
     row = spark.createDataFrame([("Why does `foo bar_baz` call parseTokens or plain Words in it?",)], "q string").select(text.query_identifiers(F.col("q")).alias("w")).first()
-    assert row.w == ["bar_baz", "parseTokens", "Words"]
+    assert row.w == ["bar_baz", "parsetokens", "words"]
 
 
 def test_streamed_versions(spark, tmp_path):
