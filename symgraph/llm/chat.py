@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import table, written
+from .common import remove, table, written
 
 BEGIN, OPEN, CLOSE, END = "<s>", "[INST]", "[/INST]", "</s>"
 _CONTROL = r"(<|\[)(/?(?:s>|INST\]))"
@@ -44,23 +44,27 @@ def chosen_paths(nodes: DataFrame, branches: int = 1) -> DataFrame:
     """
     nodes = nodes.select("tree", "node", "parent", F.coalesce("score", F.lit(0.0)).cast("double").alias("score"))
     known = nodes.select("tree", F.col("node").alias("parent"), F.lit(True).alias("known"))
+    spark, scratch = nodes.sparkSession, []
     step = written(
         nodes.join(known, ["tree", "parent"], "left").select("tree", "node", F.when(F.col("known"), F.col("parent")).alias("above"), F.col("score").alias("total"), F.lit(1).cast("long").alias("depth")),
         "tree-0",
+        scratch,
     )
     largest = nodes.groupBy("tree").count().agg(F.max("count")).first()[0] or 0
     jumps = [step]
     while 1 << (len(jumps) - 1) < largest and not jumps[-1].filter("above is not null").isEmpty():
         near, far = jumps[-1], jumps[-1].select("tree", F.col("node").alias("above"), F.col("above").alias("next"), F.col("total").alias("more"), F.col("depth").alias("deeper"))
         doubled = near.filter("above is not null").join(far, ["tree", "above"]).select("tree", "node", F.col("next").alias("above"), (F.col("total") + F.col("more")).alias("total"), (F.col("depth") + F.col("deeper")).alias("depth"))
-        jumps.append(written(near.filter("above is null").unionByName(doubled), f"tree-{len(jumps)}"))
+        jumps.append(written(near.filter("above is null").unionByName(doubled), f"tree-{len(jumps)}", scratch))
     rooted = jumps[-1].filter("above is null")
     leaves = rooted.join(step.filter("above is not null").select("tree", F.col("above").alias("node")), ["tree", "node"], "left_anti")
     best = Window.partitionBy("tree").orderBy(F.desc(F.col("total") / F.col("depth")), F.desc("depth"), "node")
     paths = leaves.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= branches).select("tree", "rank", "node", F.lit(0).cast("long").alias("up"))
     for i in reversed(range(len(jumps))):
         higher = paths.join(jumps[i].filter("above is not null").select("tree", "node", "above"), ["tree", "node"]).select("tree", "rank", F.col("above").alias("node"), (F.col("up") + (1 << i)).alias("up"))
-        paths = written(paths.unionByName(higher), f"tree-paths-{i}")
+        paths = written(paths.unionByName(higher), f"tree-paths-{i}", scratch)
+    for folder in scratch[:-1]:  # all but the paths themselves
+        remove(spark, folder)
     return paths
 
 

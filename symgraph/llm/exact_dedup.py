@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import exact_col, new_folder, session_conf, written
+from .common import exact_col, new_folder, remove, session_conf, written
 
 WHITE = "[\\x20\\x09-\\x0D]+"
 ROCKSDB = {
@@ -62,10 +62,15 @@ def _better() -> F.Column:
     return F.struct((-F.col("n_chars")).alias("minus"), F.col("id").isNull().alias("no_id"), "id", "locator")
 
 
-def seen_digests(spark: SparkSession, path: str, id_col: str = "doc_id", text_col: str = "text", files_per_batch: int = 1024, digest_chars: int = 64) -> DataFrame:
-    """Stream ``path`` through the keyed state; what the state holds at the end: digest, best, n."""
+def seen_digests(spark: SparkSession, path: str, id_col: str = "doc_id", text_col: str = "text", files_per_batch: int = 1024, digest_chars: int = 64, scratch: list[str] | None = None) -> DataFrame:
+    """Stream ``path`` through the keyed state; what the state holds at the end: digest, best, n.
+
+    The folders of the run are added to ``scratch``.
+    """
     schema = spark.read.parquet(path).schema
-    out = new_folder(spark, "dedup-state")
+    out, log = new_folder(spark, "dedup-state"), new_folder(spark, "dedup-log")
+    if scratch is not None:
+        scratch += [out, log]
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(_as_glob(spark, path))
     state = _keyed(stream, id_col, text_col, digest_chars).groupBy("digest").agg(F.min(_better()).alias("best"), F.count(F.lit(1)).alias("n"))
 
@@ -73,7 +78,7 @@ def seen_digests(spark: SparkSession, path: str, id_col: str = "doc_id", text_co
         batch.withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{out}/batch={number}-of-run")
 
     with session_conf(spark, ROCKSDB):
-        query = state.writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", new_folder(spark, "dedup-log")).trigger(availableNow=True).start()
+        query = state.writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", log).trigger(availableNow=True).start()
         query.awaitTermination()
     try:
         updates = spark.read.option("recursiveFileLookup", "true").parquet(out)
@@ -87,18 +92,22 @@ def seen_digests(spark: SparkSession, path: str, id_col: str = "doc_id", text_co
 
 def dedup(spark: SparkSession, path: str, id_col: str = "doc_id", text_col: str = "text", files_per_batch: int = 1024, digest_chars: int = 64) -> DataFrame:
     """One row per row of ``path``: id, locator, keep_id, group_size, kept, text_sha256."""
-    groups = written(seen_digests(spark, path, id_col, text_col, files_per_batch, digest_chars), "dedup-groups")
+    scratch: list[str] = []
+    groups = written(seen_digests(spark, path, id_col, text_col, files_per_batch, digest_chars, scratch), "dedup-groups", scratch)
     rows = _keyed(spark.read.parquet(path), id_col, text_col, digest_chars)
     found = written(rows.join(groups, "digest").withColumn("norm", F.when(F.col("n") > 1, F.col("norm"))), "dedup-rows")
     hits = found.filter("n > 1")
     keepers = hits.filter("locator = best.locator").select("digest", F.col("norm").alias("keep_norm"))
     compared = hits.join(keepers, "digest").withColumn("same", F.col("norm") == F.col("keep_norm")).drop("keep_norm")
     strange = written(compared.filter("not same").select("digest"), "dedup-strange")
-    believed = found.join(strange, "digest", "left_anti").select("id", "locator", "n_chars", "text_sha256", "best", "n")
+    columns = ["id", "locator", "n_chars", "text_sha256", "best", "n"]
+    believed = found.select(*columns)
     if not strange.isEmpty():  # one digest, different bytes: the bytes decide
         doubted = found.join(strange, "digest", "left_semi").withColumn("norm", F.coalesce("norm", F.lit("")))
         own = doubted.groupBy("digest", "norm").agg(F.min(_better()).alias("best"), F.count(F.lit(1)).alias("n"))
-        believed = believed.unionByName(doubted.drop("best", "n").join(own, ["digest", "norm"]).select("id", "locator", "n_chars", "text_sha256", "best", "n"))
+        believed = found.join(strange, "digest", "left_anti").select(*columns).unionByName(doubted.drop("best", "n").join(own, ["digest", "norm"]).select(*columns))
+    for folder in scratch:  # nothing reads the state any more
+        remove(spark, folder)
     return believed.select(
         F.col("id").alias("doc_id"), "locator", F.col("best.id").alias("keep_id"), F.col("n").alias("group_size"), (F.col("locator") == F.col("best.locator")).alias("kept"), "text_sha256"
     )
