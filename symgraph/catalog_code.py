@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 from .functions import text
 from .operators import context, pattern, search, store, traverse
 from .registry import query
-from .sources import code, spectree
+from .sources import braces as braces  # registers its analysers
+from .sources import code, java, spectree
 from .sources import testgraph as g
 from .streaming import files as streaming
 
@@ -82,6 +83,58 @@ def python_entities(spark, d):
     return rows.select("path", F.col("target").alias("entity"), "kind", "doc")
 
 
+# --- Java -------------------------------------------------------------------------------------------
+
+
+def _java(spark, d):
+    """A package a nation with a base class, a helper and a class a customer that uses both, and a package ``lib``."""
+    key = {"n": F.col("c_nationkey"), "c": F.col("c_custkey")}
+    body = """package p{n};
+import lib.Runner;
+import lib.tools.*;
+import static lib.Strings.trim;
+
+/** Customer {c} */
+public class C{c} extends Base implements Runner @
+    private Helper help;
+    public Helper run(Tool tool) @
+        Helper other = help.make();
+        tool.use(); trim(); base(); super.base(); other.make();
+        return other;
+    #
+#
+"""
+    file = lambda path, text_: F.struct(path.alias("path"), F.translate(text_, "@#", "{}").alias("text"))
+    customers = g.table(spark, d, "customer").select(file(_text("p{n}/C{c}.java", **key), _text(body, **key)).alias("f")).select("f.*")
+    n = {"n": F.col("n_nationkey")}
+    base = file(_text("p{n}/Base.java", **n), _text("package p{n};\nclass Base @ void base() @ # #\n", **n))
+    helper = file(_text("p{n}/Helper.java", **n), _text("package p{n};\nclass Helper @ Helper make() @ return this; # #\n", **n))
+    nations = g.table(spark, d, "nation").select(F.explode(F.array(base, helper)).alias("f")).select("f.*")
+    lib = [("lib/Runner.java", "package lib;\npublic interface Runner { }\n"), ("lib/Strings.java", "package lib;\npublic class Strings { static String trim() { return null; } static String other() { return trim(); } }\n"), ("lib/tools/Tool.java", "package lib.tools;\npublic class Tool extends Root { }\nclass Root { void use() { } }\n")]
+    return customers.unionByName(nations).unionByName(spark.createDataFrame(lib, "path string, text string"))
+
+
+_CLASS, _HERE = "'p' || c_nationkey || '/C' || c_custkey || '.java'", "'p' || c_nationkey || '/"
+
+
+@query(f"""SELECT unnest(['EXTENDS', 'IMPLEMENTS', 'PARAMETERS', 'RETURNS']) AS rel, {_CLASS} AS src_path, 'C' || c_custkey || unnest(['', '', '.run', '.run']) AS src,
+unnest([{_HERE}Base.java', 'lib/Runner.java', 'lib/tools/Tool.java', {_HERE}Helper.java']) AS dst_path, unnest(['Base', 'Runner', 'Tool', 'Helper']) AS dst FROM customer
+UNION ALL SELECT 'RETURNS', 'p' || n_nationkey || '/Helper.java', 'Helper.make', 'p' || n_nationkey || '/Helper.java', 'Helper' FROM nation UNION ALL SELECT 'EXTENDS', 'lib/tools/Tool.java', 'Tool', 'lib/tools/Tool.java', 'Root'""")
+def java_types(spark, d):
+    return java.type_edges(code.analyzed(_java(spark, d), ["java"]))
+
+
+@query(f"""SELECT 'CALLS' AS rel, {_CLASS} AS src_path, 'C' || c_custkey || '.run' AS src, unnest([{_HERE}Helper.java', {_HERE}Base.java', 'lib/Strings.java', 'lib/tools/Tool.java']) AS dst_path,
+unnest(['Helper.make', 'Base.base', 'Strings.trim', 'Root.use']) AS dst FROM customer UNION ALL SELECT 'CALLS', 'lib/Strings.java', 'Strings.other', 'lib/Strings.java', 'Strings.trim'""")
+def java_calls(spark, d):
+    return java.call_edges(code.analyzed(_java(spark, d), ["java"]))
+
+
+@query(f"SELECT {_CLASS} AS src, unnest(['lib/Runner.java', 'lib/tools/Tool.java', 'lib/Strings.java']) AS dst FROM customer")
+def java_imports(spark, d):
+    return java.import_edges(code.analyzed(_java(spark, d), ["java"]))
+
+
 # --- Search -----------------------------------------------------------------------------------------
 
 _SEARCH = "The `doc_7` idiot in src3 and SRC5_x of d11"

@@ -36,30 +36,40 @@ def representative_key(exact: F.Column) -> F.Column:
     return F.struct((~exact).alias("other"), F.coalesce("start", last).alias("at"), F.coalesce("name", F.lit("")).alias("name"), F.coalesce("end", last).alias("to"), F.col("start").alias("src_start"), F.col("end").alias("src_end"))
 
 
-def hybrid_rank(files: DataFrame, symbols: DataFrame, edges: DataFrame, query: str, project: str | None = None, limit: int = 10) -> DataFrame:
-    """The best ``limit`` files: file, file_id, score, name, src_start, src_end (of the symbol that stands for the file).
+def corpus(files: DataFrame, symbols: DataFrame, edges: DataFrame, project: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """What a search needs whatever the query, as two tables that are written once.
 
-    The name term is scaled over files with a hit only, so equal hits all count 0; files without any
-    lexical signal are left out.
+    Files: file (relative path), file_id, tokens (of the path), centrality (not scaled).  Symbols: file, name,
+    start, end, tokens (of the name and of the part of doc that counts).
     """
-    wanted, names = query_words(files.sparkSession, query)
-    n = len(wanted)
     relative = (lambda c: text.relative_path(F.col(c), project)) if project else F.col
+    degree = edges.filter("src_path <> dst_path").groupBy("dst_path").agg(F.count(F.lit(1)).alias("c")).groupBy(relative("dst_path").alias("file")).agg(F.sum(F.log1p("c")).alias("central"))
     own = files.filter("path is not null").select(relative("path").alias("file"), F.col("id").alias("file_id")).groupBy("file").agg(F.max("file_id").alias("file_id"))
+    by_file = own.join(degree, "file", "left").select("file", "file_id", text.tokens(F.replace("file", F.lit("/"), F.lit(" "))).alias("tokens"), F.coalesce("central", F.lit(0.0)).alias("centrality"))
     inside = capped_docs(symbols.filter("path is not null").withColumn("file", relative("path")))
-    body = F.concat(F.when(F.col("name").isNotNull(), text.sub_tokens(F.col("name"))).otherwise(F.array().cast("array<string>")), "body")
+    named = F.when(F.col("name").isNotNull(), text.sub_tokens(F.col("name"))).otherwise(F.array().cast("array<string>"))
+    return written(by_file, "search-files"), written(inside.select("file", "name", "start", "end", F.concat(named, "body").alias("tokens")), "search-symbols")
+
+
+def rank(by_file: DataFrame, by_symbol: DataFrame, query: str, limit: int = 10) -> DataFrame:
+    """The best ``limit`` files of a :func:`corpus`: file, file_id, score, name, src_start, src_end (of the symbol that stands for the file).
+
+    The name term is scaled over files with a hit only, so equal hits all count 0; files without any
+    lexical signal are left out.  Symbols of files that the table of files lacks do not count.
+    """
+    wanted, names = query_words(by_file.sparkSession, query)
+    n = len(wanted)
+    counts = [f"tf{i}" for i in range(n)]
     exact = F.coalesce(F.lower("name").isin(names), F.lit(False)) if names else F.lit(False)
-    by_symbol = inside.select("file", F.size(body).cast("long").alias("dl"), *text.word_counts(body, wanted), exact.cast("long").alias("name_hits"), F.when(F.col("name").isNotNull(), representative_key(exact)).alias("r"))
-    by_file = by_symbol.groupBy("file").agg(*(F.sum(c).alias(f"s_{c}") for c in ("dl", "name_hits", *(f"tf{i}" for i in range(n)))), F.min("r").alias("r"))
-    degree = edges.filter("src_path <> dst_path").groupBy("dst_path").agg(F.count(F.lit(1)).alias("c")).groupBy(relative("dst_path").alias("file")).agg(F.sum(F.log1p("c")).alias("central"))
-    path_tokens = text.tokens(F.replace("file", F.lit("/"), F.lit(" ")))
-    paths = own.select("file", "file_id", F.size(path_tokens).cast("long").alias("p_dl"), *(c.alias(f"p_tf{i}") for i, c in enumerate(text.word_counts(path_tokens, wanted))))
-    added = lambda c: F.col(f"p_{c}") + F.coalesce(f"s_{c}", F.lit(0))
-    stats = paths.join(by_file, "file", "left").join(degree, "file", "left").select(
-        "file", "file_id", added("dl").cast("double").alias("dl"), *(added(f"tf{i}").alias(f"tf{i}") for i in range(n)), F.coalesce("s_name_hits", F.lit(0)).cast("double").alias("name_hits"),
-        sum((F.least(F.col(f"p_tf{i}"), F.lit(1)) for i in range(n)), F.lit(0)).cast("double").alias("path_hits"), F.coalesce("central", F.lit(0.0)).alias("centrality"), "r",
+    rows = by_symbol.select("file", F.size("tokens").cast("long").alias("dl"), *text.word_counts(F.col("tokens"), wanted), exact.cast("long").alias("name_hits"), F.when(F.col("name").isNotNull(), representative_key(exact)).alias("r"))
+    added = rows.groupBy("file").agg(*(F.sum(c).alias(f"s_{c}") for c in ("dl", "name_hits", *counts)), F.min("r").alias("r"))
+    paths = by_file.select("file", "file_id", "centrality", F.size("tokens").cast("long").alias("p_dl"), *(c.alias(f"p_tf{i}") for i, c in enumerate(text.word_counts(F.col("tokens"), wanted))))
+    both = lambda c: F.col(f"p_{c}") + F.coalesce(f"s_{c}", F.lit(0))
+    stats = paths.join(added, "file", "left").select(
+        "file", "file_id", both("dl").cast("double").alias("dl"), *(both(c).alias(c) for c in counts), F.coalesce("s_name_hits", F.lit(0)).cast("double").alias("name_hits"),
+        sum((F.least(F.col(f"p_{c}"), F.lit(1)) for c in counts), F.lit(0)).cast("double").alias("path_hits"), "centrality", "r",
     )
-    stats = written(stats, "search")  # narrow: the texts are read once
+    stats = written(stats, "search")  # narrow: the tokens are read once
     scored = stats.join(F.broadcast(stats.agg(*text.bm25_totals(n)))).select("file", "file_id", "name_hits", "path_hits", text.bm25_score(n).alias("body"), "centrality", "r")  # one row
     bounds = scored.agg(*(f(F.when(F.col(c) > 0, F.col(c)) if c == "name_hits" else F.col(c)).alias(f"{c}_{b}") for c in ("name_hits", "path_hits", "body", "centrality") for f, b in ((F.min, "low"), (F.max, "high"))))
     part = lambda c, where=None: text.scaled(c, f"{c}_low", f"{c}_high", where)
@@ -70,6 +80,11 @@ def hybrid_rank(files: DataFrame, symbols: DataFrame, edges: DataFrame, query: s
     return best.orderBy(F.desc("score"), "file").limit(limit)
 
 
+def hybrid_rank(files: DataFrame, symbols: DataFrame, edges: DataFrame, query: str, project: str | None = None, limit: int = 10) -> DataFrame:
+    """:func:`rank` over a :func:`corpus` made for this query alone."""
+    return rank(*corpus(files, symbols, edges, project), query, limit)
+
+
 def snippets(symbols: DataFrame, lines: DataFrame, max_lines: int = 4, width: int = 200) -> DataFrame:
     """symbols: id, path, start, end; lines: path, line (from 1), text -> id, snippet.
 
@@ -88,12 +103,6 @@ def snippets(symbols: DataFrame, lines: DataFrame, max_lines: int = 4, width: in
     return first.groupBy("id").agg(rows.alias("rows")).select("id", F.array_join(F.col("rows.t"), "\n").alias("snippet"))
 
 
-def file_match(path: str, wanted: str) -> F.Column:
-    """Whether a path is the wanted file: equal, ends in it, or contains it."""
-    value = F.coalesce(F.col(path), F.lit(""))
-    return (value == wanted) | value.endswith(wanted) | value.contains(wanted)
-
-
 RELATION = re.compile("[A-Za-z_][A-Za-z0-9_]*")
 
 

@@ -21,7 +21,7 @@ TAINTED = ("request.args", "request.form", "request.json", "request.data", "requ
 #: Language -> what marks a path as a dependency's.
 DEPENDENCY = {"py": "venv", "java": r"\.jar", "cs": "temp_deps_cs", "js": r"(^|/)node_modules(/|$)", "kt": r"build/|\.gradle/|/cache/", "kts": r"build/|\.gradle/|/cache/"}
 #: Kind of a use -> relation.
-RELATIONS = {"call": "CALLS", "base": "EXTENDS", "interface": "IMPLEMENTS", "return_type": "RETURNS", "parameters": "PARAMETERS"}
+RELATIONS = {"call": "CALLS", "base": "EXTENDS", "implements": "IMPLEMENTS", "return_type": "RETURNS", "parameters": "PARAMETERS"}
 
 ROW = ["path", "kind", "name", "owner", "target", "line", "end", "doc"]
 ROW_SCHEMA = "path string, kind string, name string, owner string, target string, line int, end int, doc string"
