@@ -229,7 +229,7 @@ def page_links(spark, d):
 
 
 def _web(rule, **options):
-    return lambda spark, d: rule(*fixtures.web(spark), **options)
+    return lambda spark, d: rule(*fixtures.web_tables(spark, d), **options)
 
 
 register("xss", _web(security.xss), f"""{_WEB} SELECT v.name AS "UnsafeVariable", h.name AS "TargetElement", v.path AS "SourceFile", v.line AS "SourceLine" FROM e JOIN n v ON v.id = e.src AND v.label = 'Variable'
@@ -243,15 +243,15 @@ register("auth_drift_strict", _web(security.auth_drift, strict=True), f"{_DRIFT}
 for _name, _need, _kind in (("path_traversal", True, "JOIN"), ("path_traversal_all", False, "LEFT JOIN")):
     register(_name, _web(security.path_traversal, need_caller=_need), f"""{_WEB} SELECT o.name AS "Operation", o.path AS "SourceFile", o.line AS "SourceLine", coalesce(f.name, 'unknown') AS "CallerFunction", f.id AS "CallerSymbolId"
 FROM n o {_kind} e ON e.dst = o.id AND e.rel = 'HAS_FS_OP' {_kind} n f ON f.id = e.src WHERE o.label = 'FileSystemOp' AND o.tainted = 'true'""")
-register("cve", _web(security.cve, package="yamlish"), f"""{_WEB} SELECT f.name AS "CallerFunction", f.path AS "CallerFile", x.name AS "VulnerableFunction", x.module AS "Module", f.id AS "CallerSymbolId"
-FROM e c JOIN n f ON f.id = c.src AND f.label = 'Function' JOIN n x ON x.id = c.dst AND x.label = 'ExternalFunction' JOIN e b ON b.src = x.id AND b.rel = 'BELONGS_TO' JOIN n p ON p.id = b.dst WHERE c.rel = 'CALLS' AND p.name = 'yamlish'""")
+register("cve", _web(security.cve, package=fixtures.PACKAGE), f"""{_WEB} SELECT f.name AS "CallerFunction", f.path AS "CallerFile", x.name AS "VulnerableFunction", x.module AS "Module", f.id AS "CallerSymbolId"
+FROM e c JOIN n f ON f.id = c.src AND f.label = 'Function' JOIN n x ON x.id = c.dst AND x.label = 'ExternalFunction' JOIN e b ON b.src = x.id AND b.rel = 'BELONGS_TO' JOIN n p ON p.id = b.dst WHERE c.rel = 'CALLS' AND p.name = '{fixtures.PACKAGE}'""")
 register("template_vars", _web(security.template_vars), f"""{_WEB} SELECT v.name AS variable, v.path AS var_src_file, v.line AS var_src_line, h.name AS element, h.path AS element_file, h.line AS element_line, f.id IS NOT NULL AS sanitized, f.name AS sanitizer
 FROM e JOIN n v ON v.id = e.src JOIN n h ON h.id = e.dst AND h.label = 'HtmlElement' LEFT JOIN e s ON s.src = v.id AND s.rel = 'PROCESSED_BY' LEFT JOIN n f ON f.id = s.dst WHERE e.rel = 'INJECTED_INTO'""")
 register("fs_ops", _web(security.fs_ops, tainted_only=False), f"""{_WEB} SELECT o.name AS op, o.tainted = 'true' AS tainted, o.path AS src_file, o.line AS src_line, f.name AS caller, f.id AS caller_symbol_id
 FROM n o LEFT JOIN e ON e.dst = o.id AND e.rel = 'HAS_FS_OP' LEFT JOIN n f ON f.id = e.src WHERE o.label = 'FileSystemOp'""")
-register("decorators", _web(security.decorators, function_id=2), f"{_WEB} SELECT name, path AS src_file, line AS src_line FROM e JOIN n ON id = dst WHERE src = 2 AND rel = 'HAS_DECORATOR'")
-register("mark_vulnerability", lambda spark, d: security.mark_vulnerability(*fixtures.web(spark), "yamlish").select("id", F.col("props")["status"].alias("status"), F.col("props")["module"].alias("module")),
-          f"{_WEB} SELECT id, CASE WHEN id IN (SELECT src FROM e JOIN n p ON p.id = dst WHERE rel = 'BELONGS_TO' AND p.name = 'yamlish') THEN 'vulnerable' ELSE status END AS status, module FROM n")
+register("decorators", _web(security.decorators, function_id=fixtures.FUNCTION), f"{_WEB} SELECT name, path AS src_file, line AS src_line FROM e JOIN n ON id = dst WHERE src = {fixtures.FUNCTION} AND rel = 'HAS_DECORATOR'")
+register("mark_vulnerability", lambda spark, d: security.mark_vulnerability(*fixtures.web_tables(spark, d), fixtures.PACKAGE).select("id", F.col("props")["status"].alias("status"), F.col("props")["module"].alias("module")),
+          f"{_WEB} SELECT id, CASE WHEN id IN (SELECT src FROM e JOIN n p ON p.id = dst WHERE rel = 'BELONGS_TO' AND p.name = '{fixtures.PACKAGE}') THEN 'vulnerable' ELSE status END AS status, module FROM n")
 
 
 @query("""SELECT p_partkey AS key, CASE WHEN p_partkey % 3 = 0 THEN p_name || '!' ELSE p_name END AS name, CASE WHEN p_partkey % 3 = 0 THEN NULL ELSE p_brand END AS path FROM part WHERE p_partkey % 2 = 0 AND p_partkey % 3 <> 0

@@ -12,8 +12,7 @@ from pyspark.sql import functions as F
 from .functions import text
 from .operators import context, pattern, search, store, traverse
 from .registry import query
-from .sources import braces as braces  # registers its analysers
-from .sources import code, java, spectree
+from .sources import code, java, project, spectree
 from .sources import testgraph as g
 from .streaming import files as streaming
 
@@ -135,6 +134,25 @@ def java_imports(spark, d):
     return java.import_edges(code.analyzed(_java(spark, d), ["java"]))
 
 
+@query("""WITH c AS (SELECT count(*) AS c FROM customer), n AS (SELECT count(*) AS n FROM nation)
+SELECT 'File' AS what, 2 * c + 4 * n + 4 AS n FROM c, n UNION ALL SELECT 'Class', 2 * c + 2 * n + 2 + 3 FROM c, n UNION ALL SELECT 'Interface', 1 UNION ALL SELECT 'Function', c + 3 * n + 1 FROM c, n
+UNION ALL SELECT 'Method', c + 2 * n + 3 FROM c, n UNION ALL SELECT 'DEFINES', 4 * c + 7 * n + 10 FROM c, n UNION ALL SELECT 'IMPORTS', 5 * c FROM c UNION ALL SELECT 'CALLS', 5 * c + 1 FROM c
+UNION ALL SELECT 'EXTENDS', 2 * c + 1 FROM c UNION ALL SELECT 'IMPLEMENTS', c FROM c UNION ALL SELECT 'PARAMETERS', 2 * c FROM c UNION ALL SELECT 'RETURNS', 2 * c + n FROM c, n UNION ALL SELECT 'OVERRIDES', c FROM c""")
+def project_index(spark, d):
+    python = _python(spark, d).withColumn("text", F.replace("text", F.lit("def run("), F.lit("def go(")))
+    nodes, edges = project.indexed(python.unionByName(_java(spark, d)))
+    count = lambda df, column: df.groupBy(F.col(column).alias("what")).agg(F.count(F.lit(1)).alias("n"))
+    return count(nodes, "label").unionByName(count(edges, "rel"))
+
+
+@query("SELECT 'c' || s_suppkey AS name, '2024-01-' || s_suppkey % 28 AS created, 'v' || s_suppkey % 3 AS schema, CASE WHEN s_suppkey % 2 = 0 THEN 'true' END AS skip_specs FROM supplier")
+def spec_metadata(spark, d):
+    s = F.col("s_suppkey")
+    body = F.concat(F.lit("created: 2024-01-"), (s % 28).cast("string"), F.lit("\nno pair\nschema: \"v"), (s % 3).cast("string"), F.lit('"\n'), F.when(s % 2 == 0, "skip_specs: true\n").otherwise(""))
+    files = g.table(spark, d, "supplier").select(_text("p/openspec/changes/c{s}/.openspec.yaml", s=s).alias("path"), body.alias("text"))
+    return spectree.changes(files).select("name", "created", "schema", "skip_specs")
+
+
 # --- Search -----------------------------------------------------------------------------------------
 
 _SEARCH = "The `doc_7` idiot in src3 and SRC5_x of d11"

@@ -9,6 +9,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+# The lines of the file format, as its documents have them.
+BOX = r"^\s*-\s+\[([ xX])\]\s+(.+)$"
+SECTION = r"^##\s+(.+)$"
+REQUIREMENT = r"^###\s+Requirement:\s+(.+)$"
+SCENARIO = r"^####\s+Scenario:\s+(.+)$"
+STEP = r"(?i)^\s*-\s+\*\*(GIVEN|WHEN|THEN|AND)\*\*\s*(.*)$"
+CHANGE = r"(?i)^##\s+(ADDED|MODIFIED|REMOVED|RENAMED)\s+Requirements?"
+RENAME = r"^-\s+{side}:\s+`###\s+Requirement:\s+(.+?)`"
+NUMBER = r"^(\d+(?:\.\d+)*)\s+"
 #: Folders whose changes are done with.
 ARCHIVE = "archive"
 #: Relation of a change to a requirement, by the section that names it.
@@ -35,6 +44,22 @@ def change_specs(files: DataFrame) -> DataFrame:
     return _named(files, where).withColumn("capability", F.regexp_extract("path", where, 2)).filter(F.col("name") != ARCHIVE)
 
 
+def changes(files: DataFrame) -> DataFrame:
+    """The open changes: path (of their metadata file), name, and created, schema, skip_specs where they are given."""
+    found = _named(files, r"(?:^|/)openspec/changes/([^/]+)/\.openspec\.yaml$").filter(F.col("name") != ARCHIVE)
+    keys = metadata(found)
+    value = lambda key: F.max(F.when(F.col("key") == key, F.col("value"))).alias(key)
+    given = keys.groupBy("path").agg(value("created"), value("schema"), value("skip_specs"))
+    return found.select("path", "name").join(given, "path", "left")
+
+
+def metadata(files: DataFrame) -> DataFrame:
+    """path, key, value of the ``key: value`` lines of files; of a repeated key the last line counts, other lines are ignored."""
+    pairs = _lines(files).filter(F.col("text").contains(":")).select("path", "line", F.trim(F.substring_index("text", ":", 1)).alias("key"), F.trim(F.expr("substring(text, instr(text, ':') + 1)")).alias("value"))
+    last = pairs.groupBy("path", "key").agg(F.max_by("value", "line").alias("value"))
+    return last.withColumn("value", F.regexp_replace("value", "^([\"'])(.*)\\1$", "$2"))
+
+
 def _named(files: DataFrame, where: str) -> DataFrame:
     return files.filter(F.col("path").rlike(where)).withColumn("name", F.regexp_extract("path", where, 1))
 
@@ -57,20 +82,19 @@ def _joined(when: Column, what: str, between: str) -> Column:
 
 def tasks(files: DataFrame) -> DataFrame:
     """path, line, group (heading above), num (``1.2``, or empty), text, checked of check boxes."""
-    box = r"^\s*-\s+\[([ xX])\]\s+(.+)$"
-    marked = _lines(files).withColumn("group", F.coalesce(F.last(_part(r"^##\s+(.+)$"), ignorenulls=True).over(_so_far("path")), F.lit(""))).filter(F.col("text").rlike(box))
-    what = _part(box, 2)
-    num = F.regexp_extract(what, r"^(\d+(?:\.\d+)*)\s", 1)
-    return marked.select("path", "line", "group", num.alias("num"), F.when(num != "", F.trim(F.regexp_replace(what, r"^\d+(\.\d+)*\s+", ""))).otherwise(what).alias("text"), (F.lower(F.regexp_extract("text", box, 1)) == "x").alias("checked"))
+    marked = _lines(files).withColumn("group", F.coalesce(F.last(_part(SECTION), ignorenulls=True).over(_so_far("path")), F.lit(""))).filter(F.col("text").rlike(BOX))
+    what = _part(BOX, 2)
+    num = F.regexp_extract(what, NUMBER, 1)
+    return marked.select("path", "line", "group", num.alias("num"), F.when(num != "", F.trim(F.regexp_replace(what, NUMBER, ""))).otherwise(what).alias("text"), (F.lower(F.regexp_extract("text", BOX, 1)) == "x").alias("checked"))
 
 
 def _marked(files: DataFrame) -> DataFrame:
     """Lines with the section, requirement line and scenario line (0: none) that they stand under."""
-    section = _part(r"^##\s+(.+)$")
+    section = _part(SECTION)
     marked = _lines(files).withColumn("heading", section).withColumn("purpose", F.coalesce(F.lower(F.last(section, ignorenulls=True).over(_so_far("path"))) == "purpose", F.lit(False)))
-    marked = marked.withColumn("requirement", F.when(~F.col("purpose"), _part(r"^###\s+Requirement:\s+(.+)$")))
+    marked = marked.withColumn("requirement", F.when(~F.col("purpose"), _part(REQUIREMENT)))
     marked = marked.withColumn("req_line", F.coalesce(F.last(F.when(F.col("heading").isNotNull(), 0).when(F.col("requirement").isNotNull(), F.col("line")), ignorenulls=True).over(_so_far("path")), F.lit(0)))
-    marked = marked.withColumn("scenario", F.when(F.col("req_line") > 0, _part(r"^####\s+Scenario:\s+(.+)$")))
+    marked = marked.withColumn("scenario", F.when(F.col("req_line") > 0, _part(SCENARIO)))
     stop = F.when(F.col("heading").isNotNull() | F.col("requirement").isNotNull(), 0).when(F.col("scenario").isNotNull(), F.col("line"))
     return marked.withColumn("scen_line", F.coalesce(F.last(stop, ignorenulls=True).over(_so_far("path")), F.lit(0)))
 
@@ -95,8 +119,7 @@ def scenarios(files: DataFrame) -> DataFrame:
 
     AND continues the THEN steps if there are any before it, else the WHEN, else the GIVEN steps.
     """
-    step = r"(?i)^\s*-\s+\*\*(GIVEN|WHEN|THEN|AND)\*\*\s*(.*)$"
-    inside = _marked(files).filter("scen_line > 0").withColumn("kind", F.upper(_part(step, 1))).withColumn("step", _part(step, 2))
+    inside = _marked(files).filter("scen_line > 0").withColumn("kind", F.upper(_part(STEP, 1))).withColumn("step", _part(STEP, 2))
     had = lambda kind: F.max(F.coalesce(F.col("kind") == kind, F.lit(False))).over(_so_far("path", "scen_line"))
     inside = inside.withColumn("slot", F.when(F.col("kind") != "AND", F.col("kind")).when(F.col("kind").isNotNull(), F.when(had("THEN"), "THEN").when(had("WHEN"), "WHEN").otherwise("GIVEN")))
     clause = lambda slot: _joined(F.col("slot") == slot, "step", " | ")
@@ -109,12 +132,12 @@ def deltas(files: DataFrame) -> DataFrame:
 
     Under RENAMED a TO line takes the FROM line before it; one without a FROM line is ignored.
     """
-    kind = F.upper(_part(r"(?i)^##\s+(ADDED|MODIFIED|REMOVED|RENAMED)\s+Requirements?"))
+    kind = F.upper(_part(CHANGE))
     marked = _lines(files).withColumn("kind", kind)
     marked = marked.withColumn("delta_type", F.last("kind", ignorenulls=True).over(_so_far("path"))).withColumn("section", F.last(F.when(F.col("kind").isNotNull(), F.col("line")), ignorenulls=True).over(_so_far("path"))).filter("section is not null")
     renames = F.col("delta_type") == "RENAMED"
-    name = lambda side: F.when(renames, _part(rf"^-\s+{side}:\s+`###\s+Requirement:\s+(.+?)`"))
-    marked = marked.withColumn("old", name("FROM")).withColumn("new", name("TO")).withColumn("requirement", _part(r"^###\s+Requirement:\s+(.+)$"))
+    name = lambda side: F.when(renames, _part(RENAME.format(side=side)))
+    marked = marked.withColumn("old", name("FROM")).withColumn("new", name("TO")).withColumn("requirement", _part(REQUIREMENT))
     inside = Window.partitionBy("path", "section").orderBy("line")
     before = F.last(F.when(F.col("old").isNotNull() | F.col("new").isNotNull(), F.struct("old")), ignorenulls=True).over(inside.rowsBetween(Window.unboundedPreceding, -1))
     marked = marked.withColumn("from", before["old"]).withColumn("at", F.last(F.when(F.col("requirement").isNotNull(), F.col("line")), ignorenulls=True).over(inside.rowsBetween(Window.unboundedPreceding, 0)))
