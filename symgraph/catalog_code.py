@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from .functions import text
 from .operators import context, pattern, search, store, traverse
 from .registry import query
+from .shared import new_folder, written
 from .sources import code, java, project, spectree
 from .sources import testgraph as g
 from .streaming import files as streaming
@@ -27,6 +28,11 @@ def _text(template: str, **columns) -> F.Column:
     return F.concat(*parts)
 
 
+def _rows(files):
+    """What was found in the files, as a table: the joins of a resolution read it many times."""
+    return written(code.analyzed(files), "rows")
+
+
 # --- Python -----------------------------------------------------------------------------------------
 
 
@@ -60,13 +66,13 @@ _FILE = "'n' || c_nationkey || '/c' || c_custkey || '.py'"
 @query(f"SELECT {_FILE} AS src, 'n' || c_nationkey || '/util.py' AS dst FROM customer UNION ALL SELECT {_FILE}, 'base.py' FROM customer")
 def relative_imports(spark, d):
     files = _python(spark, d)
-    return code.resolve_imports(code.python_rows(files), files)
+    return code.resolve_imports(_rows(files), files)
 
 
 @query(f"""SELECT 'CALLS' AS rel, {_FILE} AS src_path, 'C' || c_custkey || '.run' AS src, 'n' || c_nationkey || '/util.py' AS dst_path, 'help' || c_custkey % 3 AS dst FROM customer
 UNION ALL SELECT unnest(['EXTENDS', 'RETURNS', 'PARAMETERS']), {_FILE}, unnest(['C' || c_custkey, 'C' || c_custkey || '.run', 'C' || c_custkey || '.run']), 'base.py', unnest(['Top', 'Top', 'Other']) FROM customer""")
 def python_uses(spark, d):
-    return code.resolve_uses(code.python_rows(_python(spark, d)))
+    return code.resolve_uses(_rows(_python(spark, d)))
 
 
 @query(f"""SELECT {_FILE} AS path, unnest(['decorator', 'sanitizer_call', 'fs_op']) AS kind, unnest(['login_required', 'clean_text', 'open']) AS name, 'C' || c_custkey || '.run' AS owner,
@@ -120,18 +126,18 @@ _CLASS, _HERE = "'p' || c_nationkey || '/C' || c_custkey || '.java'", "'p' || c_
 unnest([{_HERE}Base.java', 'lib/Runner.java', 'lib/tools/Tool.java', {_HERE}Helper.java']) AS dst_path, unnest(['Base', 'Runner', 'Tool', 'Helper']) AS dst FROM customer
 UNION ALL SELECT 'RETURNS', 'p' || n_nationkey || '/Helper.java', 'Helper.make', 'p' || n_nationkey || '/Helper.java', 'Helper' FROM nation UNION ALL SELECT 'EXTENDS', 'lib/tools/Tool.java', 'Tool', 'lib/tools/Tool.java', 'Root'""")
 def java_types(spark, d):
-    return java.type_edges(code.analyzed(_java(spark, d), ["java"]))
+    return java.type_edges(_rows(_java(spark, d)))
 
 
 @query(f"""SELECT 'CALLS' AS rel, {_CLASS} AS src_path, 'C' || c_custkey || '.run' AS src, unnest([{_HERE}Helper.java', {_HERE}Base.java', 'lib/Strings.java', 'lib/tools/Tool.java']) AS dst_path,
 unnest(['Helper.make', 'Base.base', 'Strings.trim', 'Root.use']) AS dst FROM customer UNION ALL SELECT 'CALLS', 'lib/Strings.java', 'Strings.other', 'lib/Strings.java', 'Strings.trim'""")
 def java_calls(spark, d):
-    return java.call_edges(code.analyzed(_java(spark, d), ["java"]))
+    return java.call_edges(_rows(_java(spark, d)))
 
 
 @query(f"SELECT {_CLASS} AS src, unnest(['lib/Runner.java', 'lib/tools/Tool.java', 'lib/Strings.java']) AS dst FROM customer")
 def java_imports(spark, d):
-    return java.import_edges(code.analyzed(_java(spark, d), ["java"]))
+    return java.import_edges(_rows(_java(spark, d)))
 
 
 @query("""WITH c AS (SELECT count(*) AS c FROM customer), n AS (SELECT count(*) AS n FROM nation)
@@ -482,8 +488,6 @@ def shortest_form_paths(spark, d):
 @query("""WITH v AS (SELECT p_brand AS path, max(p_partkey) AS version FROM part GROUP BY p_brand) SELECT path, version, sha256(p_name) AS digest FROM v JOIN part ON p_partkey = version""")
 def stream_versions(spark, d):
     """Versions of files arrive as a stream of files; the newest of each path stays."""
-    from .shared import new_folder
-
     folder = new_folder(spark, "stream-input")
     g.table(spark, d, "part").select(F.col("p_brand").alias("path"), F.col("p_partkey").alias("version"), F.col("p_name").alias("text")).write.option("maxRecordsPerFile", 20_000).parquet(folder)
     return streaming.latest_versions(spark, folder)
