@@ -49,3 +49,15 @@ def test_query(spark, library):
         ids = [*library.encode(text, add_special_tokens=False).ids, 1]
         assert (got[doc_id].start, got[doc_id].n_tokens, got[doc_id].ids_crc32) == (at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
         at += len(ids)
+
+
+def test_ids_that_are_no_integers_are_refused_and_large_parts_are_split(spark, monkeypatch):
+    import pytest
+
+    from symgraph.llm import ordered
+
+    with pytest.raises(TypeError, match="integers"):
+        ordered.id_ranges(spark.createDataFrame([("a", "x")], "doc_id string, text string"))
+    monkeypatch.setattr(ordered, "ROWS", 10)
+    rows, borders = ordered.id_ranges(spark.createDataFrame([(i, "x") for i in range(200)], "doc_id long, text string"))
+    assert len(borders) == 20 and rows.groupBy("part").count().agg({"count": "max"}).first()[0] <= 20
