@@ -11,6 +11,7 @@ from .bag_minhash import op2_bag_minhash
 from .chat import op8_reply_trees
 from .exact_dedup import op7_streaming_dedup
 from .lm_scoring import op6_gated_lm
+from .merkle import op13_merkle_manifest
 from .packing import op1_harmonic_packing
 from .quality import op5_co_training
 from .records import op10_record_files
@@ -31,6 +32,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_reply_trees": op8_reply_trees,
         "op9_winnowing": op9_winnowing,
         "op10_record_files": op10_record_files,
+        "op13_merkle_manifest": op13_merkle_manifest,
     }
 
 
