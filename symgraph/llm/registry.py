@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bag_minhash, chat, exact_dedup
+from . import bag_minhash, centroids, chat, exact_dedup
 from .bag_minhash import op2_bag_minhash
+from .centroids import op11_centroid_clustering
 from .chat import op8_reply_trees
 from .exact_dedup import op7_streaming_dedup
 from .lm_scoring import op6_gated_lm
@@ -32,6 +33,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_reply_trees": op8_reply_trees,
         "op9_winnowing": op9_winnowing,
         "op10_record_files": op10_record_files,
+        "op11_centroid_clustering": op11_centroid_clustering,
         "op13_merkle_manifest": op13_merkle_manifest,
     }
 
@@ -41,4 +43,5 @@ def oracle_sql() -> dict[str, str]:
         "op2_bag_minhash": bag_minhash.SQL,
         "op7_streaming_dedup": exact_dedup.SQL,
         "op8_reply_trees": chat.SQL,
+        "op11_centroid_clustering": centroids.SQL,
     }
