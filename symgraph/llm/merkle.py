@@ -277,3 +277,51 @@ def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("id").alias("doc_id"), "leaf", "subroot", "root", F.sha2(F.col("siblings").cast("binary"), 256).alias("proof_sha256"),
         folded(F.coalesce("tampered", "leaf"), F.col("siblings"), F.col("places"), F.col("sizes")).alias("folded_root"),
     ).withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+def _value(column: str) -> str:
+    return f"coalesce(strlen(({column})::VARCHAR)::VARCHAR || ':' || ({column})::VARCHAR, '-')"
+
+
+def _leaf(text: str) -> str:
+    return "sha256(" + " || ".join(map(_value, ["doc_id", "source", "lang", "n_chars", text])) + ")"
+
+
+#: Level by level, runs of 16 nodes become one; ids are taken as unique and never null.
+SQL = f"""
+WITH RECURSIVE leaves AS (
+  SELECT doc_id, source, {_leaf("text")} AS leaf, {_leaf(f"translate(text, '{_UPPER}', '{_LOWER}')")} AS lowered,
+         xor(4294967295, list_reduce([4294967295::BIGINT] || list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT),
+             lambda crc, b: list_reduce([xor(crc, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda a, z: xor(a >> 1, 3988292384 * (a & 1))))) % 5 = 0 AS tampered
+  FROM documents),
+placed AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS pos, count(*) OVER (PARTITION BY source) AS n FROM leaves),
+lower_tree AS (
+  SELECT source AS g, 0 AS lvl, pos, n, leaf AS d FROM placed
+  UNION ALL
+  SELECT g, lvl + 1, pos // 16, (n + 15) // 16, sha256(string_agg(d, '' ORDER BY pos)) FROM lower_tree WHERE n > 1 GROUP BY g, lvl, pos // 16, n),
+subroots AS (SELECT g, d, row_number() OVER (ORDER BY g NULLS FIRST) - 1 AS pos, count(*) OVER () AS n FROM lower_tree WHERE n = 1),
+upper_tree AS (
+  SELECT 0 AS lvl, pos, n, d FROM subroots
+  UNION ALL
+  SELECT lvl + 1, pos // 16, (n + 15) // 16, sha256(string_agg(d, '' ORDER BY pos)) FROM upper_tree WHERE n > 1 GROUP BY lvl, pos // 16, n),
+nodes AS (SELECT true AS low, g, lvl, pos, n, d FROM lower_tree UNION ALL SELECT false, NULL, lvl, pos, n, d FROM upper_tree),
+steps AS (
+  SELECT low, g, lvl, pos,
+         coalesce(string_agg(d, '') OVER (PARTITION BY low, g, lvl, pos // 16 ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS l,
+         coalesce(string_agg(d, '') OVER (PARTITION BY low, g, lvl, pos // 16 ORDER BY pos ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS r
+  FROM nodes WHERE n > 1),
+path AS (
+  SELECT doc_id, lvl, l, r FROM placed p JOIN steps s ON s.low AND s.g IS NOT DISTINCT FROM p.source AND s.pos = p.pos // (16 ** s.lvl)::BIGINT
+  UNION ALL
+  SELECT doc_id, 100 + lvl, l, r FROM placed p JOIN subroots u ON u.g IS NOT DISTINCT FROM p.source JOIN steps s ON NOT s.low AND s.pos = u.pos // (16 ** s.lvl)::BIGINT),
+ordered AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY lvl) AS k FROM path),
+fold AS (
+  SELECT doc_id, 0::BIGINT AS k, CASE WHEN tampered THEN lowered ELSE leaf END AS d FROM leaves
+  UNION ALL
+  SELECT f.doc_id, o.k, sha256(o.l || f.d || o.r) FROM fold f JOIN ordered o ON o.doc_id = f.doc_id AND o.k = f.k + 1),
+folded AS (SELECT doc_id, arg_max(d, k) AS folded_root FROM fold GROUP BY doc_id),
+proofs AS (SELECT doc_id, string_agg(l || r, '' ORDER BY k) AS siblings FROM ordered GROUP BY doc_id),
+root AS (SELECT d AS root FROM upper_tree WHERE n = 1)
+SELECT doc_id, leaf, u.d AS subroot, root, sha256(coalesce(siblings, '')) AS proof_sha256, folded_root, folded_root = root AS verified
+FROM placed p JOIN subroots u ON u.g IS NOT DISTINCT FROM p.source CROSS JOIN root JOIN folded USING (doc_id) LEFT JOIN proofs USING (doc_id)
+"""
