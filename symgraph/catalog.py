@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import catalog_code
+from . import catalog_code, catalog_security as catalog_security
 from .functions import text
 from .operators import pattern, security, store, traverse
 from .plans import fixtures

@@ -21,7 +21,7 @@ def _link(edges: DataFrame, rel: str, src: str, dst: str) -> DataFrame:
 
 def xss(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Variables put into an element that no function processes."""
-    processed = _link(edges, "PROCESSED_BY", "v", "f").select("v_id")
+    processed = _link(edges, "PROCESSED_BY", "v", "f").join(_of(nodes, "Function", "f"), "f_id").select("v_id")
     return _link(edges, "INJECTED_INTO", "v", "e").join(_of(nodes, "HtmlElement", "e"), "e_id").join(_of(nodes, "Variable", "v"), "v_id").join(processed, "v_id", "left_anti").select(
         F.col("v_name").alias("UnsafeVariable"), F.col("e_name").alias("TargetElement"), F.col("v_path").alias("SourceFile"), F.col("v_line").alias("SourceLine")
     )

@@ -82,6 +82,24 @@ def _dotted(node: ast.expr) -> str | None:
     return ".".join([node.id, *reversed(parts)]) if isinstance(node, ast.Name) else None
 
 
+def parsed(text: str) -> ast.Module | None:
+    """The syntax tree of a Python text; None if it does not parse or is nested too deeply for the parser."""
+    try:
+        return ast.parse(text)
+    except (SyntaxError, ValueError, RecursionError, MemoryError):
+        return None
+
+
+def called_name(function: ast.expr) -> str | None:
+    """``name`` or ``object.attribute`` of what is called; None for other expressions and for chains too deep to write out."""
+    if isinstance(function, ast.Name):
+        return function.id
+    try:
+        return f"{ast.unparse(function.value)}.{function.attr}" if isinstance(function, ast.Attribute) else None
+    except RecursionError:
+        return None
+
+
 def _source(lines: list[bytes], node: ast.expr) -> str:
     """The text of an expression."""
     a, b = node.lineno - 1, node.end_lineno - 1
@@ -94,10 +112,10 @@ def python_file(path: str, text: str) -> list[tuple]:
 
     Of a call ``name`` is the last attribute and ``target`` the text ``object.attribute``; imports have
     the dots of relative ones as owner; a doc is the text of a first statement that is an expression.
+    A file that does not parse, or is nested too deeply for that, has no rows.
     """
-    try:
-        tree = ast.parse(text)
-    except (SyntaxError, ValueError):
+    tree = parsed(text)
+    if tree is None:
         return []
     lines = text.encode("utf-8", "replace").splitlines()
     out: list[tuple] = []
@@ -111,7 +129,7 @@ def python_file(path: str, text: str) -> list[tuple]:
             full = f"{owner}.{node.name}" if owner else node.name
             doc = _source(lines, node.body[0].value) if isinstance(node.body[0], ast.Expr) else None
             out.append((path, "class" if is_class else "method" if in_class else "function", node.name, owner, full, *at, doc))
-            out += [(path, "decorator", ast.unparse(d.func if isinstance(d, ast.Call) else d), full, None, d.lineno, d.lineno, None) for d in node.decorator_list]
+            out += [(path, "decorator", _source(lines, d.func if isinstance(d, ast.Call) else d), full, None, d.lineno, d.lineno, None) for d in node.decorator_list]
             typed = [("base", b) for b in node.bases] if is_class else [("parameters", a.annotation) for a in (*node.args.posonlyargs, *node.args.args, *node.args.kwonlyargs) if a.annotation] + ([("return_type", node.returns)] if node.returns else [])
             out += [(path, kind, name.rpartition(".")[2], full, name, *at, None) for kind, t in typed if (name := _dotted(t))]
             inner = full
