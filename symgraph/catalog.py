@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import catalog_code, catalog_security as catalog_security
+from . import catalog_code, catalog_history as catalog_history, catalog_security as catalog_security
 from .functions import text
 from .operators import pattern, security, store, traverse
 from .plans import fixtures
@@ -193,8 +193,7 @@ _TOKENS = f"toks AS (SELECT doc_id AS id, source, {TOKENS_SQL.replace('TEXT', 't
 
 @query(f"WITH {_TOKENS} SELECT w AS token, count(*) AS tf, count(DISTINCT id) AS df FROM (SELECT id, unnest(t) AS w FROM toks) GROUP BY w")
 def doc_tokens(spark, d):
-    words = g.table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.explode(text.tokens(F.coalesce("text", F.lit("")))).alias("token"))
-    per_doc = words.groupBy("token", "id").agg(F.count(F.lit(1)).alias("c"))
+    per_doc = text.token_counts(g.table(spark, d, "documents"), "doc_id")
     return per_doc.groupBy("token").agg(F.sum("c").alias("tf"), F.count(F.lit(1)).alias("df"))
 
 
@@ -205,8 +204,7 @@ bm AS (SELECT id, sum(coalesce(ln(1 + (n - coalesce(df, 0) + 0.5) / (coalesce(df
 
 @query(f"WITH {_BM25} SELECT id, round(score, 6) AS score FROM bm ORDER BY bm.score DESC, id LIMIT 20")
 def bm25_topk(spark, d):
-    corpus = g.table(spark, d, "documents").select(F.col("doc_id").alias("id"), text.tokens(F.coalesce("text", F.lit(""))).alias("tokens"))
-    return text.bm25(corpus, QUERY_WORDS).orderBy(F.desc("score"), "id").limit(20).select("id", F.round("score", 6).alias("score"))
+    return text.bm25_texts(g.table(spark, d, "documents"), QUERY_WORDS, "doc_id").orderBy(F.desc("score"), "id").limit(20).select("id", F.round("score", 6).alias("score"))
 
 
 _IDENTIFIERS = ["HTTPServer2X", "parse_tokens", "plain", "_x1Y", "getURLName"]
@@ -348,3 +346,4 @@ def list_repos(spark, d):
 
 
 register("hybrid_rank", catalog_code.hybrid_rank, catalog_code._search_sql())
+register("index_search", catalog_code.index_search, " UNION ALL ".join(f"SELECT {i}::INTEGER AS query, * FROM ({catalog_code._search_sql(*asked)})" for i, asked in enumerate(catalog_code._BATCH)))

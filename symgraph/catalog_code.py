@@ -10,7 +10,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from .functions import text
-from .operators import context, pattern, search, store, traverse
+from .operators import context, index, pattern, search, store, timeline, traverse
 from .registry import query
 from .shared import new_folder, written
 from .sources import code, java, project, spectree
@@ -178,20 +178,20 @@ def _searched(spark, d):
     return files, symbols, edges
 
 
-def _search_sql() -> str:
+def _search_sql(asked: str = _SEARCH, names: str = "'doc_7', 'src5_x'") -> str:
     from .catalog import TOKENS_SQL
 
     tokens = lambda x: TOKENS_SQL.replace("TEXT", x)
     return f"""WITH sym AS (SELECT doc_id AS id, replace({_SEARCH_PATH}, '/srv/proj/', '') AS file, 'Doc_' || doc_id % 13 AS name, coalesce({tokens("text")}, []) AS t FROM documents),
 capped AS (SELECT *, coalesce(sum(len(t)) OVER (PARTITION BY file ORDER BY id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM sym),
-q AS (SELECT list_distinct({tokens("'" + _SEARCH.replace("'", "''") + "'")}) AS w),
+q AS (SELECT list_distinct({tokens("'" + asked.replace("'", "''") + "'")}) AS w),
 body AS (SELECT file, unnest(list_concat({tokens("name")}, t[1:greatest(0, 4000 - before)::BIGINT])) AS w FROM capped UNION ALL SELECT file, unnest({tokens("replace(file, '/', ' ')")}) FROM (SELECT DISTINCT file FROM sym)),
 dl AS (SELECT file, count(*) AS dl FROM body GROUP BY file), st AS (SELECT count(*) AS n, avg(dl) AS avgdl FROM dl),
 tf AS (SELECT file, b.w, count(*) AS tf FROM body b JOIN (SELECT unnest(w) AS w FROM q) z ON z.w = b.w GROUP BY ALL), df AS (SELECT w, count(*) AS df FROM tf GROUP BY w),
 bm AS (SELECT file, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))) AS body FROM tf JOIN df USING (w) JOIN dl USING (file), st GROUP BY file),
 deg AS (SELECT b.file, count(*) AS c FROM sym a JOIN sym b ON b.id = a.id - a.id % 7 WHERE a.file <> b.file GROUP BY b.file),
-hits AS (SELECT file, count(*) FILTER (lower(name) IN ('doc_7', 'src5_x')) AS name_hits, min(id) AS file_id FROM sym GROUP BY file),
-rep AS (SELECT file, name, id AS src_start, id + 1 AS src_end FROM sym QUALIFY row_number() OVER (PARTITION BY file ORDER BY lower(name) IN ('doc_7', 'src5_x') DESC, id) = 1),
+hits AS (SELECT file, count(*) FILTER (lower(name) IN ({names})) AS name_hits, min(id) AS file_id FROM sym GROUP BY file),
+rep AS (SELECT file, name, id AS src_start, id + 1 AS src_end FROM sym QUALIFY row_number() OVER (PARTITION BY file ORDER BY lower(name) IN ({names}) DESC, id) = 1),
 r AS (SELECT file, file_id, name_hits, len(list_intersect(list_distinct({tokens("replace(file, '/', ' ')")}), w)) AS ph, coalesce(body, 0) AS body, ln(1 + coalesce(c, 0)) AS cen FROM hits LEFT JOIN bm USING (file) LEFT JOIN deg USING (file), q),
 b AS (SELECT min(name_hits) FILTER (name_hits > 0) AS nl, max(name_hits) AS nh, min(ph) AS pl, max(ph) AS ph2, min(body) AS bl, max(body) AS bh, min(cen) AS cl, max(cen) AS ch FROM r)
 SELECT file, file_id, round_even(2.0 * CASE WHEN name_hits > 0 AND nh > nl THEN (name_hits - nl) / (nh - nl) ELSE 0 END + 1.5 * CASE WHEN ph2 > pl THEN (ph - pl) / (ph2 - pl) ELSE 0 END
@@ -199,6 +199,18 @@ SELECT file, file_id, round_even(2.0 * CASE WHEN name_hits > 0 AND nh > nl THEN
 FROM r JOIN rep USING (file), b WHERE name_hits > 0 OR ph > 0 OR body > 0 ORDER BY score DESC, file LIMIT 10"""
 
 
+#: Queries of a batch, and the identifiers that each one mentions.
+_BATCH = [(_SEARCH, "'doc_7', 'src5_x'"), ("what does `doc_3` say of src2", "'doc_3'"), ("Doc_11 and Doc_4 and words", "'doc_11', 'doc_4'"), ("nothing zzzz", "''")]
+
+
+@query("")
+def index_search(spark, d):
+    folder = new_folder(spark, "index")
+    files, symbols, edges = (written(df, "searched") for df in _searched(spark, d))
+    index.build(folder, files, symbols, edges, (symbols.count(), edges.count(), "c1"), "proj")
+    return index.search(spark, folder, [q for q, _ in _BATCH])
+
+
 @query("")
 def hybrid_rank(spark, d):
     return search.hybrid_rank(*_searched(spark, d), _SEARCH, "proj")
@@ -329,10 +341,10 @@ def diff_classes(spark, d):
 
 @query("""SELECT p_partkey AS key, CASE WHEN p_partkey % 11 = 0 THEN 'new' ELSE p_name END AS p_name FROM part WHERE p_partkey % 5 <> 0""")
 def backlog_replay(spark, d):
-    """Replaying the difference of two states on the first one gives the second."""
+    """The log of what changed between two states, carried out on the first one, gives the second."""
     part = g.table(spark, d, "part").select(F.col("p_partkey").alias("key"), "p_name")
     before, after = part.filter("key % 7 <> 0"), part.filter("key % 5 <> 0").withColumn("p_name", F.when(F.col("key") % 11 == 0, F.lit("new")).otherwise(F.col("p_name")))
-    return store.replay(before, after, store.backlog(before, after, ["key"]), ["key"])
+    return timeline.applied(before, timeline.log_between(before, after, ["key"]), ["key"])
 
 
 @query("""SELECT n_name AS project, 'main' AS branch, 'url' AS field, CASE WHEN n_nationkey % 3 = 0 THEN 'new' ELSE 'old' END || n_nationkey AS value FROM nation WHERE n_nationkey % 3 < 2""")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..shared import written
+from ..shared import spread, written
 
 # The identifier and camel-case patterns, the BM25 constants, the weights of the hybrid score
 # (name, path, body, centrality, penalty) and the penalised paths decide the scores, so they must be these.
@@ -31,13 +31,43 @@ def tokens(text) -> F.Column:
     """All sub-tokens of all identifiers of a text."""
 
     def split(word: F.Column) -> F.Column:
-        tail = F.substring(word, 2, 1 << 30)
-        whole = F.lower(word)  # a word without ``_`` and capitals behind its first letter is its own part
-        return F.when((F.lower(tail) == tail) & ~word.contains("_"), F.array(whole, whole)).otherwise(sub_tokens(word))
+        return F.when(plain(word), F.array(F.lower(word), F.lower(word))).otherwise(sub_tokens(word))
 
     return F.filter(F.flatten(F.transform(identifiers(text), split)), lambda t: t != "")
 
 
+def plain(word: F.Column) -> F.Column:
+    """Whether an identifier is its own only part: no ``_``, no capital behind its first letter."""
+    tail = F.substring(word, 2, 1 << 30)
+    return (F.lower(tail) == tail) & ~word.contains("_")
+
+
+def token_counts(docs: DataFrame, id_col: str = "id", text_col: str = "text") -> DataFrame:
+    """id, token, c: how often each sub-token is in each text.
+
+    The identifiers are rows, not arrays inside arrays, so nearly all of them (plain words, which count twice) pass
+    through generated code; only the others are split.
+    """
+    rows = spread(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")))
+    words = rows.select("id", F.explode(identifiers(F.coalesce("text", F.lit("")))).alias("word"))
+    parts = F.when(plain(F.col("word")), F.array(F.lower("word"))).otherwise(sub_tokens(F.col("word")))
+    found = words.select("id", F.when(plain(F.col("word")), 2).otherwise(1).alias("times"), F.explode(parts).alias("token"))
+    return found.filter("token <> ''").groupBy("token", "id").agg(F.sum("times").alias("c"))
+
+
+def bm25_texts(docs: DataFrame, query: list[str], id_col: str = "id", text_col: str = "text") -> DataFrame:
+    """:func:`bm25` of texts whose tokens are nowhere stored: id, score."""
+    query = list(dict.fromkeys(query))
+    rows = spread(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")))
+    words = rows.select("id", F.explode_outer(identifiers(F.coalesce("text", F.lit("")))).alias("word")).withColumns({"plain": plain(F.col("word")), "lower": F.lower("word")})
+    parts = F.filter(sub_tokens(F.col("word")), lambda t: t != "")
+    same = lambda w: F.when(F.col("plain"), F.when(F.col("lower") == w, 2).otherwise(0)).otherwise(F.size(F.filter(parts, lambda t: t == F.lit(w))))
+    length = F.when(F.col("word").isNull(), 0).when(F.col("plain"), 2).otherwise(F.size(parts))
+    counted = words.groupBy("id").agg(F.sum(length).cast("double").alias("dl"), *(F.coalesce(F.sum(same(w)), F.lit(0)).cast("long").alias(f"tf{i}") for i, w in enumerate(query)))
+    stats = written(counted, "bm25")
+    return stats.join(F.broadcast(stats.agg(*bm25_totals(len(query))))).select("id", bm25_score(len(query)).alias("score"))  # one row is broadcast
+
+
 def query_identifiers(text) -> F.Column:
     """Words of four letters or more in lower case: all inside backticks, elsewhere those that look like code."""
     quoted = F.flatten(F.transform(F.regexp_extract_all(text, F.lit("`([^`]+)`"), F.lit(1)), identifiers))

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..shared import written
+from ..shared import spread, written
 
 
 def query_words(spark, query: str) -> tuple[list[str], list[str]]:
@@ -46,7 +46,7 @@ def corpus(files: DataFrame, symbols: DataFrame, edges: DataFrame, project: str
     degree = edges.filter("src_path <> dst_path").groupBy("dst_path").agg(F.count(F.lit(1)).alias("c")).groupBy(relative("dst_path").alias("file")).agg(F.sum(F.log1p("c")).alias("central"))
     own = files.filter("path is not null").select(relative("path").alias("file"), F.col("id").alias("file_id")).groupBy("file").agg(F.max("file_id").alias("file_id"))
     by_file = own.join(degree, "file", "left").select("file", "file_id", text.tokens(F.replace("file", F.lit("/"), F.lit(" "))).alias("tokens"), F.coalesce("central", F.lit(0.0)).alias("centrality"))
-    inside = capped_docs(symbols.filter("path is not null").withColumn("file", relative("path")))
+    inside = capped_docs(spread(symbols.filter("path is not null")).withColumn("file", relative("path")))
     named = F.when(F.col("name").isNotNull(), text.sub_tokens(F.col("name"))).otherwise(F.array().cast("array<string>"))
     return written(by_file, "search-files"), written(inside.select("file", "name", "start", "end", F.concat(named, "body").alias("tokens")), "search-symbols")
 

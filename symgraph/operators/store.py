@@ -134,12 +134,6 @@ def backlog(before: DataFrame, after: DataFrame, keys: list[str]) -> DataFrame:
     return both.select(*keys, change.alias("change")).filter("change is not null")
 
 
-def replay(before: DataFrame, after: DataFrame, changes: DataFrame, keys: list[str]) -> DataFrame:
-    """``before`` with the changes of :func:`backlog` carried out; changed and added rows come from ``after``."""
-    untouched = before.join(changes.select(*keys), keys, "left_anti")
-    return untouched.unionByName(after.join(changes.filter("change <> 'removed'").select(*keys), keys, "left_semi"))
-
-
 def _folder(spark: SparkSession, root: str, name: str):
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{root.rstrip('/')}/{name}")
     return path, path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())

@@ -43,3 +43,17 @@ def written(df: DataFrame, what: str, scratch: list[str] | None = None) -> DataF
     if scratch is not None:
         scratch.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+#: Bytes for each core below which an input counts as small.
+SMALL = 32 << 20
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` in as many partitions as there are cores where it is small (by the optimizer's estimate); a large input is left as it is.
+
+    A small table is often one file with one row group, which a single task would read and work on.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return df.repartition(cores) if size < cores * SMALL else df

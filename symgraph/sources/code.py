@@ -11,6 +11,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..shared import spread
+
 # What is scanned, and the names that make a call a rendering, a sanitiser, a file operation or tainted.
 EXTENSIONS = ("java", "py", "cs", "js", "kt", "kts", "html", "jinja2", "j2", "md", "markdown", "mdown", "mkd", "mdwn")
 RENDERERS = ("render_template", "render_template_string", "TemplateResponse", "render")
@@ -167,7 +169,7 @@ def analyzed(files: DataFrame, extensions: list[str] | None = None) -> DataFrame
             yield pd.DataFrame([r for p, t, e in zip(batch["path"], batch["text"], batch["e"]) for r in known[e](p, t or "")], columns=ROW)
 
     found = files.select("path", "text", extension_of(F.col("path")).alias("e")).filter(F.col("e").isin(list(known)))
-    return found.mapInPandas(run, ROW_SCHEMA)
+    return spread(found).mapInPandas(run, ROW_SCHEMA)
 
 
 def python_rows(files: DataFrame) -> DataFrame:
