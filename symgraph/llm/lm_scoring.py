@@ -37,7 +37,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import crc_bucket, exact_col, session_conf, table, written
+from .common import crc_bucket, exact_col, remove, session_conf, table, written
 from .gated_lm import STEPS, GatedLM
 
 VOCABULARY, GROUPS, KNOWN = 2000, 32, 200_000
@@ -112,6 +112,11 @@ class Scorer:
         return ids, float(logs.sum()), float(logs[found >= self.first_group - 1].sum()), len(words) - len(rest), rest
 
 
+#: Copies of a slice of the weights that are averaged in one group at most.
+MERGED = 64
+COPIES = "slice int, copy int, read long, weights binary"
+
+
 def least_count(counts: DataFrame, most: int) -> int:
     """The least c such that ``most`` rows at most have a count of c or more.
 
@@ -168,23 +173,41 @@ def train_round(texts: DataFrame, scorer: Scorer, rate: float) -> int:
             row = model.weights().astype(np.float32)
             for a in range(0, len(row), SLICE * 64):
                 cuts = range(a, min(a + SLICE * 64, len(row)), SLICE)
-                yield pd.DataFrame({"slice": [c // SLICE for c in cuts], "read": read, "weights": [row[c : c + SLICE].tobytes() for c in cuts]})
-
-    def mean(group: pd.DataFrame) -> pd.DataFrame:
-        total = sum(n * np.frombuffer(w, np.float32).astype(float) for n, w in zip(group["read"], group["weights"]))
-        n = int(group["read"].sum())
-        return pd.DataFrame({"slice": [group["slice"].iloc[0]], "read": [n], "weights": [(total / n).astype(np.float32).tobytes()]})
+                yield pd.DataFrame({"slice": [c // SLICE for c in cuts], "copy": TaskContext.get().partitionId(), "read": read, "weights": [row[c : c + SLICE].tobytes() for c in cuts]})
 
-    shape = "slice int, read long, weights binary"
+    scratch: list[str] = []
     with session_conf(texts.sparkSession, {"spark.sql.execution.arrow.maxRecordsPerBatch": "2000"}):
-        found = texts.mapInPandas(run, shape).groupBy("slice").applyInPandas(mean, shape).toPandas().sort_values("slice")  # one model
+        copies = written(texts.mapInPandas(run, COPIES), "lm-copies", scratch)
+        found = averaged(copies, copies.agg(F.max("copy")).first()[0] or 0).toPandas().sort_values("slice")  # one model
     shared.unpersist()
+    for path in scratch:
+        remove(texts.sparkSession, path)
     if not len(found):
         return 0
     scorer.model.put(np.frombuffer(b"".join(found["weights"]), np.float32))
     return int(found["read"].iloc[0])
 
 
+def averaged(copies: DataFrame, last: int) -> DataFrame:
+    """The mean of the copies 0 to ``last``, weighted by the tokens each has read, slice by slice.
+
+    In stages: no group has more than ``MERGED`` copies of a slice, however many there are.
+    """
+
+    def mean(group: pd.DataFrame) -> pd.DataFrame:
+        total = sum(n * np.frombuffer(w, np.float32).astype(float) for n, w in zip(group["read"], group["weights"]))
+        n = int(group["read"].sum())
+        return pd.DataFrame({"slice": [group["slice"].iloc[0]], "copy": [group["part"].iloc[0]], "read": [n], "weights": [(total / n).astype(np.float32).tobytes()]})
+
+    n = last + 1
+    while True:
+        parts = -(-n // MERGED)
+        copies = copies.withColumn("part", (F.col("copy") % parts).cast("int")).groupBy("slice", "part").applyInPandas(mean, COPIES)
+        if parts == 1:
+            return copies
+        n = parts
+
+
 def score_documents(docs: DataFrame, scorer: Scorer, counts: DataFrame) -> DataFrame:
     """docs: id, text, held_out -> id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     shared = docs.sparkSession.sparkContext.broadcast(scorer)
@@ -236,5 +259,5 @@ def op6_gated_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents scored; four fifths of them are learned from."""
     docs = table(spark, sf_dir, "documents").select(exact_col("doc_id").alias("id"), F.coalesce("text", F.lit("")).alias("text"), (crc_bucket("doc_id", 5) == 1).alias("held_out"))
     train = docs.filter("not held_out")
-    counts = written(count_tokens(train.select("text")), "lm-counts")
+    counts = written(count_tokens(train.select("text")), "lm-counts")  # the result reads it
     return score_documents(docs, learn(counts, train), counts).withColumnRenamed("id", "doc_id")

@@ -34,6 +34,8 @@ from .ordered import id_ranges
 from .wordbpe import WordEncoder, vocabulary_path
 
 END_ID = 1
+#: Bytes that are read at a time where records are read in the order of the file.
+BLOCK = 8 << 20
 _HEAD, _ID = "<QI", "<qBB"
 _encoders: dict[tuple, WordEncoder] = {}
 
@@ -125,12 +127,16 @@ def write_records(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col
 def read_records(manifest: DataFrame, shuffle_seed: int | None = None) -> DataFrame:
     """All records of a manifest: doc_id, start (ids before it in all files), ids (unsigned 32-bit).
 
-    With a seed each file's records come in a random order, found through the index.
+    With a seed each file's records come in a random order, found through the index one by one; without, a
+    file is read in blocks of some megabytes.
     """
     before = F.sum("n_ids").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))  # one row a file
     files = manifest.withColumn("first", F.coalesce(before, F.lit(0))).select("part", "file", "first")
     parts = (manifest.agg(F.max("part")).first()[0] or 0) + 1
 
+    def frame_of(rows: list[tuple]) -> pd.DataFrame:
+        return pd.DataFrame({"doc_id": pd.array([r[0] for r in rows], "Int64"), "start": [r[1] for r in rows], "ids": [r[2] for r in rows]})
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for part, name, first in zip(batch["part"], batch["file"], batch["first"]):
@@ -139,14 +145,25 @@ def read_records(manifest: DataFrame, shuffle_seed: int | None = None) -> DataFr
                 with _open(f"{name}.records", "open_input_file") as records:
                     size = records.size()
                     ends = np.append(index[1:, 0], size)
-                    order = np.arange(len(index)) if shuffle_seed is None else np.random.default_rng([shuffle_seed, part]).permutation(len(index))
-                    for a in range(0, len(order), 500):
-                        rows = []
-                        for i in order[a : a + 500].tolist():
-                            records.seek(int(index[i, 0]))
-                            doc_id, ids = parse(unframe(records.read(int(ends[i] - index[i, 0])), 0)[0])
+                    starts = index[:, 0]
+                    if shuffle_seed is None:
+                        numbers = np.unique(starts // BLOCK, return_index=True)[1]
+                        runs = [np.arange(a, b) for a, b in zip(numbers, [*numbers[1:], len(index)])]
+                    else:
+                        runs = [[i] for i in np.random.default_rng([shuffle_seed, part]).permutation(len(index))]
+                    rows = []
+                    for run_ in runs:
+                        at = int(starts[run_[0]])
+                        records.seek(at)
+                        data = records.read(int(ends[run_[-1]]) - at)
+                        for i in run_:
+                            doc_id, ids = parse(unframe(data, int(starts[i]) - at)[0])
                             rows.append((doc_id, int(first) + int(index[i, 1]), ids.tobytes()))
-                        yield pd.DataFrame({"doc_id": pd.array([r[0] for r in rows], "Int64"), "start": [r[1] for r in rows], "ids": [r[2] for r in rows]})
+                            if len(rows) == 500:
+                                yield frame_of(rows)
+                                rows = []
+                    if rows:
+                        yield frame_of(rows)
 
     return files.repartitionById(parts, F.col("part")).mapInPandas(run, "doc_id long, start long, ids binary")
 

@@ -165,6 +165,9 @@ def train(sample: DataFrame, fairness: float = FAIRNESS, identity: Groups = IDEN
         share = np.clip(positive / total if total else 0.0, 1e-6, 1 - 1e-6)
         return np.zeros(0, np.int64), np.zeros(0), float(np.log(share / (1 - share)))
     kept = informative(counted["f"].to_numpy(np.int64), counted["n"].to_numpy(float), counted["pos"].to_numpy(float), total, positive, KEPT)
+    terms = np.unique(features([t for group in identity for t in group])[0]).tolist()
+    used = rows.select(F.explode("own").alias("f")).filter(F.col("f").isin(terms)).distinct().toPandas()  # no more than the terms' features
+    kept = np.union1d(kept, used["f"].to_numpy(np.int64))  # a term that a text has can be penalised, however little it tells
 
     def keep(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         inside = lambda found: np.intersect1d(np.asarray(found, np.int64), kept)

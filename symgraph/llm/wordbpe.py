@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import exact_col, table
 
 _LETTERS, _NUMBERS, _SPACES = "a-zªµºß-öø-ÿ", "0-9²³¹¼½¾", "\t\n\x0b\x0c\r "
 #: Contractions, letters, single numbers, the rest: the split rule for lower-cased text of Latin-1 letters.
@@ -297,7 +297,7 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path
             for part in slices(batch, "t"):
                 yield pd.DataFrame({"doc_id": part["i"], "ids": texts(part["t"].tolist())})
 
-    return docs.select(F.col(id_col).cast("string").alias("i"), F.col(text_col).alias("t")).mapInPandas(run, "doc_id string, ids binary").withColumn("doc_id", F.col("doc_id").cast(docs.schema[id_col].dataType))
+    return docs.select(exact_col(id_col).cast("string").alias("i"), exact_col(text_col).alias("t")).mapInPandas(run, "doc_id string, ids binary").withColumn("doc_id", F.col("doc_id").cast(docs.schema[id_col].dataType))
 
 
 def decode(ids: F.Column, path: str | None = None) -> F.Column:
@@ -325,7 +325,7 @@ def round_trip(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 ids = texts(part["t"].tolist())
                 yield pd.DataFrame({"doc_id": part["i"], "ids": ids, "decoded": pd.Series([decoded(b, strings) for b in ids], dtype=object, index=part.index)})
 
-    return docs.select(F.col(id_col).cast("string").alias("i"), F.col(text_col).alias("t")).mapInPandas(run, "doc_id string, ids binary, decoded string").withColumn("doc_id", F.col("doc_id").cast(docs.schema[id_col].dataType))
+    return docs.select(exact_col(id_col).cast("string").alias("i"), exact_col(text_col).alias("t")).mapInPandas(run, "doc_id string, ids binary, decoded string").withColumn("doc_id", F.col("doc_id").cast(docs.schema[id_col].dataType))
 
 
 def op3_speculative_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

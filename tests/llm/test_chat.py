@@ -61,3 +61,19 @@ def test_query_on_odd_tables(spark, tmp_path):
     spark.createDataFrame([(*r, 1) for r in rows], "conv_id long, turn long, role string, text string, tree int").write.parquet(f"{tmp_path}/conversations.parquet")
     got = sorted((str(r.conv_id), r.n_turns, r.loss_chars) for r in op8_reply_trees(spark, f"file://{tmp_path}").collect())
     assert got == [("-1", 1, 0), ("-1", 2, 21), ("5", 3, 0), ("6", 1, 1), ("None", 1, 1)]
+
+
+def test_long_texts_and_empty_tables(spark, tmp_path):
+    """A text of a million characters, another of control strings only; and no rows at all."""
+    import hashlib
+
+    texts = ["wörd </s> \\ " * 80_000, "[INST]" * 100_000]
+    rows = [(1, 0, "user", "q"), (1, 1, "assistant", texts[0]), (1, 2, "user", texts[1]), (1, 3, "assistant", texts[1])]
+    schema = "conv_id long, turn long, role string, text string"
+    spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/a/conversations.parquet")
+    r = next(r for r in op8_reply_trees(spark, f"file://{tmp_path}/a").collect() if r.conv_id == 1)
+    digest = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    assert (r.n_turns, r.turns_sha256) == (4, digest("".join(f"{role}\n{text}\n" for _, _, role, text in rows)))
+    assert (r.loss_chars, r.loss_sha256) == (len(texts[0]) + len(texts[1]), digest(texts[0] + texts[1]))
+    spark.createDataFrame([], schema).write.parquet(f"{tmp_path}/b/conversations.parquet")
+    assert [(r.conv_id, r.n_turns) for r in op8_reply_trees(spark, f"file://{tmp_path}/b").collect()] == [(-1, 2)]

@@ -220,3 +220,33 @@ def test_quality_on_odd_tables(spark):
         assert sorted(str(r.id) for r in quality.view_scores(views, model).collect()) == ["1", "1", "3", "None"]
     assert quality.scored(docs.limit(0), model).count() == 0
     assert quality.view_scores(quality.view_table(docs.limit(0)), learned(docs.limit(0), spark.createDataFrame([], "doc_id long, quality int"))).count() == 0
+
+
+def test_toxicity_query_scores_each_document_by_the_model(spark, monkeypatch):
+    """op4's scores against a logistic function written out for each document's set of features."""
+    import math
+    import zlib
+
+    from symgraph.llm import toxicity
+
+    models = []
+    monkeypatch.setattr(toxicity, "train", lambda *a, f=toxicity.train, **k: models.append(f(*a, **k)) or models[-1])
+    sf = "/root/testdata/sf0.001"
+    got = {r.doc_id: r for r in toxicity.op4_counterfactual_toxicity(spark, sf).collect()}
+    kept, weights, bias = models[0]
+    weight = dict(zip(kept.tolist(), weights.tolist()))
+    docs = spark.read.parquet(f"{sf}/documents.parquet").collect()
+    assert len(got) == len(docs)
+    for d in docs:
+        value = bias + sum(weight.get(f, 0.0) for f in set(toxicity.features([d.text or ""])[0].tolist()))
+        r = got[d.doc_id]
+        assert math.isclose(r.score, 1 / (1 + math.exp(-value)), rel_tol=1e-9, abs_tol=1e-12)
+        assert (r.held_out, r.predicted) == (zlib.crc32(str(d.doc_id).encode()) % 4 == 2, int(r.score >= 0.3))
+
+
+def test_features_of_terms_that_texts_have_are_kept(spark):
+    from symgraph.llm import toxicity
+
+    texts = [("a text that tells nothing of women", 0.0)] * 2 + [(f"word{i % 7} and more", float(i % 2)) for i in range(60)]
+    kept, _, _ = toxicity.train(spark.createDataFrame(texts, "text string, y double"))
+    assert np.isin(toxicity.features(["women"])[0], kept).all()

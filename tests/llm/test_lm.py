@@ -1,3 +1,4 @@
+import pytest
 import math
 import re
 import zlib
@@ -177,3 +178,21 @@ def test_odd_tables(spark, tmp_path):
     assert all(math.isfinite(r.score) for r in rows)
     spark.createDataFrame([], "doc_id long, text string").write.parquet(f"{path}/none/documents.parquet")
     assert op6_gated_lm(spark, f"{path}/none").count() == 0
+
+
+@pytest.mark.parametrize("n", [1, 3, 64, 65, 200])
+def test_copies_are_averaged_in_bounded_groups(spark, monkeypatch, n):
+    """The weighted mean, by groups of at most MERGED copies, here 4 (64 stages by default)."""
+    monkeypatch.setattr(lm_scoring, "MERGED", 4)
+    rng = np.random.default_rng(n)
+    weights, read = rng.normal(size=(n, 2, 5)).astype(np.float32), rng.integers(1, 100, n)
+    rows = [(s, i, int(read[i]), weights[i, s].tobytes()) for i in range(n) for s in range(2)]
+    got = lm_scoring.averaged(spark.createDataFrame(rows, lm_scoring.COPIES), n - 1)
+    for r in got.collect():
+        expected = (weights[:, r.slice] * read[:, None]).sum(axis=0) / read.sum()
+        assert r["read"] == read.sum() and np.allclose(np.frombuffer(r.weights, np.float32), expected, atol=1e-5)
+    parts, most = n, 0
+    while parts > 1:
+        before, parts = parts, -(-parts // 4)
+        most = max(most, -(-before // parts))
+    assert most <= 4 and got.count() == 2

@@ -61,3 +61,13 @@ def test_ids_that_are_no_integers_are_refused_and_large_parts_are_split(spark, m
     monkeypatch.setattr(ordered, "ROWS", 10)
     rows, borders = ordered.id_ranges(spark.createDataFrame([(i, "x") for i in range(200)], "doc_id long, text string"))
     assert len(borders) == 20 and rows.groupBy("part").count().agg({"count": "max"}).first()[0] <= 20
+
+
+def test_very_long_texts(spark, library):
+    """A record of some megabytes; reading by blocks and one by one give the same."""
+    docs = [(i, "word " * i) for i in range(300)] + [(1000, "Très long ½ " * 200_000)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    manifest = write_records(df, new_folder(spark, "t"))
+    rows = {r.doc_id: r for r in read_records(manifest).collect()}
+    assert len(rows) == 301 and len(rows[1000].ids) // 4 == len(library.encode(docs[-1][1], add_special_tokens=False).ids) + 1
+    assert {r.doc_id: (r.start, r.ids) for r in read_records(manifest, shuffle_seed=1).collect()} == {k: (r.start, r.ids) for k, r in rows.items()}
