@@ -3,29 +3,32 @@
 from __future__ import annotations
 
 import re
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
+from collections.abc import Iterator
 
 from .code import register_analyzer
 
+#: Characters between a declaration and its comment at most (annotations and modifiers stand there).
+DOC_GAP = 4000
 _HIDDEN = re.compile(r"//[^\n]*|/\*.*?\*/|\"\"\".*?\"\"\"|\"(?:\\.|[^\"\\\n])*\"|'(?:\\.|[^'\\\n])*'|`(?:\\.|[^`\\])*`", re.S)
 _KEYWORDS = frozenset("if for while switch catch synchronized return new else do try using lock foreach when throw typeof sizeof nameof super this function await case assert".split())
 _MORE_KEYWORDS = {"java": frozenset(), "cs": frozenset(("where",)), "js": frozenset(), "kt": frozenset("in is as fun class interface object constructor init".split())}
 _TYPE_KIND = {"class": "class", "record": "class", "interface": "interface", "enum": "enum", "struct": "struct", "object": "object"}
 _GENERIC = r"(?:<[^<>{}();]*(?:<[^<>{}();]*>[^<>{}();]*)*>)?"
 _TYPES = {
-    "java": re.compile(rf"\b(class|interface|enum|record)\s+(\w+)\s*{_GENERIC}\s*(?:\([^()]*\))?([^{{}};()]*)(?=\{{)"),
-    "cs": re.compile(rf"\b(class|interface|enum|struct|record)\s+(\w+)\s*{_GENERIC}\s*(?:\([^()]*\))?([^{{}};()]*)(?=\{{)"),
-    "js": re.compile(r"\b(class)\s+(\w+)([^{};()]*)(?=\{)"),
+    "java": re.compile(rf"\b(class|interface|enum|record)\s+(\w+)\s*{_GENERIC}\s*(?:\([^()]*\))?([^{{}};()]{{0,2000}})(?=\{{)"),
+    "cs": re.compile(rf"\b(class|interface|enum|struct|record)\s+(\w+)\s*{_GENERIC}\s*(?:\([^()]*\))?([^{{}};()]{{0,2000}})(?=\{{)"),
+    "js": re.compile(r"\b(class)\s+(\w+)([^{};()]{0,2000})(?=\{)"),
     "kt": re.compile(rf"\b(class|interface|object)\s+(\w+)\s*{_GENERIC}\s*(?:\([^()]*\))?((?:\s*:\s*[\w.]+{_GENERIC}(?:\([^()]*\))?(?:\s*,\s*[\w.]+{_GENERIC}(?:\([^()]*\))?)*)?)"),
 }
-_METHOD = re.compile(rf"(?:(?<=[{{}};\n)])|^)[ \t]*(?:@\w+(?:\([^()]*\))?\s*)*((?:[\w.?]+{_GENERIC}(?:\[\])*\s+)*)(\w+)\s*\(([^()]*)\)\s*(?:throws\s+[\w., ]+)?\s*(?:=>|[{{;])", re.M)
+_METHOD = re.compile(rf"(?:(?<=[{{}};\n)])|^)[ \t]*(?:@\w+(?:\([^()]*\))?\s*)*((?:[\w.?]+{_GENERIC}(?:\[\])*\s+){{0,12}})(\w+)\s*\(([^()]*)\)\s*(?:throws\s+[\w., ]+)?\s*(?:=>|[{{;])", re.M)
 _JS_METHOD = re.compile(r"(?:(?<=[{};\n])|^)[ \t]*(?:static\s+|async\s+|get\s+|set\s+|\*\s*)*(#?\w+)\s*\(([^()]*)\)\s*\{", re.M)
 _JS_FUNCTION = re.compile(r"\bfunction\s*\*?\s*(\w+)\s*\(([^()]*)\)\s*\{")
 _FUN = re.compile(rf"\bfun\s+{_GENERIC}\s*(?:[\w.]+\.)?(\w+)\s*\(([^()]*(?:\([^()]*\)[^()]*)*)\)\s*(?::\s*([\w.]+{_GENERIC}\??))?")
-_CALL = re.compile(r"(?:((?:this|super|[\w\])]+(?:\s*\.\s*\w+)*))\s*\??\.\s*)?\b(\w+)\s*(?:<[\w, ]+>)?\(")
-_FIELD = re.compile(rf"(?:(?<=[{{}};(,\n])|^)\s*(?:(?:public|private|protected|static|final|readonly|volatile)\s+)*([A-Z][\w.]*{_GENERIC}(?:\[\])*)\s+(\w+)\s*(?==[^=]|;|:)", re.M)
-_IMPORT = re.compile(r"^\s*import\s+(static\s+)?([\w.]+?)(\.\*)?\s*;", re.M)
-_PACKAGE = re.compile(r"^\s*package\s+([\w.]+)\s*;", re.M)
+_CALL = re.compile(r"(?:((?:this|super|[\w\])]+(?:\s*\.\s*\w+){0,50}))\s*\??\.\s*)?\b(\w+)\s*(?:<[\w, ]+>)?\(")
+_FIELD = re.compile(rf"(?:(?<=[{{}};(,\n])|^)[ \t]*(?:(?:public|private|protected|static|final|readonly|volatile)\s+)*([A-Z][\w.]*{_GENERIC}(?:\[\])*)\s+(\w+)\s*(?==[^=]|;|:)", re.M)
+_IMPORT = re.compile(r"^[ \t]*import\s+(static\s+)?([\w.]+?)(\.\*)?\s*;", re.M)
+_PACKAGE = re.compile(r"^[ \t]*package\s+([\w.]+)\s*;", re.M)
 _MODIFIERS = frozenset("public private protected static final abstract default native synchronized strictfp virtual override sealed async extern unsafe new partial readonly internal".split())
 
 
@@ -76,22 +79,41 @@ def brace_file(language: str):
                 open_at.append(m.start())
             elif open_at:
                 close[open_at.pop()] = m.start()
-        bounds = sorted(close.items())
+        opens, outer_of, open_now = sorted(close), {}, []
+        for a in opens:
+            while open_now and close[open_now[-1]] < a:
+                open_now.pop()
+            outer_of[a] = open_now[-1] if open_now else None
+            open_now.append(a)
+
+        def braces_around(at: int) -> Iterator[int]:
+            """The opening braces around a place, the innermost first."""
+            i = bisect_left(opens, at) - 1
+            a = opens[i] if i >= 0 else None
+            while a is not None:
+                if close[a] > at:
+                    yield a
+                a = outer_of[a]
 
         def around(at: int) -> int | None:
             """The innermost opening brace around a place."""
-            found = [a for a, b in bounds if a < at < b]
-            return found[-1] if found else None
+            return next(braces_around(at), None)
+
+        ends = [c[1] for c in comments]
 
         def doc(at: int) -> str | None:
-            """The comment (C#: all comments) right before a declaration, by the language's rule."""
+            """The comment (C#: all comments) right before a declaration, by the language's rule.
+
+            Only the nearest comment can be right before it; what is too far away for annotations is not read.
+            """
             before, found = at, []
-            while True:
-                near = [c for c in comments if c[1] <= before and not re.sub(r"@\w+(?:\([^()]*\))?|[\w<>,.?&\[\]]+", "", plain[c[1] : before]).strip() and "\n\n" not in plain[c[1] : before]]
-                if not near:
+            while (i := bisect_right(ends, before) - 1) >= 0:
+                start, end, comment = comments[i]
+                gap = plain[end:before] if before - end <= DOC_GAP else ";"
+                if "\n\n" in gap or re.sub(r"@\w+(?:\([^()]*\))?|[\w<>,.?&\[\]]+", "", gap).strip():
                     break
-                found.insert(0, near[-1][2])
-                before = near[-1][0]
+                found.insert(0, comment)
+                before = start
                 if language != "cs":
                     break
             if not found or (language == "java" and not found[0].startswith("/*")) or (language == "kt" and not found[0].startswith("/**")):
@@ -101,8 +123,7 @@ def brace_file(language: str):
         out, owners = [], {}  # opening brace -> (full name, kind)
 
         def owner(at: int) -> tuple[str | None, str | None]:
-            found = [a for a, b in bounds if a < at < b and a in owners]
-            return owners[found[-1]] if found else (None, None)
+            return next((owners[a] for a in braces_around(at) if a in owners), (None, None))
 
         def body(end: int) -> int | None:
             m = re.compile(r"[^{};]*?\{").match(plain, end)
@@ -161,18 +182,18 @@ def brace_file(language: str):
             out += [(path, "local", n, full, type_name(t), line(at), line(at), None) for n, t in typed]
             if result and kind != "constructor":
                 out.append((path, "return_type", type_name(result).rpartition(".")[2], full, type_name(result), line(at), line(at), None))
-        callable_at = [a for a, (_, k) in owners.items() if k in ("method", "constructor", "function")]
+        callable_at = {a for a, (_, k) in owners.items() if k in ("method", "constructor", "function")}
         for m in _FIELD.finditer(plain):
             full, kind = owner(m.start(2))
             if full and m[2] not in keywords:
                 out.append((path, "local" if kind in ("method", "constructor", "function") else "field", m[2], full, type_name(m[1]), line(m.start(2)), line(m.start(2)), None))
         declared = {x[3] for x in found}
         for m in _CALL.finditer(plain):
-            around_call = [a for a in callable_at if a < m.start(2) < close.get(a, -1)]
+            around_call = next((a for a in braces_around(m.start(2)) if a in callable_at), None)
             before = plain[max(0, m.start() - 12) : m.start()]
-            if not around_call or m[2] in keywords or m.start(2) in declared and m.start(2) in seen or re.search(r"\bnew\s+[\w.]*$", before + (m[1] or "")):
+            if around_call is None or m[2] in keywords or m.start(2) in declared and m.start(2) in seen or re.search(r"\bnew\s+[\w.]*$", before + (m[1] or "")):
                 continue
-            out.append((path, "call", m[2], owners[max(around_call)][0], re.sub(r"\s", "", m[1]) if m[1] else None, line(m.start(2)), line(m.start(2)), None))
+            out.append((path, "call", m[2], owners[around_call][0], re.sub(r"\s", "", m[1]) if m[1] else None, line(m.start(2)), line(m.start(2)), None))
         return out
 
     return rows
