@@ -202,39 +202,43 @@ def absolute_import(path, dots, target, from_package: bool = False) -> F.Column:
     return F.when(level == 0, target).when(up <= F.size(parts), climbed)
 
 
-def resolve_imports(rows: DataFrame, files: DataFrame) -> DataFrame:
+def resolve_imports(rows: DataFrame, files: DataFrame, only: DataFrame | None = None) -> DataFrame:
     """IMPORTS edges (src, dst paths) of Python files outside dependencies: the imported name, else its parent.
 
     Names are looked up as full module names, then as ends of such; of several files the first path wins.
+    ``only`` (path) limits the importing files.
     """
     own = files.filter(F.col("path").endswith(".py") & ~is_dependency(F.col("path")))
     parts = F.split(module_of(F.col("path")), r"\.")
     ends = own.select("path", F.posexplode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "."))).alias("at", "dotted"))
     index = ends.filter("dotted <> ''").groupBy("dotted").agg(F.min(F.struct((F.col("at") > 0).alias("end"), "path")).alias("best")).select("dotted", F.col("best.path").alias("dst"))
-    asked = rows.filter("kind in ('import', 'module_import')").select(F.col("path").alias("src"), absolute_import(F.col("path"), F.col("owner"), F.coalesce(F.when(F.col("owner") == "", F.col("doc")), "target")).alias("target"))
+    importing = rows.filter("kind in ('import', 'module_import')")
+    asked = (importing if only is None else importing.join(only.select("path").distinct(), "path", "left_semi")).select(F.col("path").alias("src"), absolute_import(F.col("path"), F.col("owner"), F.coalesce(F.when(F.col("owner") == "", F.col("doc")), "target")).alias("target"))
     wanted = asked.filter("target <> ''").distinct().withColumn("parent", F.when(F.col("target").contains("."), F.regexp_replace("target", r"\.[^.]+$", "")))
     exact, above = index.select(F.col("dotted").alias("target"), F.col("dst").alias("d1")), index.select(F.col("dotted").alias("parent"), F.col("dst").alias("d2"))
     found = wanted.join(exact, "target", "left").join(above, "parent", "left").select("src", F.coalesce("d1", "d2").alias("dst"))
     return found.filter("dst is not null and src <> dst").distinct()
 
 
-def resolve_uses(rows: DataFrame, kinds: dict[str, str] | None = None) -> DataFrame:
+def resolve_uses(rows: DataFrame, kinds: dict[str, str] | None = None, only: DataFrame | None = None) -> DataFrame:
     """Edges (rel, src_path, src, dst_path, dst) of the uses of the given kinds (all) in Python files.
 
     Of a call only the last attribute counts, of types the dotted name.  In order: a top-level name of the
     same file; an imported one, where of the dotted name the longest part that is a module counts; a name
     that is unique among the project's top-level ones.  What follows a class's name must be its method.
+    ``only`` (path) limits the files whose uses are resolved.
     """
     rel = F.coalesce(*(F.when(F.col("kind") == k, F.lit(r)) for k, r in (kinds or RELATIONS).items()))
     dotted = F.when(F.col("kind") == "call", F.col("name")).otherwise(F.coalesce("target", "name"))
-    uses = rows.withColumn("rel", rel).filter("rel is not null and owner is not null").select("rel", F.col("path").alias("src_path"), F.col("owner").alias("src"), dotted.alias("dotted")).distinct()
+    using = rows if only is None else rows.join(only.select("path").distinct(), "path", "left_semi")
+    uses = using.withColumn("rel", rel).filter("rel is not null and owner is not null").select("rel", F.col("path").alias("src_path"), F.col("owner").alias("src"), dotted.alias("dotted")).distinct()
     uses = uses.filter(~is_dependency(F.col("src_path"))).withColumn("head", F.substring_index("dotted", ".", 1)).withColumn("tail", F.expr("substring(dotted, length(head) + 2)"))
     order = F.when(F.col("kind") == "variable", 1).otherwise(0)  # a variable does not hide a class or function
     tops = rows.filter("kind in ('class', 'function', 'variable') and owner is null").groupBy("path", "name").agg(F.min(F.struct(order.alias("o"), "kind")).alias("k")).select("path", "name", F.col("k.kind").alias("kind"), module_of(F.col("path")).alias("module"))
     methods = rows.filter("kind = 'method' and instr(owner, '.') = 0").select(F.col("path").alias("dst_path"), F.col("owner").alias("name2"), F.col("name").alias("tail")).distinct()
     home = lambda *keys: tops.select(*keys, F.col("kind").alias("dst_kind"))
     local = uses.join(home(F.col("path").alias("src_path"), F.col("name").alias("head")), ["src_path", "head"]).select("rel", "src_path", "src", "dotted", F.lit(1).alias("rank"), F.col("src_path").alias("dst_path"), F.col("head").alias("name2"), "dst_kind", "tail")
-    imported = rows.filter("kind = 'import'").select(F.col("path").alias("src_path"), F.col("name").alias("head"), absolute_import(F.col("path"), F.col("owner"), F.col("target"), True).alias("to")).filter("to is not null").distinct()
+    imported = using.filter("kind = 'import'").select(F.col("path").alias("src_path"), F.col("name").alias("head"), absolute_import(F.col("path"), F.col("owner"), F.col("target"), True).alias("to")).filter("to is not null").distinct()
     full = uses.join(imported, ["src_path", "head"]).withColumn("parts", F.split(F.concat_ws(".", "to", F.nullif("tail", F.lit(""))), r"\."))
     cut = full.select("rel", "src_path", "src", "dotted", "parts", F.explode(F.sequence(F.lit(1), F.greatest(F.size("parts") - 1, F.lit(1)))).alias("i")).filter("i < size(parts)")
     cut = cut.withColumn("module", F.array_join(F.expr("slice(parts, 1, i)"), ".")).withColumn("name2", F.expr("parts[i]")).withColumn("tail", F.array_join(F.expr("slice(parts, i + 2, size(parts))"), "."))

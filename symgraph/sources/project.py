@@ -1,4 +1,7 @@
-"""A whole source tree as a graph: files, entities and all edges that static rules give."""
+"""A whole source tree as a graph: files, entities and all edges that static rules give.
+
+Python and Java have static rules; uses in C#, JavaScript and Kotlin files stay without edges.
+"""
 
 from __future__ import annotations
 
@@ -25,34 +28,40 @@ def nodes_of(rows: DataFrame, files: DataFrame) -> DataFrame:
     return both.select(F.xxhash64("label", "name", "path", F.coalesce("start", F.lit(-1)), F.coalesce("end", F.lit(-1))).alias("id"), *both.columns)
 
 
-def uses_of(rows: DataFrame) -> DataFrame:
-    """rel, src_path, src, dst_path, dst by the rules of each language.
+def _java(rows: DataFrame) -> DataFrame:
+    return rows.filter(F.col("path").endswith(".java"))
 
-    Python and Java have static rules; uses in C#, JavaScript and Kotlin files stay without edges.
-    """
-    return code.resolve_uses(rows.filter(F.col("path").endswith(".py"))).unionByName(java.type_edges(_java(rows))).unionByName(java.call_edges(_java(rows)))
 
+def links_of(rows: DataFrame, paths: DataFrame, only: DataFrame | None = None) -> DataFrame:
+    """rel, src_path, src, dst_path, dst of all that files link to (IMPORTS have empty names); paths: path of every file.
 
-def _java(rows: DataFrame) -> DataFrame:
-    return rows.filter(F.col("path").endswith(".java"))
+    ``only`` (path) limits the Python files that are looked at, and leaves Java out unless one of its files is among them.
+    """
+    python, none = rows.filter(F.col("path").endswith(".py")), F.lit("")
+    whole = lambda df: df.select(F.lit("IMPORTS").alias("rel"), F.col("src").alias("src_path"), none.alias("src"), F.col("dst").alias("dst_path"), none.alias("dst"))
+    found = whole(code.resolve_imports(python, paths, only)).unionByName(code.resolve_uses(python, only=only))
+    if only is not None and only.filter(F.col("path").endswith(".java")).isEmpty():
+        return found
+    return found.unionByName(whole(java.import_edges(_java(rows)))).unionByName(java.type_edges(_java(rows))).unionByName(java.call_edges(_java(rows)))
 
 
-def indexed(files: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """files: path, text -> nodes; edges (src, rel, dst): DEFINES, IMPORTS, OVERRIDES and the uses."""
-    rows = written(code.analyzed(files), "rows")
-    nodes = written(nodes_of(rows, files), "nodes")
+def assembled(nodes: DataFrame, links: DataFrame) -> DataFrame:
+    """Edges (src, rel, dst) between nodes: DEFINES, the links, and OVERRIDES derived from them."""
     # several entities of one name in a file (overloads, redefinitions) are all ends of a use; the first defines what is in it
     at = lambda path, full, id_: nodes.select(F.col("path").alias(path), F.col("full").alias(full), F.col("id").alias(id_))
     first = nodes.groupBy("path", "full").agg(F.min_by("id", F.struct(F.coalesce("start", F.lit(0)).alias("s"), "id")).alias("src"))
     inner = nodes.filter("full <> ''").select("path", F.regexp_replace(F.when(F.col("full").contains("."), F.col("full")).otherwise(F.lit("")), r"\.[^.]*$", "").alias("full"), F.col("id").alias("dst"))
     defines = inner.join(first, ["path", "full"]).select("src", F.lit("DEFINES").alias("rel"), "dst")
-    whole = nodes.filter("label = 'File'")
-    linked = code.resolve_imports(rows.filter(F.col("path").endswith(".py")), files).unionByName(java.import_edges(_java(rows)))
-    ends = lambda name: whole.select(F.col("path").alias(name), F.col("id").alias(f"{name}_id"))
-    imports = linked.join(ends("src"), "src").join(ends("dst"), "dst").select(F.col("src_id").alias("src"), F.lit("IMPORTS").alias("rel"), F.col("dst_id").alias("dst"))
-    used = uses_of(rows).join(at("src_path", "src", "a"), ["src_path", "src"]).join(at("dst_path", "dst", "b"), ["dst_path", "dst"]).select(F.col("a").alias("src"), "rel", F.col("b").alias("dst"))
-    edges = written(defines.unionByName(imports).unionByName(used).distinct(), "edges")
+    linked = links.join(at("src_path", "src", "a"), ["src_path", "src"]).join(at("dst_path", "dst", "b"), ["dst_path", "dst"]).select(F.col("a").alias("src"), "rel", F.col("b").alias("dst"))
+    edges = written(defines.unionByName(linked).distinct(), "edges")
     functions = nodes.filter("label = 'Function'").select(F.col("id").alias("dst"), "name")
     methods = edges.filter("rel = 'DEFINES'").join(functions, "dst").select(F.col("src").alias("owner"), F.col("dst").alias("method"), "name")
     over = overrides(edges.filter("rel = 'EXTENDS'").select("src", "dst"), methods).select(F.col("method").alias("src"), F.lit("OVERRIDES").alias("rel"), F.col("overridden").alias("dst"))
-    return nodes, edges.unionByName(over)
+    return edges.unionByName(over)
+
+
+def indexed(files: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """files: path, text -> nodes; edges (src, rel, dst): DEFINES, IMPORTS, OVERRIDES and the uses."""
+    rows = written(code.analyzed(files), "rows")
+    nodes = written(nodes_of(rows, files), "nodes")
+    return nodes, assembled(nodes, links_of(rows, files))
