@@ -150,14 +150,14 @@ def train(sample: DataFrame, fairness: float = FAIRNESS, identity: Groups = IDEN
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for a in range(0, len(batch), 200):
-                part = batch.iloc[a : a + 200]
+            for a in range(0, len(batch), 50):
+                part = batch.iloc[a : a + 50]
                 other = [_sets(swaps(t, identity)) for t in part["text"]]
                 own = _sets(part["text"].tolist())
                 put = [[] if o or (term := inserted(t, identity)) is None else np.setdiff1d(features([term])[0], s) for t, o, s in zip(part["text"], other, own)]
                 yield pd.DataFrame({"y": part["y"], "own": own, "swapped": other, "put": [list(map(int, p)) if len(p) else None for p in put]})
 
-    with session_conf(sample.sparkSession, {"spark.sql.execution.arrow.maxRecordsPerBatch": "500"}):
+    with session_conf(sample.sparkSession, {"spark.sql.execution.arrow.maxRecordsPerBatch": "100"}):
         rows = written(sample.mapInPandas(run, "y double, own array<int>, swapped array<array<int>>, put array<int>"), "toxic-sample")
     counted = rows.select("y", F.explode("own").alias("f")).groupBy("f").agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("pos")).filter(f"n >= {LEAST_ROWS}").toPandas()  # at most FEATURES rows
     total, positive = rows.agg(F.count(F.lit(1)), F.sum("y")).first()
