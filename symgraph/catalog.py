@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import catalog_code, catalog_history as catalog_history, catalog_security as catalog_security, catalog_stream as catalog_stream
+from . import catalog_code, catalog_history as catalog_history, catalog_lookup as catalog_lookup, catalog_security as catalog_security, catalog_stream as catalog_stream
 from .functions import text
 from .operators import pattern, security, store, traverse
 from .plans import fixtures
 from .registry import oracle_sql, queries, query, register
+from .shared import new_folder, written
 from .sources import code, spectree
 from .sources import testgraph as g
 
@@ -207,13 +208,13 @@ def bm25_topk(spark, d):
     return text.bm25_texts(g.table(spark, d, "documents"), QUERY_WORDS, "doc_id").orderBy(F.desc("score"), "id").limit(20).select("id", F.round("score", 6).alias("score"))
 
 
-_IDENTIFIERS = ["HTTPServer2X", "parse_tokens", "plain", "_x1Y", "getURLName"]
+_IDENTIFIER = "'_x' || p_partkey || 'HTTPServer' || replace(p_brand, '#', '_') || 'yZ'"
 
 
-@query("""SELECT * FROM (VALUES ('HTTPServer2X', 'http,server2,x,httpserver2x'), ('parse_tokens', 'parse,tokens,parse_tokens'), ('plain', 'plain,plain'),
-('_x1Y', 'x1,y,_x1y'), ('getURLName', 'get,url,name,geturlname')) t(name, parts)""")
+@query(f"SELECT p_partkey AS id, array_to_string({TOKENS_SQL.replace('TEXT', _IDENTIFIER)}, ',') AS parts FROM part")
 def sub_tokens(spark, d):
-    return spark.createDataFrame([(x,) for x in _IDENTIFIERS], "name string").select("name", F.array_join(text.sub_tokens(F.col("name")), ",").alias("parts"))
+    name = F.concat(F.lit("_x"), F.col("p_partkey"), F.lit("HTTPServer"), F.replace("p_brand", F.lit("#"), F.lit("_")), F.lit("yZ"))
+    return g.table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.array_join(F.filter(text.sub_tokens(name), lambda t: t != ""), ",").alias("parts"))
 
 
 @query("SELECT page_id, lower(tag) AS tag, count(*) AS n FROM (SELECT page_id, unnest(regexp_extract_all(html, '<([a-zA-Z][a-zA-Z0-9]*)', 1)) AS tag FROM pages) GROUP BY ALL")
@@ -276,21 +277,31 @@ def backlog_diff(spark, d):
     return store.backlog(part.filter("key % 7 <> 0"), after, ["key"])
 
 
-@query("SELECT * FROM (VALUES ('a.py', 2, 3), ('b.py', 3, 3), ('c.py', 3, 3), ('a.py', 2, 4), ('c.py', 3, 4), ('a.py', 1, 1), ('a.py', 2, 2)) t(path, valid_from, pos)")
+@query("""WITH v AS (SELECT 'p' || o_custkey % 50 AS path, o_orderkey AS valid_from, lead(o_orderkey) OVER (PARTITION BY o_custkey % 50 ORDER BY o_orderkey) AS valid_to, o_orderstatus AS s FROM orders),
+a AS (SELECT unnest([max(o_orderkey) // 2, max(o_orderkey)]) AS pos FROM orders) SELECT path, valid_from, pos FROM v, a WHERE s <> 'O' AND valid_from <= pos AND (valid_to IS NULL OR valid_to > pos)""")
 def switch_commit(spark, d):
-    rows = store.versions(spark.createDataFrame(fixtures.COMMITS, "path string, pos int, change string"))
-    out = None
-    for pos in (1, 2, 3, 4):
-        part = store.at_commit(rows, pos).select("path", "valid_from", F.lit(pos).alias("pos"))
-        out = part if out is None else out.unionByName(part)
-    return out
+    """Fifty files that every order adds, modifies or deletes; what is there half way and at the end."""
+    kind = F.when(F.col("o_orderstatus") == "F", "added").when(F.col("o_orderstatus") == "O", "deleted").otherwise("modified")
+    changes = g.table(spark, d, "orders").select(F.concat(F.lit("p"), F.col("o_custkey") % 50).alias("path"), F.col("o_orderkey").alias("pos"), kind.alias("change"))
+    rows, last = store.versions(changes), changes.agg(F.max("pos")).first()[0]
+    at = lambda pos: store.at_commit(rows, pos).select("path", "valid_from", F.lit(pos).cast("long").alias("pos"))
+    return at(last // 2).unionByName(at(last))
 
 
-@query("SELECT id, file, coverage::DOUBLE AS coverage FROM (VALUES (1, 'src/a.py', 1.0), (2, 'src/a.py', 1.0), (3, 'src/b.py', 1.0), (4, 'src/none.py', 0.0)) t(id, file, coverage)")
+@query("""WITH l AS (SELECT l_orderkey, l_linenumber, max((l_returnflag = 'R' OR l_linestatus = 'F')::INT) AS h FROM lineitem GROUP BY ALL),
+o AS (SELECT l_orderkey, count(*) AS found, sum(h) AS hit, count(*) FILTER (l_linenumber <= 4) AS n FROM l GROUP BY l_orderkey)
+SELECT o_orderkey AS id, 'src/o' || o_orderkey || '.py' AS file, CASE WHEN hit = found THEN 1.0 ELSE coalesce(n, 0) / 3 END::DOUBLE AS coverage FROM orders LEFT JOIN o ON l_orderkey = o_orderkey""")
 def lcov_coverage(spark, d):
-    files = code.lcov(spark.createDataFrame([(x,) for x in fixtures.LCOV], "report string"))
-    lines = files.select("file", F.explode("lines").alias("l")).select("file", F.col("l.line").alias("line"), F.col("l.hits").alias("hits"))
-    return store.coverage(files, lines, spark.createDataFrame(fixtures.FUNCTIONS, "id int, file string, start int, end int"))
+    """Reports of two tests for each order, written as text files and read back record by record; a fully covered file gives 1.0 to its function."""
+    lines = g.table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.explode(F.array(F.struct(F.lit("a").alias("t"), (F.col("l_returnflag") == "R").alias("h")), F.struct(F.lit("b").alias("t"), (F.col("l_linestatus") == "F").alias("h")))).alias("x"))
+    hit = lines.groupBy("l_orderkey", "x.t", "l_linenumber").agg(F.max(F.col("x.h").cast("int")).alias("h"))
+    records = hit.groupBy("l_orderkey", "t").agg(F.array_join(F.collect_list(F.concat(F.lit("DA:"), "l_linenumber", F.lit(","), "h")), "\n").alias("da"), F.count(F.lit(1)).alias("lf"), F.sum("h").alias("lh"))
+    report = F.concat(F.lit("TN:"), "t", F.lit("\nSF:src/o"), "l_orderkey", F.lit(".py\n"), "da", F.lit("\nLF:"), "lf", F.lit("\nLH:"), "lh", F.lit("\nend_of_record"))
+    folder = new_folder(spark, "lcov")
+    records.select(report.alias("value")).write.text(folder)
+    found, counted = code.lcov_merged(code.lcov(code.lcov_reports(spark, folder)))
+    orders = g.table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.concat(F.lit("src/o"), "o_orderkey", F.lit(".py")).alias("file"), F.lit(1).alias("start"), F.lit(4).alias("end"))
+    return store.coverage(found, counted, orders)
 
 
 @query("""WITH l AS (SELECT l_orderkey, l_linenumber FROM lineitem), o AS (SELECT o_orderkey, count(l_linenumber) FILTER (l_linenumber BETWEEN 1 AND 4) AS n FROM orders LEFT JOIN l ON l_orderkey = o_orderkey GROUP BY o_orderkey)
@@ -301,48 +312,78 @@ def order_coverage(spark, d):
     return store.coverage(orders.select("file", F.lit(4).alias("found"), F.lit(1).alias("hit")), rows, orders.select("id", "file", F.lit(1).alias("start"), F.lit(4).alias("end")))
 
 
-@query("SELECT * FROM (VALUES ('python/entrypoint.py', 'python/service.py'), ('python/service.py', 'python/repo.py'), ('python/repo.py', 'python/db.py')) t(src, dst)")
+def _chain(spark, d):
+    """A module a part, whose function calls that of the next part's module; its class extends that one's class."""
+    p, q = F.col("p_partkey").cast("string"), (F.col("p_partkey") + 1).cast("string")
+    body = F.concat(F.lit("from pkg.m"), q, F.lit(" import f"), q, F.lit(", K"), q, F.lit("\n\ndef f"), p, F.lit("():\n    return f"), q, F.lit("()\n\nclass K"), p, F.lit("(K"), q, F.lit("):\n    pass\n"))
+    return g.table(spark, d, "part").select(F.concat(F.lit("pkg/m"), p, F.lit(".py")).alias("path"), body.alias("text"))
+
+
+_NEXT = "FROM part a JOIN part b ON b.p_partkey = a.p_partkey + 1"
+
+
+@query(f"SELECT 'pkg/m' || a.p_partkey || '.py' AS src, 'pkg/m' || b.p_partkey || '.py' AS dst {_NEXT}")
 def import_resolution(spark, d):
-    files = fixtures.project(spark)
-    return code.resolve_imports(code.python_rows(files), files)
+    files = written(_chain(spark, d), "files")
+    return code.resolve_imports(written(code.python_rows(files), "rows"), files)
 
 
-@query("""SELECT * FROM (VALUES ('CALLS', 'python/entrypoint.py', 'entrypoint', 'python/service.py', 'service'), ('CALLS', 'python/service.py', 'service', 'python/repo.py', 'UserRepo'),
-('CALLS', 'python/service.py', 'service', 'python/repo.py', 'OrderRepo'), ('CALLS', 'python/repo.py', 'BaseRepo.repo', 'python/db.py', 'db'),
-('EXTENDS', 'python/repo.py', 'UserRepo', 'python/repo.py', 'BaseRepo'), ('EXTENDS', 'python/repo.py', 'OrderRepo', 'python/repo.py', 'BaseRepo')) t(rel, src_path, src, dst_path, dst)""")
+@query(f"""SELECT unnest(['CALLS', 'EXTENDS']) AS rel, 'pkg/m' || a.p_partkey || '.py' AS src_path, unnest(['f', 'K']) || a.p_partkey AS src, 'pkg/m' || b.p_partkey || '.py' AS dst_path, unnest(['f', 'K']) || b.p_partkey AS dst {_NEXT}""")
 def python_calls_static(spark, d):
-    return code.resolve_uses(code.python_rows(fixtures.project(spark)))
+    return code.resolve_uses(written(code.python_rows(_chain(spark, d)), "rows"))
+
 
+def _lines(*columns):
+    return F.concat(*(x for c in columns for x in (F.lit(c) if isinstance(c, str) else c.cast("string"),)))
 
-@query("SELECT * FROM (VALUES ('README.md', 2, 2, 'Use', NULL, NULL, 2), ('README.md', 5, 3, 'GET /items list', 'GET', '/items', 1), ('README.md', 8, 2, 'Last', NULL, NULL, 0)) t(path, line, level, title, method, route, n_requirements)")
+
+@query("""SELECT 's' || s_suppkey || '.md' AS path, unnest([2, 5, 8]) AS line, unnest([2, 3, 2]) AS level, unnest([s_name, 'Post /s' || s_suppkey || ' list', 'Last']) AS title, unnest([NULL, 'POST', NULL]) AS method,
+unnest([NULL, '/s' || s_suppkey, NULL]) AS route, unnest([2, 1, 0]) AS n_requirements FROM supplier""")
 def markdown_sections(spark, d):
-    return code.markdown_sections(fixtures.project(spark).filter(F.col("path").endswith(".md")))
+    text_ = _lines("# Title\n## ", F.col("s_name"), "\n- first\n* second\n### Post /s", F.col("s_suppkey"), " list\n- must page\ntext\n## Last\n")
+    return code.markdown_sections(g.table(spark, d, "supplier").select(_lines("s", F.col("s_suppkey"), ".md").alias("path"), text_.alias("text")))
+
+
+def _spec_tree(spark, d):
+    """A capability and a change a supplier."""
+    s = F.col("s_suppkey")
+    spec = _lines("## Purpose\nFor ", s, ".\n## Requirements\n### Requirement: Session ", s, "\nIt keeps\n", s, " sessions.\n#### Scenario: Known\n- **GIVEN** a user\n- **WHEN** they enter ", s, "\n- **AND** wait\n- **THEN** they are in\n### Requirement: Bare\n")
+    tasks = _lines("- [ ] loose ", s, "\n## Build\n- [x] 1.", s, " Write it\n- [X] test it\n")
+    delta = _lines("## ADDED Requirements\n### Requirement: New ", s, "\nMust be new.\n## RENAMED Requirements\n- FROM: `### Requirement: Old`\n- TO: `### Requirement: Newer ", s, "`\n")
+    files = [(_lines("p/openspec/specs/c", s, "/spec.md"), spec), (_lines("p/openspec/changes/d", s, "/tasks.md"), tasks), (_lines("p/openspec/changes/d", s, "/specs/c", s, "/spec.md"), delta), (_lines("p/openspec/changes/archive/specs/c", s, "/spec.md"), delta)]
+    return g.table(spark, d, "supplier").select(F.explode(F.array(*(F.struct(p.alias("path"), t.alias("text")) for p, t in files))).alias("f")).select("f.*")
+
+
+_SPEC, _CHANGE = "'p/openspec/specs/c' || s_suppkey || '/spec.md' AS path", "'p/openspec/changes/d' || s_suppkey || "
 
 
-@query("SELECT * FROM (VALUES (4, 'Session', 'It keeps a session.'), (11, 'Bare', '')) t(line, name, text)")
+@query(f"SELECT {_SPEC}, unnest([4, 12]) AS line, unnest(['Session ' || s_suppkey, 'Bare']) AS name, unnest(['It keeps ' || s_suppkey || ' sessions.', '']) AS text FROM supplier")
 def spec_requirements(spark, d):
-    return spectree.requirements(spectree.specs(fixtures.spec_tree(spark))).drop("path")
+    return spectree.requirements(spectree.specs(_spec_tree(spark, d)))
 
 
-@query("SELECT * FROM (VALUES (4, 6, 'Known', 'a user', 'they enter | wait', 'they are in')) t(req_line, line, name, given, when_clause, then_clause)")
+@query(f"SELECT {_SPEC}, 4 AS req_line, 7 AS line, 'Known' AS name, 'a user' AS given, 'they enter ' || s_suppkey || ' | wait' AS when_clause, 'they are in' AS then_clause FROM supplier")
 def spec_scenarios(spark, d):
-    return spectree.scenarios(spectree.specs(fixtures.spec_tree(spark))).drop("path")
+    return spectree.scenarios(spectree.specs(_spec_tree(spark, d)))
 
 
-@query("""SELECT * FROM (VALUES (1, '', '', 'loose', false), (3, 'Build', '1.1', 'Write it', true), (4, 'Build', '', 'test it', true)) t(line, "group", num, text, checked)""")
+@query(f"""SELECT {_CHANGE}'/tasks.md' AS path, unnest([1, 3, 4]) AS line, unnest(['', 'Build', 'Build']) AS "group", unnest(['', '1.' || s_suppkey, '']) AS num, unnest(['loose ' || s_suppkey, 'Write it', 'test it']) AS text, unnest([false, true, true]) AS checked FROM supplier""")
 def spec_tasks(spark, d):
-    return spectree.tasks(spectree.change_tasks(fixtures.spec_tree(spark))).drop("path")
+    return spectree.tasks(spectree.change_tasks(_spec_tree(spark, d)))
 
 
-@query("SELECT * FROM (VALUES (2, 'ADDED', 'CHANGE_ADDS_REQUIREMENT', 'New', 'Must be new.'), (6, 'RENAMED', 'CHANGE_MODIFIES_REQUIREMENT', 'Newer', '(renamed from: Old)')) t(line, delta_type, rel, requirement, text)")
+@query(f"""SELECT {_CHANGE}'/specs/c' || s_suppkey || '/spec.md' AS path, unnest([2, 6]) AS line, unnest(['ADDED', 'RENAMED']) AS delta_type, unnest(['CHANGE_ADDS_REQUIREMENT', 'CHANGE_MODIFIES_REQUIREMENT']) AS rel,
+unnest(['New ' || s_suppkey, 'Newer ' || s_suppkey]) AS requirement, unnest(['Must be new.', '(renamed from: Old)']) AS text FROM supplier""")
 def spec_deltas(spark, d):
-    return spectree.deltas(spectree.change_specs(fixtures.spec_tree(spark))).drop("path")
+    return spectree.deltas(spectree.change_specs(_spec_tree(spark, d)))
 
 
-@query("""SELECT * FROM (VALUES ('code:newproj:main', 'newproj', 'main'), ('code:newproj:feat/x:y', 'newproj', 'feat/x:y'), ('legacy_proj', 'legacy_proj', '_default')) t(name, project, branch)""")
+@query("""SELECT unnest([n_name, 'code:' || n_name || ':main', 'code:' || n_name || ':feat/x:y']) AS name, n_name AS project, unnest(['_default', 'main', 'feat/x:y']) AS branch FROM nation""")
 def list_repos(spark, d):
-    names = spark.createDataFrame([(x,) for x in ("legacy_proj", "code:newproj:main", "code:newproj:feat/x:y", "code:newproj:main_git", "code:newproj:main_schema")], "name string")
-    return names.filter(~F.col("name").rlike("_(git|schema|tmp)$")).select("name", text.graph_key(F.col("name")).alias("k")).select("name", "k.project", "k.branch")
+    """Of five graphs a nation two are helpers of others."""
+    named = lambda branch: F.concat(F.lit("code:"), "n_name", F.lit(":" + branch))
+    names = g.table(spark, d, "nation").select(F.explode(F.array("n_name", *map(named, ("main", "feat/x:y", "main_git", "main_schema")))).alias("name"))
+    return names.filter(~text.is_internal(F.col("name"))).select("name", text.graph_key(F.col("name")).alias("k")).select("name", "k.project", "k.branch")
 
 
 register("hybrid_rank", catalog_code.hybrid_rank, catalog_code._search_sql())

@@ -258,11 +258,11 @@ def composite_seek(spark, d):
 # --- Graph state ------------------------------------------------------------------------------------
 
 
-@query("""WITH e AS (SELECT l_orderkey AS src, l_partkey AS dst, l_linenumber >= 3 AS new, l_quantity::INT AS q, l_returnflag AS f FROM lineitem WHERE l_orderkey % 4 = 0),
+@query("""WITH e AS (SELECT l_orderkey AS src, l_partkey AS dst, l_linenumber >= 3 AS new, l_quantity::INT AS q, l_returnflag AS f FROM lineitem),
 k AS (SELECT src, dst, bool_or(new) AS new FROM e GROUP BY ALL)
 SELECT src, dst, lpad((max(q) FILTER (e.new = k.new))::VARCHAR, 4, '0') AS quantity, max(f) FILTER (NOT e.new) AS flag FROM e JOIN k USING (src, dst) GROUP BY src, dst""")
 def upsert_edge_props(spark, d):
-    rows = g.table(spark, d, "lineitem").filter("l_orderkey % 4 = 0")
+    rows = g.table(spark, d, "lineitem")
     quantity = F.lpad(F.col("l_quantity").cast("int").cast("string"), 4, "0")
     edges = lambda part, props: part.select(F.col("l_orderkey").alias("src"), F.lit("CONTAINS").alias("rel"), F.col("l_partkey").alias("dst"), props.alias("props"))
     old = edges(rows.filter("l_linenumber < 3"), F.create_map(F.lit("quantity"), quantity, F.lit("flag"), F.col("l_returnflag")))
@@ -271,13 +271,12 @@ def upsert_edge_props(spark, d):
     return found.select("src", "dst", F.try_element_at("props", F.lit("quantity")).alias("quantity"), F.try_element_at("props", F.lit("flag")).alias("flag"))
 
 
-@query("SELECT DISTINCT l_orderkey AS src, l_partkey AS dst, l_linenumber AS pos FROM lineitem WHERE l_partkey < 1500")
+@query("SELECT DISTINCT l_orderkey AS src, -l_partkey AS dst, l_linenumber AS pos FROM lineitem JOIN part ON p_partkey = l_partkey WHERE p_size < 25")
 def upsert_edge_positions(spark, d):
-    edges = g.table(spark, d, "lineitem").select(F.col("l_orderkey").alias("src"), F.lit("CALLS").alias("rel"), F.col("l_partkey").alias("dst"), F.col("l_linenumber").alias("pos"))
-    ids = g.table(spark, d, "part").filter("p_partkey < 1500").select(F.col("p_partkey").alias("id")).unionByName(g.table(spark, d, "orders").select(F.col("o_orderkey").alias("id")))
-    known = ids.filter("id < 1500")
-    right = edges.join(known.select(F.col("id").alias("dst")).distinct(), "dst", "left_semi")
-    return store.upsert_edges(edges.limit(0), right, ids, ("src", "rel", "dst", "pos")).select("src", "dst", "pos")
+    """Large parts are no nodes, so their edges are dropped."""
+    edges = g.table(spark, d, "lineitem").select(F.col("l_orderkey").alias("src"), F.lit("CALLS").alias("rel"), (-F.col("l_partkey")).alias("dst"), F.col("l_linenumber").alias("pos"))
+    ids = g.table(spark, d, "part").filter("p_size < 25").select((-F.col("p_partkey")).alias("id")).unionByName(g.table(spark, d, "orders").select(F.col("o_orderkey").alias("id")))
+    return store.upsert_edges(edges.limit(0), edges, ids, ("src", "rel", "dst", "pos")).select("src", "dst", "pos")
 
 
 @query("SELECT p_partkey AS id, p_name AS name, CASE WHEN p_partkey % 3 = 0 THEN 'new' ELSE p_brand END AS brand, CASE WHEN p_partkey % 3 = 0 THEN p_type END AS kind FROM part")
@@ -321,13 +320,15 @@ def commit_graph(spark, d):
     return nodes.groupBy(F.col("label").alias("what")).agg(F.count(F.lit(1)).alias("n")).unionByName(edges.groupBy(F.col("rel").alias("what")).agg(F.count(F.lit(1)).alias("n")))
 
 
-@query("""WITH h AS (SELECT o_orderkey, o_orderpriority, row_number() OVER (ORDER BY o_orderdate DESC, o_orderkey DESC) - 1 AS pos FROM orders WHERE o_custkey = 7)
-SELECT 'up' AS way, coalesce(string_agg(o_orderpriority, ',' ORDER BY pos), '') AS payloads FROM h WHERE pos < 3 UNION ALL SELECT 'down', coalesce(string_agg(o_orderpriority, ',' ORDER BY pos DESC), '') FROM h WHERE pos < 3""")
+@query("""WITH h AS (SELECT o_custkey::VARCHAR AS repo, o_orderpriority AS payload, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) - 1 AS pos FROM orders)
+SELECT repo, 'up' AS way, pos AS step, payload FROM h WHERE pos < 3 UNION ALL SELECT repo, 'down', 2 - pos, payload FROM h WHERE pos < 3""")
 def commit_transitions(spark, d):
-    commits = _commits(spark, d).filter("author = '7'")  # a history is one repository's
-    chain, payloads = store.history(commits, F.col("is_head")), commits.select("hash", F.col("message").alias("payload"))
-    one = lambda way, a, b: store.transitions(chain, payloads, a, b).select(F.lit(way).alias("way"), F.array_join("payloads", ",").alias("payloads"))
-    return one("up", 0, 3).unionByName(one("down", 3, 0))
+    """Three commits back from every head, and up again."""
+    commits = _commits(spark, d)
+    chain = written(store.history(commits, F.col("is_head")).join(commits.select("hash", F.col("author").alias("repo")), "hash"), "chain")
+    payloads = commits.select("hash", F.col("message").alias("payload"))
+    way = lambda name, a, b: store.transitions(chain, payloads, a, b).select("repo", F.lit(name).alias("way"), "step", "payload")
+    return way("up", 0, 3).unionByName(way("down", 3, 0))
 
 
 @query("""SELECT o_custkey AS "commit", CASE o_orderstatus WHEN 'F' THEN 'added' WHEN 'O' THEN 'deleted' END AS change, 'src/o' || o_orderkey || '.py' AS path FROM orders
@@ -412,12 +413,12 @@ def html_structure(spark, d):
 
 
 @query("""SELECT 'v' || p_partkey % 50 AS name, 'v' || p_partkey || '.py' AS var_path, e AS element, 's' || s_suppkey || '.html' AS element_path, l AS start
-FROM part JOIN (SELECT s_suppkey, unnest(['div#s' || s_suppkey, 'p', 'form']) AS e, unnest([1, 2, 3]) AS l FROM supplier) ON p_partkey % 50 = s_suppkey % 50 WHERE p_partkey < 300""")
+FROM part JOIN (SELECT s_suppkey, unnest(['div#s' || s_suppkey, 'p', 'form']) AS e, unnest([1, 2, 3]) AS l FROM supplier) ON p_partkey % 50 = s_suppkey % 50""")
 def template_flow(spark, d):
     source, s_, v_ = g.table(spark, d, "supplier"), F.col("s_suppkey").cast("string"), (F.col("s_suppkey") % 50).cast("string")
     made = F.concat(F.lit('<div id="s'), s_, F.lit('" title="x">\n<p>Hello {{ v'), v_, F.lit(' }}</p>\n<form action="/{{v'), v_, F.lit('}}"><br/>{{ not this }}</form></div>'))
     elements = code.html_rows(source.select(_text("s{s}.html", s=F.col("s_suppkey")).alias("path"), made.alias("text")))
-    variables = g.table(spark, d, "part").filter("p_partkey < 300").select(_text("v{p}.py", p=F.col("p_partkey")).alias("path"), _text("v{v}", v=F.col("p_partkey") % 50).alias("name"))
+    variables = g.table(spark, d, "part").select(_text("v{p}.py", p=F.col("p_partkey")).alias("path"), _text("v{v}", v=F.col("p_partkey") % 50).alias("name"))
     return code.template_links(variables, elements)
 
 
@@ -487,13 +488,12 @@ def names_and_addresses(spark, d):
 
 
 @query("""WITH RECURSIVE e AS (SELECT 1000000000000 + n_regionkey AS src, 2000000000000 + n_nationkey AS dst FROM nation UNION ALL SELECT 2000000000000 + c_nationkey, 3000000000000 + c_custkey FROM customer UNION ALL SELECT 2000000000000 + n_nationkey, 1000000000000 + n_regionkey FROM nation),
-s AS (SELECT 2000000000000 + n_nationkey AS id FROM nation WHERE n_nationkey < 5)
-SELECT s.id AS src, 3000000000000 + c_custkey AS dst, CASE WHEN 2000000000000 + c_nationkey = s.id THEN 1 ELSE 3 END AS hops FROM s JOIN nation a ON 2000000000000 + a.n_nationkey = s.id JOIN nation b ON b.n_regionkey = a.n_regionkey JOIN customer ON c_nationkey = b.n_nationkey WHERE c_custkey % 10 = 0""")
+s AS (SELECT 2000000000000 + n_nationkey AS id FROM nation)
+SELECT s.id AS src, 3000000000000 + c_custkey AS dst, CASE WHEN 2000000000000 + c_nationkey = s.id THEN 1 ELSE 3 END AS hops FROM s JOIN nation a ON 2000000000000 + a.n_nationkey = s.id JOIN nation b ON b.n_regionkey = a.n_regionkey JOIN customer ON c_nationkey = b.n_nationkey""")
 def shortest_form_paths(spark, d):
-    """From some nations to customers over two relations."""
-    edges = g.edges(spark, d, "DEFINES", "EXTENDS", "CONTAINS").filter("src < 3000000000000 or rel <> 'DEFINES'")
-    starts = g.nodes(spark, d, "Nation").filter("id < 2000000000005")
-    ends = g.nodes(spark, d, "Customer").filter("id % 10 = 0")
+    """From all nations to all customers over two relations."""
+    edges = g.edges(spark, d, "DEFINES", "EXTENDS", "CONTAINS")
+    starts, ends = g.nodes(spark, d, "Nation"), g.nodes(spark, d, "Customer")
     return traverse.shortest_paths(edges, starts, ends, 10, ["DEFINES", "EXTENDS"]).select("src", "dst", "hops")
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import scaled
@@ -159,6 +159,41 @@ def prefix_search(nodes: DataFrame, prefix: str, limit: int = 10) -> DataFrame:
     return nodes.filter(hit).orderBy("name", "id").limit(limit)
 
 
+def prefix_index(nodes: DataFrame, folder: str) -> None:
+    """Writes token, name, id and the other columns of nodes: the whole name and its words in lower case, in the order of the tokens.
+
+    Ranges of tokens lie together, so that a lookup reads only the files and row groups of its prefixes.
+    """
+    words = F.array_distinct(F.concat(F.array(F.lower("name")), F.split(F.lower("name"), "[^a-z0-9_]+")))
+    tokens = nodes.select(F.explode(words).alias("token"), *nodes.columns).filter("token <> ''")
+    parts = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    tokens.repartitionByRange(parts, "token", "name", "id").sortWithinPartitions("token").write.parquet(folder)
+
+
+def prefix_lookup(spark: SparkSession, folder: str, prefixes: list[str], limit: int = 10) -> DataFrame:
+    """:func:`prefix_search` for many prefixes at once over an index: prefix, n (the rank) and the nodes' columns.
+
+    One join on the first letters, as many as the shortest prefix has; the ranges that these span reach the scan.
+    """
+    asked = sorted({p.lower() for p in prefixes} - {""})
+    index = spark.read.parquet(folder)
+    k = min(map(len, asked), default=1)
+    keys = sorted({p[:k] for p in asked})
+    after = lambda key: key + chr(0x10FFFF)  # noqa: E731 (no token that starts with the key is greater)
+    inside = F.lit(False)
+    for low, high in [(key, key) for key in keys] if len(keys) <= RANGES else [(keys[0], keys[-1])]:
+        inside = inside | ((F.col("token") >= low) & (F.col("token") <= after(high)))
+    wanted = F.broadcast(spark.createDataFrame([(p, p[:k]) for p in asked], "prefix string, first string"))  # the prefixes that were handed in
+    found = index.filter(inside).join(wanted, F.substring("token", 1, k) == F.col("first")).filter(F.startswith("token", F.col("prefix"))).drop("token", "first")
+    unique = found.dropDuplicates(["prefix", "name", "id"])
+    best = Window.partitionBy("prefix").orderBy("name", "id")
+    return unique.withColumn("n", F.row_number().over(best)).filter(F.col("n") <= limit)
+
+
+#: Ranges that are handed to a scan at most; more prefixes become one range.
+RANGES = 200
+
+
 def representative(nodes: DataFrame, wanted: list[str] | None = None) -> DataFrame:
     """One node for each path: a wanted name first, then the least start (null last), name, end (null last) and id."""
     exact = F.coalesce(F.lower("name").isin([w.lower() for w in wanted]), F.lit(False)) if wanted else F.lit(False)

@@ -244,14 +244,14 @@ def diff_classes(deltas: DataFrame, extensions: list[str], ignore: list[str] | N
 
 
 def transitions(history_rows: DataFrame, payloads: DataFrame, start: int, end: int) -> DataFrame:
-    """history_rows: hash, pos; payloads: hash, payload -> the payloads between two positions in the order of the way, as one array.
+    """history_rows: repo, hash, pos; payloads: hash, payload -> repo, step, payload between two positions; step is the order of the way.
 
     Going up from ``start`` to ``end`` (child to parent) a commit's payload counts when it is left, going down when it is reached.
     """
     low, high = sorted((start, end))
     inside = history_rows.filter((F.col("pos") >= low) & (F.col("pos") < high)).join(payloads, "hash").filter("payload is not null")
-    rows = F.sort_array(F.collect_list(F.struct("pos", "payload")), asc=start < end)
-    return inside.agg(rows.alias("r")).select(F.col("r.payload").alias("payloads"))
+    step = F.col("pos") - low if start < end else high - 1 - F.col("pos")
+    return inside.select("repo", step.alias("step"), "payload")
 
 
 def coverage(files: DataFrame, lines: DataFrame, functions: DataFrame) -> DataFrame:

@@ -357,3 +357,14 @@ def lcov(reports: DataFrame) -> DataFrame:
         parts("FNDA", r"\d+,[^\r\n]*", lambda x: F.struct(pick(x, r"^\d+,(.*)$", "string").alias("name"), pick(x, r"^(\d+)").alias("hits"))).alias("calls"),
         parts("BRDA", r"\d+,[^,\r\n]*,[^,\r\n]*,(?:\d+|-)", lambda x: F.struct(pick(x, r"^(\d+)").alias("line"), F.split(x, ",")[1].alias("block"), F.split(x, ",")[2].alias("branch"), F.coalesce(pick(x, r"(\d+|-)$"), F.lit(0)).alias("hits"))).alias("branches"),
     )
+
+
+def lcov_reports(spark: SparkSession, path: str) -> DataFrame:
+    """report: the records of all report files below a path; a large file is read in many splits, cut at the ends of records."""
+    return spark.read.option("lineSep", "end_of_record").option("recursiveFileLookup", "true").text(path).select(F.col("value").alias("report"))
+
+
+def lcov_merged(records: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Records of :func:`lcov`, several a file where several tests ran -> files (file, found, hit) and lines (file, line, hits), hits added up."""
+    lines = records.select("file", F.explode("lines").alias("l")).groupBy("file", F.col("l.line").alias("line")).agg(F.sum(F.col("l.hits").cast("long")).alias("hits"))
+    return lines.groupBy("file").agg(F.count(F.lit(1)).alias("found"), F.sum((F.col("hits") > 0).cast("long")).alias("hit")), lines

@@ -1,6 +1,7 @@
 """A whole source tree as a graph: files, entities and all edges that static rules give.
 
-Python and Java have static rules; uses in C#, JavaScript and Kotlin files stay without edges.
+Python, Java and C# have static rules (C# has no packages here: a type is looked up in its file, then by its name alone);
+uses in JavaScript and Kotlin files stay without edges.
 """
 
 from __future__ import annotations
@@ -13,6 +14,8 @@ from ..shared import written
 from . import braces as braces  # registers its analysers
 from . import code, java
 
+#: Languages whose names are resolved by the rules of :mod:`java`.
+NAMED = (".java", ".cs")
 #: Kind of an entity -> label; methods of Python files are functions.
 LABELS = {"class": "Class", "function": "Function", "method": "Method", "constructor": "Constructor", "interface": "Interface", "enum": "Enum", "struct": "Struct", "object": "Object"}
 
@@ -28,21 +31,21 @@ def nodes_of(rows: DataFrame, files: DataFrame) -> DataFrame:
     return both.select(F.xxhash64("label", "name", "path", F.coalesce("start", F.lit(-1)), F.coalesce("end", F.lit(-1))).alias("id"), *both.columns)
 
 
-def _java(rows: DataFrame) -> DataFrame:
-    return rows.filter(F.col("path").endswith(".java"))
-
-
 def links_of(rows: DataFrame, paths: DataFrame, only: DataFrame | None = None) -> DataFrame:
     """rel, src_path, src, dst_path, dst of all that files link to (IMPORTS have empty names); paths: path of every file.
 
-    ``only`` (path) limits the Python files that are looked at, and leaves Java out unless one of its files is among them.
+    ``only`` (path) limits the Python files that are looked at, and leaves Java or C# out unless one of its files is among them.
     """
     python, none = rows.filter(F.col("path").endswith(".py")), F.lit("")
     whole = lambda df: df.select(F.lit("IMPORTS").alias("rel"), F.col("src").alias("src_path"), none.alias("src"), F.col("dst").alias("dst_path"), none.alias("dst"))
     found = whole(code.resolve_imports(python, paths, only)).unionByName(code.resolve_uses(python, only=only))
-    if only is not None and only.filter(F.col("path").endswith(".java")).isEmpty():
-        return found
-    return found.unionByName(whole(java.import_edges(_java(rows)))).unionByName(java.type_edges(_java(rows))).unionByName(java.call_edges(_java(rows)))
+    there = lambda df, end: not df.filter(F.col("path").endswith(end)).isEmpty()
+    for end in NAMED:
+        if there(rows if only is None else only, end):
+            own = rows.filter(F.col("path").endswith(end))
+            found = found.unionByName(java.type_edges(own)).unionByName(java.call_edges(own))
+            found = found.unionByName(whole(java.import_edges(own))) if end == ".java" else found
+    return found
 
 
 def assembled(nodes: DataFrame, links: DataFrame) -> DataFrame:

@@ -60,7 +60,7 @@ def _names(rows: DataFrame, paths: DataFrame) -> DataFrame:
 
 def frontier(rows: DataFrame, links: DataFrame, changed: DataFrame, touched: DataFrame) -> DataFrame:
     """The files (path) whose links may differ after a batch: the changed ones, those that linked to them, and those that
-    mention a touched name (in a use, an import or, for relative imports, by their own place).  All Java files if one of them changed.
+    mention a touched name (in a use, an import or, for relative imports, by their own place).  All Java (C#) files if one of them changed.
     """
     paths = changed.select("path")
     linked = links.join(paths.withColumnRenamed("path", "dst_path"), "dst_path", "left_semi").select(F.col("src_path").alias("path"))
@@ -68,8 +68,9 @@ def frontier(rows: DataFrame, links: DataFrame, changed: DataFrame, touched: Dat
     place = F.when(F.col("kind").isin("import", "module_import") & F.col("owner").startswith("."), F.split("path", "/")).otherwise(F.array().cast("array<string>"))
     mentions = rows.filter(F.col("kind").isin(*_USES)).select("path", F.explode(F.concat(F.split(said, r"\."), place)).alias("token"))
     found = paths.unionByName(linked).unionByName(mentions.join(touched, "token", "left_semi").select("path"))
-    if not changed.filter(F.col("path").endswith(".java")).isEmpty():
-        found = found.unionByName(rows.filter(F.col("path").endswith(".java")).select("path"))
+    for end in project.NAMED:
+        if not changed.filter(F.col("path").endswith(end)).isEmpty():
+            found = found.unionByName(rows.filter(F.col("path").endswith(end)).select("path"))
     return found.distinct()
 
 
@@ -95,10 +96,11 @@ def merge_batch(folder: str, batch: DataFrame, number: int) -> DataFrame:
         touched = written(_names(new.unionByName(gone), changed), "touched", scratch)
         found = written(frontier(rows, old["links"], changed, touched), "frontier")
         renewed = project.links_of(rows, files, found)
-        java = not found.filter(F.col("path").endswith(".java")).isEmpty()
-        stale = found.select(F.col("path").alias("src_path"))
-        rest = old["links"].join(stale, "src_path", "left_anti")
-        write((rest.filter(~F.col("src_path").endswith(".java")) if java else rest).unionByName(renewed), "links")
+        rest = old["links"].join(found.select(F.col("path").alias("src_path")), "src_path", "left_anti")
+        for end in project.NAMED:  # these are resolved as a whole, or not at all
+            if not found.filter(F.col("path").endswith(end)).isEmpty():
+                rest = rest.filter(~F.col("src_path").endswith(end))
+        write(rest.unionByName(renewed), "links")
     for path in scratch:
         remove(spark, path)
     return found

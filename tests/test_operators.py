@@ -94,3 +94,26 @@ def test_lcov_functions_and_branches(spark):
     assert (r.file, r.test, r.found, r.hit, r.fnf, r.fnh, r.brf, r.brh) == ("a.js", "unit", 1, 1, 2, 1, 2, 1)
     assert [tuple(x) for x in r.functions] == [(3, "f"), (7, "g")] and [tuple(x) for x in r.calls] == [("f", 4), ("g", 0)]
     assert [tuple(x) for x in r.branches] == [(3, "0", "0", 2), (3, "0", "1", 0)]
+
+
+def test_prefixes_are_looked_up_in_the_index(spark, monkeypatch):
+    from symgraph.operators import pattern
+    from symgraph.shared import new_folder
+
+    names = ["parse_tokens now", "Parse", "é parse", "sparse", "HTTP server", "", None, "parse"]
+    nodes = spark.createDataFrame(list(enumerate(names)), "id long, name string")
+    folder = new_folder(spark, "prefixes")
+    pattern.prefix_index(nodes, folder)
+    asked = ["pars", "PARSE_T", "s", "http", "zz", "é", "parse_tokens n"]
+    for most in (200, 1):
+        monkeypatch.setattr(pattern, "RANGES", most)
+        found = pattern.prefix_lookup(spark, folder, asked, 3)
+        got = {}
+        for r in found.orderBy("prefix", "n").collect():
+            got.setdefault(r.prefix, []).append(r.id)
+        for p in asked:
+            assert got.get(p.lower(), []) == [r.id for r in pattern.prefix_search(nodes, p, 3).collect()]
+    assert pattern.prefix_lookup(spark, folder, []).isEmpty()
+    monkeypatch.setattr(pattern, "RANGES", 200)
+    plan = pattern.prefix_lookup(spark, folder, ["pars"])._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThanOrEqual(token,pars)" in plan and "LessThanOrEqual(token,pars" in plan
