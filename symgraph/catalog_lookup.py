@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .catalog_code import _text
+from .functions import text
 from .operators import context, pattern
 from .operators.intervals import enclosing
 from .registry import query
@@ -73,8 +74,6 @@ def property_seek(spark, d):
 @query("""WITH f AS (SELECT c_custkey AS id, '/w/proj/n' || c_nationkey || '/c' || c_custkey || '.py' AS path FROM customer) SELECT unnest(['id', 'path', 'relative']) AS by, id, path FROM f WHERE id = (SELECT min(id) FROM f)""")
 def file_handle(spark, d):
     """A file by its id, its path, and its path below the project."""
-    from .functions import text
-
     files = g.table(spark, d, "customer").select(F.col("c_custkey").alias("id"), _text("/w/proj/n{n}/c{c}.py", n=F.col("c_nationkey"), c=F.col("c_custkey")).alias("path"))
     first = files.orderBy("id").first()
     relative = lambda c: text.relative_path(c, "proj")
@@ -104,3 +103,12 @@ def spec_noise(spark, d):
     classes = g.table(spark, d, "supplier").select(s.alias("id"), name.alias("name"), path.alias("path"), F.lit("doc").alias("doc"))
     members = g.table(spark, d, "nation").select((-F.col("n_nationkey") - 1).alias("owner"))
     return context.candidates(classes, members).select("name", "path", F.col("n_methods").cast("int").alias("n_methods"))
+
+
+@query("""WITH t AS (SELECT source, sum(length(coalesce(text, '')) // 4) AS plain, sum(length(left(coalesce(text, ''), 200)) // 4) AS kept FROM documents GROUP BY source)
+SELECT source, plain::BIGINT AS plain, kept::BIGINT AS kept, CASE WHEN plain > 0 THEN round_even((plain - kept) / plain * 100, 1) ELSE 0 END AS reduction FROM t""")
+def token_reduction(spark, d):
+    """What excerpts of 200 characters save against whole texts, by source."""
+    docs = g.table(spark, d, "documents").select("source", text.token_estimate(F.col("text")).alias("p"), text.token_estimate(F.substring("text", 1, 200)).alias("k"))
+    added = docs.groupBy("source").agg(F.sum("p").alias("plain"), F.sum("k").alias("kept"))
+    return added.select("source", "plain", "kept", text.reduction(F.col("kept"), F.col("plain")).alias("reduction"))

@@ -167,3 +167,8 @@ def slug(name) -> F.Column:
 def token_estimate(text) -> F.Column:
     """A quarter of the characters."""
     return F.floor(F.length(F.coalesce(text, F.lit(""))) / 4)
+
+
+def reduction(found: F.Column, plain_: F.Column) -> F.Column:
+    """By how many percent ``found`` tokens are fewer than ``plain_`` ones, to one digit; 0 where there are none."""
+    return F.when(plain_ > 0, F.bround((plain_ - found) / plain_ * 100, 1)).otherwise(0.0)

@@ -40,14 +40,29 @@ def candidates(classes: DataFrame, members: DataFrame, least: int = 0) -> DataFr
     return kept.select("name", "path", "n_methods", F.replace(F.lower("name"), F.lit("_"), F.lit("-")).alias("slug"), ((F.col("n_methods") >= 3) & described).alias("recommended"))
 
 
+#: Names or entities that may be asked for at once: they are broadcast.
+MOST_ASKED = 10_000
+
+
+def _asked(df: DataFrame) -> DataFrame:
+    """``df`` for a broadcast; ValueError if it has more rows than may be asked for."""
+    if df.limit(MOST_ASKED + 1).count() > MOST_ASKED:
+        raise ValueError(f"more than {MOST_ASKED} names or entities at once")
+    return F.broadcast(df)
+
+
 def resolve(nodes: DataFrame, wanted: DataFrame) -> DataFrame:
-    """wanted: capability -> capability, rank, id, label, name, path, doc: the first match of the cascade, then the least id."""
+    """wanted: capability -> capability, rank, id, label, name, path, doc: the first match of the cascade, then the least id.
+
+    Parts of names have no key to join on, so every node is held against every asked name, of which there may be ``MOST_ASKED``.
+    """
+    asked = _asked(wanted)
     ranked = None
     for rank, (label, column, whole) in enumerate(CASCADE, 1):
         value = F.coalesce(F.col(column), F.lit(""))
         some = nodes.filter(F.col("label") == label)
         hit = (value == F.col("capability")) if whole else value.contains(F.col("capability"))
-        found = some.join(F.broadcast(wanted), hit).select("capability", F.lit(rank).alias("rank"), "id", "label", "name", "path", "doc")  # wanted: the names that a user asks for
+        found = some.join(asked, hit).select("capability", F.lit(rank).alias("rank"), "id", "label", "name", "path", "doc")  # wanted: the names that a user asks for
         ranked = found if ranked is None else ranked.unionByName(found)
     best = F.min(F.struct("rank", "id", "label", "name", "path", "doc")).alias("r")
     return ranked.groupBy("capability").agg(best).select("capability", "r.*")
@@ -74,7 +89,7 @@ def items(nodes: DataFrame, edges: DataFrame, entities: DataFrame) -> DataFrame:
     }
     required = link("DEFINES_REQUIREMENT").join(of("Requirement").drop("doc"), "dst").select("src", "item")
     places = nodes.filter("label = 'MarkdownSection'").select(F.col("id").alias("src"), F.col("path").alias("section_path"))
-    others = F.broadcast(entities.filter("label <> 'MarkdownSection'").select("id", "capability"))  # the entities that a user asks for
+    others = _asked(entities.filter("label <> 'MarkdownSection'").select("id", "capability"))  # the entities that a user asks for
     by_path = required.join(places, "src").join(others, F.col("section_path").contains(F.col("capability"))).select("id", "item")
     sections["requirements"] = entities.filter("label = 'MarkdownSection'").select("id").join(required, F.col("id") == F.col("src")).select("id", "item").unionByName(by_path)
     out = None

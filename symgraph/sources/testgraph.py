@@ -73,9 +73,19 @@ def edges(spark: SparkSession, sf_dir: str, *rels: str) -> DataFrame:
 _kept: dict[tuple, DataFrame] = {}
 
 
+def _stamp(spark: SparkSession, sf_dir: str) -> tuple:
+    """Time and length of the tables that edges are made of."""
+    found = []
+    for name in ("nation", "customer", "orders", "lineitem"):
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{sf_dir.rstrip('/')}/{name}.parquet")
+        files = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        found.append((files.getFileStatus(path).getModificationTime(), files.getContentSummary(path).getLength()))
+    return tuple(found)
+
+
 def edge_table(spark: SparkSession, sf_dir: str, *rels: str) -> DataFrame:
-    """:func:`edges` as a table in the shared folder, written once a session: what traversals read a level at a time."""
-    key = (spark.sparkContext.applicationId, sf_dir, rels)
+    """:func:`edges` as a table in the shared folder, written once a session and state of its tables: what traversals read a level at a time."""
+    key = (spark.sparkContext.applicationId, sf_dir, rels, _stamp(spark, sf_dir))
     if key not in _kept:
         _kept[key] = written(edges(spark, sf_dir, *rels).sortWithinPartitions("src"), "edges")
     return _kept[key]
