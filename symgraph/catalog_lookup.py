@@ -112,3 +112,21 @@ def token_reduction(spark, d):
     docs = g.table(spark, d, "documents").select("source", text.token_estimate(F.col("text")).alias("p"), text.token_estimate(F.substring("text", 1, 200)).alias("k"))
     added = docs.groupBy("source").agg(F.sum("p").alias("plain"), F.sum("k").alias("kept"))
     return added.select("source", "plain", "kept", text.reduction(F.col("kept"), F.col("plain")).alias("reduction"))
+
+
+@query("""WITH s AS (SELECT count(*) AS n, count(*) FILTER (s_suppkey % 2 = 0) AS even FROM supplier)
+SELECT unnest(['OpenSpecCapability', 'OpenSpecRequirement', 'OpenSpecScenario', 'OpenSpecChange', 'OpenSpecTask', 'OpenSpecDeltaSpec', 'DEFINES_REQUIREMENT', 'HAS_SCENARIO', 'CHANGE_HAS_TASK', 'CHANGE_TARGETS_CAPABILITY', 'CHANGE_ADDS_REQUIREMENT', 'CHANGE_MODIFIES_REQUIREMENT']) AS what,
+unnest([n, 3 * n - even + n, n - even, n, 3 * n - even, 2 * n, 2 * n - even, n - even, 3 * n - even, n, n, n]) AS n FROM s""")
+def spec_tree_graph(spark, d):
+    """A capability and a change a supplier, indexed twice: for every other one a requirement with its scenario and a task are gone the second time."""
+    from .catalog import _spec_tree
+    from .sources import specgraph
+
+    files = written(_spec_tree(spark, d), "spec-files")
+    nodes, edges = (written(df, "spec-first") for df in specgraph.spec_graph(files))
+    even = F.regexp_extract("path", r"/[cd](\d+)/", 1).cast("int") % 2 == 0
+    fewer = F.regexp_replace(F.regexp_replace("text", r"(?s)### Requirement: Session.*?(?=### Requirement: Bare)", ""), r"- \[X\] test it\n", "")
+    again = files.filter(even & ~F.col("path").contains("/archive/")).withColumn("text", fewer)
+    nodes, edges = specgraph.reindexed_specs(nodes, edges, written(again, "spec-again"))
+    count = lambda df, column: df.groupBy(F.col(column).alias("what")).agg(F.count(F.lit(1)).alias("n"))
+    return count(nodes, "label").unionByName(count(edges, "rel"))

@@ -65,3 +65,29 @@ def test_deltas(spark):
         (8, "RENAMED", "CHANGE_MODIFIES_REQUIREMENT", "Newer", "(renamed from: Old)"),
         (11, "REMOVED", "CHANGE_REMOVES_REQUIREMENT", "Gone", ""),
     ]
+
+
+def test_spec_graph_drops_what_a_file_no_longer_says(spark):
+    from symgraph.plans import fixtures
+    from symgraph.sources import specgraph
+
+    files = fixtures.spec_tree(spark).unionByName(spark.createDataFrame([("p/openspec/changes/c1/.openspec.yaml", "created: 2024-01-01\nschema: v1\n")], "path string, text string"))
+    nodes, edges = specgraph.spec_graph(files)
+    names = {r.id: (r.label, r.props.get("name") or r.props.get("text") or r.props.get("capability")) for r in nodes.collect()}
+    linked = {(names[r.src][1], r.rel, names[r.dst][1]) for r in edges.collect()}
+    assert linked == {
+        ("login", "DEFINES_REQUIREMENT", "Session"), ("login", "DEFINES_REQUIREMENT", "Bare"), ("Session", "HAS_SCENARIO", "Known"), ("c1", "CHANGE_HAS_TASK", "loose"), ("c1", "CHANGE_HAS_TASK", "Write it"), ("c1", "CHANGE_HAS_TASK", "test it"),
+        ("c1", "CHANGE_TARGETS_CAPABILITY", "login"), ("c1", "CHANGE_ADDS_REQUIREMENT", "New"), ("c1", "CHANGE_MODIFIES_REQUIREMENT", "Newer"),
+    }
+    change = next(r for r in nodes.collect() if r.label == "OpenSpecChange")
+    assert change.props["created"] == "2024-01-01" and change.props["path"] == "p/openspec/changes/c1"
+    same = lambda a, b: sorted(map(str, a.collect())) == sorted(map(str, b.collect()))
+    again = specgraph.reindexed_specs(nodes, edges, files)
+    assert same(again[0].select("id", "label"), nodes.select("id", "label")) and same(again[1].select("src", "rel", "dst"), edges.select("src", "rel", "dst"))
+    shorter = spark.createDataFrame([("p/openspec/specs/login/spec.md", "## Requirements\n### Requirement: Bare\n")], "path string, text string")
+    gone = spark.createDataFrame([("p/openspec/changes/c1/tasks.md",)], "path string")
+    less = specgraph.reindexed_specs(nodes, edges, shorter, gone)
+    assert {(names[r.src][1], r.rel, names[r.dst][1]) for r in less[1].collect()} == {t for t in linked if "Session" not in t and t[1] != "CHANGE_HAS_TASK"}
+    assert not {names[r.id][1] for r in less[0].collect()} & {"Session", "Known", "loose", "Write it"}
+    none = specgraph.reindexed_specs(*less, files.limit(0), files.select("path"))
+    assert none[0].isEmpty() and none[1].isEmpty()
