@@ -29,13 +29,23 @@ from symgraph.llm.common import exact_col, fresh, new_folder, remove, table
 TOXIC = 0.3
 
 
+def _small_batches(spark: SparkSession) -> None:
+    """Texts go to the Python workers 500 at a time from here on: batches of 10,000 long ones fill an executor's memory.
+
+    The plans that a stage returns run after it, so the setting stays; no result depends on it.
+    """
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "500")
+
+
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    _small_batches(spark)
     model = quality.learn(quality.view_table(docs), table(spark, sf_dir, "labels"))
     score = fresh(docs, "quality_score")
     return quality.scored(docs, model, score).filter(F.col(score) >= quality.THRESHOLD).drop(score)
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    _small_batches(spark)
     toxic = toxicity.learn(docs, table(spark, sf_dir, "labels"))
     score = fresh(docs, "toxic_score")
     return docs.withColumn(score, toxic(F.col("text"))).filter(F.col(score) < TOXIC).drop(score)
