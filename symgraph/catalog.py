@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import catalog_code, catalog_history as catalog_history, catalog_lookup as catalog_lookup, catalog_security as catalog_security, catalog_stream as catalog_stream
+from . import catalog_code, catalog_history as catalog_history, catalog_lookup as catalog_lookup, catalog_names as catalog_names, catalog_security as catalog_security, catalog_stream as catalog_stream
 from .functions import text
 from .operators import pattern, security, store, traverse
 from .plans import fixtures
