@@ -1,7 +1,9 @@
 """Operator 6: log-likelihood of whole documents under a gated recurrent language model.
 
-Three passes.  (1) Count every token of every training document; the counts are a table of their
-own, grouped with partial aggregation, and never leave the cluster whole.  (2) Train the model
+Three passes.  (1) Read every text once: its words become places in the list of distinct words of the
+part that it is in, and whatever follows works on these numbers.  The counts of the tokens of all
+training documents are a table of their own, grouped with partial aggregation, and never leave the
+cluster whole.  (2) Train the model
 (:mod:`gated_lm`) on every training document, each once: the documents are dealt to rounds by their
 ids' hashes; in a round each partition trains a copy of the model on its documents, and the copies are
 averaged, weighted by their tokens, slice by slice of their weights.  The first copies start from the
@@ -27,8 +29,8 @@ a null id hashes as the empty string; other columns are ignored.
 from __future__ import annotations
 
 import zlib
-from collections import Counter
-from collections.abc import Iterator
+from collections import defaultdict
+from collections.abc import Iterator, Sequence
 from itertools import repeat
 
 import numpy as np
@@ -47,7 +49,7 @@ PER_ROOT, PER_GROUP = 4, 16
 RATES, COPY, STREAMS, WINDOWS, READ, SLICE = (0.03, 0.008), 1_000_000, 512, 64, 1_200_000, 8192
 #: The end token in the count table; it cannot be a word.
 END = "\n"
-#: Words that one task counts before it hands its counts on, and tokens that are scored at a time.
+#: Distinct words of a part at most (but for its last text's), and tokens that are scored at a time.
 COUNTED, CHUNK = 300_000, 2_400_000
 
 
@@ -64,26 +66,62 @@ def _group_column(groups: int) -> F.Column:
     return F.when(F.col("word") != END, F.crc32(F.concat(F.left("word", F.lit(1)), F.right("word", F.lit(2))).cast("binary")) % groups).cast("int")
 
 
-def count_tokens(texts: DataFrame) -> DataFrame:
-    """(word, c) over all rows of ``texts`` (one column, text), the end token included."""
+#: Texts of one round (-1: held out), read once: their distinct words, the end first, how often each comes, the texts' words as
+#: places among these (32 bits), each text with its end, where each text ends (64 bits), and their ids.
+PARTS = "round int, words array<binary>, counts array<long>, codes binary, ends binary, ids array<string>"
+
+
+class _Part:
+    """Texts of a round that wait to be handed on."""
+
+    def __init__(self):
+        self.places: defaultdict = defaultdict()
+        self.places.default_factory = self.places.__len__  # a new word gets the next place
+        self.places[END.encode()]
+        self.ids, self.codes, self.size = [], [], 0
+
+    def add(self, doc_id: str | None, text: str) -> None:
+        words = tokens(text)
+        words.append(END.encode())
+        self.codes.append(np.fromiter(map(self.places.__getitem__, words), np.int32, len(words)))
+        self.ids.append(doc_id)
+        self.size += len(words)
+
+    def handed(self, r: int) -> pd.DataFrame:
+        codes, ends = np.concatenate(self.codes), np.cumsum([len(c) for c in self.codes])
+        counts = np.bincount(codes, minlength=len(self.places))
+        return pd.DataFrame({"round": [r], "words": [list(self.places)], "counts": [counts], "codes": [codes.tobytes()], "ends": [ends.astype(np.int64).tobytes()], "ids": [self.ids]})
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        found: Counter = Counter()
 
-        def handed() -> pd.DataFrame:
-            out = pd.DataFrame({"word": pd.Series([w.decode("utf-8", "surrogatepass") for w in found], dtype=object), "c": list(found.values())})
-            found.clear()
-            return out
+def read_once(docs: DataFrame, most: int = READ) -> DataFrame:
+    """docs: id, text, and held_out, if some are -> ``PARTS`` of about ``most`` tokens at most; a text's round follows from the hash of its id."""
 
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        parts: dict[int, _Part] = {}
         for batch in batches:
-            for text in batch["text"]:
-                found.update(tokens(text))
-                if len(found) >= COUNTED:
-                    yield handed()
-            found[END.encode()] += len(batch)
-        yield handed()
+            for doc_id, text, r in zip(batch["id"], batch["text"], batch["round"]):
+                if r not in parts:
+                    parts[r] = _Part()
+                parts[r].add(doc_id, text)
+                if parts[r].size >= most or len(parts[r].places) >= COUNTED:
+                    yield parts.pop(r).handed(r)
+        for r, part in parts.items():
+            yield part.handed(r)
+
+    held = F.col("held_out") if "held_out" in docs.columns else F.lit(False)
+    of_round = F.when(held, -1).otherwise(F.pmod(F.xxhash64("id", F.lit("round")), F.lit(len(RATES)))).cast("int")
+    return docs.select(F.col("id").cast("string"), "text", of_round.alias("round")).mapInPandas(run, PARTS)
+
 
-    return texts.mapInPandas(run, "word string, c long").groupBy("word").agg(F.sum("c").alias("c"))
+def count_tokens(parts: DataFrame) -> DataFrame:
+    """(word, c) over all training texts, the end token included."""
+    words = parts.filter("round >= 0").select(F.inline(F.arrays_zip("words", "counts")))
+    return words.groupBy(F.col("words").cast("string").alias("word")).agg(F.sum("counts").alias("c"))
+
+
+def few_rows(at_least: int) -> dict[str, str]:
+    """Settings for reading ``PARTS``: a row has up to ``READ`` tokens, so few at a time, and ``at_least`` tasks where the files allow it."""
+    return {"spark.sql.execution.arrow.maxRecordsPerBatch": "1", "spark.sql.parquet.columnarReaderBatchSize": "4", "spark.sql.files.minPartitionNum": str(max(1, at_least))}
 
 
 class Scorer:
@@ -99,17 +137,38 @@ class Scorer:
         self.group = np.log10(group_totals[:, 0] + 0.5 * (group_totals[:, 1] + 1))
         self.model = GatedLM(np.concatenate([[end_count], counts[:in_model], group_totals[:, 0]]))
 
-    def numbers(self, words: list[bytes]) -> tuple[np.ndarray, float, float, int, list[str]]:
-        """Model tokens with the end; sum of log10(c + 0.5) of known words, and of those outside the model; known words; the rest."""
+    def numbers(self, words: Sequence[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Model tokens of words, the end first; their places in ``known`` (of none, -1); those of the words, without the end, that are not there."""
         found = np.fromiter(map(self.known.get, words, repeat(-1)), np.int64, len(words))
-        ids = np.zeros(len(words) + 1, np.int32)
-        ids[:-1] = self.token[found]
-        new = np.flatnonzero(found < 0)
-        rest = [words[i].decode("utf-8", "surrogatepass") for i in new.tolist()]
-        ids[new] = [self.first_group + group_of(w, self.groups) for w in rest]
+        number, new = self.token[found], np.flatnonzero(found < 0)[1:]
+        number[new] = [self.first_group + group_of(words[i].decode("utf-8", "surrogatepass"), self.groups) for i in new.tolist()]
+        return number, found, new
+
+    def documents(self, words: Sequence[bytes], codes: bytes, ends: bytes) -> list[np.ndarray]:
+        """Model tokens of each text of a part, with its end."""
+        return np.split(self.numbers(words)[0][np.frombuffer(codes, np.int32)], np.frombuffer(ends, np.int64)[:-1])
+
+    def rows(self, words: Sequence[bytes], codes: bytes, ends: bytes) -> Iterator[tuple[np.ndarray, float, float, int, list[str], list[int]]]:
+        """For each text of a part: model tokens with the end; sum of log10(c + 0.5) of known words; the same of those outside the model, less their groups' logs; known words; the others and how often each comes."""
+        number, found, new = self.numbers(words)
+        codes, ends = np.frombuffer(codes, np.int32), np.frombuffer(ends, np.int64)
+        starts = np.concatenate([[0], ends[:-1]])
         logs = self.logs[found]
-        logs[new] = 0
-        return ids, float(logs.sum()), float(logs[found >= self.first_group - 1].sum()), len(words) - len(rest), rest
+        logs[0] = logs[new] = 0
+        outside = np.where(found >= self.first_group - 1, logs, 0)
+        outside[number >= self.first_group] -= self.group[number[number >= self.first_group] - self.first_group]
+        sums, out = np.add.reduceat(logs[codes], starts), np.add.reduceat(outside[codes], starts)
+        unknown, names = np.full(len(words), -1, np.int64), [words[i].decode("utf-8", "surrogatepass") for i in new.tolist()]
+        unknown[new] = np.arange(len(new))
+        which = unknown[codes]
+        at = np.flatnonzero(which >= 0)
+        pairs, often = np.unique(np.searchsorted(ends, at, side="right") * max(1, len(new)) + which[at], return_counts=True)
+        text, which = np.divmod(pairs, max(1, len(new)))
+        rest, often = [names[i] for i in which.tolist()], often.tolist()
+        bounds = np.searchsorted(text, np.arange(len(ends) + 1)).tolist()
+        for i, doc in enumerate(np.split(number[codes], ends[:-1])):
+            a, b = bounds[i], bounds[i + 1]
+            yield doc, float(sums[i]), float(out[i]), len(doc) - 1 - sum(often[a:b]), rest[a:b], often[a:b]
 
 
 #: Copies of a slice of the weights that are averaged in one group at most.
@@ -128,8 +187,9 @@ def least_count(counts: DataFrame, most: int) -> int:
     return int(found["c"][fits].min()) if fits.any() else 1 << 62
 
 
-def learn(counts: DataFrame, train: DataFrame, vocabulary: int = VOCABULARY, known: int = KNOWN) -> Scorer:
-    """Counts (a table) and all training texts (id, text) -> the trained scorer."""
+def learn(counts: DataFrame, train: DataFrame, tasks: int = 1, vocabulary: int = VOCABULARY, known: int = KNOWN) -> Scorer:
+    """Counts (a table) and all training texts (id, text, or their ``PARTS``) -> the trained scorer."""
+    parts = train if "codes" in train.columns else read_once(train)
     words = counts.filter(F.col("word") != END)
     total, distinct, end_count = counts.agg(F.sum("c"), F.count(F.lit(1)), F.sum(F.when(F.col("word") == END, F.col("c")))).first()
     vocabulary = max(vocabulary, int(PER_ROOT * (distinct or 0) ** 0.5))
@@ -145,13 +205,13 @@ def learn(counts: DataFrame, train: DataFrame, vocabulary: int = VOCABULARY, kno
     scorer = Scorer(top["word"].tolist(), c, in_model, totals, int(total or 0), int(distinct or 0), int(end_count or 0))
     copies = max(1, scorer.total // (len(RATES) * COPY))
     for r, rate in enumerate(RATES):
-        train_round(train.filter(F.pmod(F.xxhash64("id", F.lit("round")), F.lit(len(RATES))) == r).select("text").coalesce(copies), scorer, rate)
+        train_round(parts.filter(F.col("round") == r).select("words", "codes", "ends").coalesce(copies), scorer, rate, tasks)
     return scorer
 
 
-def train_round(texts: DataFrame, scorer: Scorer, rate: float) -> int:
-    """Train a copy of the model on each partition of ``texts``, average the copies; gives the number of tokens read."""
-    shared = texts.sparkSession.sparkContext.broadcast(scorer)
+def train_round(parts: DataFrame, scorer: Scorer, rate: float, tasks: int = 1) -> int:
+    """Train a copy of the model on each partition of ``parts``, average the copies; gives the number of tokens read."""
+    shared = parts.sparkSession.sparkContext.broadcast(scorer)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         own, adam, docs, size, read = shared.value, {}, [], 0, 0
@@ -163,11 +223,12 @@ def train_round(texts: DataFrame, scorer: Scorer, rate: float) -> int:
             return size
 
         for batch in batches:
-            for text in batch["text"]:
-                docs.append(own.numbers(tokens(text))[0])
-                size += len(docs[-1])
-                if size >= READ:
-                    read, size = read + learned(), 0
+            for part in zip(batch["words"], batch["codes"], batch["ends"]):
+                for doc in own.documents(*part):
+                    docs.append(doc)
+                    size += len(doc)
+                    if size >= READ:
+                        read, size = read + learned(), 0
         read += learned()
         if read:
             row = model.weights().astype(np.float32)
@@ -176,12 +237,12 @@ def train_round(texts: DataFrame, scorer: Scorer, rate: float) -> int:
                 yield pd.DataFrame({"slice": [c // SLICE for c in cuts], "copy": TaskContext.get().partitionId(), "read": read, "weights": [row[c : c + SLICE].tobytes() for c in cuts]})
 
     scratch: list[str] = []
-    with session_conf(texts.sparkSession, {"spark.sql.execution.arrow.maxRecordsPerBatch": "2000"}):
-        copies = written(texts.mapInPandas(run, COPIES), "lm-copies", scratch)
+    with session_conf(parts.sparkSession, few_rows(tasks)):
+        copies = written(parts.mapInPandas(run, COPIES), "lm-copies", scratch)
         found = averaged(copies, copies.agg(F.max("copy")).first()[0] or 0).toPandas().sort_values("slice")  # one model
     shared.unpersist()
     for path in scratch:
-        remove(texts.sparkSession, path)
+        remove(parts.sparkSession, path)
     if not len(found):
         return 0
     scorer.model.put(np.frombuffer(b"".join(found["weights"]), np.float32))
@@ -208,10 +269,9 @@ def averaged(copies: DataFrame, last: int) -> DataFrame:
         n = parts
 
 
-def score_documents(docs: DataFrame, scorer: Scorer, counts: DataFrame) -> DataFrame:
-    """docs: id, text, held_out -> id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
-    shared = docs.sparkSession.sparkContext.broadcast(scorer)
-    kind = docs.schema["id"].dataType
+def score_documents(parts: DataFrame, scorer: Scorer, counts: DataFrame, tasks: int = 1) -> DataFrame:
+    """``PARTS`` of all documents -> id string, held_out, n_tokens, n_known, train_tokens, base_score, score."""
+    shared = parts.sparkSession.sparkContext.broadcast(scorer)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         own, at = shared.value, TaskContext.get().partitionId() << 40
@@ -220,37 +280,37 @@ def score_documents(docs: DataFrame, scorer: Scorer, counts: DataFrame) -> DataF
 
         def scored() -> pd.DataFrame:
             model = own.model.log_likelihood([r[0] for r in rows]) / np.log(10)
-            shares = [own.group[r[0][r[0] >= own.first_group] - own.first_group].sum() for r in rows]
             return pd.DataFrame({
                 "row": range(at, at + len(rows)), "id": pd.Series(ids, dtype=object), "held_out": held,
                 "n_tokens": [len(r[0]) for r in rows], "n_known": [r[3] + (own.end_count > 0) for r in rows],
                 "base_score": [r[1] + end_log - len(r[0]) * own.base for r in rows],
-                "score": [m + r[2] - s for m, r, s in zip(model, rows, shares)], "rest": [r[4] for r in rows],
+                "score": [m + r[2] for m, r in zip(model, rows)], "rest": [r[4] for r in rows], "often": [r[5] for r in rows],
             })
 
         for batch in batches:
-            for doc_id, text, is_held in zip(batch["id"], batch["text"], batch["held_out"]):
-                ids.append(doc_id)
-                held.append(is_held)
-                rows.append(own.numbers(tokens(text)))
-                size += len(rows[-1][0])
-                if size >= CHUNK:
-                    yield scored()
-                    at += len(rows)
-                    ids, held, rows, size = [], [], [], 0
+            for r, words, codes, ends, of_part in zip(batch["round"], batch["words"], batch["codes"], batch["ends"], batch["ids"]):
+                for doc_id, row in zip(of_part, own.rows(words, codes, ends)):
+                    ids.append(doc_id)
+                    held.append(r < 0)
+                    rows.append(row)
+                    size += len(row[0])
+                    if size >= CHUNK:
+                        yield scored()
+                        at += len(rows)
+                        ids, held, rows, size = [], [], [], 0
         if rows:
             yield scored()
 
-    with session_conf(docs.sparkSession, {"spark.sql.execution.arrow.maxRecordsPerBatch": "2000"}):
-        parts = written(
-            docs.withColumn("id", F.col("id").cast("string")).mapInPandas(run, "row long, id string, held_out boolean, n_tokens long, n_known long, base_score double, score double, rest array<string>"),
-            "lm-parts",
+    with session_conf(parts.sparkSession, few_rows(tasks)):
+        found = written(
+            parts.drop("counts").mapInPandas(run, "row long, id string, held_out boolean, n_tokens long, n_known long, base_score double, score double, rest array<string>, often array<long>"),
+            "lm-scores",
         )
-    rest = parts.select("row", F.explode("rest").alias("word")).groupBy("row", "word").count().join(counts, "word", "left")
-    sums = rest.groupBy("row").agg(F.sum(F.col("count") * F.log10(F.coalesce("c", F.lit(0)) + 0.5)).alias("more"), F.sum(F.when(F.col("c") > 0, F.col("count")).otherwise(0)).alias("found"))
+    rest = found.select("row", F.inline(F.arrays_zip("rest", "often"))).join(counts, F.col("rest") == F.col("word"), "left")
+    sums = rest.groupBy("row").agg(F.sum(F.col("often") * F.log10(F.coalesce("c", F.lit(0)) + 0.5)).alias("more"), F.sum(F.when(F.col("c") > 0, F.col("often")).otherwise(0)).alias("found"))
     more = F.coalesce("more", F.lit(0.0))
-    return parts.drop("rest").join(sums, "row", "left").select(
-        F.col("id").cast(kind).alias("id"), "held_out", "n_tokens", (F.col("n_known") + F.coalesce("found", F.lit(0))).alias("n_known"), F.lit(scorer.total).cast("long").alias("train_tokens"),
+    return found.drop("rest", "often").join(sums, "row", "left").select(
+        "id", "held_out", "n_tokens", (F.col("n_known") + F.coalesce("found", F.lit(0))).alias("n_known"), F.lit(scorer.total).cast("long").alias("train_tokens"),
         (F.col("base_score") + more).alias("base_score"), (F.col("score") + more).alias("score"),
     )
 
@@ -258,6 +318,12 @@ def score_documents(docs: DataFrame, scorer: Scorer, counts: DataFrame) -> DataF
 def op6_gated_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents scored; four fifths of them are learned from."""
     docs = table(spark, sf_dir, "documents").select(exact_col("doc_id").alias("id"), F.coalesce("text", F.lit("")).alias("text"), (crc_bucket("doc_id", 5) == 1).alias("held_out"))
-    train = docs.filter("not held_out")
-    counts = written(count_tokens(train.select("text")), "lm-counts")  # the result reads it
-    return score_documents(docs, learn(counts, train), counts).withColumnRenamed("id", "doc_id")
+    tasks, scratch = docs.rdd.getNumPartitions(), []
+    with session_conf(spark, {"spark.sql.execution.arrow.maxRecordsPerBatch": "2000"}):
+        parts = written(read_once(docs), "lm-parts", scratch)
+    with session_conf(spark, few_rows(tasks)):
+        counts = written(count_tokens(parts), "lm-counts")  # the result reads it
+    found = score_documents(parts, learn(counts, parts, tasks), counts, tasks)
+    for path in scratch:
+        remove(spark, path)
+    return found.withColumn("id", F.col("id").cast(docs.schema["id"].dataType)).withColumnRenamed("id", "doc_id")

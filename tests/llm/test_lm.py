@@ -7,7 +7,7 @@ from collections import Counter
 import numpy as np
 from pyspark.sql import functions as F
 
-from symgraph.llm import lm_scoring
+from symgraph.llm import gated_lm, lm_scoring
 from symgraph.llm.gated_lm import GatedLM
 from symgraph.llm.lm_scoring import op6_gated_lm
 
@@ -196,3 +196,59 @@ def test_copies_are_averaged_in_bounded_groups(spark, monkeypatch, n):
         before, parts = parts, -(-parts // 4)
         most = max(most, -(-before // parts))
     assert most <= 4 and got.count() == 2
+
+
+def test_every_text_is_read_once(spark, tmp_path, monkeypatch):
+    """One pass over the texts; counting, both rounds and scoring go on with its numbers."""
+    seen = tmp_path / "seen"
+    seen.mkdir()
+
+    def noted(i, text):
+        with open(seen / str(i), "a") as f:
+            f.write("x")
+        return text
+
+    docs = spark.createDataFrame([(i, f"a b w{i}") for i in range(60)], "doc_id long, text string")
+    monkeypatch.setattr(lm_scoring, "table", lambda *_: docs.withColumn("text", F.udf(noted, "string")("doc_id", "text")))
+    assert op6_gated_lm(spark, "").count() == 60
+    assert {f.name: f.read_text() for f in seen.iterdir()} == {str(i): "x" for i in range(60)}
+
+
+def test_parts_of_texts_give_every_text_back(spark):
+    """Several parts a round; words that are not known come with how often they occur."""
+    texts = {i: " ".join(["a", "B"] * (i % 4) + [f"n{i}", "n"] * (i % 3)) for i in range(50)}
+    scorer = lm_scoring.Scorer(["a", "b"], np.array([9.0, 5.0]), 1, np.array([[5.0, 1], [0, 0]]), 64, 3, 50)
+    got, rounds = {}, Counter()
+    for p in lm_scoring.read_once(spark.createDataFrame([(i, t, i % 5 == 0) for i, t in texts.items()], "id long, text string, held_out boolean").coalesce(1), most=40).collect():
+        rounds[p["round"]] += 1
+        docs = scorer.documents(p.words, p.codes, p.ends)
+        for i, doc, row in zip(p.ids, docs, scorer.rows(p.words, p.codes, p.ends)):
+            assert int(i) not in got and (int(i) % 5 == 0) == (p["round"] < 0) and doc.tolist() == row[0].tolist()
+            got[int(i)] = row
+    assert len(got) == 50 and set(rounds) == {-1, 0, 1} and min(rounds.values()) > 1
+    group = lambda w: 2 + lm_scoring.group_of(w, 2)
+    for i, t in texts.items():
+        words = t.lower().split()
+        ids, sums, outside, known, rest, often = got[i]
+        assert ids.tolist() == [1 if w == "a" else group(w) for w in words] + [0]
+        assert math.isclose(sums, sum({"a": math.log10(9.5), "b": math.log10(5.5)}.get(w, 0) for w in words), abs_tol=1e-12)
+        assert math.isclose(outside, sum((w == "b") * math.log10(5.5) - scorer.group[group(w) - 2] for w in words if w != "a"), abs_tol=1e-12)
+        assert known == sum(w in "ab" for w in words) and dict(zip(rest, often)) == Counter(w for w in words if w not in "ab")
+
+
+@pytest.mark.parametrize("scale", [1, 400])
+def test_blocks_and_large_weights_change_nothing(monkeypatch, scale):
+    """Logits beyond what exponentials bear are shifted first; layers are worked on in blocks of rows."""
+    model, rng = random_model(), np.random.default_rng(6)
+    for k in ("Wc", "Wo"):
+        model.p[k] *= scale
+    docs = [np.append(rng.integers(1, 11, n), 0) for n in (90, 30, 5)]
+    assert np.allclose(model.log_likelihood(docs, slots=2), [plain_score(model, d) for d in docs])
+    h, y = rng.uniform(-1, 1, (200, 5)), rng.integers(0, 11, 200)
+    whole = {k: np.zeros_like(v) for k, v in model.p.items()}
+    parts = {k: np.zeros_like(v) for k, v in model.p.items()}
+    out, back = model.outputs(h, y, whole)
+    monkeypatch.setattr(gated_lm, "ROWS", 7)
+    out_parts, back_parts = model.outputs(h, y, parts)
+    assert np.isfinite(out).all() and np.allclose(out, out_parts) and np.allclose(back, back_parts)
+    assert all(np.allclose(whole[k], parts[k]) for k in whole)
