@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Positions are below 2 to this power.
+#: Binary digits of positions where no number is given.
 BITS = 32
 
 
@@ -79,25 +79,29 @@ def item_versions(events: DataFrame) -> DataFrame:
     return log.select("repo", "key", F.col("after").alias("value"), F.col("pos").alias("valid_from"), F.lead("pos").over(w).alias("valid_to")).filter("value is not null")
 
 
-def blocks_of(low: Column, high: Column, bits: int = BITS) -> Column:
-    """The aligned blocks (level, at) that [low, high) falls into: at most two a level, a block is [at << level, at + 1 << level)."""
+def blocks_of(low: Column, high: Column, bits: int | Column = BITS) -> Column:
+    """The aligned blocks (level, at) that [low, high) falls into: at most two a level, a block is [at << level, at + 1 << level).  ``high`` has no more than ``bits`` + 1 bits."""
 
     def at_level(k: Column) -> Column:
         a, b = F.call_function("shiftright", low + F.call_function("shiftleft", F.lit(1).cast("long"), k) - 1, k), F.call_function("shiftright", high, k)
         block = lambda place, where: F.when((a < b) & where, F.struct(k.alias("level"), place.alias("at")))
         return F.array(block(a, a % 2 == 1), block(b - 1, b % 2 == 1))
 
-    return F.array_compact(F.flatten(F.transform(F.sequence(F.lit(0), F.lit(bits)), at_level)))
+    return F.array_compact(F.flatten(F.transform(F.sequence(F.lit(0), F.lit(bits) if isinstance(bits, int) else bits), at_level)))
 
 
-def at_commits(versions: DataFrame, asked: DataFrame, bits: int = BITS) -> DataFrame:
+def at_commits(versions: DataFrame, asked: DataFrame) -> DataFrame:
     """asked: repo, pos -> repo, pos, key, value: the items at each of the commits.
 
     An interval join as an equi-join: an interval is cut into aligned blocks, a logarithmic number of
     them, and a position asks for the one block of each size that it lies in; exactly one of them is there.
+    Intervals end at the last position that is asked, so there are only as many sizes as that has binary
+    digits.  Never a broadcast: Spark's estimate of a side is that of the rows before they are multiplied.
     """
-    low, high = F.col("valid_from").cast("long"), F.coalesce(F.col("valid_to"), F.lit(1 << bits)).cast("long")
-    cut = versions.select("repo", "key", "value", F.explode(blocks_of(low, high, bits)).alias("b")).select("repo", "key", "value", "b.level", "b.at")
-    wanted = asked.select("repo", "pos").distinct().select("repo", "pos", F.explode(F.sequence(F.lit(0), F.lit(bits))).alias("level"))
-    wanted = wanted.withColumn("at", F.call_function("shiftright", F.col("pos").cast("long"), F.col("level")))
-    return wanted.join(cut, ["repo", "level", "at"]).select("repo", "pos", "key", "value")
+    at = asked.select("repo", F.col("pos").cast("long").alias("pos")).distinct()
+    last, top = at.agg(F.max("pos")).scalar(), F.length(F.bin(F.col("last") + 1)) - 1
+    low, high = F.col("valid_from").cast("long"), F.least(F.col("valid_to").cast("long"), F.col("last") + 1)  # least leaves nulls out
+    cut = versions.withColumn("last", last).select("repo", "key", "value", F.explode(blocks_of(low, high, top)).alias("b")).select("repo", "key", "value", "b.level", "b.at")
+    wanted = at.withColumn("last", last).select("repo", "pos", F.explode(F.sequence(F.lit(0), top)).alias("level"))
+    wanted = wanted.withColumn("at", F.call_function("shiftright", "pos", F.col("level")))
+    return wanted.join(cut.hint("merge"), ["repo", "level", "at"]).select("repo", F.col("pos").cast(asked.schema["pos"].dataType).alias("pos"), "key", "value")

@@ -4,6 +4,7 @@ import duckdb
 import pytest
 
 from symgraph import catalog
+from symgraph.operators import timeline
 
 
 @pytest.fixture
@@ -38,3 +39,15 @@ def test_a_large_part_with_the_key_of_an_order(spark, tables):
     )
     got, expected = compared(spark, folder, "upsert_edge_positions", "part", "orders", "lineitem")
     assert got == expected == sorted(str((o, -p, 1)) for o in range(3) for p in (1, 2))
+
+
+def test_states_are_joined_without_a_broadcast_at_any_position(spark):
+    """A position asks for as many blocks as the last one has binary digits; Spark takes these for few rows."""
+    far = 1 << 33
+    events = spark.createDataFrame([(1, 1, "a", "x"), (1, 3, "a", None), (1, far, "b", "y"), (2, 2, "a", "z")], "repo long, pos long, key string, value string")
+    found = timeline.at_commits(timeline.item_versions(events), spark.createDataFrame([(1, 1), (1, 2), (1, 3), (1, far), (2, 1), (2, far)], "repo long, pos long"))
+    assert sorted(map(tuple, found.collect())) == [(1, 1, "a", "x"), (1, 2, "a", "x"), (1, far, "b", "y"), (2, far, "a", "z")]
+    few = timeline.at_commits(timeline.item_versions(events), spark.createDataFrame([(1, 5), (2, 5), (2, 7)], "repo long, pos long"))
+    assert sorted(map(tuple, few.collect())) == [(2, 5, "a", "z"), (2, 7, "a", "z")]
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
