@@ -19,6 +19,33 @@ def expand(edges: DataFrame, nodes: DataFrame, ids: list[int] | None = None, rel
     return found.select(F.col(near).alias("origin"), "rel", F.lit(direction).alias("direction"), F.col(far).alias("id")).join(ends, "id").select("origin", "rel", "direction", "id", "label", "name", "path")
 
 
+#: Rows of a key on one side that :func:`met` joins with so many of the other side in one part.
+PART = 1024
+
+
+def met(left: DataFrame, right: DataFrame, key: str, part: int = PART) -> DataFrame:
+    """``left`` and ``right`` joined on ``key``, where single keys may have very many rows on both sides.
+
+    A key's rows are dealt into parts of about ``part`` rows by a hash of the row, and each part of one side meets each of the
+    other on its own, so that a product is spread over tasks and none holds more than two parts; a row is copied once for each
+    part of the other side.  Only keys with more than a part are broadcast.  Columns must be of types that have a hash.  The
+    number of tasks is fixed, as Spark would choose few by the bytes of the sides, which say nothing about their product.
+    """
+    count = lambda df, name: df.groupBy(key).agg(F.count(F.lit(1)).alias(name))
+    parts = lambda name: F.ceil(F.col(name) / part).cast("int")
+    large = count(left, "_a").join(count(right, "_b").hint("merge"), key).select(key, parts("_a").alias("_m"), parts("_b").alias("_n")).filter("_m > 1 or _n > 1")
+
+    def dealt(df: DataFrame, own: str, other: str, at: str, to: str) -> DataFrame:
+        found = df.join(F.broadcast(large), key, "left")
+        own_part = F.pmod(F.xxhash64(*df.columns), F.coalesce(own, F.lit(1))).cast("int")
+        return found.select(*df.columns, own_part.alias(at), F.explode(F.sequence(F.lit(0), F.coalesce(other, F.lit(1)) - 1)).alias(to))
+
+    session = left.sparkSession
+    tasks = max(int(session.conf.get("spark.sql.shuffle.partitions")), 4 * session.sparkContext.defaultParallelism)
+    spread = lambda df: df.repartition(tasks, key, "_i", "_j")
+    return spread(dealt(left, "_m", "_n", "_i", "_j")).join(spread(dealt(right, "_n", "_m", "_j", "_i")).hint("merge"), [key, "_i", "_j"]).drop("_i", "_j")
+
+
 def neighbors(edges: DataFrame, nodes: DataFrame, ids: list[int], rels: list[str] | None = None, direction: str = "BOTH", limit: int | None = None) -> DataFrame:
     """Distinct (id, rel, direction) around ``ids``, in order of id."""
     found = expand(edges, nodes, ids, rels, direction).drop("origin").dropDuplicates(["id", "rel", "direction"])

@@ -10,6 +10,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .pattern import met
+
 
 def _of(nodes: DataFrame, label: str, prefix: str) -> DataFrame:
     return nodes.filter(F.col("label") == label).select(*(F.col(c).alias(f"{prefix}_{c}") for c in ("id", "name", "path", "line", "props")))
@@ -19,10 +21,24 @@ def _link(edges: DataFrame, rel: str, src: str, dst: str) -> DataFrame:
     return edges.filter(F.col("rel") == rel).select(F.col("src").alias(f"{src}_id"), F.col("dst").alias(f"{dst}_id"))
 
 
-def xss(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+#: The ends of INJECTED_INTO (variables: src, name; elements: dst, name) where its edges are not among the edges.
+Ends = tuple[DataFrame, DataFrame]
+
+
+def _injected(variables: DataFrame, elements: DataFrame, edges: DataFrame, ends: Ends | None) -> DataFrame:
+    """Variables with the elements that they are INJECTED_INTO, once both are down to the rows and columns that are asked."""
+    if ends is None:
+        return _link(edges, "INJECTED_INTO", "v", "e").join(elements, "e_id").join(variables, "v_id")
+    given, refs = ends
+    left = variables.join(given.select(F.col("src").alias("v_id"), F.col("name").alias("_name")), "v_id")
+    return met(left, elements.join(refs.select(F.col("dst").alias("e_id"), F.col("name").alias("_name")), "e_id"), "_name").drop("_name")
+
+
+def xss(nodes: DataFrame, edges: DataFrame, ends: Ends | None = None) -> DataFrame:
     """Variables put into an element that no function processes."""
     processed = _link(edges, "PROCESSED_BY", "v", "f").join(_of(nodes, "Function", "f"), "f_id").select("v_id")
-    return _link(edges, "INJECTED_INTO", "v", "e").join(_of(nodes, "HtmlElement", "e"), "e_id").join(_of(nodes, "Variable", "v"), "v_id").join(processed, "v_id", "left_anti").select(
+    variables = _of(nodes, "Variable", "v").join(processed, "v_id", "left_anti").select("v_id", "v_name", "v_path", "v_line")
+    return _injected(variables, _of(nodes, "HtmlElement", "e").select("e_id", "e_name"), edges, ends).select(
         F.col("v_name").alias("UnsafeVariable"), F.col("e_name").alias("TargetElement"), F.col("v_path").alias("SourceFile"), F.col("v_line").alias("SourceLine")
     )
 
@@ -64,11 +80,12 @@ def cve(nodes: DataFrame, edges: DataFrame, package: str) -> DataFrame:
     )
 
 
-def template_vars(nodes: DataFrame, edges: DataFrame, element_file: str | None = None) -> DataFrame:
+def template_vars(nodes: DataFrame, edges: DataFrame, element_file: str | None = None, ends: Ends | None = None) -> DataFrame:
     """Variables in elements and whether a function sanitises them."""
     by = _link(edges, "PROCESSED_BY", "v", "f").join(_of(nodes, "Function", "f"), "f_id").select("v_id", "f_name")
-    out = _link(edges, "INJECTED_INTO", "v", "e").join(_of(nodes, "HtmlElement", "e"), "e_id").join(_of(nodes, "Variable", "v"), "v_id").join(by, "v_id", "left")
-    out = out.filter(F.col("e_path").contains(element_file)) if element_file else out
+    variables = _of(nodes, "Variable", "v").join(by, "v_id", "left").select("v_id", "v_name", "v_path", "v_line", "f_name")
+    elements = _of(nodes, "HtmlElement", "e").select("e_id", "e_name", "e_path", "e_line")
+    out = _injected(variables, elements.filter(F.col("e_path").contains(element_file)) if element_file else elements, edges, ends)
     return out.select(
         F.col("v_name").alias("variable"), F.col("v_path").alias("var_src_file"), F.col("v_line").alias("var_src_line"), F.col("e_name").alias("element"), F.col("e_path").alias("element_file"),
         F.col("e_line").alias("element_line"), F.col("f_name").isNotNull().alias("sanitized"), F.col("f_name").alias("sanitizer"),

@@ -11,6 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators.pattern import met
 from ..shared import spread
 
 # What is scanned, and the names that make a call a rendering, a sanitiser, a file operation or tainted.
@@ -257,7 +258,7 @@ def resolve_uses(rows: DataFrame, kinds: dict[str, str] | None = None, only: Dat
 def template_links(variables: DataFrame, elements: DataFrame) -> DataFrame:
     """INJECTED_INTO: variables (path, name) and elements (path, name, start, refs) with the same name, in whatever files."""
     refs = elements.select(F.col("path").alias("element_path"), F.col("name").alias("element"), "start", F.explode("refs").alias("name"))
-    return variables.select(F.col("path").alias("var_path"), "name").distinct().join(refs, "name").select("name", "var_path", "element", "element_path", "start")
+    return met(variables.select(F.col("path").alias("var_path"), "name").distinct(), refs, "name").select("name", "var_path", "element", "element_path", "start")
 
 
 class _Elements(HTMLParser):
