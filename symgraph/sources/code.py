@@ -103,6 +103,22 @@ def called_name(function: ast.expr) -> str | None:
         return None
 
 
+# kinds of nodes, as tuples that are made once
+_DEFINITIONS, _ASSIGNMENTS = (ast.FunctionDef, ast.AsyncFunctionDef, ast.ClassDef), (ast.Assign, ast.AnnAssign)
+
+
+def children(node: ast.AST) -> list[ast.AST]:
+    """The child nodes of a node that can have some themselves; constants and how a name is used are left out."""
+    found: list[ast.AST] = []
+    for field in node._fields:
+        value = getattr(node, field, None)
+        if isinstance(value, list):
+            found += [x for x in value if isinstance(x, ast.AST)]
+        elif isinstance(value, ast.AST) and not isinstance(value, (ast.expr_context, ast.Constant)):
+            found.append(value)
+    return found
+
+
 def _source(lines: list[bytes], node: ast.expr) -> str:
     """The text of an expression."""
     a, b = node.lineno - 1, node.end_lineno - 1
@@ -125,9 +141,11 @@ def python_file(path: str, text: str) -> list[tuple]:
     todo: list[tuple[ast.AST, str | None, bool]] = [(tree, None, False)]
     while todo:
         node, owner, in_class = todo.pop()
+        if isinstance(node, ast.Name):
+            continue
         inner, is_class = owner, in_class
         at = getattr(node, "lineno", 0), getattr(node, "end_lineno", 0)
-        if isinstance(node, ast.FunctionDef | ast.AsyncFunctionDef | ast.ClassDef):
+        if isinstance(node, _DEFINITIONS):
             is_class = isinstance(node, ast.ClassDef)
             full = f"{owner}.{node.name}" if owner else node.name
             doc = _source(lines, node.body[0].value) if isinstance(node.body[0], ast.Expr) else None
@@ -152,9 +170,9 @@ def python_file(path: str, text: str) -> list[tuple]:
             dots = "." * node.level
             out.append((path, "module_import", None, dots, node.module or "", *at, None))
             out += [(path, "import", a.asname or a.name, dots, f"{node.module or ''}.{a.name}".strip("."), *at, None) for a in node.names]
-        elif isinstance(node, ast.Assign | ast.AnnAssign) and owner is None:
+        elif isinstance(node, _ASSIGNMENTS) and owner is None:
             out += [(path, "variable", t.id, None, t.id, *at, None) for t in (node.targets if isinstance(node, ast.Assign) else [node.target]) if isinstance(t, ast.Name)]
-        todo += [(child, inner, is_class) for child in ast.iter_child_nodes(node)]
+        todo += [(child, inner, is_class) for child in children(node)]
     return out
 
 

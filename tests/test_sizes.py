@@ -4,7 +4,8 @@ import duckdb
 import pytest
 
 from symgraph import catalog
-from symgraph.operators import timeline
+from symgraph.operators import pattern, security, timeline
+from symgraph.sources import securitypass
 
 
 @pytest.fixture
@@ -51,3 +52,27 @@ def test_states_are_joined_without_a_broadcast_at_any_position(spark):
     assert sorted(map(tuple, few.collect())) == [(2, 5, "a", "z"), (2, 7, "a", "z")]
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
+def test_products_of_large_keys_are_cut_into_parts(spark):
+    """Each pair once, whichever side a key is large on, and no task with more of a key than a few parts."""
+    left = spark.createDataFrame([(k, i) for k, n in (("a", 300), ("b", 2), ("c", 90), ("d", 1), ("only", 50)) for i in range(n)], "name string, x int")
+    right = spark.createDataFrame([(k, i) for k, n in (("a", 40), ("b", 200), ("c", 90), ("d", 1), ("other", 50)) for i in range(n)], "name string, y int")
+    found, plain = pattern.met(left, right, "name", 16), left.join(right, "name")
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, plain.select(found.columns).collect()))
+    tasks = found.filter("name = 'a'").rdd.glom().map(len).collect()
+    assert sum(tasks) == 12_000 and max(tasks) < 6_000
+
+
+def test_rules_on_elements_without_their_edges_written(spark):
+    """The ends of INJECTED_INTO give what its edges give; only the ends are written."""
+    view = "def v{0}(q):\n    return render('t.html', a=q, b=escape(q))\n"
+    files = [(f"v{i}.py", view.format(i)) for i in range(20)] + [(f"t{i}.html", "<p>{{ a }}</p><i>{{ b }}</i><form>{{ a }}</form>") for i in range(20)]
+    df = spark.createDataFrame(files, "path string, text string")
+    nodes, edges, ends = securitypass.security_pass(df, ("functions", "variables", "sanitisers", "elements"))
+    assert edges.filter("rel = 'INJECTED_INTO'").isEmpty() and [e.count() for e in ends] == [40, 60]
+    whole = securitypass.secured(df)
+    assert whole[1].filter("rel = 'INJECTED_INTO'").count() == 1200
+    for rule, n in ((security.xss, 400), (security.template_vars, 800)):
+        by_ends, by_edges = sorted(map(str, rule(nodes, edges, ends=ends).collect())), sorted(map(str, rule(*whole).collect()))
+        assert by_ends == by_edges and len(by_ends) == n
