@@ -49,11 +49,18 @@ def written(df: DataFrame, what: str, scratch: list[str] | None = None) -> DataF
 SMALL = 32 << 20
 
 
+#: The optimizer's estimate of an input whose size it does not know, as of rows that the driver made; a union with one has it too.
+UNKNOWN = (1 << 63) - 1
+
+
 def spread(df: DataFrame) -> DataFrame:
     """``df`` in as many partitions as there are cores where it is small (by the optimizer's estimate); a large input is left as it is.
 
-    A small table is often one file with one row group, which a single task would read and work on.
+    A small table is often one file with one row group, which a single task would read and work on.  An input of
+    unknown size may be such a table as well as a large one; it is dealt out into as many partitions as a shuffle has.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    if size >= UNKNOWN:
+        return df.repartition(max(cores, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
     return df.repartition(cores) if size < cores * SMALL else df

@@ -5,6 +5,7 @@ import pytest
 
 from symgraph import catalog
 from symgraph.operators import pattern, security, timeline
+from symgraph.shared import spread
 from symgraph.sources import securitypass
 
 
@@ -76,3 +77,10 @@ def test_rules_on_elements_without_their_edges_written(spark):
     for rule, n in ((security.xss, 400), (security.template_vars, 800)):
         by_ends, by_edges = sorted(map(str, rule(nodes, edges, ends=ends).collect())), sorted(map(str, rule(*whole).collect()))
         assert by_ends == by_edges and len(by_ends) == n
+
+
+def test_a_table_is_dealt_out_beside_rows_of_unknown_size(spark, tables):
+    """Spark does not know the size of rows that the driver made, nor that of their union with a table of one row group."""
+    table = spark.read.parquet(tables(files="SELECT k::VARCHAR AS path FROM range(4000) t(k)") + "/files.parquet")
+    rows = spread(table.unionByName(spark.createDataFrame([("x",)], "path string"))).rdd.glom().map(len).collect()
+    assert sum(rows) == 4001 and max(rows) < 2000
